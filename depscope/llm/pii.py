@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
@@ -132,9 +132,13 @@ def span_columns(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
     """(doc_id, n_<kind> of the base kinds, base_sha256, spans as text) from (id, spans)."""
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of_base = F.filter("spans", lambda s: s["kind"].isin(*base))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
     return found.select(
         F.col("id").alias("doc_id"),
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
+        *[number(k).alias(f"n_{k}") for k in base],
         F.sha2(text(of_base).cast("binary"), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
     )
