@@ -255,7 +255,7 @@ def _merged(spans):
         last = F.element_at(done, -1)
         joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
         head = F.slice(done, 1, F.size(done) - 1)
-        return F.when(last["end"] >= s["start"], F.concat(head, F.array(joined))).otherwise(F.concat(done, F.array(s)))
+        return F.when(last["end"] >= s["start"], F.concat(head, F.array(joined).cast("array<struct<start:int,end:int>>"))).otherwise(F.concat(done, F.array(s).cast("array<struct<start:int,end:int>>")))
 
     return F.filter(F.aggregate(F.array_sort(spans), zero, add), lambda s: s["start"].isNotNull())
 
