@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.arrow import ITEM_WORD, LOWER_AZ, chunks, hash_spans, keyed_texts, ngram_hash, real_id, text_buffer, word_spans
+from depscope.llm.arrow import ITEM_WORD, LOWER_AZ, chunks, hash_spans, keyed_texts, real_id, text_buffer, word_spans
 
 WINDOW = 10
 SAMPLE = 8
@@ -326,4 +326,4 @@ def hit_columns(found: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["FmIndex", "find_benchmark", "drop_contaminated", "hit_columns", "ngram_hash"]
+__all__ = ["FmIndex", "find_benchmark", "drop_contaminated", "hit_columns"]

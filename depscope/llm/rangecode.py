@@ -268,7 +268,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     docs = frames.mapInArrow(run, "id long, within long, n_tokens long, ids array<bigint>, part int, frame int")
-    return docs.join(F.broadcast(starts) if False else starts, ["part", "frame"]).select("id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids")
+    return docs.join(starts, ["part", "frame"]).select("id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids")
 
 
 def id_columns(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

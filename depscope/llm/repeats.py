@@ -8,8 +8,8 @@ anchors are compared by their 64-bit hashes, which extends the anchors to maxima
 repeats; every window but the first of its kind is marked.
 
 Rows of the shuffles are packed: one row holds what a chunk of texts sends to a
-bucket. Of equal windows in a chunk only the first is sent, so a
-passage that many documents share reaches its bucket once for each chunk.
+bucket. In (2), of equal windows in a chunk only the first is sent to the bucket of its
+hash, so a passage that many documents share reaches it once for each chunk; in (1) all are sent.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +161,6 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         at, g = _windows(h, of, half)
         doc, pos = of[at], at - first[of[at]]
         block = pos % half == 0
-        # of equal probes of a text that come to more than two, the first, a block and one more are enough to tell; all are sent
         return (*_ids(c), doc, pos, g, block)
 
     def candidates(c: pa.RecordBatch) -> tuple:
@@ -241,4 +239,4 @@ def repeat_columns(found: DataFrame) -> DataFrame:
     return found.select(real_id().alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-__all__ = ["later_windows", "remove_repeats", "repeat_columns", "pc"]
+__all__ = ["later_windows", "remove_repeats", "repeat_columns"]
