@@ -120,6 +120,8 @@ FROM {_F['fx_old']} o FULL JOIN {_F['fx_new']} n ON o.file = n.file AND o.name =
     "ledger_summary": f"""SELECT run_id, CASE WHEN grouping(agent_id) = 0 THEN 'agent' WHEN grouping(task_id) = 0 THEN 'task' WHEN grouping(model) = 0 THEN 'model' ELSE 'run' END AS level,
 coalesce(agent_id, task_id, model, '') AS key, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(sum(cost_usd), 4) AS cost_usd, count(*) AS calls
 FROM ({_COSTED}) GROUP BY GROUPING SETS ((run_id), (run_id, agent_id), (run_id, task_id), (run_id, model))""",
+    "list_runs": f"""SELECT run_id, CAST(max(ts) AS VARCHAR) AS last_ts, count(*) AS calls, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
+count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed FROM {_F['fx_tokens']} GROUP BY run_id ORDER BY max(ts) DESC, run_id LIMIT 20""",
     "parse_diagnostics": _DIAGS,
     "new_diagnostics": _NEW,
     "dedup_diagnostics": f"""SELECT * FROM (SELECT run_id, attempt, file, code, line, col, message, row_number() OVER (PARTITION BY run_id, attempt ORDER BY line, file, code) AS rank FROM (
