@@ -61,8 +61,10 @@ def call_file_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return by_exact.unionByName(by_method).filter("caller_file <> callee_file").distinct()
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(repo, seed, node): everything reachable from each node of the edges, the node itself too. Cycles are fine.
+def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(repo, seed, node): everything reachable from each seed, itself too. Cycles are fine.
+
+    seeds (repo, file): where to start; without it every node of the edges.
 
     Semi-naive: each round joins only the pairs found in the round before. Rounds are written to the shared folder.
     """
@@ -72,6 +74,8 @@ def closure(edges: DataFrame) -> DataFrame:
     edges.write.parquet(f"{base}/edges")
     edges = spark.read.parquet(f"{base}/edges")
     nodes = edges.select("repo", "src").union(edges.select("repo", "dst")).distinct()
+    if seeds is not None:
+        nodes = seeds.select("repo", F.col("file").alias("src")).distinct()
     nodes.select("repo", F.col("src").alias("seed"), F.col("src").alias("node")).write.parquet(f"{base}/round=0")
     schema = spark.read.parquet(f"{base}/round=0").schema
     k = 0

@@ -80,6 +80,35 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("part",),
         "SELECT concat('f', p_partkey % 50) AS file, concat('s', p_partkey) AS name, concat(CASE WHEN p_size % 5 = 0 THEN 'c' ELSE 'b' END, p_size) AS body FROM {part} WHERE p_partkey % 13 <> 0 AND p_partkey % 50 <> 8",
     ),
+    "fx_classes": (
+        ("part",),
+        f"""SELECT 'main' AS repo, concat('C', p_partkey) AS name, {_path("p_partkey")} AS file, 'class' AS kind,
+        split(concat('C', CAST(floor(p_partkey / 3.0) AS BIGINT)), ',') AS extends, split(concat('I', p_size, ',I', p_size + 1), ',') AS implements FROM {{part}}""",
+    ),
+    "fx_modules": (
+        ("part",),
+        f"""SELECT 'main' AS repo, p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'go' ELSE 'rust' END AS lang,
+        CASE p_partkey % 3 WHEN 0 THEN concat('pkg', {PKG.format(k="p_partkey")}, '/mod', p_partkey, '.py')
+          WHEN 1 THEN concat('src/pkg', {PKG.format(k="p_partkey")}, '/mod', p_partkey, '.go') ELSE concat('pkg', {PKG.format(k="p_partkey")}, '/mod', p_partkey, '.rs') END AS path,
+        CASE p_partkey % 3
+          WHEN 0 THEN concat('import pkg', {PKG.format(k="p_partkey")}, '.mod', p_partkey + 6, chr(10), 'from .mod', p_partkey + 3, ' import f', chr(10), 'LIMIT', p_partkey, ' = 3', chr(10),
+            'class T', p_partkey, ':', chr(10), '    def m(self):', chr(10), '        return f(1)', chr(10), 'def fn', p_partkey, '(a):', chr(10), '    return a', chr(10))
+          WHEN 1 THEN concat('package p', chr(10), 'import (', chr(10), '"fmt"', chr(10), '"example.com/app/src/pkg', {PKG.format(k="p_partkey")} + 1, '"', chr(10), ')', chr(10),
+            'type T', p_partkey, ' struct {{{{ n int }}}}', chr(10), 'func (t *T', p_partkey, ') M(a int) int {{{{ return a }}}}', chr(10), 'func Fn', p_partkey, '(a int) int {{{{ return a }}}}', chr(10))
+          ELSE concat('mod mod', p_partkey + 3, ';', chr(10), 'use crate::x;', chr(10), 'use serde::y;', chr(10), 'struct T', p_partkey, ' {{{{ n: i32 }}}}', chr(10),
+            'impl T', p_partkey, ' {{{{ fn m(&self) -> i32 {{{{ 1 }}}} }}}}', chr(10), 'fn fn', p_partkey, '(a: i32) -> i32 {{{{ a }}}}', chr(10)) END AS content
+        FROM {{part}}""",
+    ),
+    "fx_replies": (
+        ("conversations",),
+        """SELECT conv_id, turn AS line_no, concat('data: {{"choices":[{{"delta":{{"content":"', translate(coalesce(text, ''), concat('"', chr(92), chr(10), chr(13), chr(9)), '     '), '"}}}}]}}') AS line FROM {conversations}
+        UNION ALL SELECT DISTINCT conv_id, CAST(1000000 AS BIGINT), 'data: [DONE]' FROM {conversations}""",
+    ),
+    "fx_changes": (("part",), f"""SELECT CAST(p_size AS BIGINT) AS commit, concat(CASE WHEN p_partkey % 4 = 0 THEN 'docs/' ELSE 'app/' END, {_path("p_partkey")}, CASE WHEN p_partkey % 5 = 0 THEN 'x' WHEN p_partkey % 7 = 0 THEN '.md' ELSE '' END) AS path FROM {{part}}"""),
+    "fx_results": (
+        ("events",),
+        """SELECT concat('run_', date_part('day', ts)) AS run_id, concat('suite_', user_id % 5) AS suite, concat('test_', event_id) AS name, value > 5 AS passed FROM {events}""",
+    ),
 }
 
 _AGG = re.compile(r"AGG\((.*), ('[^']*'), (\w+)\)( AS)")
