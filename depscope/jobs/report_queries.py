@@ -129,7 +129,7 @@ _COST = f"CASE WHEN cost_usd < 0.01 THEN {_TEXT.format(6, '000000')} WHEN cost_u
 _DONE = f"SELECT * FROM ({base._DELIVERED}) WHERE delivered_by IS NOT NULL"
 
 ORACLES = {
-    "cost_rate_lookup": f"SELECT record_id, model, CASE WHEN lower(model) LIKE '%haiku%' THEN 25 ELSE 300 END AS rate_in, CASE WHEN lower(model) LIKE '%haiku%' THEN 125 ELSE 1500 END AS rate_out FROM {_F['fx_tokens']}",
+    "cost_rate_lookup": f"SELECT record_id, model, CASE WHEN lower(model) LIKE '%haiku%' THEN 25 ELSE 300 END::BIGINT AS rate_in, CASE WHEN lower(model) LIKE '%haiku%' THEN 125 ELSE 1500 END::BIGINT AS rate_out FROM {_F['fx_tokens']}",
     "token_records": f"SELECT * EXCLUDE (ts) FROM ({base._COSTED})",
     "load_run": f"SELECT record_id, agent_id, cost_usd FROM ({base._COSTED}) WHERE run_id = 'run_7' ORDER BY ts, record_id",
     "runs_total": f"SELECT CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed FROM ({_O['list_runs']})",
