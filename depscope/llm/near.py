@@ -2,8 +2,8 @@
 
 Texts with the same words are collapsed first. Each distinct text is sketched
 with K samples, so that two sketches agree in a place with the probability of
-their weighted Jaccard similarity. BANDS groups of places are the band keys; members of a band
-are linked to heads of the band, never to each other. A candidate link stays if the weighted Jaccard
+their weighted Jaccard similarity. BANDS groups of places are the band keys; all members of a band
+are compared with each other, a large band block by block. A candidate link stays if the weighted Jaccard
 similarity of the two whole texts is at least the threshold. Classes are
 the connected components of the links.
 """
@@ -29,8 +29,8 @@ K = BANDS * PLACES
 DF_SLOTS = 1 << 16
 #: Candidates agree in so many of K places; at a similarity of 0.8 fewer has a chance under 1 in 10,000.
 MIN_AGREE = 9
-#: Members without a link to a head of their band get a new head so often.
-ROUNDS = 2
+#: Bands of up to FEW members are compared many at a time, larger ones in blocks of about BLOCK members.
+FEW, BLOCK = 32, 256
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +133,84 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "label")
 
 
+def _blocks(bands: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cell, k, band, block, lo, hi, node, sketch): each pair of a band's members meets in one cell of it.
+
+    Bands of up to FEW members share cells. A larger one is cut into blocks of about BLOCK members,
+    and each pair of blocks (lo, hi) is a cell.
+    """
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    many = settled(bands.join(sizes, "band"), "bands")
+    cells = 1 + many.filter(F.col("m") <= FEW).count() // (2 * BLOCK)
+    few = many.filter(F.col("m") <= FEW).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("band"), F.lit(cells))).alias("cell"), "k", "band", *[F.lit(0).cast("long").alias(x) for x in ("block", "lo", "hi")], "node")
+    cut = F.ceil(F.col("m") / BLOCK)
+    large = (
+        many.filter(F.col("m") > FEW)
+        .select("k", "band", F.pmod(F.xxhash64("node"), cut).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("other"), "node")
+        .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    )
+    large = large.select(F.concat_ws(":", "band", "lo", "hi").alias("cell"), "k", "band", "block", "lo", "hi", "node")
+    return few.unionByName(large).join(nodes.select("node", "sketch"), "node")
+
+
+def _candidates(cell: pa.Table) -> pa.Table:
+    """The pairs of a cell whose sketches agree in MIN_AGREE places; a pair of several bands counts in the first of them."""
+    name = cell.column("node").to_numpy(zero_copy_only=False)
+    sk = np.stack(cell.column("sketch").to_numpy(zero_copy_only=False))
+    k, band, block, lo, hi = (cell.column(x).to_numpy() for x in ("k", "band", "block", "lo", "hi"))
+    by = np.lexsort((block, band))
+    cuts = np.flatnonzero(np.diff(band[by])) + 1
+    left, right = [], []
+    for own in np.split(by, cuts):
+        h = own[0]
+        across = lo[h] != hi[h]
+        x, y = (own[block[own] == lo[h]], own[block[own] == hi[h]]) if across else (own, own)
+        if not len(x) or not len(y):
+            continue
+        same = sk[x][:, None, :] == sk[y][None, :, :]
+        bands = same.reshape(len(x), len(y), BANDS, PLACES).all(3)
+        ok = (same.sum(2) >= MIN_AGREE) & (bands.argmax(2) == k[h])
+        i, j = np.nonzero(ok if across else np.triu(ok, 1))
+        left.append(x[i])
+        right.append(y[j])
+    left, right = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+    used, at = np.unique(name[np.concatenate([left, right])], return_inverse=True) if len(left) else ([], left)
+    rows = 1 if len(left) else 0
+    return pa.table({
+        "cell": pa.array([cell.column("cell")[0].as_py()] * rows, pa.string()),
+        "members": pa.array([list(used)] * rows, pa.list_(pa.string())),
+        "pairs": pa.array([at.astype("<i4").tobytes()] * rows, pa.binary()),
+    })
+
+
+def _against(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """similarity of one bag to each of the others."""
+    g, w = np.concatenate([x[0] for x in others]), np.concatenate([x[1] for x in others])
+    at = np.minimum(np.searchsorted(one[0], g), len(one[0]) - 1)
+    part = np.where(one[0][at] == g, np.minimum(one[1][at], w), 0)
+    heads = np.cumsum([0, *[len(x[0]) for x in others[:-1]]])
+    low = np.add.reduceat(part, heads)
+    return low / (one[1].sum() + np.add.reduceat(w, heads) - low)
+
+
+def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the same of n members as all the links do, at most n - 1."""
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kept = []
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        x, y = root(a), root(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: (id, tk, class_id, class_size, n_links).
 
@@ -164,64 +242,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 lists = [s[back[x]].tolist() if first[x] == k else None for k, x in enumerate(node)]
                 yield pa.RecordBatch.from_arrays([c.column("id"), c.column("tk"), c.column("node"), pa.array(lists, pa.list_(pa.int64()))], ["id", "tk", "node", "sketch"])
 
+    def verified(found: pa.Table, texts: pa.Table) -> pa.Table:
+        name = found.column("members")[0].as_py()
+        place = {x: k for k, x in enumerate(name)}
+        bags: list = [None] * len(name)
+        for k in range(texts.num_rows):
+            g, _, times = _distinct(*shingles(texts.column("text").slice(k, 1).combine_chunks()))
+            bags[place[texts.column("node")[k].as_py()]] = g, weigh(g, times)
+        pairs = np.frombuffer(found.column("pairs")[0].as_py(), "<i4").reshape(2, -1)
+        left, right = pairs.min(0), pairs.max(0)
+        by = np.argsort(left, kind="stable")
+        left, right = left[by], right[by]
+        ok = np.zeros(len(left), bool)
+        cuts = np.append(np.flatnonzero(np.diff(left, prepend=-1)), len(left))
+        for s, t in zip(cuts[:-1], cuts[1:], strict=True):
+            for a in range(s, t, 64):
+                b = min(t, a + 64)
+                ok[a:b] = _against(bags[left[s]], [bags[x] for x in right[a:b]]) >= threshold
+        left, right = left[ok], right[ok]
+        degree = np.bincount(np.concatenate([left, right]), minlength=len(name))
+        on = np.flatnonzero(degree).tolist()
+        forest = _forest(len(name), left, right)
+        return pa.table({
+            "a": pa.array([name[x] for x in on] + [name[x] for x, _ in forest], pa.string()),
+            "b": pa.array([None] * len(on) + [name[y] for _, y in forest], pa.string()),
+            "n": pa.array(degree[on].tolist() + [None] * len(forest), pa.int64()),
+        })
+
     members = settled(rows.mapInArrow(sketched, "id long, tk long, node string, sketch array<bigint>"), "sketches")
-    nodes = settled(members.filter("sketch is not null").groupBy("node").agg(F.min("id").alias("low"), F.first("sketch").alias("sketch")), "nodes")
-    bands = settled(
-        nodes.filter(F.exists("sketch", lambda x: x != 0)).select(
-            "node", F.explode(F.array(*[F.xxhash64(F.lit(i), *[F.element_at("sketch", i * PLACES + j + 1) for j in range(PLACES)]) for i in range(BANDS)])).alias("band")
-        ),
-        "bands",
-    )
-    links = None
-    texts = rows.groupBy("node").agg(F.min("text").alias("text"))
-    for _ in range(ROUNDS):
-        heads = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-        starred = bands.join(heads, "band")
-        pairs = (
-            starred.select("node", F.explode(F.array("low", "high")).alias("head"))
-            .filter("node != head")
-            .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-            .distinct()
-        )
-        if links is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
-        left, right = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-        agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        near = settled(pairs.join(left, "a").join(right, "b").filter(agree >= MIN_AGREE).select("a", "b"), "candidates")
-        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        held = texts.join(wanted, "node", "left_semi")
-        full = near.join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-
-        def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                ok = []
-                for k in range(batch.num_rows):
-                    two = []
-                    for node, text in (("a", "ta"), ("b", "tb")):
-                        name = batch.column(node)[k].as_py()
-                        if name not in last:
-                            g, _, times = _distinct(*shingles(batch.column(text).slice(k, 1)))
-                            if len(last) > 64:
-                                last.clear()
-                            last[name] = g, weigh(g, times)
-                        two.append(last[name])
-                    ok.append(similarity(*two) >= threshold)
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        found = full.mapInArrow(verified, "a string, b string")
-        links = settled(found if links is None else links.unionByName(found), "links")
-        # who has no link to a head of the band stays for the next round, the heads have met all
-        tied = links.select(F.col("a").alias("node"), F.col("b").alias("head")).union(links.select("b", "a"))
-        rest = (
-            starred.filter("node != low and node != high")
-            .join(tied.withColumnRenamed("head", "low"), ["node", "low"], "left_anti")
-            .join(tied.withColumnRenamed("head", "high"), ["node", "high"], "left_anti")
-            .select("node", "band")
-        )
-        bands = settled(rest, "bands")
-    labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    nodes = settled(members.filter("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch")), "nodes")
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.element_at("sketch", i * PLACES + j + 1) for j in range(PLACES)]) for i in range(BANDS)])
+    bands = nodes.filter(F.exists("sketch", lambda x: x != 0)).select("node", F.posexplode(keys).alias("k", "band"))
+    found = settled(_blocks(bands, nodes).groupBy("cell").applyInArrow(_candidates, "cell string, members array<string>, pairs binary"), "candidates")
+    wanted = settled(found.select("cell", F.explode("members").alias("node")), "wanted")
+    texts = rows.select("node", "text").join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    held = wanted.join(texts, "node")
+    # degrees of the members (b null) and links that join the same members as all links of a cell
+    judged = settled(found.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(verified, "a string, b string, n long"), "links")
+    labels = components(judged.filter("b is not null").select("a", "b"))
+    degree = judged.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     of_node = (
         members.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).join(labels, "node", "left").join(degree, "node", "left")
     ).select("node", "low", "n", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -122,6 +122,34 @@ def test_near_recall(spark):
     assert pairs and sum(found[a] == found[b] for a, b in pairs) >= 0.99 * len(pairs)
 
 
+def test_near_links(spark, monkeypatch):
+    """Chains of copies, each a little further on, and all links of a band: in one block and in several."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    chains = []
+    for c in range(3):
+        words = [f"c{c}w{k}" for k in r.permutation(900)]
+        chains += [(100 * c + k, " ".join(words[8 * k : 8 * k + 300])) for k in range(20)]
+    table = spark.createDataFrame(chains, "doc_id long, text string")
+    bags = [near._distinct(*near.shingles(pa.array([t]))) for _, t in chains]
+    idf = near.inverse_frequencies(near.keyed_texts(table))
+    bags = [(g, n * idf[near._slot(g)]) for g, _, n in bags]
+    degree = Counter()
+    for k, x in enumerate(bags):
+        for j in range(k):
+            if near.similarity(x, bags[j]) >= 0.8:
+                degree.update([chains[k][0], chains[j][0]])
+    assert sum(degree.values()) > 300
+    for few, block in ((32, 256), (2, 4)):
+        monkeypatch.setattr(near, "FEW", few, raising=False)
+        monkeypatch.setattr(near, "BLOCK", block, raising=False)
+        got = {r["id"]: r for r in near.near_duplicates(table).collect()}
+        assert all(r["class_id"] == i // 100 * 100 and r["class_size"] == 20 for i, r in got.items())
+        links = sum(r["n_links"] for r in got.values())
+        assert all(r["n_links"] <= degree[i] for i, r in got.items()) and links >= 0.99 * sum(degree.values())
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=300), st.integers(1, 64))
 def test_blocks_round_trip(ids, block):
