@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.arrow import LOWER_AZ, NOT_SPACE, chunks, hash_spans, keyed_texts, mix64, ngram_hash, real_id, text_buffer, word_spans
+from depscope.llm.arrow import LOWER_AZ, NOT_SPACE, chunks, hash_spans, keyed_texts, mix64, ngram_hash, planes, real_id, text_buffer, unplanes, word_spans
 from depscope.llm.exact import normalise
 from depscope.llm.store import settled
 
@@ -25,8 +25,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, PLACES = 10, 2
 K = BANDS * PLACES
-#: Document counts are kept by slot of the shingle's hash: a table of fixed size over all documents.
-DF_SLOTS = 1 << 16
+#: Bytes of text whose shingles are counted and weighed together, and of all text for each range of shingles.
+CHUNK, BUCKET = 4 << 20, 8 << 20
 #: Candidates agree in so many of K places; at a similarity of 0.8 fewer has a chance under 1 in 10,000.
 MIN_AGREE = 9
 #: Bands of up to FEW members are compared many at a time, larger ones in blocks of about BLOCK members.
@@ -59,29 +59,114 @@ def _distinct(g: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
-    return (g >> np.uint64(11)).astype(np.int64) % DF_SLOTS
+    """What counts as one shingle in document frequencies: the shingle itself."""
+    return g
 
 
-def inverse_frequencies(rows: DataFrame) -> np.ndarray:
-    """1 + log((1 + N) / (1 + n)) for each slot, n documents having a shingle of the slot; over all rows."""
+def _inverse(n: int, df: np.ndarray) -> np.ndarray:
+    return 1 + np.log((1 + n) / (1 + df))
+
+
+class Frequencies:
+    """Document counts of shingles, those of one document left out; [g] gives inverse frequencies."""
+
+    def __init__(self, n: int, g: np.ndarray, df: np.ndarray):
+        self.n, self.g, self.df = n, g, df
+
+    def count(self, g: np.ndarray) -> np.ndarray:
+        if not len(self.g):
+            return np.ones(len(g), np.int64)
+        at = np.minimum(np.searchsorted(self.g, g), len(self.g) - 1)
+        return np.where(self.g[at] == g, self.df[at], 1)
+
+    def __getitem__(self, g: np.ndarray) -> np.ndarray:
+        return _inverse(self.n, self.count(g))
+
+
+def _pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All (shingle, count) of rows that keep them as bytes."""
+    return tuple(np.frombuffer(b"".join(t.column(x).to_pylist()), y) for x, y in (("g", "<u8"), ("n", "<i8")))
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """rows (id, tk, node, text) with the chunk, of about CHUNK bytes of text, that each belongs to; settled, so that it stays the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DF_SLOTS, np.int64), 0
-        for b in batches:
-            for c in chunks(b):
-                g, of = shingles(c.column("text"))
-                pair = np.unique(of * DF_SLOTS + _slot(g))
-                total += np.bincount(pair % DF_SLOTS, minlength=DF_SLOTS)
-                n += c.num_rows
-        on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(on, -1)), pa.array(np.append(total[on], n))], ["slot", "n"])
-
-    got = rows.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # DF_SLOTS + 1 rows
-    counts = dict(zip(got["slot"].tolist(), got["n"].tolist(), strict=True))
-    n = counts.pop(-1, 0)
-    df = np.zeros(DF_SLOTS)
-    df[list(counts)] = list(counts.values())
-    return 1 + np.log((1 + n) / (1 + df))
+        from pyspark import TaskContext
+
+        chunk, room = TaskContext.get().partitionId() << 32, CHUNK
+        for batch in batches:
+            for c in chunks(batch, limit=CHUNK // 4):
+                size = c.column("text").nbytes
+                if size > room:
+                    chunk, room = chunk + 1, CHUNK
+                room -= size
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * c.num_rows, pa.int64()), pa.array([size // c.num_rows] * c.num_rows, pa.int64()), *c.columns], ["chunk", "size", *c.schema.names])
+
+    return settled(rows.select("id", "tk", "node", "text").mapInArrow(run, "chunk long, size long, id long, tk long, node string, text string"), "chunks")
+
+
+def chunk_frequencies(stored: DataFrame, total: int) -> DataFrame:
+    """(chunk, g, n) as bytes: the shingles of a chunk that more than one document has, and how many have them; over all documents.
+
+    Shingles are counted inside a chunk first. Ranges of shingles, as many as
+    the bytes of text ask for, are the groups: a shingle of all documents weighs a row a chunk.
+    """
+    buckets = np.uint64(1 + total // BUCKET)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_chunk = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of_chunk)) + 1).tolist(), len(of_chunk)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                node = batch.column("node").slice(start, end - start).to_numpy(zero_copy_only=False)
+                _, only, copies = np.unique(node, return_index=True, return_counts=True)
+                g, of, _ = _distinct(*shingles(batch.column("text").slice(start, end - start).take(pa.array(only))))
+                if not len(g):
+                    continue
+                by = np.argsort(g)
+                g, of = g[by], of[by]
+                head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                n, g = np.add.reduceat(copies[of], head).astype("<i8"), g[head]
+                p = ((g >> np.uint64(32)) * buckets >> np.uint64(32)).astype(np.int64)
+                at = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
+                spans = list(zip(at[:-1], at[1:], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(p[a]) for a, _ in spans]), pa.array([int(of_chunk[start])] * len(spans)), pa.array([g[a:b].tobytes() for a, b in spans]), pa.array([n[a:b].tobytes() for a, b in spans])],
+                    ["p", "chunk", "g", "n"],
+                )
+
+    def summed(t: pa.Table) -> pa.Table:
+        g, n = _pairs(t)
+        by = np.argsort(g, kind="stable")
+        head = np.flatnonzero(np.append(True, g[by][1:] != g[by][:-1]))
+        df = np.empty(len(g), "<i8")
+        df[by] = np.repeat(np.add.reduceat(n[by], head), np.diff(np.append(head, len(g))))
+        ends = np.cumsum([len(x) // 8 for x in t.column("g").to_pylist()]).tolist()
+        out: list = [[], [], []]
+        for chunk, a, b in zip(t.column("chunk").to_pylist(), [0, *ends[:-1]], ends, strict=True):
+            on = df[a:b] > 1
+            if on.any():
+                for column, x in zip(out, (chunk, g[a:b][on].tobytes(), df[a:b][on].tobytes()), strict=True):
+                    column.append(x)
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["chunk", "g", "n"])
+
+    return stored.select("chunk", "node", "text").mapInArrow(counted, "p long, chunk long, g binary, n binary").groupBy("p").applyInArrow(summed, "chunk long, g binary, n binary")
+
+
+def _of(n: int, t: pa.Table) -> Frequencies:
+    g, df = _pairs(t)
+    g, first = np.unique(g, return_index=True)
+    return Frequencies(n, g, df[first])
+
+
+def inverse_frequencies(rows: DataFrame) -> Frequencies:
+    """1 + log((1 + N) / (1 + n)) for each shingle, n of N documents having it; all on the driver, for small tables."""
+    stored = chunked(rows.withColumn("node", F.md5(F.col("text"))))
+    got = chunk_frequencies(stored, 0).toArrow()
+    return _of(stored.count(), got)
 
 
 def sketch(g: np.ndarray, of: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
@@ -219,28 +304,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lower case) are of one class, those without words too; null texts count as empty.
     Rows with null ids take part as the smallest id. Tables without rows give none.
     """
-    spark = docs.sparkSession
     same = F.md5(F.trim(F.regexp_replace(normalise(F.col("text")), r"[\x20\x09-\x0D]+", " ")).cast("binary"))
     rows = keyed_texts(docs, id_col, text_col).withColumn("node", same)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(rows))  # DF_SLOTS numbers
-
-    def weigh(g: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return times * idf.value[_slot(g)]
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    stored = chunked(rows)
+    sizes = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    n_docs = sizes["n"]
+
+    def sketched(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        frequencies = _of(n_docs, counts)
+        done: set[str] = set()
+        out = []
+        for batch in texts.combine_chunks().to_batches():
             for c in chunks(batch):
                 node = c.column("node").to_pylist()
-                first: dict[str, int] = {}
+                # of rows with one text only the first of a chunk carries the sketch
+                only = []
                 for k, x in enumerate(node):
-                    first.setdefault(x, k)
-                only = list(first.values())
+                    if x not in done:
+                        done.add(x)
+                        only.append(k)
                 g, of, times = _distinct(*shingles(c.column("text").take(pa.array(only, pa.int64()))))
-                s = sketch(g, of, weigh(g, times), len(only)).view(np.int64)
-                back = {x: k for k, x in enumerate(first)}
-                # of rows with one text only the first of a chunk carries the sketch
-                lists = [s[back[x]].tolist() if first[x] == k else None for k, x in enumerate(node)]
-                yield pa.RecordBatch.from_arrays([c.column("id"), c.column("tk"), c.column("node"), pa.array(lists, pa.list_(pa.int64()))], ["id", "tk", "node", "sketch"])
+                df = frequencies.count(g)
+                s = sketch(g, of, times * _inverse(n_docs, df), len(only)).view(np.int64)
+                ends = np.searchsorted(of, np.arange(len(only) + 1))
+                lists, counted = [None] * len(node), [None] * len(node)
+                for k, x in enumerate(only):
+                    lists[x], counted[x] = s[k].tolist(), planes(df[ends[k] : ends[k + 1]].astype("<i8"))
+                out.append(pa.RecordBatch.from_arrays([c.column("id"), c.column("tk"), c.column("node"), pa.array(lists, pa.list_(pa.int64())), pa.array(counted, pa.binary())], ["id", "tk", "node", "sketch", "df"]))
+        return pa.Table.from_batches(out)
 
     def verified(found: pa.Table, texts: pa.Table) -> pa.Table:
         name = found.column("members")[0].as_py()
@@ -248,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bags: list = [None] * len(name)
         for k in range(texts.num_rows):
             g, _, times = _distinct(*shingles(texts.column("text").slice(k, 1).combine_chunks()))
-            bags[place[texts.column("node")[k].as_py()]] = g, weigh(g, times)
+            bags[place[texts.column("node")[k].as_py()]] = g, times * _inverse(n_docs, unplanes(texts.column("df")[k].as_py(), np.int64))
         pairs = np.frombuffer(found.column("pairs")[0].as_py(), "<i4").reshape(2, -1)
         left, right = pairs.min(0), pairs.max(0)
         by = np.argsort(left, kind="stable")
@@ -269,14 +360,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "n": pa.array(degree[on].tolist() + [None] * len(forest), pa.int64()),
         })
 
-    members = settled(rows.mapInArrow(sketched, "id long, tk long, node string, sketch array<bigint>"), "sketches")
-    nodes = settled(members.filter("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch")), "nodes")
+    shared = chunk_frequencies(stored, sizes["size"])
+    texts_of = stored.select("chunk", "id", "tk", "node", "text").groupBy("chunk")
+    members = settled(texts_of.cogroup(shared.groupBy("chunk")).applyInArrow(sketched, "id long, tk long, node string, sketch array<bigint>, df binary"), "sketches")
+    nodes = settled(members.filter("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("df").alias("df")), "nodes")
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.element_at("sketch", i * PLACES + j + 1) for j in range(PLACES)]) for i in range(BANDS)])
     bands = nodes.filter(F.exists("sketch", lambda x: x != 0)).select("node", F.posexplode(keys).alias("k", "band"))
     found = settled(_blocks(bands, nodes).groupBy("cell").applyInArrow(_candidates, "cell string, members array<string>, pairs binary"), "candidates")
     wanted = settled(found.select("cell", F.explode("members").alias("node")), "wanted")
-    texts = rows.select("node", "text").join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    held = wanted.join(texts, "node")
+    texts = stored.select("node", "text").join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    held = wanted.join(texts.join(nodes.select("node", "df"), "node"), "node")
     # degrees of the members (b null) and links that join the same members as all links of a cell
     judged = settled(found.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(verified, "a string, b string, n long"), "links")
     labels = components(judged.filter("b is not null").select("a", "b"))

@@ -150,6 +150,24 @@ def test_near_links(spark, monkeypatch):
         assert all(r["n_links"] <= degree[i] for i, r in got.items()) and links >= 0.99 * sum(degree.values())
 
 
+def test_near_frequencies(spark):
+    """Passages of half the documents weigh less than rare text, however many distinct shingles there are."""
+    r = np.random.default_rng(6)
+    passage = " ".join(f"p{k}" for k in range(200))
+    long = [" ".join(map(str, r.integers(0, 1 << 40, 60000))) for _ in range(20)]
+    tails = [" ".join(f"t{d}w{k}" for k in range(12)) for d in range(20)]
+    texts = [*long, *[f"{passage} {t}" for t in tails]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = Counter()
+    for t in texts[20:]:
+        w = t.split()
+        df.update({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    weight = {g: 1 + np.log((1 + 40) / (1 + n)) for g, n in df.items()}
+    x, y = ({tuple(t.split()[k : k + 5]) for k in range(208)} for t in texts[20:22])
+    assert sum(weight[g] for g in x & y) / sum(weight[g] for g in x | y) < 0.79
+    assert all(r["class_size"] == 1 for r in near.near_duplicates(table).collect())
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=300), st.integers(1, 64))
 def test_blocks_round_trip(ids, block):
