@@ -4,7 +4,8 @@ Both vocabularies first cut a text into pieces (letters, digits, signs, white
 space) and then merge inside each piece only, so the ids of a text are the ids
 of its pieces, one after the other. A text of SAFE characters is cut here by
 the same rule and the pieces' ids, which come from the tokenizer, are kept for
-as many distinct pieces as MAX_CACHE. Any other text goes to the tokenizer whole.
+as many distinct pieces as MAX_CACHE. Any other text, and one with the string of
+an added token (<|endoftext|>), goes to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -31,11 +32,15 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lower = self.tokenizer.normalizer is not None
         self.cut = (LOWER_WORDS if self.lower else BYTE_LEVEL).findall
         self.known: dict[str, bytes] = {}
 
+    def _by_pieces(self, text: str) -> bool:
+        low = text.lower() if self.lower else text
+        return SAFE.fullmatch(text) is not None and not any(a in text or a in low for a in self.added)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -62,7 +67,7 @@ class CachedTokenizer:
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         texts = list(texts)
-        cut = [self.cut(t.lower() if self.lower else t) if t and SAFE.fullmatch(t) else None for t in texts]
+        cut = [self.cut(t.lower() if self.lower else t) if t and self._by_pieces(t) else None for t in texts]
         new = set().union(*filter(None, cut)).difference(self.known)
         if len(self.known) + len(new) > MAX_CACHE:
             self.known.clear()

@@ -200,6 +200,20 @@ def test_ids(docs, empty):
     assert rangecode.id_columns(empty, file).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens(name):
+    """Texts with the strings of added tokens get the ids of the plain library call."""
+    from tokenizers import Tokenizer
+
+    from depscope.llm.tok import CachedTokenizer
+
+    file = tokenizer_file(name)
+    texts = ["a <|endoftext|> b", "<|startoftext|>a<|endoftext|>", "A <|ENDOFTEXT|> b", "<|endoftext|", "plain text", "é漢<|endoftext|>"]
+    plain = Tokenizer.from_file(file)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in CachedTokenizer(file).encode(texts)] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=60))
 def test_bins(lengths):
