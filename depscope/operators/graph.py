@@ -31,16 +31,25 @@ def extract_calls(files: DataFrame) -> DataFrame:
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """Relative import paths of each file in order."""
-    found = F.regexp_extract_all("content", F.lit(r"from '([^'\n]+)'"), F.lit(1))
+    found = F.regexp_extract_all("content", F.lit(r"""\b(?:from|import)\s*(['"])([^'"\n]+)\1"""), F.lit(2))
     return files.select("repo", F.col("path").alias("importer_file"), F.posexplode(found).alias("pos", "import_path")).filter(
         F.col("import_path").startswith(".") | F.col("import_path").contains("/")
     )
 
 
+def fold_path(path: Column) -> Column:
+    """path without . segments and with each .. taken off its parent folder; a .. above the top stays."""
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.get(done, F.size(done) - 1), F.lit("..")) != "..")
+        return F.when(part == ".", done).when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Import rows with the file they name (as given, .ts, .tsx, first that exists), null where none does."""
-    folder = F.regexp_replace("importer_file", r"[^/]+$", "")
-    tries = F.array(*[F.struct(F.lit(k).alias("rank"), F.concat(folder, F.regexp_replace("import_path", r"^\./", ""), F.lit(s)).alias("path")) for k, s in enumerate(("", ".ts", ".tsx"))])
+    named = fold_path(F.concat(F.regexp_replace("importer_file", r"[^/]+$", ""), "import_path"))
+    tries = F.array(*[F.struct(F.lit(k).alias("rank"), F.concat(named, F.lit(s)).alias("path")) for k, s in enumerate(("", ".ts", ".tsx"))])
     keys = ["repo", "importer_file", "pos", "import_path"]
     tried = imports.select(*keys, F.explode(tries).alias("t")).select(*keys, "t.rank", "t.path")
     hit = tried.join(files.select("repo", "path"), ["repo", "path"]).groupBy(*keys).agg(F.min_by("path", "rank").alias("imported_file"))

@@ -50,3 +50,12 @@ def test_cost_of_a_run(spark):
     rows = [("claude-haiku-4.5", 5000, 1500), ("claude-haiku-4.5", 6000, 1800), ("kr/claude-sonnet-4.6", 15000, 3000)]
     df = spark.createDataFrame(rows, "model string, p long, c long")
     assert [round(r[0], 6) for r in df.select(estimate_cost(F.col("model"), F.col("p"), F.col("c"))).collect()] == [0.003125, 0.00375, 0.09]
+
+
+def test_imports_of_either_quote_and_folder(spark):
+    from depscope.operators.graph import extract_imports, resolve_imports
+
+    text = "import { a } from '../lib/a'\nimport \"./side\"\nimport b from \"./x/../b\"\nimport '../../../out'\n"
+    files = spark.createDataFrame([("r", "src/app/m.ts", text), ("r", "src/lib/a.ts", ""), ("r", "src/app/side.tsx", ""), ("r", "src/app/b.ts", "")], "repo string, path string, content string")
+    found = {r["pos"]: (r["import_path"], r["imported_file"]) for r in resolve_imports(extract_imports(files), files).collect()}
+    assert found == {0: ("../lib/a", "src/lib/a.ts"), 1: ("./side", "src/app/side.tsx"), 2: ("./x/../b", "src/app/b.ts"), 3: ("../../../out", None)}
