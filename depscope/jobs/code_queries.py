@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depscope.jobs import registry as base
 from depscope.operators import activity, graph, measures, symbols
+from depscope.sources import trees
 from depscope.sources.derived import duck, source
 
 
@@ -19,7 +20,7 @@ def _total(s: SparkSession, d: str) -> DataFrame:
 
 
 def _called(s: SparkSession, d: str) -> DataFrame:
-    return source(s, d, "fx_calls").select("repo", F.col("called_name").alias("name"))
+    return source(s, d, "fx_tree_calls").select("repo", F.col("called_name").alias("name"))
 
 
 def _modules(s: SparkSession, d: str, lang: str) -> DataFrame:
@@ -43,14 +44,23 @@ def _by_half(s: SparkSession, d: str) -> DataFrame:
     half = lambda c: F.when(F.regexp_extract(c, r"^pkg([0-9]+)/", 1).cast("long") % 2 == 0, "even").otherwise("odd")
     return measures.graph_summary(
         source(s, d, "fx_files").withColumn("repo", half("path")),
-        source(s, d, "fx_symbols").withColumn("repo", half("file")),
-        source(s, d, "fx_calls").withColumn("repo", half("caller_file")),
-        base._import_edges(s, d).withColumn("repo", half("src")),
+        source(s, d, "fx_tree_symbols").withColumn("repo", half("file")),
+        source(s, d, "fx_tree_calls").withColumn("repo", half("caller_file")),
+        _call_edges(s, d).withColumn("repo", half("caller_file")),
     )
 
 
+def _call_edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.call_file_edges(source(s, d, "fx_tree_calls"), source(s, d, "fx_tree_symbols"))
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    """Files whose context is asked for: those of a fiftieth of the parts."""
+    return source(s, d, "fx_tree_symbols").filter("pos % 50 = 7").select("repo", "file").distinct()
+
+
 def _summary(s: SparkSession, d: str) -> DataFrame:
-    return measures.graph_summary(source(s, d, "fx_files"), source(s, d, "fx_symbols"), source(s, d, "fx_calls"), base._import_edges(s, d))
+    return measures.graph_summary(source(s, d, "fx_files"), source(s, d, "fx_tree_symbols"), source(s, d, "fx_tree_calls"), _call_edges(s, d))
 
 
 def _timings(s: SparkSession, d: str) -> DataFrame:
@@ -62,26 +72,43 @@ def _diff(s: SparkSession, d: str) -> DataFrame:
 
 
 def _file_status(s: SparkSession, d: str) -> DataFrame:
-    old, new = (source(s, d, v).groupBy("file").agg(F.count(F.lit(1)).alias(n)) for v, n in (("fx_old", "o"), ("fx_new", "n")))
-    status = F.when(F.col("o").isNull(), "new").when(F.col("n").isNull(), "deleted").otherwise("kept")
-    return old.join(new, "file", "full_outer").select("file", status.alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("names_now"), F.coalesce("o", F.lit(0)).cast("long").alias("names_before"))
-
-
-def _callers(s: SparkSession, d: str) -> DataFrame:
-    changed = _diff(s, d).select("file", F.regexp_replace("name", "^s", "fn").alias("called_name"))
-    return source(s, d, "fx_calls").join(changed.withColumnRenamed("file", "change_id"), "called_name").groupBy("change_id", F.col("caller_file").alias("file")).agg(F.countDistinct("called_name").alias("hits"))
+    """Files that came or went, with each of their names."""
+    old, new = (source(s, d, v).select("repo", "file").distinct().withColumn(n, F.lit(1)) for v, n in (("fx_old", "o"), ("fx_new", "n")))
+    status = F.when(F.col("o").isNull(), "new").when(F.col("n").isNull(), "deleted")
+    files = old.join(new, ["repo", "file"], "full_outer").select("repo", "file", status.alias("status")).filter("status is not null")
+    return _diff(s, d).join(files, ["repo", "file"]).select("file", "status", "name", "change")
+
+
+def _versions(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Symbols and calls of two versions of the tree; the later one lacks some files, and others call and define other names."""
+    symbols, calls = source(s, d, "fx_tree_symbols"), source(s, d, "fx_tree_calls")
+    old = {"symbols": symbols, "calls": calls}
+    moved = F.when(F.col("pos") % 9 == 2, F.concat(F.col("name"), F.lit("x"))).otherwise(F.col("name"))
+    gone = symbols.filter("pos % 11 = 5").select("repo", "file").distinct()
+    new = {
+        "symbols": symbols.withColumn("name", moved).join(gone, ["repo", "file"], "left_anti"),
+        "calls": calls.join(gone.withColumnRenamed("file", "caller_file"), ["repo", "caller_file"], "left_anti").filter("not (called_name like 'fn%7')"),
+    }
+    return old, new
 
 
-def _top_caller(s: SparkSession, d: str) -> DataFrame:
-    best = F.min(F.struct((-F.col("hits")).alias("h"), F.col("file"))).alias("b")
-    return _callers(s, d).groupBy("change_id").agg(best).select("change_id", F.col("b.file").alias("file"), (-F.col("b.h")).alias("hits"))
+def _incremental(s: SparkSession, d: str) -> DataFrame:
+    """Call edges after an update of the files that differ: their symbols and calls replaced, edges resolved anew."""
+    old, new = _versions(s, d)
+    keys = {"symbols": ["repo", "file", "name", "kind", "pos"], "calls": ["repo", "caller_file", "called_name"]}
+    touched = None
+    for name, cols in keys.items():
+        a, b = old[name].select(*cols), new[name].select(*cols)
+        for df in (a.exceptAll(b), b.exceptAll(a)):
+            files = df.select("repo", F.col(cols[1]).alias("file"))
+            touched = files if touched is None else touched.unionByName(files)
+    symbols = activity.replace_files(old["symbols"], new["symbols"], touched)
+    calls = activity.replace_files(old["calls"], new["calls"], touched, "caller_file")
+    return graph.call_file_edges(calls, symbols)
 
 
-def _incremental(s: SparkSession, d: str) -> DataFrame:
-    """Symbols after an update: those of changed files replaced, of deleted ones removed."""
-    old, new = source(s, d, "fx_old"), source(s, d, "fx_new")
-    touched = _diff(s, d).select("file").distinct()
-    return old.join(touched, "file", "left_anti").unionByName(new.join(touched, "file", "left_semi"))
+def _scanned(s: SparkSession, d: str) -> DataFrame:
+    return trees.scan_source_files(s, source(s, d, "fx_tree_files"))
 
 
 QUERIES = {
@@ -94,42 +121,38 @@ QUERIES = {
     "resolve_imports_go": _resolved(symbols.resolve_imports_go, "go"),
     "resolve_imports_rust": _resolved(symbols.resolve_imports_rust, "rust"),
     "type_hierarchy": lambda s, d: symbols.type_edges(source(s, d, "fx_classes")),
+    "type_members": lambda s, d: symbols.type_members(source(s, d, "fx_members")),
     "type_lineage": lambda s, d: symbols.type_lineage(symbols.type_edges(source(s, d, "fx_classes"))),
     "dependency_edges": base._edges,
-    "all_cones": lambda s, d: measures.all_cones(base._import_edges(s, d)),
-    "symbol_cone": lambda s, d: measures.symbol_cones(_called(s, d), source(s, d, "fx_symbols"), base._import_edges(s, d)),
-    "file_context": lambda s, d: measures.file_context(source(s, d, "fx_symbols"), base._import_edges(s, d)),
-    "cone_context": lambda s, d: measures.cone_context(measures.all_cones(base._import_edges(s, d)), source(s, d, "fx_files")),
-    "connected_symbols_sample": lambda s, d: measures.connected_symbols(source(s, d, "fx_symbols"), base._import_edges(s, d)),
+    "all_cones": lambda s, d: measures.all_cones(base._edges(s, d)),
+    "symbol_cone": lambda s, d: measures.symbol_cones(_called(s, d), source(s, d, "fx_tree_symbols"), base._edges(s, d)),
+    "file_context": lambda s, d: measures.file_context(source(s, d, "fx_tree_symbols"), base._edges(s, d)),
+    "cone_context": lambda s, d: measures.cone_context(measures.all_cones(base._edges(s, d), _asked(s, d)), source(s, d, "fx_files")),
+    "connected_symbols_sample": lambda s, d: measures.connected_symbols(source(s, d, "fx_tree_symbols"), base._edges(s, d)),
     "cone_reduction": lambda s, d: measures.cone_reduction(_measured(s, d)),
     "session_stats": lambda s, d: measures.session_stats(_measured(s, d), _total(s, d)),
-    "handoff_savings": lambda s, d: measures.handoff_savings(base._import_edges(s, d), _measured(s, d), _total(s, d)),
+    "handoff_savings": lambda s, d: measures.handoff_savings(base._edges(s, d), graph.cone_sizes(source(s, d, "fx_files"), base._edges(s, d))),
     "token_savings_check": lambda s, d: measures.token_savings_check(_measured(s, d)),
     "graph_summary": _summary,
     "compare_corpora": lambda s, d: measures.compare_corpora(_by_half(s, d), "even", "odd"),
     "build_time_check": lambda s, d: measures.build_time_check(_timings(s, d)),
-    "parse_success": lambda s, d: measures.parse_success(source(s, d, "fx_files")),
+    "parse_success": lambda s, d: measures.parse_success(_scanned(s, d)),
+    "scan_source_files": lambda s, d: _scanned(s, d).select("repo", "path", "lang", "n_bytes", "parse_ok", F.md5(F.col("content").cast("binary")).alias("content_md5")),
     "list_symbols": lambda s, d: measures.list_symbols(source(s, d, "fx_symbols"), kind="method", query="t1"),
     "suggest_symbols": lambda s, d: measures.suggest_symbols(source(s, d, "fx_symbols"), "N1"),
     "changed_source_files": lambda s, d: measures.changed_source_files(source(s, d, "fx_changes"), "app/"),
     "strip_code_fences": lambda s, d: source(s, d, "documents").select("doc_id", F.md5(measures.strip_code_fences(F.col("text")).cast("binary")).alias("text_md5")),
     "assemble_stream_replies": lambda s, d: measures.assemble_replies(source(s, d, "fx_replies")),
     "file_add_remove_diff": _file_status,
-    "top_caller": _top_caller,
     "incremental_update": _incremental,
 }
 
-_F = {k: f"({duck(k)})" for k in ("fx_files", "fx_symbols", "fx_calls", "fx_classes", "fx_modules", "fx_replies", "fx_changes", "fx_tokens", "fx_old", "fx_new")}
+_F = {k: f"({duck(k)})" for k in ("fx_files", "fx_symbols", "fx_calls", "fx_classes", "fx_members", "fx_modules", "fx_replies", "fx_changes", "fx_tokens", "fx_old", "fx_new", "fx_tree_symbols", "fx_tree_calls", "fx_tree_files")}
 _O = base.ORACLES
-_E = f"({base._IMPORT_EDGES})"
+_E = f"({base._TREE_CALLS})"
 _TOTAL = f"(SELECT CAST(sum({base._TOKENS.format('content')}) AS BIGINT) FROM {_F['fx_files']})"
-_ORIGINS = f"SELECT file AS n FROM ({base._UNIQUE})"
-_ENDS = "SELECT src AS n FROM e UNION SELECT dst FROM e"
-
-
-def _pairs(seeds: str) -> str:
-    """Head of a query over c(seed, node), the closure of the import edges from the seeds."""
-    return f"WITH RECURSIVE e AS ({base._IMPORT_EDGES}), c(seed, node) AS (SELECT DISTINCT n, n FROM ({seeds}) UNION SELECT c.seed, e.dst FROM c JOIN e ON e.src = c.node)"
+_ORIGINS = f"SELECT file AS n FROM ({base._WINNERS})"
+_ENDS, _pairs, _TREE = base._ENDS, base._pairs, base._TREE
 
 
 def _spans(lang: str, *defs: tuple[str, str, str, str]) -> str:
@@ -147,15 +170,13 @@ def _module_imports(lang: str, *paths: str) -> str:
     return " UNION ALL ".join(f"SELECT path AS importer_file, {p} AS import_path, CAST(floor(k / 40.0) AS BIGINT) AS p, k FROM {_F['fx_modules']} WHERE lang = '{lang}'" for p in paths)
 
 
-_CHANGED = f"({_O['symbol_diff']})"
-_HITS = f"SELECT d.file AS change_id, caller_file AS file, count(DISTINCT called_name) AS hits FROM {_CHANGED} d JOIN {_F['fx_calls']} c ON c.called_name = replace(d.name, 's', 'fn') GROUP BY ALL"
 _HALF = "CASE WHEN CAST(regexp_extract({0}, '^pkg([0-9]+)/', 1) AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END"
 
 def _stats(files: str, symbols: str, calls: str, edges: str) -> str:
     """Statistics of the graph; the arguments name the repository in each of the four inputs."""
     return f"""SELECT {files} AS repo, 'files' AS metric, count(DISTINCT path) AS value FROM {_F['fx_files']} GROUP BY 1
-UNION ALL SELECT {symbols}, 'symbols', count(DISTINCT name) FROM {_F['fx_symbols']} GROUP BY 1
-UNION ALL SELECT {calls}, 'files_with_calls', count(DISTINCT caller_file) FROM {_F['fx_calls']} GROUP BY 1
+UNION ALL SELECT {symbols}, 'symbols', count(DISTINCT name) FROM {_TREE} GROUP BY 1
+UNION ALL SELECT {calls}, 'files_with_calls', count(DISTINCT caller_file) FROM {_F['fx_tree_calls']} GROUP BY 1
 UNION ALL SELECT {edges}, 'edges', count(*) FROM {_E} GROUP BY 1"""
 
 
@@ -189,34 +210,43 @@ LEFT JOIN (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, min(path) AS hi
     "resolve_imports_rust": f"""SELECT importer_file, import_path, f.path AS imported_file FROM ({_module_imports('rust', "'serde'", "'mod' || (k + 3)")}) i
 LEFT JOIN {_F['fx_modules']} f ON f.lang = 'rust' AND f.path = 'pkg' || p || '/' || import_path || '.rs'""",
     "type_hierarchy": f"SELECT DISTINCT repo, unnest(list_concat(extends, implements)) AS type_name, name AS implementor FROM {_F['fx_classes']}",
+    "type_members": f"SELECT DISTINCT repo, parent_type, split_part(name, '.', 2) AS method_name FROM {_F['fx_members']} WHERE kind = 'method'",
     "type_lineage": f"""WITH RECURSIVE e AS (SELECT DISTINCT unnest(list_concat(extends, implements)) AS src, name AS dst FROM {_F['fx_classes']}),
 c(seed, node) AS (SELECT DISTINCT n, n FROM ({_ENDS}) UNION SELECT c.seed, e.dst FROM c JOIN e ON e.src = c.node) SELECT 'main' AS repo, seed AS type_name, node AS member FROM c""",
-    "dependency_edges": f"SELECT 'main' AS repo, dependent AS src, file AS dst FROM ({_O['reverse_dependents']})",
+    "dependency_edges": base._TREE_EDGES,
     "all_cones": f"{_pairs(_ENDS)} SELECT 'main' AS repo, seed AS seed_file, node AS file FROM c",
-    "symbol_cone": f"""{_pairs(_ORIGINS)} SELECT 'main' AS repo, name, node AS file FROM ({base._UNIQUE}) u JOIN c ON seed = u.file WHERE name IN (SELECT called_name FROM {_F['fx_calls']})""",
-    "file_context": f"""{_pairs(_ORIGINS)} SELECT DISTINCT 'main' AS repo, s.file AS file, node AS cone_file FROM {_F['fx_symbols']} s JOIN ({base._UNIQUE}) u ON u.name = s.name JOIN c ON seed = u.file""",
-    "cone_context": f"""{_pairs(_ENDS)} SELECT 'main' AS repo, seed AS seed_file, row_number() OVER (PARTITION BY seed ORDER BY node) AS ord, '// ── FILE: ' || node || ' ──' || chr(10) || content AS piece FROM c JOIN {_F['fx_files']} ON path = node""",
-    "connected_symbols_sample": f"SELECT name, file FROM ({base._UNIQUE}) WHERE file IN (SELECT src FROM {_E}) ORDER BY name LIMIT 20",
-    "cone_reduction": f"SELECT origin, 100 - cone_ratio AS reduction_pct FROM ({_O['measure_cones']})",
+    "symbol_cone": f"""{_pairs(_ORIGINS)} SELECT 'main' AS repo, name, node AS file FROM ({base._WINNERS}) u JOIN c ON seed = u.file WHERE name IN (SELECT called_name FROM {_F['fx_tree_calls']})""",
+    "file_context": f"""{_pairs(_ORIGINS)} SELECT DISTINCT 'main' AS repo, s.file AS file, node AS cone_file FROM {_TREE} s JOIN ({base._WINNERS}) u ON u.name = s.name JOIN c ON seed = u.file""",
+    "cone_context": f"""{_pairs(f"SELECT file AS n FROM {_TREE} WHERE pos % 50 = 7")} SELECT 'main' AS repo, seed AS seed_file, row_number() OVER (PARTITION BY seed ORDER BY node) AS ord, '// ── FILE: ' || node || ' ──' || chr(10) || content AS piece FROM c JOIN {_F['fx_files']} ON path = node""",
+    "connected_symbols_sample": f"SELECT name, file FROM ({base._WINNERS}) WHERE file IN (SELECT src FROM ({base._TREE_EDGES})) ORDER BY name LIMIT 20",
+    "cone_reduction": f"SELECT repo, name, 100 - cone_ratio AS reduction_pct FROM ({_O['measure_cones']})",
     "session_stats": f"""SELECT *, floor(CAST(tokens_saved * 100000 AS DOUBLE) / total_tokens) / 1000 AS reduction_pct, CAST(tokens_saved * 3 AS DOUBLE) / 1000000 AS cost_saved FROM (
 SELECT repo, count(*) AS queries, CAST(sum(cone_tokens) AS BIGINT) AS cone_tokens, count(*) * {_TOTAL} AS total_tokens, count(*) * {_TOTAL} - CAST(sum(cone_tokens) AS BIGINT) AS tokens_saved FROM ({_O['measure_cones']}) GROUP BY repo)""",
-    "handoff_savings": f"""WITH m AS ({_O['measure_cones']}) SELECT e.repo, src, dst, floor(CAST((2 * t.t - a.cone_tokens - b.cone_tokens) * 100000 AS DOUBLE) / (2 * t.t)) / 1000 AS savings_pct
-FROM {_E} e JOIN m a ON a.origin = src JOIN m b ON b.origin = dst, (SELECT {_TOTAL} AS t) t""",
+    "handoff_savings": f"""WITH m AS ({base._SIZES}) SELECT e.repo, src, dst, floor(CAST((2 * a.total_tokens - a.cone_tokens - b.cone_tokens) * 100000 AS DOUBLE) / (2 * a.total_tokens)) / 1000 AS savings_pct
+FROM ({base._TREE_EDGES}) e JOIN m a ON a.origin = src JOIN m b ON b.origin = dst""",
     "token_savings_check": f"""SELECT repo, count(*) FILTER (cone_files <= 2) AS leaves, max(100 - cone_ratio) FILTER (cone_files <= 2) AS best_leaf_savings, min(100 - cone_ratio) AS hub_savings,
+100 - CAST(sum(CAST(round(cone_ratio * 10) AS BIGINT)) AS DOUBLE) / count(*) / 10 AS avg_savings,
 coalesce(max(100 - cone_ratio) FILTER (cone_files <= 2) >= 80, false) AS passed FROM ({_O['measure_cones']}) GROUP BY repo""",
     "graph_summary": _stats(*["repo"] * 4),
     "compare_corpora": f"""SELECT metric, value_a, value_b, floor(CAST(value_b * 1000 AS DOUBLE) / value_a) / 1000 AS ratio FROM (
-SELECT metric, max(value) FILTER (repo = 'even') AS value_a, max(value) FILTER (repo = 'odd') AS value_b FROM ({_stats(*map(_HALF.format, ('path', 'file', 'caller_file', 'src')))}) GROUP BY metric)""",
+SELECT metric, max(value) FILTER (repo = 'even') AS value_a, max(value) FILTER (repo = 'odd') AS value_b FROM ({_stats(*map(_HALF.format, ('path', 'file', 'caller_file', 'caller_file')))}) GROUP BY metric)""",
     "build_time_check": f"""SELECT *, greatest(CAST(file_count AS DOUBLE) / 500 * 5, 1.0) AS target_s, elapsed_s < greatest(CAST(file_count AS DOUBLE) / 500 * 5, 1.0) AS passed
 FROM (SELECT run_id, CAST(count(*) AS DOUBLE) / 100 AS elapsed_s, count(DISTINCT agent_id) AS file_count FROM {_F['fx_tokens']} GROUP BY run_id)""",
-    "parse_success": f"SELECT repo, count(*) AS total, CAST(0 AS BIGINT) AS failed, CAST(100 AS DOUBLE) AS success_rate, true AS passed FROM {_F['fx_files']} GROUP BY repo",
+    "parse_success": f"""SELECT repo, count(*) AS total, count(*) - count(content) AS failed, floor(CAST(count(content) * 100000 AS DOUBLE) / count(*)) / 1000 AS success_rate, count(content) * 100 >= count(*) * 99 AS passed
+FROM {_F['fx_tree_files']} WHERE path NOT LIKE '%.md' GROUP BY repo""",
+    "scan_source_files": f"""SELECT repo, path, CASE lower(regexp_extract(path, '[.]([^./]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' ELSE 'typescript' END AS lang,
+CAST(octet_length(CAST(content AS BLOB)) AS BIGINT) AS n_bytes, content IS NOT NULL AS parse_ok, md5(content) AS content_md5 FROM {_F['fx_tree_files']} WHERE path NOT LIKE '%.md'""",
     "list_symbols": f"SELECT name, kind, file FROM ({base._UNIQUE}) WHERE kind = 'method' AND contains(lower(name), 't1') ORDER BY name LIMIT 100",
     "suggest_symbols": f"SELECT name FROM ({base._UNIQUE}) WHERE contains(lower(name), 'n1') AND NOT EXISTS (SELECT 1 FROM {_F['fx_symbols']} WHERE name = 'N1') ORDER BY name LIMIT 10",
     "changed_source_files": f"SELECT commit, substr(path, 5) AS file FROM {_F['fx_changes']} WHERE starts_with(path, 'app/') AND (path LIKE '%.ts' OR path LIKE '%.tsx')",
     "strip_code_fences": "SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, '```')), chr(10))) AS text_md5 FROM documents",
-    "assemble_stream_replies": f"SELECT conv_id, string_agg(json_extract_string(substr(line, 7), '$.choices[0].delta.content'), '' ORDER BY line_no) AS reply FROM {_F['fx_replies']} WHERE line <> 'data: [DONE]' GROUP BY conv_id",
-    "file_add_remove_diff": f"""SELECT coalesce(o.file, n.file) AS file, CASE WHEN o.file IS NULL THEN 'new' WHEN n.file IS NULL THEN 'deleted' ELSE 'kept' END AS status, coalesce(n.c, 0) AS names_now, coalesce(o.c, 0) AS names_before
-FROM (SELECT file, count(*) AS c FROM {_F['fx_old']} GROUP BY file) o FULL JOIN (SELECT file, count(*) AS c FROM {_F['fx_new']} GROUP BY file) n ON o.file = n.file""",
-    "top_caller": f"SELECT change_id, arg_min(file, (-hits, file)) AS file, max(hits) AS hits FROM ({_HITS}) GROUP BY change_id",
-    "incremental_update": f"SELECT * FROM {_F['fx_new']}",
+    "assemble_stream_replies": f"""SELECT conv_id, reply, coalesce(used, CAST(len(regexp_extract_all(reply, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\n]')) AS BIGINT)) AS completion_tokens FROM (
+SELECT conv_id, string_agg(coalesce(json_extract_string(j, '$.choices[0].delta.content'), ''), '' ORDER BY line_no) AS reply, max(CAST(json_extract_string(j, '$.usage.completion_tokens') AS BIGINT)) AS used
+FROM (SELECT *, trim(substr(line, 6)) AS j FROM {_F['fx_replies']} WHERE line NOT IN ('data: [DONE]', 'data:', 'data: {{"broken')) GROUP BY conv_id)""",
+    "file_add_remove_diff": f"""SELECT d.file AS file, CASE WHEN change = 'added' THEN 'new' ELSE 'deleted' END AS status, name, change FROM ({_O['symbol_diff']}) d
+WHERE (d.file NOT IN (SELECT file FROM {_F['fx_old']})) OR (d.file NOT IN (SELECT file FROM {_F['fx_new']}))""",
+    "incremental_update": base._call_edges(
+        f"(SELECT c.* FROM {_F['fx_tree_calls']} c WHERE caller_file NOT IN (SELECT file FROM {_TREE} WHERE pos % 11 = 5) AND called_name NOT LIKE 'fn%7')",
+        f"(SELECT repo, CASE WHEN pos % 9 = 2 THEN name || 'x' ELSE name END AS name, file, kind, pos FROM {_TREE} WHERE pos % 11 <> 5)",
+    ),
 }

@@ -14,18 +14,16 @@ from depscope.sources.shared import shared_dir
 from depscope.streaming import routing
 
 
-def _changed(s: SparkSession, d: str) -> DataFrame:
-    """Changed files of each run: those its first attempt names at line 1 to 10."""
-    return activity.parse_diagnostics(source(s, d, "fx_diag_log")).filter("attempt = 1 and line <= 10").select("run_id", "file").distinct()
-
-
 def _attempts(s: SparkSession, d: str) -> DataFrame:
     return source(s, d, "fx_tokens").withColumn("attempt", F.col("record_id") % 5 + 1)
 
 
 def _commit_deltas(s: SparkSession, d: str) -> DataFrame:
+    """Counts of each changed file; a read of symbol sym_n tells of a change to the files whose number ends in n."""
     diff = activity.symbol_diff(source(s, d, "fx_old"), source(s, d, "fx_new"))
-    return diff.groupBy("file").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "changed", "removed")], F.count(F.lit(1)).alias("all_changed"))
+    readers = source(s, d, "fx_reads").select("repo", "agent_id", F.regexp_extract("symbol", "([0-9]+)", 1).alias("n")).distinct()
+    changed = diff.select("repo", "file").distinct().withColumn("n", F.expr("right(file, 1)"))
+    return activity.commit_deltas(diff, changed.join(readers, ["repo", "n"]).select("repo", "file", "agent_id").distinct())
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -46,10 +44,14 @@ def _stream_route(s: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("delta_id", "agent_id").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("changed_symbols"))
 
 
-def _queue_stream(s: SparkSession, d: str, path: str) -> DataFrame:
+def _queue_events(s: SparkSession, d: str) -> DataFrame:
     n = base._routed(s, d).select("agent_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(0).alias("turn"), F.col("delta_id").alias("id"))
     f = source(s, d, "fx_flushes").select("agent_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("turn"), F.col("flush_id").alias("id"))
-    n.unionByName(f).write.parquet(f"{path}/events")
+    return n.unionByName(f)
+
+
+def _queue_stream(s: SparkSession, d: str, path: str) -> DataFrame:
+    _queue_events(s, d).write.parquet(f"{path}/events")
     return routing.pending_queue(s.readStream.schema("agent_id string, ts timestamp, turn int, id long").parquet(f"{path}/events"))
 
 
@@ -70,18 +72,63 @@ def _stream_notify(s: SparkSession, d: str) -> DataFrame:
 
 
 def _saved(s: SparkSession, d: str) -> DataFrame:
-    """Rows of each table after it was saved and loaded again."""
+    """Rows of each table and repository after two repositories were saved, one of them twice, and loaded again."""
     path = f"{shared_dir(s)}/graph-{uuid.uuid4().hex}"
     tables = {"symbols": source(s, d, "fx_symbols"), "calls": source(s, d, "fx_calls"), "imports": base._import_edges(s, d), "reads": source(s, d, "fx_reads").withColumn("ts", F.col("ts").cast("string"))}
-    reports.save_tables(tables, path)
+    other = {name: df.withColumn("repo", F.lit("other")) for name, df in tables.items()}
+    keys = {"symbols": ["repo", "name", "file"], "calls": ["repo", "caller_file", "called_name"], "imports": ["repo", "src", "dst"]}
+    for saved in (tables, other, tables):
+        reports.save_tables(saved, path, keys)
     back = reports.load_tables(s, path, {"symbols": "name string, repo string", "calls": "called_name string, repo string", "imports": "src string, repo string", "reads": "read_id long, repo string"})
     out = None
     for name, df in back.items():
-        one = df.groupBy().agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+        one = df.groupBy("repo").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _state(s: SparkSession, d: str) -> DataFrame:
+    """Reads and pending notifications of each agent after they were saved (over an earlier state) and loaded."""
+    path = f"{shared_dir(s)}/state-{uuid.uuid4().hex}"
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)
+    reads = source(s, d, "fx_reads").select("agent_id", "symbol", seconds.alias("ts"))
+    queued = activity.pending_after_flush(base._routed(s, d), source(s, d, "fx_flushes")).filter("delivered_by is null").select("delta_id", "agent_id")
+    routed = base._routed(s, d).join(queued, ["delta_id", "agent_id"])
+    pending = routed.select("agent_id", F.lit("a \"b\".ts").alias("changed_file"), F.split("changed_symbols", ",").alias("changed_symbols"), F.lit("line\n").alias("new_src"), seconds.alias("timestamp"))
+    reports.save_state(reads.limit(5), pending.limit(0), path)
+    reports.save_state(reads, pending, path)
+    r, p = reports.load_state(s, path)
+    r = r.groupBy("agent_id").agg(F.count(F.lit(1)).alias("reads"), F.max("ts").alias("last_read"))
+    p = p.filter((F.col("changed_file") == 'a "b".ts') & (F.col("new_src") == "line\n")).groupBy("agent_id").agg(F.sum(F.size("changed_symbols")).alias("symbols"), F.max("timestamp").alias("last_pending"))
+    return r.join(p, "agent_id", "full_outer")
+
+
+def _trace(s: SparkSession, d: str) -> DataFrame:
+    """Events of each run and kind from JSON lines with data of two shapes, blank and broken lines."""
+    path = f"{shared_dir(s)}/trace-{uuid.uuid4().hex}"
+    t = source(s, d, "fx_tokens")
+    data = F.when(F.col("passed"), F.to_json(F.struct(F.col("prompt_tokens").alias("metric"), "passed"))).otherwise(F.to_json(F.struct(F.struct(F.col("prompt_tokens").alias("metric")).alias("inner"))))
+    stamp = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    line = F.concat(F.lit('{"trace_id":"'), "run_id", F.lit('","timestamp":"'), stamp, F.lit('","event":"'), "task_id", F.lit('","data":'), data, F.lit(',"duration_ms":'), F.when(F.col("record_id") % 3 == 0, F.lit("null")).otherwise(F.col("record_id").cast("string")), F.lit("}"))
+    lines = t.select(F.explode(F.array(line, F.when(F.col("record_id") % 50 == 0, F.lit('{"trace_id":')), F.when(F.col("record_id") % 70 == 0, F.lit("")))).alias("value")).filter("value is not null")
+    lines.write.text(path)
+    metric = F.coalesce(F.get_json_object("data", "$.metric"), F.get_json_object("data", "$.inner.metric")).cast("long")
+    return reports.read_trace_log(s, path).groupBy("trace_id", "event").agg(F.count(F.lit(1)).alias("events"), F.count("duration_ms").alias("timed"), F.sum(metric).alias("metric"), F.unix_seconds(F.max("ts")).alias("last"))
+
+
+def _recovered(s: SparkSession, d: str) -> DataFrame:
+    """Deliveries of a queue that was stopped with notifications in it, and started again from its checkpoint."""
+    path = f"{shared_dir(s)}/recovery-{uuid.uuid4().hex}"
+    events = _queue_events(s, d)
+    cut = events.agg(F.expr("timestamp_micros(cast((min(unix_micros(ts)) + max(unix_micros(ts))) / 2 as bigint))").alias("cut"))
+    halves = events.crossJoin(F.broadcast(cut))  # one row
+    for half in (F.col("ts") < F.col("cut"), F.col("ts") >= F.col("cut")):
+        halves.filter(half).drop("cut").write.mode("append").parquet(f"{path}/events")
+        stream = routing.pending_queue(s.readStream.schema("agent_id string, ts timestamp, turn int, id long").parquet(f"{path}/events"))
+        routing.run_to_table(stream, f"{path}/delivered", f"{path}/checkpoint")
+    return s.read.schema("agent_id string, delta_id long, delivered_by long").parquet(f"{path}/delivered")
+
+
 def _appended(s: SparkSession, d: str) -> DataFrame:
     """The first half of the records is saved, then all are appended: each is there once."""
     path, records = f"{shared_dir(s)}/ledger-{uuid.uuid4().hex}", base._records(s, d).select("record_id", "run_id", "cost_usd")
@@ -98,12 +145,15 @@ QUERIES = {
     "aggregate_summary": lambda s, d: reports.aggregate_summary(base._records(s, d)),
     "format_cost_tokens": lambda s, d: base._records(s, d).select("record_id", reports.format_cost(F.col("cost_usd")).alias("cost"), F.format_number("prompt_tokens", 0).alias("tokens")),
     "append_ledger": _appended,
+    "save_load_subscription_state": _state,
+    "read_trace_log": _trace,
+    "stream_recovery": _recovered,
     "export_ledger_json": lambda s, d: reports.ledger_json(base._records(s, d).select("run_id", "record_id", "agent_id", "prompt_tokens", "model")),
     "save_load_graph": _saved,
-    "cone_diagnostics": lambda s, d: reports.cone_diagnostics(base._new_diags(s, d), _changed(s, d)),
-    "definition_first": lambda s, d: reports.definition_first(base._new_diags(s, d), _changed(s, d)),
-    "split_definition_caller": lambda s, d: reports.split_definition_caller(base._new_diags(s, d), _changed(s, d)),
-    "format_diagnostics": lambda s, d: reports.format_diagnostics(activity.dedup_diagnostics(base._new_diags(s, d))),
+    "cone_diagnostics": lambda s, d: reports.cone_diagnostics(base._new_diags(s, d), base.changed_files(s, d)),
+    "definition_first": lambda s, d: reports.definition_first(base._new_diags(s, d), base.changed_files(s, d)),
+    "split_definition_caller": lambda s, d: reports.split_definition_caller(base._new_diags(s, d), base.changed_files(s, d)),
+    "format_diagnostics": lambda s, d: reports.format_diagnostics(activity.dedup_diagnostics(base._new_diags(s, d), base.changed_files(s, d))),
     "attempt_summary": lambda s, d: reports.attempt_summary(_attempts(s, d)),
     "attempt_routing": lambda s, d: _attempts(s, d).select("record_id", "attempt", reports.attempt_routing(F.col("attempt")).alias("task")),
     "validate_changes": lambda s, d: reports.validate_changes(source(s, d, "fx_files").select(F.col("path").alias("file")), source(s, d, "fx_diag_log")),
@@ -119,9 +169,9 @@ QUERIES = {
     "stream_notify_callback": _stream_notify,
 }
 
-_F = {k: f"({duck(k)})" for k in ("fx_files", "fx_symbols", "fx_calls", "fx_reads", "fx_deltas", "fx_tokens", "fx_diag_log", "fx_results")}
+_F = {k: f"({duck(k)})" for k in ("fx_files", "fx_symbols", "fx_calls", "fx_reads", "fx_deltas", "fx_tokens", "fx_diag_log", "fx_results", "fx_flushes", "fx_old", "fx_new")}
 _O = base.ORACLES
-_CHANGED = f"(SELECT DISTINCT run_id, file FROM ({base._DIAGS}) WHERE attempt = 1 AND line <= 10)"
+_CHANGED = base._CHANGED
 _NEW = f"({base._NEW})"
 _OWN = f"SELECT n.*, c.file IS NOT NULL AS own FROM {_NEW} n LEFT JOIN {_CHANGED} c ON c.run_id = n.run_id AND c.file = n.file"
 _TEXT = "printf('$%.{0}f', floor(cost_usd * 1{1} + 0.5) / 1{1})"
@@ -132,34 +182,46 @@ ORACLES = {
     "cost_rate_lookup": f"SELECT record_id, model, CASE WHEN lower(model) LIKE '%haiku%' THEN 25 ELSE 300 END::BIGINT AS rate_in, CASE WHEN lower(model) LIKE '%haiku%' THEN 125 ELSE 1500 END::BIGINT AS rate_out FROM {_F['fx_tokens']}",
     "token_records": f"SELECT * EXCLUDE (ts) FROM ({base._COSTED})",
     "load_run": f"SELECT record_id, agent_id, cost_usd FROM ({base._COSTED}) WHERE run_id = 'run_7' ORDER BY ts, record_id",
-    "runs_total": f"SELECT CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed FROM ({_O['list_runs']})",
-    "aggregate_summary": f"""SELECT runs, calls, tokens, cost, floor(CAST(p * 100000 AS DOUBLE) / j) / 1000 AS pass_rate, floor(cost * 1000000000 / tokens) / 1000000 AS cost_per_1k FROM (
-SELECT count(DISTINCT run_id) AS runs, count(*) AS calls, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, round(sum(cost_usd), 4) AS cost, count(*) FILTER (passed) AS p, count(passed) AS j FROM ({base._COSTED}))""",
+    "runs_total": f"""SELECT CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(CAST(round(cost_usd * 100000000) AS BIGINT)) AS DOUBLE) / 100000000 AS cost_usd FROM ({_O['list_runs']})""",
+    "aggregate_summary": f"""SELECT runs, calls, tokens, CAST(u AS DOUBLE) / 100000000 AS cost, floor(CAST(p * 100000 AS DOUBLE) / j) / 1000 AS pass_rate, floor(CAST(u * 10 AS DOUBLE) / tokens) / 1000000 AS cost_per_1k FROM (
+SELECT count(DISTINCT run_id) AS runs, count(*) AS calls, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, CAST(sum(units) AS BIGINT) AS u, count(*) FILTER (passed) AS p, count(passed) AS j FROM ({base._UNITS}))""",
     "format_cost_tokens": f"SELECT record_id, {_COST} AS cost, format('{{:,}}', prompt_tokens) AS tokens FROM ({base._COSTED})",
     "append_ledger": f"SELECT run_id, count(*) AS records FROM {_F['fx_tokens']} GROUP BY run_id",
-    "export_ledger_json": f"""SELECT run_id, record_id, '{{"agent_id":"' || agent_id || '","model":"' || model || '","prompt_tokens":' || prompt_tokens || ',"record_id":' || record_id || '}}' AS json FROM {_F['fx_tokens']}""",
-    "save_load_graph": f"""SELECT 'symbols' AS name, count(*) AS rows FROM (SELECT DISTINCT * FROM {_F['fx_symbols']}) UNION ALL SELECT 'calls', count(*) FROM {_F['fx_calls']}
-UNION ALL SELECT 'imports', count(*) FROM ({base._IMPORT_EDGES}) UNION ALL SELECT 'reads', count(*) FROM {_F['fx_reads']}""",
+    "export_ledger_json": f"""SELECT run_id, record_id AS line, '{{"agent_id":"' || agent_id || '","model":"' || model || '","prompt_tokens":' || prompt_tokens || ',"record_id":' || record_id || '}}' AS json FROM {_F['fx_tokens']}
+UNION ALL SELECT run_id, -1, '{{"run_id":"' || run_id || '","calls":' || count(*) || ',"prompt_tokens":' || CAST(sum(prompt_tokens) AS BIGINT) || '}}' FROM {_F['fx_tokens']} GROUP BY run_id""",
+    "save_load_graph": f"""SELECT repo, name, rows FROM (SELECT 'symbols' AS name, count(*) AS rows FROM (SELECT DISTINCT name, file FROM {_F['fx_symbols']}) UNION ALL SELECT 'calls', count(*) FROM {_F['fx_calls']}
+UNION ALL SELECT 'imports', count(*) FROM ({base._IMPORT_EDGES}) UNION ALL SELECT 'reads', count(*) FROM {_F['fx_reads']}), (SELECT 'main' AS repo UNION ALL SELECT 'other')""",
     "cone_diagnostics": f"SELECT n.* FROM {_NEW} n WHERE EXISTS (SELECT 1 FROM {_CHANGED} c WHERE c.run_id = n.run_id AND (ends_with(n.file, c.file) OR ends_with(c.file, n.file)))",
     "definition_first": f"SELECT * EXCLUDE (own, has_own) FROM (SELECT *, bool_or(own) OVER (PARTITION BY run_id, attempt) AS has_own FROM ({_OWN})) WHERE own OR NOT has_own",
-    "split_definition_caller": f"SELECT run_id, attempt, count(*) FILTER (own) AS definition_errors, count(*) FILTER (NOT own) AS caller_errors, count(*) FILTER (own) = 0 AS definition_clean FROM ({_OWN}) GROUP BY run_id, attempt",
+    "split_definition_caller": f"""SELECT *, CASE WHEN NOT definition_clean THEN 'fail' WHEN caller_errors > 0 THEN 'pass with a note' ELSE 'pass' END AS verdict FROM (
+SELECT run_id, attempt, count(*) FILTER (own) AS definition_errors, count(*) FILTER (NOT own) AS caller_errors, count(*) FILTER (own) = 0 AS definition_clean FROM ({_OWN}) GROUP BY run_id, attempt)""",
     "format_diagnostics": f"SELECT run_id, attempt, string_agg('  ' || file || ':' || line || ':' || col || ' ' || code || ': ' || message, chr(10) ORDER BY rank) AS text FROM ({_O['dedup_diagnostics']}) GROUP BY run_id, attempt",
-    "attempt_summary": f"""SELECT run_id, count(*) AS attempts, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, min(record_id % 5 + 1) FILTER (passed) AS first_pass, coalesce(bool_or(passed), false) AS passed,
+    "attempt_summary": f"""SELECT run_id, count(*) AS attempts, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, min(record_id % 5 + 1) FILTER (passed) AS first_pass, arg_min(model, (record_id % 5 + 1, model)) FILTER (passed) AS passed_by, coalesce(bool_or(passed), false) AS passed,
 CAST(coalesce(sum(prompt_tokens + completion_tokens) FILTER (lower(model) LIKE '%haiku%'), 0) AS BIGINT) AS haiku_tokens, CAST(coalesce(sum(prompt_tokens + completion_tokens) FILTER (lower(model) LIKE '%sonnet%'), 0) AS BIGINT) AS sonnet_tokens
 FROM {_F['fx_tokens']} GROUP BY run_id""",
     "attempt_routing": f"SELECT record_id, record_id % 5 + 1 AS attempt, CASE WHEN record_id % 5 = 0 THEN 'write' WHEN record_id % 5 < 3 THEN 'retry_' || (record_id % 5 + 1) ELSE 'escalation' END AS task FROM {_F['fx_tokens']}",
-    "validate_changes": f"""SELECT path AS file, coalesce(n, 0) AS errors, n IS NULL AS valid FROM {_F['fx_files']}
-LEFT JOIN (SELECT regexp_extract(line_text, '^([^(:]+)', 1) AS f, count(*) AS n FROM {_F['fx_diag_log']} WHERE contains(line_text, 'error') GROUP BY 1) ON f = path""",
+    "validate_changes": f"""SELECT path AS file, count(line_text) AS errors, count(line_text) = 0 AS valid FROM {_F['fx_files']}
+LEFT JOIN {_F['fx_diag_log']} ON contains(lower(line_text), 'error') AND contains(line_text, path) GROUP BY path""",
     "suite_pass_rate": f"SELECT run_id, suite, count(*) AS total, count(*) FILTER (passed) AS passed, avg(CAST(coalesce(passed, false) AS INT)) AS pass_rate FROM {_F['fx_results']} GROUP BY run_id, suite",
-    "validation_run_summary": f"""SELECT run_id, count(DISTINCT suite) AS suites, count(*) AS tests, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT coalesce(passed, false)) AS failed, count(*) FILTER (NOT coalesce(passed, false)) = 0 AS ready
+    "validation_run_summary": f"""SELECT run_id, count(DISTINCT suite) AS suites, count(*) AS tests, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT coalesce(passed, false)) AS failed,
+coalesce(string_agg(suite || '/' || name, ',' ORDER BY suite || '/' || name) FILTER (NOT coalesce(passed, false)), '') AS failures, count(*) FILTER (NOT coalesce(passed, false)) = 0 AS ready
 FROM {_F['fx_results']} GROUP BY run_id""",
     "bus_state": f"""SELECT coalesce(r.agent_id, p.agent_id) AS agent_id, reads, pending FROM (SELECT agent_id, count(*) AS reads FROM {_F['fx_reads']} GROUP BY agent_id) r
 FULL JOIN ({_O['pending_counts']}) p ON p.agent_id = r.agent_id""",
-    "delta_coverage": f"""SELECT delta_id, count(*) AS callers, count(hit) AS notified, count(*) - count(hit) AS missed FROM (
+    "delta_coverage": f"""SELECT delta_id, count(*) AS callers, count(hit) AS notified, count(*) - count(hit) AS missed,
+CAST(count(hit) * 100 AS DOUBLE) / count(*) AS coverage_pct, coalesce(string_agg(agent_id, ',' ORDER BY agent_id) FILTER (hit IS NULL), '') AS missed_agents FROM (
 SELECT DISTINCT d.delta_id, r.agent_id FROM {_F['fx_deltas']} d JOIN {_F['fx_reads']} r ON r.symbol = d.symbol AND agent_id <> emitting_agent) x
 LEFT JOIN (SELECT delta_id AS i, agent_id AS a, 1 AS hit FROM ({base._ROUTED})) ON i = delta_id AND a = agent_id GROUP BY delta_id""",
-    "commit_deltas": f"SELECT file, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'removed') AS removed, count(*) AS all_changed FROM ({_O['symbol_diff']}) GROUP BY file",
+    "commit_deltas": f"""SELECT d.*, coalesce(n, 0) AS notifications FROM (SELECT repo, file, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'removed') AS removed, count(*) AS all_changed
+FROM ({_O['symbol_diff']}) GROUP BY repo, file) d LEFT JOIN (SELECT right(symbol, 1) AS x, count(DISTINCT agent_id) AS n FROM {_F['fx_reads']} GROUP BY 1) ON x = right(file, 1)""",
     "stream_route_deltas": _O["route_deltas"],
     "stream_pending_queue": f"SELECT agent_id, delta_id, delivered_by FROM ({_DONE})",
     "stream_notify_callback": f"SELECT agent_id, count(*) AS delivered FROM ({_DONE}) GROUP BY agent_id",
+    "stream_recovery": f"SELECT agent_id, delta_id, delivered_by FROM ({_DONE})",
+    "save_load_subscription_state": f"""SELECT coalesce(r.agent_id, p.agent_id) AS agent_id, reads, last_read, symbols, last_pending FROM (SELECT agent_id, count(*) AS reads, max(epoch_us(ts) / 1000000.0) AS last_read FROM {_F['fx_reads']} GROUP BY agent_id) r
+FULL JOIN (SELECT q.agent_id, CAST(sum(len(string_split(changed_symbols, ','))) AS BIGINT) AS symbols, max(epoch_us(q.ts) / 1000000.0) AS last_pending FROM ({base._ROUTED}) q
+JOIN ({base._DELIVERED}) d ON d.delta_id = q.delta_id AND d.agent_id = q.agent_id AND delivered_by IS NULL GROUP BY q.agent_id) p ON p.agent_id = r.agent_id""",
+    "read_trace_log": f"""SELECT run_id AS trace_id, task_id AS event, count(*) AS events, count(*) FILTER (record_id % 3 <> 0) AS timed, CAST(sum(prompt_tokens) AS BIGINT) AS metric, CAST(max(epoch_us(date_trunc('second', ts))) / 1000000 AS BIGINT) AS last
+FROM {_F['fx_tokens']} GROUP BY run_id, task_id""",
 }

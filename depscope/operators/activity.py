@@ -12,26 +12,62 @@ DEFAULT_RATE = (300, 1500)
 DIAGNOSTIC = r"^(.+?)\(([0-9]+),([0-9]+)\): +error +(TS[0-9]+): +(.+)$"
 
 
+def _last_of_name(symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """Of a name defined more than once the last one; without a start column any order of bodies."""
+    order = F.struct(*[c for c in ("start", "body") if c in symbols.columns])
+    return symbols.groupBy(*keys).agg(F.max_by("body", order).alias("body"))
+
+
 def symbol_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(file, name, change): added, removed, or changed where the body differs."""
-    both = old.withColumnRenamed("body", "was").join(new.withColumnRenamed("body", "now"), ["file", "name"], "full_outer")
+    """(repo, file, name, change): added, removed, or changed where the body differs; a file new or gone has all its names added or removed."""
+    keys = ["repo", "file", "name"]
+    both = _last_of_name(old, keys).withColumnRenamed("body", "was").join(_last_of_name(new, keys).withColumnRenamed("body", "now"), keys, "full_outer")
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed")
-    return both.select("file", "name", change.alias("change")).filter("change is not null")
+    return both.select(*keys, change.alias("change")).filter("change is not null")
 
 
 def symbol_fingerprint(symbols: DataFrame) -> DataFrame:
-    """(file, n_symbols, fingerprint): md5 of the sorted distinct names."""
+    """(repo, file, n_symbols, fingerprint): md5 of the sorted distinct names."""
     names = F.array_sort(F.collect_set("name"))
-    return symbols.groupBy("file").agg(F.countDistinct("name").alias("n_symbols"), F.md5(F.array_join(names, ",").cast("binary")).alias("fingerprint"))
+    return symbols.groupBy("repo", "file").agg(F.countDistinct("name").alias("n_symbols"), F.md5(F.array_join(names, ",").cast("binary")).alias("fingerprint"))
+
+
+def same_fingerprints(*runs: DataFrame) -> DataFrame:
+    """(repo, file, runs, unique_results, passed) over the fingerprints of several runs."""
+    every = None
+    for k, r in enumerate(runs):
+        r = r.select("repo", "file", "fingerprint", F.lit(k).alias("run"))
+        every = r if every is None else every.unionByName(r)
+    return every.groupBy("repo", "file").agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("fingerprint").alias("unique_results")).withColumn("passed", (F.col("unique_results") == 1) & (F.col("runs") == len(runs)))
+
+
+def replace_files(old: DataFrame, new: DataFrame, touched: DataFrame, file_col: str = "file") -> DataFrame:
+    """old with the rows of touched files (repo, file) replaced by those of new; a file that new lacks is gone."""
+    t = touched.select("repo", F.col("file").alias(file_col)).distinct()
+    return old.join(t, ["repo", file_col], "left_anti").unionByName(new.join(t, ["repo", file_col], "left_semi").select(*old.columns))
+
+
+def commit_deltas(diff: DataFrame, notified: DataFrame) -> DataFrame:
+    """(repo, file, added, changed, removed, all_changed, notifications) for each file with a change; notified (repo, file, agent_id, ...) has a row a notification."""
+    counts = diff.groupBy("repo", "file").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "changed", "removed")], F.count(F.lit(1)).alias("all_changed"))
+    sent = notified.groupBy("repo", "file").agg(F.count(F.lit(1)).alias("notifications"))
+    return counts.join(sent, ["repo", "file"], "left").withColumn("notifications", F.coalesce("notifications", F.lit(0)))
+
+
+def bucket(ts: Column, window_s: int) -> Column:
+    """Number of the stretch of window_s seconds that ts lies in."""
+    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(max(window_s, 1)))
 
 
 def route_deltas(deltas: DataFrame, reads: DataFrame, window_s: int = 300) -> DataFrame:
-    """One notification for each delta and each other agent that read a changed symbol in the window (its ends count)."""
-    r = reads.select("repo", "symbol", "agent_id", F.col("ts").alias("read_ts")).alias("r")
+    """One notification for each delta and each other agent that read a changed symbol in the window (its ends count).
+
+    A delta looks in its own stretch of time and the one before, so a symbol's reads meet only the deltas near them.
+    """
+    r = reads.select("repo", "symbol", "agent_id", F.col("ts").alias("read_ts"), bucket(F.col("ts"), window_s).alias("b")).distinct()
+    d = deltas.withColumn("b", F.explode(F.array(bucket(F.col("ts"), window_s), bucket(F.col("ts"), window_s) - 1)))
     near = (F.col("read_ts") <= F.col("ts")) & (F.col("read_ts") >= F.col("ts") - F.expr(f"INTERVAL {window_s} SECOND")) & (F.col("agent_id") != F.col("emitting_agent"))
-    return (
-        deltas.join(r, ["repo", "symbol"]).filter(near).groupBy("repo", "delta_id", "agent_id", "ts").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("changed_symbols"))
-    )
+    return d.join(r, ["repo", "symbol", "b"]).filter(near).groupBy("repo", "delta_id", "agent_id", "ts").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("changed_symbols"))
 
 
 def pending_after_flush(notifications: DataFrame, flushes: DataFrame) -> DataFrame:
@@ -46,8 +82,8 @@ def pending_after_flush(notifications: DataFrame, flushes: DataFrame) -> DataFra
     return both.filter("turn = 0").select("repo", "delta_id", "agent_id", "delivered_by")
 
 
-def estimate_cost(model: Column, prompt: Column, completion: Column) -> Column:
-    """Dollars as double: the exact model name (a vendor prefix aside), else a haiku, else a sonnet, else the default."""
+def cost_units(model: Column, prompt: Column, completion: Column) -> Column:
+    """Cost in whole hundred-millionths of a dollar: the exact model name (a vendor prefix aside), else a haiku, else a sonnet, else the default."""
     name = F.element_at(F.split(model, "/"), -1)
 
     def rate(k: int) -> Column:
@@ -58,33 +94,50 @@ def estimate_cost(model: Column, prompt: Column, completion: Column) -> Column:
         family = F.when(low.contains("haiku"), RATES["claude-haiku-4.5"][k]).when(low.contains("sonnet"), RATES["claude-sonnet-4.6"][k])
         return F.coalesce(exact, family, F.lit(DEFAULT_RATE[k])).cast("long")
 
-    return (prompt * rate(0) + completion * rate(1)).cast("double") / F.lit(100000000.0)
+    return prompt * rate(0) + completion * rate(1)
+
+
+def dollars(units: Column) -> Column:
+    return units.cast("double") / F.lit(100000000.0)
+
+
+def estimate_cost(model: Column, prompt: Column, completion: Column) -> Column:
+    return dollars(cost_units(model, prompt, completion))
+
+
+def _cost() -> Column:
+    """Dollars of all rows of a group: whole units are summed, so the order of the rows does not matter."""
+    return dollars(F.sum(cost_units(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens"))))
 
 
 def ledger_summary(records: DataFrame) -> DataFrame:
     """Totals of each run, and by agent, task and model; level tells them apart."""
     cols = ["run_id", "agent_id", "task_id", "model"]
-    out = None
-    sets = records.groupingSets([["run_id"], ["run_id", "agent_id"], ["run_id", "task_id"], ["run_id", "model"]], *cols)
+    units = cost_units(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens"))
+    sets = records.withColumn("u", units).groupingSets([["run_id"], ["run_id", "agent_id"], ["run_id", "task_id"], ["run_id", "model"]], *cols)
     out = sets.agg(
-        F.grouping_id().alias("g"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.count(F.lit(1)).alias("calls")
+        F.grouping_id().alias("g"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("u").alias("u"), F.count(F.lit(1)).alias("calls")
     )
     level = F.when(F.col("g") == 7, "run").when(F.col("g") == 3, "agent").when(F.col("g") == 5, "task").otherwise("model")
-    return out.select("run_id", level.alias("level"), F.coalesce("agent_id", "task_id", "model", F.lit("")).alias("key"), "prompt_tokens", "completion_tokens", "cost_usd", "calls")
+    return out.select("run_id", level.alias("level"), F.coalesce("agent_id", "task_id", "model", F.lit("")).alias("key"), "prompt_tokens", "completion_tokens", dollars(F.col("u")).alias("cost_usd"), "calls")
 
 
 def list_runs(records: DataFrame, top: int = 20) -> DataFrame:
-    """The newest runs with their totals."""
+    """The runs that began last, with their totals."""
     return (
         records.groupBy("run_id")
         .agg(
+            F.min("ts").cast("string").alias("first_ts"),
             F.max("ts").cast("string").alias("last_ts"),
             F.count(F.lit(1)).alias("calls"),
+            F.sum("prompt_tokens").alias("prompt_tokens"),
+            F.sum("completion_tokens").alias("completion_tokens"),
             F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
+            _cost().alias("cost_usd"),
             F.count_if("passed").alias("passed"),
             F.count_if(~F.col("passed")).alias("failed"),
         )
-        .orderBy(F.desc("last_ts"), "run_id")
+        .orderBy(F.desc("first_ts"), "run_id")
         .limit(top)
     )
 
@@ -102,9 +155,13 @@ def new_diagnostics(diagnostics: DataFrame, baseline: DataFrame) -> DataFrame:
     return diagnostics.join(baseline.select("run_id", "file", "code", "message").distinct(), ["run_id", "file", "code", "message"], "left_anti").select(*diagnostics.columns)
 
 
-def dedup_diagnostics(diagnostics: DataFrame, top: int = 3) -> DataFrame:
-    """For each run and attempt, the first of each (file, code) by line; the first three of those."""
+def dedup_diagnostics(diagnostics: DataFrame, changed: DataFrame | None = None, top: int = 3) -> DataFrame:
+    """For each run and attempt, the first of each (file, code); the first three of those: errors of changed files (run_id, file) first, then by line."""
     keys = ["run_id", "attempt"]
-    first = diagnostics.groupBy(*keys, "file", "code").agg(F.min(F.struct("line", "col", "message")).alias("d")).select(*keys, "file", "code", "d.*")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("line", "file", "code"))
-    return first.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
+    if changed is not None:
+        diagnostics = diagnostics.join(changed.select("run_id", "file", F.lit(0).alias("other")).distinct(), ["run_id", "file"], "left").withColumn("other", F.coalesce("other", F.lit(1)))
+    else:
+        diagnostics = diagnostics.withColumn("other", F.lit(1))
+    first = diagnostics.groupBy(*keys, "file", "code").agg(F.min(F.struct("other", "line", "col", "message")).alias("d")).select(*keys, "file", "code", "d.*")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("other", "line", "file", "code"))
+    return first.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top).drop("other")

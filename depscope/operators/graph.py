@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depscope.sources.shared import shared_dir
+from depscope.sources.shared import settled, shared_dir
 
 TOKEN = "[A-Za-z0-9_]+|[^A-Za-z0-9_ \\n]"
 
@@ -22,16 +22,85 @@ def count_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
+#: What hides text from the readers below, by language: literals and comments. Both engines of the tests read these patterns.
+_DOUBLE, _SINGLE, _BACK = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"', r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'", r"`[^`\\]*(?:\\.[^`\\]*)*`"
+_SLASHES = r"//[^\n]*|/\*(?s:.*?)\*/"
+LITERAL = {
+    "typescript": f"{_DOUBLE}|{_SINGLE}|{_BACK}",
+    "python": f'(?s:""".*?"""|\'\'\'.*?\'\'\')|{_DOUBLE}|{_SINGLE}',
+    "go": f"{_DOUBLE}|{_SINGLE}|`[^`]*`",
+    "rust": r'"[^"\\]*(?:\\(?s:.)[^"\\]*)*"' + r"|'(?:\\[^\n]{1,9}?|[^'\\\n])'",
+}
+COMMENT = {"typescript": _SLASHES, "python": r"#[^\n]*", "go": _SLASHES, "rust": _SLASHES}
+_ID = r"[A-Za-z_$][A-Za-z0-9_$]*"
+_PARENS = r"\([^()]*(?:\([^()]*\)[^()]*)*\)"
+#: Declarations and other heads before a parenthesis that are no calls; what a match keeps follows as its first group, if any.
+HEADS = {
+    "typescript": (
+        rf"\binterface\s+[^{{}}]*\{{[^{{}}]*(?:\{{[^{{}}]*\}}[^{{}}]*)*\}}()",
+        rf"\b(?:function\s*\*?\s*|new\s+(?:{_ID}\.)*|abstract\s+){_ID}()",
+        rf"{_ID}(\s*(?:<[^<>()]*>)?\s*{_PARENS}\s*(?::[^;{{}}()=]*)?\{{)",
+    ),
+    "python": (rf"\b(?:def|class)\s+{_ID}()",),
+    "go": (r"\binterface\s*\{[^{}]*\}()", rf"\bfunc\s*(?:\([^()]*\)\s*)?{_ID}\s*(?:\[[^\]]*\])?()"),
+    "rust": (rf"\b(?:fn|struct|enum|union)\s+{_ID}()",),
+}
+CALL = {
+    "typescript": rf"({_ID})\s*(?:<[A-Za-z0-9_$., \[\]|]*>)?\s*(?:\?\.)?\(",
+    "python": rf"({_ID})\s*\(",
+    "go": rf"({_ID})\s*(?:\[[A-Za-z0-9_$., *]*\])?\(",
+    "rust": rf"({_ID})\s*\(",
+}
+#: Words before a parenthesis that are no names.
+KEYWORDS = {
+    "typescript": "if for while switch catch return typeof await void delete in of instanceof case throw yield do else function import super with async constructor get set",
+    "python": "if elif while for in and or not is return lambda yield assert del await raise from import except with print_ else",
+    "go": "if for switch select return go defer range func map chan interface struct case var const type import",
+    "rust": "if while for match return in let loop fn move else where impl pub unsafe as mut ref",
+}
+LANGUAGES = ("typescript", "python", "go", "rust")
+
+
+def _by_language(path: Column, of) -> Column:
+    lang, out = detect_language(path), F.lit(None)
+    for name in LANGUAGES:
+        out = F.when(lang == name, of(name)).otherwise(out)
+    return out
+
+
+def masked(text: Column, lang: str) -> Column:
+    """text with each comment and literal as one blank."""
+    return F.regexp_replace(text, f"{LITERAL[lang]}|{COMMENT[lang]}", " ")
+
+
+def uncommented(text: Column, lang: str) -> Column:
+    return F.regexp_replace(text, f"({LITERAL[lang]})|(?:{COMMENT[lang]})", "$1")
+
+
+def called_names(text: Column, lang: str) -> Column:
+    """Distinct names before a parenthesis: plain ones and the last member of a chain; no declaration, keyword, new X or macro."""
+    text = masked(text, lang)
+    for head in HEADS[lang]:
+        text = F.regexp_replace(text, head, " $1")
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(CALL[lang]), F.lit(1)), lambda n: ~n.isin(*KEYWORDS[lang].split())))
+
+
 def extract_calls(files: DataFrame) -> DataFrame:
-    """Distinct called names of each file: identifiers before a parenthesis that are not declared there."""
-    names = F.regexp_extract_all("content", F.lit(r"(function )?([A-Za-z_$][A-Za-z0-9_$]*)\("), F.lit(0))
-    called = F.explode(F.array_distinct(F.filter(names, lambda n: ~n.startswith("function "))))
-    return files.select("repo", F.col("path").alias("caller_file"), called.alias("n")).select("repo", "caller_file", F.regexp_replace("n", r"\($", "").alias("called_name"))
+    """(repo, caller_file, called_name): distinct called names of each file, by the rules of its language.
+
+    Null content and files of other languages have none. Calls inside template literals are not seen.
+    """
+    called = _by_language(F.col("path"), lambda g: called_names(F.col("content"), g))
+    return files.select("repo", F.col("path").alias("caller_file"), F.explode(called).alias("called_name"))
+
+
+#: Path of an import or export of another TypeScript module.
+IMPORTED = r"""\b(?:from|import)\s*["']([^"'\n]+)["']"""
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
-    """Relative import paths of each file in order."""
-    found = F.regexp_extract_all("content", F.lit(r"""\b(?:from|import)\s*(['"])([^'"\n]+)\1"""), F.lit(2))
+    """(repo, importer_file, pos, import_path) of TypeScript files in order: either quote, with or without names; comments don't count, nor do packages without a slash."""
+    found = F.regexp_extract_all(uncommented(F.col("content"), "typescript"), F.lit(IMPORTED), F.lit(1))
     return files.select("repo", F.col("path").alias("importer_file"), F.posexplode(found).alias("pos", "import_path")).filter(
         F.col("import_path").startswith(".") | F.col("import_path").contains("/")
     )
@@ -46,46 +115,141 @@ def fold_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Import rows with the file they name (as given, .ts, .tsx, first that exists), null where none does."""
-    named = fold_path(F.concat(F.regexp_replace("importer_file", r"[^/]+$", ""), "import_path"))
-    tries = F.array(*[F.struct(F.lit(k).alias("rank"), F.concat(named, F.lit(s)).alias("path")) for k, s in enumerate(("", ".ts", ".tsx"))])
+def path_aliases(configs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(repo, root, prefix, target) from configs (repo, dir, json): those of the nearest folder at or above a root whose JSON can be read.
+
+    baseUrl and paths of compilerOptions; the first replacement of a pattern counts. Paths are relative to
+    the repository, "" is its top. A nearer broken config is passed over, a readable one without paths is not.
+    """
+    shape = "struct<compilerOptions:struct<baseUrl:string,paths:map<string,array<string>>>>"
+    read = configs.select("repo", "dir", F.from_json("json", shape, {"columnNameOfCorruptRecord": "_none"}).alias("c"), F.get_json_object("json", "$").isNotNull().alias("ok")).filter("ok")
+    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
+    above = (F.col("dir") == "") | (F.col("root") == F.col("dir")) | F.col("root").startswith(F.concat(F.col("dir"), F.lit("/")))
+    near = roots.select("repo", "root").join(read, "repo").filter(above).groupBy("repo", "root").agg(F.max_by(F.struct("dir", "c"), depth).alias("n"))
+    base = F.concat_ws("/", F.when(F.col("n.dir") != "", F.col("n.dir")), F.coalesce("n.c.compilerOptions.baseUrl", F.lit(".")))
+    bare = lambda c: F.rtrim(c, F.lit("/*"))
+    rows = near.select("repo", "root", base.alias("base"), F.explode("n.c.compilerOptions.paths").alias("pattern", "to")).filter(F.size("to") > 0)
+    return rows.select("repo", "root", bare(F.col("pattern")).alias("prefix"), fold_path(F.concat_ws("/", "base", bare(F.get("to", F.lit(0))))).alias("target"))
+
+
+SUFFIXES = ("", ".ts", ".tsx")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Import rows with the file they name, null where none does.
+
+    A relative path starts at the importer's folder; any other goes by the aliases (repo, prefix, target),
+    longest prefix first. The path as given, with .ts, with .tsx: the first that exists counts.
+    """
     keys = ["repo", "importer_file", "pos", "import_path"]
-    tried = imports.select(*keys, F.explode(tries).alias("t")).select(*keys, "t.rank", "t.path")
-    hit = tried.join(files.select("repo", "path"), ["repo", "path"]).groupBy(*keys).agg(F.min_by("path", "rank").alias("imported_file"))
+    named = F.concat(F.regexp_replace("importer_file", r"[^/]+$", ""), "import_path")
+    tried = imports.filter(F.col("import_path").startswith(".")).select(*keys, F.lit(0).alias("by"), fold_path(named).alias("stem"))
+    if aliases is not None:
+        a = aliases.select(F.col("repo").alias("r"), "prefix", "target", F.length("prefix").alias("n"))
+        # an alias is joined by each beginning of the import that ends before a slash
+        parts = F.split("import_path", "/")
+        heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+        begun = imports.filter(~F.col("import_path").startswith(".")).select(*keys, F.explode(heads).alias("prefix"))
+        rest = F.ltrim(F.expr("substring(import_path, n + 1)"), F.lit("/"))
+        by_alias = begun.join(a.withColumnRenamed("r", "repo"), ["repo", "prefix"]).select(*keys, (-F.col("n")).alias("by"), fold_path(F.concat_ws("/", F.when(F.col("target") != "", F.col("target")), F.when(rest != "", rest))).alias("stem"))
+        tried = tried.unionByName(by_alias)
+    tries = F.array(*[F.struct(F.col("by"), F.lit(k).alias("rank"), F.concat("stem", F.lit(s)).alias("path")) for k, s in enumerate(SUFFIXES)])
+    tried = tried.select(*keys, F.explode(tries).alias("t")).select(*keys, "t.*")
+    hit = tried.join(files.select("repo", "path").distinct(), ["repo", "path"]).groupBy(*keys).agg(F.min_by("path", F.struct("by", "rank")).alias("imported_file"))
     return imports.join(hit, keys, "left")
 
 
+#: Endings of imports that are no source files.
+ASSETS = ("css", "json", "svg", "png", "jpg")
+
+
+def unresolved_imports(resolved: DataFrame) -> DataFrame:
+    """(repo, imports, unresolved, passed): assets are left out; passed when every import names a file."""
+    kept = resolved.filter(~F.col("import_path").rlike(r"\.(?:" + "|".join(ASSETS) + ")$"))
+    return kept.groupBy("repo").agg(F.count(F.lit(1)).alias("imports"), F.count_if(F.col("imported_file").isNull()).alias("unresolved")).withColumn("passed", F.col("unresolved") == 0)
+
+
 def unique_symbols(symbols: DataFrame) -> DataFrame:
-    """One row for each name: the last definition in scan order (path, then position)."""
-    return symbols.groupBy("repo", "name").agg(F.max_by(F.struct("file", "kind"), F.struct("file", "pos")).alias("s")).select("repo", "name", "s.file", "s.kind")
+    """One row for each name: the last definition in scan order (.ts, .tsx, .py, .go, .rs; path; position)."""
+    ending = F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, ("ts", "tsx", "py", "go", "rs"))), ending), F.lit(0))
+    return symbols.groupBy("repo", "name").agg(F.max_by(F.struct("file", "kind"), F.struct(rank, F.col("file"), F.col("pos"))).alias("s")).select("repo", "name", "s.file", "s.kind")
 
 
 def call_file_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """(repo, caller_file, callee_file): the exact name first, only without one every definer of a method so named."""
     exact = calls.join(unique_symbols(symbols).select("repo", F.col("name").alias("called_name"), F.col("file").alias("exact_file")), ["repo", "called_name"], "left")
-    methods = symbols.filter("kind = 'method'").select("repo", F.element_at(F.split("name", r"\."), -1).alias("called_name"), F.col("file").alias("method_file")).distinct()
+    methods = symbols.filter("kind in ('method', 'interface_method')").select("repo", F.element_at(F.split("name", r"\."), -1).alias("called_name"), F.col("file").alias("method_file")).distinct()
     by_exact = exact.filter("exact_file is not null").select("repo", "caller_file", F.col("exact_file").alias("callee_file"))
     by_method = exact.filter("exact_file is null").join(methods, ["repo", "called_name"]).select("repo", "caller_file", F.col("method_file").alias("callee_file"))
     return by_exact.unionByName(by_method).filter("caller_file <> callee_file").distinct()
 
 
+def _labelled(edges: DataFrame) -> DataFrame:
+    """(repo, file, part) for files on cycles: part names the strongly connected component; files on no cycle are left out.
+
+    Files without an edge in, or without one out, are on no cycle and are peeled off first, again and again. Of the rest,
+    the least file reachable and the least file that reaches it are carried along the edges until nothing
+    changes; where both are the same, that is the component of that file. Done components leave.
+    """
+    left, done = edges.filter("src <> dst"), None
+    while True:
+        while True:  # peel
+            ends = left.select("repo", F.col("src").alias("f")).distinct().join(left.select("repo", F.col("dst").alias("f")).distinct(), ["repo", "f"], "left_semi")
+            inner = left.join(ends.withColumnRenamed("f", "src"), ["repo", "src"], "left_semi").join(ends.withColumnRenamed("f", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst")
+            inner = settled(inner, "cycles")
+            if inner.count() == left.count():
+                break
+            left = inner
+        if left.isEmpty():
+            return done
+        labels = left.select("repo", F.col("src").alias("f")).distinct().withColumns({"down": F.col("f"), "up": F.col("f")})
+        labels = settled(labels, "labels")
+        while True:
+            by = lambda end, label: left.join(labels.select("repo", F.col("f").alias(end), label), ["repo", end])
+            down = by("dst", "down").groupBy("repo", F.col("src").alias("f")).agg(F.min("down").alias("d"))
+            up = by("src", "up").groupBy("repo", F.col("dst").alias("f")).agg(F.min("up").alias("u"))
+            new = labels.join(down, ["repo", "f"]).join(up, ["repo", "f"]).select("repo", "f", F.least("down", "d").alias("down"), F.least("up", "u").alias("up"), ((F.col("d") < F.col("down")) | (F.col("u") < F.col("up"))).alias("moved"))
+            new = settled(new, "labels")
+            labels = new.drop("moved")
+            if new.filter("moved").isEmpty():
+                break
+        found = labels.filter("down = up").select("repo", F.col("f").alias("file"), F.col("down").alias("part"))
+        done = found if done is None else done.unionByName(found)
+        gone = found.select("repo", F.col("file").alias("f"))
+        left = left.join(gone.withColumnRenamed("f", "src"), ["repo", "src"], "left_anti").join(gone.withColumnRenamed("f", "dst"), ["repo", "dst"], "left_anti").select("repo", "src", "dst")
+        left = settled(left, "cycles")
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(repo, seed, node): everything reachable from each seed, itself too. Cycles are fine.
 
     seeds (repo, file): where to start; without it every node of the edges.
 
-    Semi-naive: each round joins only the pairs found in the round before. Rounds are written to the shared folder.
+    Files on one cycle reach the same files, so cycles are made one node each first; the rounds then walk a graph without
+    cycles, and each round joins only the pairs found in the round before. Tables between rounds lie in the shared folder.
     """
+    edges = settled(edges.select("repo", "src", "dst").distinct(), "edges")
+    nodes = edges.select("repo", F.col("src").alias("file")).union(edges.select("repo", F.col("dst").alias("file"))).distinct()
+    starts = nodes if seeds is None else seeds.select("repo", "file").distinct()
+    parts = _labelled(edges)
+    if parts is None:
+        return _walk(edges, starts).withColumnRenamed("file", "seed")
+    parts = settled(parts, "parts")
+    of = lambda df, col: df.join(parts.withColumnRenamed("file", col), ["repo", col], "left").withColumn(col, F.coalesce("part", col)).drop("part")
+    small = settled(of(of(edges, "src"), "dst").filter("src <> dst").select("repo", "src", "dst").distinct(), "edges")
+    named = settled(starts.join(parts, ["repo", "file"], "left").select("repo", "file", F.coalesce("part", "file").alias("part")), "starts")
+    reached = _walk(small, named.select("repo", F.col("part").alias("file")).distinct())
+    # each component stands for its files at both ends
+    wide = reached.join(parts.select("repo", F.col("part").alias("node"), F.col("file").alias("member")), ["repo", "node"], "left").select("repo", F.col("file").alias("part"), F.coalesce("member", "node").alias("node"))
+    return named.withColumnRenamed("file", "seed").join(wide, ["repo", "part"]).select("repo", "seed", "node")
+
+
+def _walk(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(repo, file, node): what each start reaches over edges without cycles, itself too."""
     spark = edges.sparkSession
     base = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
-    edges = edges.select("repo", "src", "dst").distinct()
-    edges.write.parquet(f"{base}/edges")
-    edges = spark.read.parquet(f"{base}/edges")
-    nodes = edges.select("repo", "src").union(edges.select("repo", "dst")).distinct()
-    if seeds is not None:
-        nodes = seeds.select("repo", F.col("file").alias("src")).distinct()
-    nodes.select("repo", F.col("src").alias("seed"), F.col("src").alias("node")).write.parquet(f"{base}/round=0")
+    starts.select("repo", "file", F.col("file").alias("node")).write.parquet(f"{base}/round=0")
     schema = spark.read.parquet(f"{base}/round=0").schema
     k = 0
     while True:
@@ -93,15 +257,38 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
         if fresh.isEmpty():
             return spark.read.schema(schema).parquet(*[f"{base}/round={j}" for j in range(k + 1)])
         known = spark.read.schema(schema).parquet(*[f"{base}/round={j}" for j in range(k + 1)])
-        step = fresh.join(edges.withColumnRenamed("src", "node"), ["repo", "node"]).select("repo", "seed", F.col("dst").alias("node")).distinct()
+        step = fresh.join(edges.withColumnRenamed("src", "node"), ["repo", "node"]).select("repo", "file", F.col("dst").alias("node")).distinct()
         k += 1
-        step.join(known, ["repo", "seed", "node"], "left_anti").write.parquet(f"{base}/round={k}")
+        step.join(known, ["repo", "file", "node"], "left_anti").write.parquet(f"{base}/round={k}")
+
+
+def dependency_edges(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo, src, dst) from call edges (repo, caller_file, callee_file) and resolved imports; an import counts if its file defines a symbol."""
+    called = calls.select("repo", F.col("caller_file").alias("src"), F.col("callee_file").alias("dst"))
+    known = symbols.select("repo", F.col("file").alias("dst")).distinct()
+    imported = imports.filter("imported_file is not null").select("repo", F.col("importer_file").alias("src"), F.col("imported_file").alias("dst"))
+    return called.unionByName(imported.join(known, ["repo", "dst"], "left_semi").select("repo", "src", "dst")).distinct()
+
 
+def cone_sizes(files: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(repo, origin, cone_files, cone_tokens, origin_tokens, total_tokens) for each file of the edges, or each seed."""
+    sizes = settled(files.select("repo", F.col("path").alias("node"), count_tokens(F.col("content")).alias("tokens")), "tokens")
+    total = sizes.groupBy("repo").agg(F.sum("tokens").alias("total_tokens"))
+    own = F.sum(F.when(F.col("node") == F.col("seed"), F.col("tokens")))
+    cones = closure(edges, seeds).join(sizes, ["repo", "node"]).groupBy("repo", "seed").agg(F.count(F.lit(1)).alias("cone_files"), F.sum("tokens").alias("cone_tokens"), F.coalesce(own, F.lit(0)).alias("origin_tokens"))
+    return cones.join(total, "repo").withColumnRenamed("seed", "origin")
 
-def measure_cones(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo, origin, cone_files, cone_tokens, cone_ratio) for each file of the edges; the ratio in percent of the repository."""
-    sizes = files.select("repo", F.col("path").alias("node"), count_tokens(F.col("content")).alias("tokens"))
-    total = sizes.groupBy("repo").agg(F.sum("tokens").alias("total"))
-    cones = closure(edges).join(sizes, ["repo", "node"]).groupBy("repo", "seed").agg(F.count(F.lit(1)).alias("cone_files"), F.sum("tokens").alias("cone_tokens"))
-    ratio = F.round(F.floor(F.col("cone_tokens") * 100000 / F.col("total")) / 1000, 3)
-    return cones.join(total, "repo").select("repo", F.col("seed").alias("origin"), "cone_files", "cone_tokens", F.when(F.col("total") > 0, ratio).alias("cone_ratio"))
+
+def ratio(cone: Column, total: Column) -> Column:
+    """Percent of the repository to one place, halves up; whole numbers are divided last."""
+    return F.when(total > 0, F.floor((cone * 2000 + total) / (total * 2)) / 10)
+
+
+def measure_cones(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, name, kind, origin, cone_files, cone_tokens, origin_tokens, cone_ratio) for each symbol, by its winning record.
+
+    A cone depends on the symbol's file alone, so it is measured once a file. cone_ratio is in percent of the repository.
+    """
+    winners = unique_symbols(symbols).withColumnRenamed("file", "origin")
+    sizes = cone_sizes(files, edges, winners.select("repo", F.col("origin").alias("file")))
+    return winners.join(sizes, ["repo", "origin"]).select("repo", "name", "kind", "origin", "cone_files", "cone_tokens", "origin_tokens", ratio(F.col("cone_tokens"), F.col("total_tokens")).alias("cone_ratio"))

@@ -44,13 +44,21 @@ def cone_context(cones: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def connected_symbols(symbols: DataFrame, edges: DataFrame, n: int = 20) -> DataFrame:
-    """The first n names whose file has an edge out."""
+    """The first n names whose file calls into or imports another."""
     return unique_symbols(symbols).join(edges.select("repo", F.col("src").alias("file")).distinct(), ["repo", "file"], "left_semi").orderBy("name").limit(n).select("name", "file")
 
 
+def cone_summary(measured: DataFrame) -> DataFrame:
+    """(repo, cones, avg_ratio, avg_files, avg_reduction) over the measured symbols; sums of tenths, divided once."""
+    tenths = F.sum(F.round(F.col("cone_ratio") * 10).cast("long"))
+    out = measured.groupBy("repo").agg(F.count(F.lit(1)).alias("cones"), tenths.alias("t"), F.sum("cone_files").alias("f"))
+    ratio = F.col("t") / F.col("cones") / 10
+    return out.select("repo", "cones", ratio.alias("avg_ratio"), (F.col("f") / F.col("cones")).alias("avg_files"), (100 - ratio).alias("avg_reduction"))
+
+
 def cone_reduction(measured: DataFrame) -> DataFrame:
-    """Percent of the repository that each cone spares."""
-    return measured.select("origin", (100 - F.col("cone_ratio")).alias("reduction_pct"))
+    """Percent of the repository that each symbol's cone spares."""
+    return measured.select("repo", "name", (100 - F.col("cone_ratio")).alias("reduction_pct"))
 
 
 def repo_tokens(files: DataFrame) -> DataFrame:
@@ -58,36 +66,43 @@ def repo_tokens(files: DataFrame) -> DataFrame:
 
 
 def session_stats(measured: DataFrame, total: DataFrame) -> DataFrame:
-    """One query a cone: what all of them took and spared, in tokens and dollars."""
+    """One query a symbol: what all their cones took and spared, in tokens and dollars."""
     return (
-        measured.join(F.broadcast(total), "repo")  # one row a repository
-        .groupBy("repo")
-        .agg(F.count(F.lit(1)).alias("queries"), F.sum("cone_tokens").alias("cone_tokens"), F.sum("total_tokens").alias("total_tokens"))
+        measured.groupBy("repo")
+        .agg(F.count(F.lit(1)).alias("queries"), F.sum("cone_tokens").alias("cone_tokens"))
+        .join(total.withColumnRenamed("total_tokens", "t"), "repo")
+        .withColumn("total_tokens", F.col("t") * F.col("queries"))
+        .drop("t")
         .withColumn("tokens_saved", F.col("total_tokens") - F.col("cone_tokens"))
         .withColumn("reduction_pct", percent(F.col("tokens_saved"), F.col("total_tokens")))
         .withColumn("cost_saved", F.col("tokens_saved") * SAVED_RATE / F.lit(1000000.0))
     )
 
 
-def handoff_savings(edges: DataFrame, measured: DataFrame, total: DataFrame) -> DataFrame:
-    """(repo, src, dst, savings_pct): two agents that hold the cones of an edge's ends, against two full contexts."""
-    cone = lambda end, name: measured.select("repo", F.col("origin").alias(end), F.col("cone_tokens").alias(name))
-    both = edges.join(cone("src", "a"), ["repo", "src"]).join(cone("dst", "b"), ["repo", "dst"]).join(F.broadcast(total), "repo")
+def handoff_savings(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(repo, src, dst, savings_pct): two agents that hold the cones of an edge's ends (sizes: graph.cone_sizes), against two full contexts."""
+    a = sizes.select("repo", F.col("origin").alias("src"), F.col("cone_tokens").alias("a"), "total_tokens")
+    b = sizes.select("repo", F.col("origin").alias("dst"), F.col("cone_tokens").alias("b"))
     full = 2 * F.col("total_tokens")
-    return both.select("repo", "src", "dst", percent(full - F.col("a") - F.col("b"), full).alias("savings_pct"))
+    return edges.join(a, ["repo", "src"]).join(b, ["repo", "dst"]).select("repo", "src", "dst", percent(full - F.col("a") - F.col("b"), full).alias("savings_pct"))
 
 
 def token_savings_check(measured: DataFrame, target: float = 80.0) -> DataFrame:
     """Cones of up to two files are leaves; passed when the best leaf spares the target."""
     saved = 100 - F.col("cone_ratio")
     leaf = F.col("cone_files") <= 2
+    tenths = F.sum(F.round(F.col("cone_ratio") * 10).cast("long"))
     return measured.groupBy("repo").agg(
-        F.count_if(leaf).alias("leaves"), F.max(F.when(leaf, saved)).alias("best_leaf_savings"), F.min(saved).alias("hub_savings"), F.coalesce(F.max(F.when(leaf, saved)) >= target, F.lit(False)).alias("passed")
+        F.count_if(leaf).alias("leaves"),
+        F.max(F.when(leaf, saved)).alias("best_leaf_savings"),
+        F.min(saved).alias("hub_savings"),
+        (100 - tenths / F.count(F.lit(1)) / 10).alias("avg_savings"),
+        F.coalesce(F.max(F.when(leaf, saved)) >= target, F.lit(False)).alias("passed"),
     )
 
 
 def graph_summary(files: DataFrame, symbols: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo, metric, value): files, symbols, files with calls, edges between files."""
+    """(repo, metric, value): files, symbols, files with calls, edges: the call edges between files."""
     def one(df: DataFrame, name: str, column: Column) -> DataFrame:
         return df.groupBy("repo").agg(column.alias("value")).select("repo", F.lit(name).alias("metric"), "value")
 
@@ -113,9 +128,8 @@ def build_time_check(timings: DataFrame) -> DataFrame:
 
 
 def parse_success(files: DataFrame, target: float = 99.0) -> DataFrame:
-    """A file counts as parsed if it has content without NUL bytes."""
-    ok = F.coalesce(~F.col("content").contains("\0"), F.lit(False))
-    out = files.groupBy("repo").agg(F.count(F.lit(1)).alias("total"), F.count_if(~ok).alias("failed"))
+    """(repo, total, failed, success_rate, passed) of scanned files, by their parse_ok; a repository without files is not there."""
+    out = files.groupBy("repo").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("parse_ok")).alias("failed"))
     rate = F.coalesce(percent(F.col("total") - F.col("failed"), F.col("total")), F.lit(0.0))
     return out.select("repo", "total", "failed", rate.alias("success_rate"), (rate >= target).alias("passed"))
 
@@ -148,8 +162,53 @@ def strip_code_fences(text: Column) -> Column:
 
 
 def assemble_replies(lines: DataFrame) -> DataFrame:
-    """(conv_id, reply): the text pieces of a streamed response in order; other lines, [DONE] and broken JSON are skipped."""
-    piece = F.get_json_object(F.substring("line", 7, 1 << 30), "$.choices[0].delta.content")
-    kept = lines.filter(F.col("line").startswith("data: ") & (F.col("line") != "data: [DONE]")).select("conv_id", "line_no", piece.alias("piece")).filter("piece is not null")
+    """(conv_id, reply, completion_tokens): the text pieces of a streamed response in order, and how many tokens they took.
+
+    Lines without data:, [DONE], blanks and broken JSON are skipped. The last usage a line reports counts,
+    else the tokens of the reply. A response without any piece has an empty reply.
+    """
+    chunk = F.trim(F.substring("line", 6, 1 << 30))
+    kept = lines.filter(F.col("line").startswith("data:")).select("conv_id", "line_no", chunk.alias("chunk")).filter(~F.col("chunk").isin("", "[DONE]") & F.get_json_object("chunk", "$").isNotNull())
+    piece = F.coalesce(F.get_json_object("chunk", "$.choices[0].delta.content"), F.lit(""))
+    usage = F.get_json_object("chunk", "$.usage.completion_tokens").cast("long")
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "piece")))  # the lines of one response
-    return kept.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("reply"))
+    out = kept.select("conv_id", "line_no", piece.alias("piece"), usage.alias("used")).groupBy("conv_id").agg(
+        F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("reply"), F.max_by("used", F.when(F.col("used").isNotNull(), F.col("line_no"))).alias("used")
+    )
+    return out.select("conv_id", "reply", F.coalesce("used", count_tokens(F.col("reply"))).alias("completion_tokens"))
+
+
+def find_callers(changed: DataFrame, calls: DataFrame) -> DataFrame:
+    """(repo, change_id, file, hits): files that call a changed symbol (repo, change_id, symbol), and which, sorted."""
+    hit = calls.select("repo", F.col("caller_file").alias("file"), F.col("called_name").alias("symbol")).join(changed.select("repo", "change_id", "symbol").distinct(), ["repo", "symbol"])
+    return hit.groupBy("repo", "change_id", "file").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("hits"), F.countDistinct("symbol").alias("n_hits"))
+
+
+def top_caller(callers: DataFrame) -> DataFrame:
+    """(repo, change_id, file, n_hits) of the caller with most changed symbols; ties go to the smaller path."""
+    best = F.min(F.struct((-F.col("n_hits")).alias("h"), F.col("file"))).alias("b")
+    return callers.groupBy("repo", "change_id").agg(best).select("repo", "change_id", "b.file", (-F.col("b.h")).alias("n_hits"))
+
+
+#: Letters of a path's end by which import_callers meets targets.
+GRAM = 8
+
+
+def import_callers(changed: DataFrame, callers: DataFrame, imports: DataFrame) -> DataFrame:
+    """(repo, change_id, file): for changes (repo, change_id, file) that no call leads to, the importers of the changed file.
+
+    An import counts if its target contains the changed path without .ts, anywhere. The last GRAM letters of
+    that path are looked for among all runs of as many letters of the targets, which makes it an equi-join.
+    """
+    bare = changed.join(callers.select("repo", "change_id").distinct(), ["repo", "change_id"], "left_anti").select("repo", "change_id", F.replace("file", F.lit(".ts"), F.lit("")).alias("stem")).distinct()
+    size = F.least(F.length("stem"), F.lit(GRAM))
+    bare = bare.withColumn("gram", F.expr(f"right(stem, {GRAM})"))
+    sizes = [r["n"] for r in bare.select(size.alias("n")).distinct().collect()] or [GRAM]  # GRAM numbers at most
+    t = imports.filter("imported_file is not null").select("repo", F.col("importer_file").alias("importer"), F.col("imported_file").alias("target")).distinct()
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("target") - n + 1, F.lit(1))), lambda k: F.col("target").substr(k, F.lit(n)))
+
+    runs = F.flatten(F.array(*map(runs_of, sizes)))
+    hit = t.select("*", F.explode(F.array_distinct(runs)).alias("gram")).join(bare, ["repo", "gram"]).filter(F.contains("target", F.col("stem")))
+    return hit.select("repo", "change_id", F.col("importer").alias("file")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depscope.operators.activity import DEFAULT_RATE, RATES, list_runs
+from depscope.operators.activity import DEFAULT_RATE, RATES, cost_units, dollars, list_runs
 
 
 def with_rates(records: DataFrame) -> DataFrame:
@@ -26,22 +26,23 @@ def load_run(records: DataFrame, run_id: str) -> DataFrame:
 
 def runs_total(records: DataFrame, top: int = 20) -> DataFrame:
     """One row: the totals of the newest runs."""
-    return list_runs(records, top).agg(*[F.sum(c).alias(c) for c in ("calls", "total_tokens", "passed", "failed")])
+    units = F.sum(F.round(F.col("cost_usd") * 100000000).cast("long"))
+    return list_runs(records, top).agg(*[F.sum(c).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens", "total_tokens", "passed", "failed")], dollars(units).alias("cost_usd"))
 
 
 def aggregate_summary(records: DataFrame, top: int = 100) -> DataFrame:
-    """One row over the newest runs: calls, tokens, pass rate in percent, cost for 1,000 tokens."""
+    """One row over the newest runs: calls, tokens, cost, pass rate in percent, cost for 1,000 tokens."""
     newest = list_runs(records, top).select("run_id")
     out = records.join(F.broadcast(newest), "run_id").agg(  # at most top rows
         F.countDistinct("run_id").alias("runs"),
         F.count(F.lit(1)).alias("calls"),
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"),
-        F.round(F.sum("cost_usd"), 4).alias("cost"),
+        F.sum(cost_units(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens"))).alias("units"),
         F.count_if("passed").alias("passed"),
         F.count_if(F.col("passed").isNotNull()).alias("judged"),
     )
     rate = F.when(F.col("judged") > 0, F.floor(F.col("passed") * 100000 / F.col("judged")) / 1000)
-    return out.select("runs", "calls", "tokens", "cost", rate.alias("pass_rate"), F.when(F.col("tokens") > 0, F.floor(F.col("cost") * 1000000000 / F.col("tokens")) / 1000000).alias("cost_per_1k"))
+    return out.select("runs", "calls", "tokens", dollars(F.col("units")).alias("cost"), rate.alias("pass_rate"), F.when(F.col("tokens") > 0, F.floor(F.col("units") * 10 / F.col("tokens")) / 1000000).alias("cost_per_1k"))
 
 
 def format_cost(cost: Column) -> Column:
@@ -56,20 +57,57 @@ def append_ledger(new: DataFrame, saved: DataFrame, path: str) -> None:
 
 
 def ledger_json(records: DataFrame) -> DataFrame:
-    """(run_id, record_id, json): a line a record, written by run as JSON lines; no run is gathered in one row."""
+    """(run_id, line, json): a document of a run as JSON lines, line 0 its totals, then a line a record; no run is gathered in one row."""
     cols = [F.col(c) for c in sorted(records.columns) if c not in ("run_id", "ts")]
-    return records.select("run_id", "record_id", F.to_json(F.struct(*cols)).alias("json"))
+    lines = records.select("run_id", F.col("record_id").alias("line"), F.to_json(F.struct(*cols)).alias("json"))
+    totals = F.struct(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"))
+    heads = records.groupBy("run_id").agg(totals.alias("s")).select("run_id", F.lit(-1).cast("long").alias("line"), F.to_json(F.struct("run_id", F.col("s.calls").alias("calls"), F.col("s.prompt_tokens").alias("prompt_tokens"))).alias("json"))
+    return lines.unionByName(heads)
 
 
-def save_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table without repeated rows under path, by repository where it has one."""
+def save_tables(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] | None = None) -> None:
+    """Each table under path, by repository where it has one: the repositories of a table are replaced, others stay.
+
+    Of rows that share the keys of their table one stays; without keys, of equal rows.
+    """
     for name, df in tables.items():
-        writer = df.dropDuplicates().write.mode("overwrite")
-        (writer.partitionBy("repo") if "repo" in df.columns else writer).parquet(f"{path}/{name}")
+        writer = df.dropDuplicates((keys or {}).get(name)).write.mode("overwrite")
+        (writer.option("partitionOverwriteMode", "dynamic").partitionBy("repo") if "repo" in df.columns else writer).parquet(f"{path}/{name}")
 
 
 def load_tables(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in schemas.items()}
+    """The tables saved under path; one that was never saved is empty."""
+    out = {}
+    for name, schema in schemas.items():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        out[name] = spark.read.schema(schema).parquet(f"{path}/{name}") if there else spark.createDataFrame([], schema)
+    return out
+
+
+NOTIFICATION = "agent_id string, changed_file string, changed_symbols array<string>, new_src string, timestamp double"
+
+
+def save_state(reads: DataFrame, pending: DataFrame, path: str) -> None:
+    """Replaces the saved reads (agent_id, symbol, ts) and pending notifications (fields of NOTIFICATION), the latter as JSON text by agent."""
+    names = [f.split(" ")[0] for f in NOTIFICATION.split(", ")]
+    reads.select("agent_id", "symbol", "ts").write.mode("overwrite").parquet(f"{path}/reads")
+    pending.select("agent_id", F.to_json(F.struct(*names)).alias("notification_json")).write.mode("overwrite").parquet(f"{path}/pending")
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Reads and pending notifications as they were saved; none where nothing was."""
+    got = load_tables(spark, path, {"reads": "agent_id string, symbol string, ts double", "pending": "agent_id string, notification_json string"})
+    return got["reads"], got["pending"].select(F.from_json("notification_json", NOTIFICATION).alias("n")).select("n.*")
+
+
+TRACE = "trace_id string, timestamp string, event string, data string, duration_ms double"
+
+
+def read_trace_log(spark: SparkSession, path: str) -> DataFrame:
+    """Events of JSON lines (a file or a folder of them); data stays JSON text, since its shape differs by event. Broken lines are left out."""
+    rows = spark.read.text(path).select(F.from_json("value", TRACE, {"mode": "PERMISSIVE"}).alias("e")).select("e.*")
+    return rows.filter("event is not null").withColumn("ts", F.try_to_timestamp(F.rtrim("timestamp", F.lit("Z"))))
 
 
 def cone_diagnostics(diagnostics: DataFrame, cone: DataFrame) -> DataFrame:
@@ -94,10 +132,11 @@ def definition_first(diagnostics: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def split_definition_caller(diagnostics: DataFrame, changed: DataFrame) -> DataFrame:
-    """(run_id, attempt, definition_errors, caller_errors, definition_clean)"""
+    """(run_id, attempt, definition_errors, caller_errors, definition_clean, verdict): callers broken by a clean definition pass with a note."""
     marked = diagnostics.join(changed.select("run_id", "file", F.lit(True).alias("own")).distinct(), ["run_id", "file"], "left")
     out = marked.groupBy("run_id", "attempt").agg(F.count_if("own").alias("definition_errors"), F.count_if(F.col("own").isNull()).alias("caller_errors"))
-    return out.withColumn("definition_clean", F.col("definition_errors") == 0)
+    clean = F.col("definition_errors") == 0
+    return out.withColumn("definition_clean", clean).withColumn("verdict", F.when(~clean, "fail").when(F.col("caller_errors") > 0, "pass with a note").otherwise("pass"))
 
 
 def format_diagnostics(diagnostics: DataFrame) -> DataFrame:
@@ -108,13 +147,14 @@ def format_diagnostics(diagnostics: DataFrame) -> DataFrame:
 
 
 def attempt_summary(attempts: DataFrame) -> DataFrame:
-    """(run_id, attempts, prompt_tokens, first_pass, passed, haiku_tokens, sonnet_tokens)"""
+    """(run_id, attempts, prompt_tokens, first_pass, passed_by, passed, haiku_tokens, sonnet_tokens): passed_by is the model of the first attempt that passed (of several, the least name)."""
     total = F.col("prompt_tokens") + F.col("completion_tokens")
     family = lambda w: F.coalesce(F.sum(F.when(F.lower("model").contains(w), total)), F.lit(0)).alias(f"{w}_tokens")
     return attempts.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("attempts"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.min(F.when(F.col("passed"), F.col("attempt"))).alias("first_pass"),
+        F.min(F.when(F.col("passed"), F.struct("attempt", "model")))["model"].alias("passed_by"),
         F.coalesce(F.bool_or("passed"), F.lit(False)).alias("passed"),
         family("haiku"),
         family("sonnet"),
@@ -126,9 +166,16 @@ def attempt_routing(attempt: Column, max_retries: int = 3) -> Column:
 
 
 def validate_changes(changes: DataFrame, lines: DataFrame) -> DataFrame:
-    """(file, errors, valid): log lines that name the file and an error; the line's path makes it an equi-join."""
-    path = F.regexp_extract("line_text", r"^([^(:\s]+)", 1)
-    found = lines.filter(F.contains(F.lower("line_text"), F.lit("error"))).groupBy(path.alias("file")).agg(F.count(F.lit(1)).alias("errors"))
+    """(file, errors, valid): log lines that hold the file's path anywhere and say error, in any case.
+
+    A line is met by its runs of path characters and by each ending of those after a slash and each beginning
+    before a parenthesis, colon or blank, so a path is compared with what a line names, not with every line.
+    """
+    runs = F.regexp_extract_all("line_text", F.lit(r"([A-Za-z0-9_.$@~+/-]+)"), F.lit(1))
+    parts = lambda p: F.split(p, "/")
+    tails = F.flatten(F.transform(runs, lambda p: F.transform(F.sequence(F.lit(1), F.size(parts(p))), lambda k: F.array_join(F.slice(parts(p), k, F.size(parts(p))), "/"))))
+    found = lines.filter(F.contains(F.lower("line_text"), F.lit("error"))).select(F.explode(F.array_distinct(tails)).alias("file"))
+    found = found.join(changes.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.count(F.lit(1)).alias("errors"))
     errors = F.coalesce("errors", F.lit(0))
     return changes.select("file").distinct().join(found, "file", "left").select("file", errors.cast("long").alias("errors"), (errors == 0).alias("valid"))
 
@@ -138,9 +185,9 @@ def suite_pass_rate(results: DataFrame) -> DataFrame:
 
 
 def validation_run_summary(results: DataFrame) -> DataFrame:
-    """(run_id, suites, tests, passed, failed, ready)"""
+    """(run_id, suites, tests, passed, failed, failures, ready): failures as sorted suite/test names, one run's."""
     ok = F.coalesce("passed", F.lit(False))
-    out = results.groupBy("run_id").agg(F.countDistinct("suite").alias("suites"), F.count(F.lit(1)).alias("tests"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"))
+    out = results.groupBy("run_id").agg(F.countDistinct("suite").alias("suites"), F.count(F.lit(1)).alias("tests"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), F.array_join(F.array_sort(F.collect_list(F.when(~ok, F.concat_ws("/", "suite", "name")))), ",").alias("failures"))
     return out.withColumn("ready", F.col("failed") == 0)
 
 
@@ -151,7 +198,7 @@ def bus_state(reads: DataFrame, pending: DataFrame) -> DataFrame:
 
 
 def delta_coverage(dependents: DataFrame, notified: DataFrame) -> DataFrame:
-    """(delta_id, callers, notified, missed): of the agents that should hear of a delta, how many did."""
+    """(delta_id, callers, notified, missed, coverage_pct, missed_agents): of the agents that should hear of a delta, who did not."""
     hit = notified.select("delta_id", "agent_id", F.lit(1).alias("hit")).distinct()
-    out = dependents.select("delta_id", "agent_id").distinct().join(hit, ["delta_id", "agent_id"], "left").groupBy("delta_id").agg(F.count(F.lit(1)).alias("callers"), F.count("hit").alias("notified"))
-    return out.withColumn("missed", F.col("callers") - F.col("notified"))
+    out = dependents.select("delta_id", "agent_id").distinct().join(hit, ["delta_id", "agent_id"], "left").groupBy("delta_id").agg(F.count(F.lit(1)).alias("callers"), F.count("hit").alias("notified"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit").isNull(), F.col("agent_id")))), ",").alias("missed_agents"))
+    return out.withColumns({"missed": F.col("callers") - F.col("notified"), "coverage_pct": F.col("notified") * 100 / F.greatest(F.col("callers"), F.lit(1))})

@@ -46,6 +46,39 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT DISTINCT 'main' AS repo, {_path("src")} AS caller_file, concat('fn', dst) AS called_name FROM {{fx_edges}}
         UNION SELECT DISTINCT 'main', {_path("l_partkey")}, concat('m', l_suppkey % 9) FROM {{lineitem}} WHERE l_linenumber = 2 AND l_quantity >= 49""",
     ),
+    # a tree with hubs: files beyond the first 100 call into the first ones across packages, some by the names of interface methods
+    "fx_tree_symbols": (
+        ("part",),
+        f"""SELECT 'main' AS repo, concat('fn', p_partkey) AS name, {_path("p_partkey")} AS file, 'function' AS kind, p_partkey AS pos FROM {{part}}
+        UNION ALL SELECT 'main', concat('I', p_partkey, '.q', p_partkey % 60), {_path("p_partkey")}, 'interface_method', p_partkey FROM {{part}} WHERE p_partkey <= 100""",
+    ),
+    "fx_tree_calls": (
+        ("lineitem", "fx_edges"),
+        f"""SELECT DISTINCT 'main' AS repo, {_path("src")} AS caller_file, concat('fn', dst) AS called_name FROM {{fx_edges}}
+        UNION SELECT DISTINCT 'main', {_path("l_partkey")}, concat('fn', l_suppkey % 50 + 1) FROM {{lineitem}} WHERE l_linenumber = 2 AND l_returnflag = 'A' AND l_partkey > 100
+        UNION SELECT DISTINCT 'main', {_path("l_partkey")}, concat('q', l_suppkey % 70) FROM {{lineitem}} WHERE l_linenumber = 3 AND l_returnflag = 'N' AND l_partkey > 100""",
+    ),
+    # sources with comments, literals, keywords, declarations and member calls; nested folders, aliases, assets and bare packages
+    "fx_sources": (
+        ("part",),
+        """SELECT 'main' AS repo, p_partkey AS k, concat('app/pkg', @P, '/mod', p_partkey, CASE p_partkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' ELSE '.rs' END) AS path,
+        CASE p_partkey % 4
+          WHEN 0 THEN concat('// calls ghost(1); import "./ghost" /* no */', chr(10), 'import {{ a }} from ''../pkg', @P + 1, '/mod', p_partkey + 40, chr(39), ';', chr(10), 'import "./style.css"', chr(10),
+            'import b from "~/pkg', @P, '/mod', p_partkey + 4, '"', chr(10), 'import ''./mod', p_partkey + 8, chr(39), chr(10), 'import c from "~lib/x"; import React from ', chr(39), 'react', chr(39), chr(10), '/* not(1) ', chr(10), ' nor(2) */', chr(10),
+            'export class C', p_partkey, ' extends B', p_partkey % 7, ' {{', chr(10), '  area(x: number): number {{ if (x > 1) {{ return helper', p_partkey % 50, '(x, "no(1)", ''nope(2)'') }} return this.size<number> (x) }}', chr(10), '}}', chr(10),
+            'interface I', p_partkey, ' {{ m', p_partkey % 60, '(x: number): void }}', chr(10), 'function fn', p_partkey, '(a) {{ while (a) {{ a = fn', p_partkey + 4, ' (a) }} return new C', p_partkey, '(a) }}', chr(10))
+          WHEN 1 THEN concat('# ghost(1)', chr(10), 'class T', p_partkey, '(Base):', chr(10), '    def m(self):', chr(10), '        return self.run(helper', p_partkey % 50, ' ("no(1)"))', chr(10), 'def fn', p_partkey, '(a):', chr(10),
+            '    if (a): print(a)', chr(10), '    return [fn', p_partkey + 4, '(x) for x in (a)]', chr(10))
+          WHEN 2 THEN concat('// ghost(1)', chr(10), 'func (t *T', p_partkey, ') M(a int) int {{ return pkg.Do', p_partkey % 50, '(a) }}', chr(10), 'func Fn', p_partkey, '(a int) int {{ for (a > 0) {{ a = Fn', p_partkey + 4, '(a) }}; s := `no(1)`; return len(s) }}', chr(10))
+          ELSE concat('// ghost(1)', chr(10), 'fn fn', p_partkey, '(a: i32) -> i32 {{ if (a > 1) {{ println!("no(1)"); }} let b = T', p_partkey, '::new(a); b.run(); fn', p_partkey + 4, '(a) }}', chr(10), 'struct P', p_partkey, '(i32);', chr(10)) END AS content
+        FROM {part}""".replace("@P", PKG.format(k="p_partkey")),
+    ),
+    # readable, broken and empty configurations of packages, and one at the top
+    "fx_configs": (
+        ("part", "region"),
+        """SELECT DISTINCT 'main' AS repo, concat('app/pkg', @P) AS dir, CASE @P % 5 WHEN 0 THEN '{{"compilerOptions": ' WHEN 1 THEN '{{"compilerOptions":{{"paths":{{"@/*":["./src/*", "./other/*"]}}}}}}' ELSE '{{"compilerOptions":{{"baseUrl":"x"}}}}' END AS json
+        FROM {part} WHERE @P % 5 < 3 UNION ALL SELECT 'main', '', '{{"compilerOptions":{{"baseUrl":".","paths":{{"~/*":["app/*"],"~lib/*":["lib/*"]}}}}}}' FROM {region} WHERE r_regionkey = 0""".replace("@P", PKG.format(k="p_partkey")),
+    ),
     "fx_reads": (
         ("events",),
         """SELECT 'main' AS repo, event_id AS read_id, concat('agent_', user_id) AS agent_id, concat('sym_', CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 10) AS symbol, ts
@@ -72,13 +105,21 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                2300 + l_suppkey % 12, ': bad ', l_returnflag, o_orderstatus) AS line_text
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
     ),
+    # a 17th of the names is defined twice in a file
     "fx_old": (
         ("part",),
-        "SELECT concat('f', p_partkey % 50) AS file, concat('s', p_partkey) AS name, concat('b', p_size) AS body FROM {part} WHERE p_partkey % 11 <> 0 AND p_partkey % 50 <> 7",
+        """SELECT 'main' AS repo, concat('f', p_partkey % 50) AS file, concat('s', p_partkey) AS name, concat('b', p_size) AS body, p_partkey * 10 AS start FROM {part} WHERE p_partkey % 11 <> 0 AND p_partkey % 50 <> 7
+        UNION ALL SELECT 'main', concat('f', p_partkey % 50), concat('s', p_partkey), concat('d', p_size), p_partkey * 10 - 5 FROM {part} WHERE p_partkey % 17 = 0 AND p_partkey % 11 <> 0 AND p_partkey % 50 <> 7""",
     ),
     "fx_new": (
         ("part",),
-        "SELECT concat('f', p_partkey % 50) AS file, concat('s', p_partkey) AS name, concat(CASE WHEN p_size % 5 = 0 THEN 'c' ELSE 'b' END, p_size) AS body FROM {part} WHERE p_partkey % 13 <> 0 AND p_partkey % 50 <> 8",
+        """SELECT 'main' AS repo, concat('f', p_partkey % 50) AS file, concat('s', p_partkey) AS name, concat(CASE WHEN p_size % 5 = 0 THEN 'c' ELSE 'b' END, p_size) AS body, p_partkey * 10 AS start FROM {part} WHERE p_partkey % 13 <> 0 AND p_partkey % 50 <> 8
+        UNION ALL SELECT 'main', concat('f', p_partkey % 50), concat('s', p_partkey), concat('e', p_size), p_partkey * 10 - 5 FROM {part} WHERE p_partkey % 17 = 0 AND p_partkey % 13 <> 0 AND p_partkey % 50 <> 8""",
+    ),
+    "fx_members": (
+        ("part",),
+        f"""SELECT 'main' AS repo, concat('T', p_size, '.m', p_partkey % 7) AS name, {_path("p_partkey")} AS file, 'method' AS kind, concat('T', p_size) AS parent_type FROM {{part}}
+        UNION ALL SELECT 'main', concat('fn', p_partkey), {_path("p_partkey")}, 'function', CAST(NULL AS VARCHAR(9)) FROM {{part}}""",
     ),
     "fx_classes": (
         ("part",),
@@ -102,9 +143,18 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_replies": (
         ("conversations",),
         """SELECT conv_id, turn AS line_no, concat('data: {{"choices":[{{"delta":{{"content":"', translate(coalesce(text, ''), concat('"', chr(92), chr(10), chr(13), chr(9)), '     '), '"}}}}]}}') AS line FROM {conversations}
-        UNION ALL SELECT DISTINCT conv_id, CAST(1000000 AS BIGINT), 'data: [DONE]' FROM {conversations}""",
+        UNION ALL SELECT DISTINCT conv_id, CAST(1000000 AS BIGINT), 'data: [DONE]' FROM {conversations}
+        UNION ALL SELECT DISTINCT conv_id, CAST(1000001 AS BIGINT), 'data:' FROM {conversations}
+        UNION ALL SELECT DISTINCT conv_id, CAST(1000002 AS BIGINT), 'data: {{"broken' FROM {conversations}
+        UNION ALL SELECT DISTINCT conv_id, CAST(1000003 AS BIGINT), concat('data:{{"usage":{{"completion_tokens":', conv_id % 7, '}}}}') FROM {conversations} WHERE turn = 1""",
     ),
     "fx_changes": (("part",), f"""SELECT CAST(p_size AS BIGINT) AS commit, concat(CASE WHEN p_partkey % 4 = 0 THEN 'docs/' ELSE 'app/' END, {_path("p_partkey")}, CASE WHEN p_partkey % 5 = 0 THEN 'x' WHEN p_partkey % 7 = 0 THEN '.md' ELSE '' END) AS path FROM {{part}}"""),
+    # files of a tree, some without content, some not of a known language
+    "fx_tree_files": (
+        ("fx_sources", "part"),
+        """SELECT repo, path, CASE WHEN k % 23 = 0 THEN NULL ELSE content END AS content FROM {fx_sources}
+        UNION ALL SELECT concat('docs', p_partkey % 3), concat('docs/', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '.md' ELSE '.TSX' END), p_name FROM {part}""",
+    ),
     "fx_results": (
         ("events",),
         """SELECT concat('run_', date_part('day', ts)) AS run_id, concat('suite_', user_id % 5) AS suite, concat('test_', event_id) AS name, value > 5 AS passed FROM {events}""",

@@ -7,7 +7,7 @@ import pytest
 from depscope.jobs.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "part lineitem orders events documents conversations".split()
+TABLES = "region part lineitem orders events documents conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
