@@ -6,27 +6,39 @@ extra columns of the caller (with whatever names) never clash with ours.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: Bytes of text that a vectorised step holds at a time (a longer text is one chunk).
 CHUNK_BYTES = 2 << 20
 NULL_ID = -(2**63)
 
 
+def long_id(docs: DataFrame, id_col: str) -> Column:
+    """The id column as long. Ids are whole numbers (or a column of nulls); any other type is refused here, before a job begins."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{id_col} is {kind.simpleString()}; ids are whole numbers")
+    return F.col(id_col).cast("long")
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tk, text): id as given, tk tells rows of one id apart by their text.
 
-    A null text counts as empty, a null id as the smallest long.
+    A null text counts as empty, a null id as the smallest long (which is no id of its own then).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
+        F.coalesce(long_id(docs, id_col), F.lit(NULL_ID)).alias("id"),
         F.xxhash64(text).alias("tk"),
         text.alias("text"),
     )
@@ -37,6 +49,11 @@ def real_id(name: str = "id") -> Column:
     return F.when(F.col(name) != NULL_ID, F.col(name))
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts, by which the work is dealt out."""
+    return docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -75,6 +92,41 @@ def chunks(batch: pa.RecordBatch, col: str = "text", limit: int = CHUNK_BYTES) -
         at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int, col: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about limit bytes of text, whole rows, at least one."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for c in chunks(batch, col, max(1, limit // 4)):
+            n = pc.sum(pc.binary_length(c.column(col))).as_py() or 0
+            if held and size + n > limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(c)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
+def released(run: Callable) -> Callable:
+    """A mapInArrow function that gives its memory back when its task ends: workers live on for other tasks."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free()
+
+    return freed
+
+
+def free() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and the len + 1 offsets of the texts in them."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -102,22 +154,24 @@ def word_spans(buf: np.ndarray, off: np.ndarray, in_word: np.ndarray) -> tuple[n
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed together (a longer span is hashed on its own).
+_STEP = 256 << 10
+_powers: list[np.ndarray] = []
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n <= len(_powers[0]):
-        return _powers[0], _powers[1]
-    n = max(n, CHUNK_BYTES + 64)
+def _pow(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least; those of up to _STEP bytes are kept."""
+    if _powers and n <= len(_powers[0]):
+        return _powers
     out = []
     for p in (_P, _PINV):
-        a = np.full(n, p, np.uint64)
+        a = np.full(max(n, _STEP + 1), p, np.uint64)
         a[0] = 1
         np.cumprod(a, out=a)
         out.append(a)
-    if n <= 4 * CHUNK_BYTES:  # longer ones are made anew: they are rare and large
+    if n <= _STEP + 1:
         _powers[:] = out
-    return out[0], out[1]
+    return out
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -131,11 +185,19 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each byte span, the same wherever the bytes stand."""
-    pw, ipw = _pow(len(buf) + 1)
-    pre = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * pw[: len(buf)], out=pre[1:])
-    return mix64((pre[ends] - pre[starts]) * ipw[starts] + (ends - starts).astype(np.uint64))
+    """64-bit polynomial hash of each byte span, the same wherever the bytes stand. Spans ascend and don't overlap."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + _STEP, side="right")))
+        part, s, e = buf[base : ends[to - 1]], starts[at:to] - base, ends[at:to] - base
+        pw, ipw = _pow(len(part) + 1)
+        pre = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * pw[: len(part)], out=pre[1:])
+        out[at:to] = mix64((pre[e] - pre[s]) * ipw[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
 
 
 def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:

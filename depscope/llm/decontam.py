@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.arrow import ITEM_WORD, LOWER_AZ, chunks, hash_spans, keyed_texts, real_id, text_buffer, word_spans
+from depscope.llm.arrow import ITEM_WORD, LOWER_AZ, NULL_ID, chunks, gathered, hash_spans, keyed_texts, long_id, real_id, released, text_buffer, word_spans
 
 WINDOW = 10
 SAMPLE = 8
@@ -205,7 +205,7 @@ def _pass(rows: DataFrame, items: list[str], texts: list[str], n: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(*shared.value, n)
-        for b in batches:
+        for b in gathered(batches, SHARD_BYTES):
             for c in chunks(b, limit=SHARD_BYTES):
                 h, start, end, of, docs = _words(c.column("text"))
                 first, window = windows.find(h, of)
@@ -243,7 +243,7 @@ def _pass(rows: DataFrame, items: list[str], texts: list[str], n: int) -> DataFr
                     ["id", "tk", "n_words", "spans", "bytes", "items"],
                 )
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(released(run), SCHEMA)
 
 
 def _merged(spans):
@@ -303,14 +303,12 @@ def find_benchmark(
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The documents without a hit word, with all their columns; a null text has none and stays."""
     bad = find_benchmark(docs, bench, id_col, text_col, **more).filter(F.size("spans") > 0).select(F.col("id").alias("__id"), F.col("tk").alias("__tk")).distinct()
-    tagged = docs.withColumns({"__id": keyed_id(id_col), "__tk": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    tagged = docs.withColumns({"__id": keyed_id(docs, id_col), "__tk": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     return tagged.join(bad, ["__id", "__tk"], "left_anti").select(*docs.columns)
 
 
-def keyed_id(id_col: str):
-    from depscope.llm.arrow import NULL_ID
-
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+def keyed_id(docs: DataFrame, id_col: str) -> Column:
+    return F.coalesce(long_id(docs, id_col), F.lit(NULL_ID))
 
 
 def hit_columns(found: DataFrame) -> DataFrame:

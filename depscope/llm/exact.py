@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.arrow import NULL_ID
+from depscope.llm.arrow import NULL_ID, long_id
 
 AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -60,7 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     tagged = docs.withColumns(
         {
-            "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)),
+            "__id": F.coalesce(long_id(docs, id_col), F.lit(NULL_ID)),
             "__sha": F.sha2(normalise(F.col(text_col)).cast("binary"), 256),
         }
     )

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depscope.llm.arrow import long_id, released
+
 #: Labelled texts sampled per language at most (one of each hash slot), and their length in characters.
 SAMPLE_SLOTS = 256
 SAMPLE_CHARS = (100, 20_000)
@@ -129,8 +131,8 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             )
 
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"),
+        long_id(docs, id_col).alias("id"),
         F.col(text_col).alias("text"),
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"),
     )
-    return rows.mapInArrow(run, "id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(released(run), "id long, lang_pred string, score double, rejected boolean")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depscope.llm.arrow import long_id, released
+
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 SCHEMA = "id long, spans array<struct<kind:string,start:int,end:int>>"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,7 +36,8 @@ _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _URL = re.compile(r"://[A-Za-z0-9._~%+-]+:[^\s@/]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
-_ACCOUNT = re.compile(r"(?:[ ]?(?:no\.?|number|nr\.?|#))?[ ]?[:=#]?[ ]?([A-Za-z0-9](?:[ -]?[A-Za-z0-9])*)")
+#: The identifier is a word and those after it that have a digit; the rest of the text is not looked at.
+_ACCOUNT = re.compile(r"(?:[ ]?(?:no\.?|number|nr\.?|#))?[ ]?[:=#]?[ ]?([A-Za-z0-9]+(?:[ -](?=[A-Za-z]*[0-9])[A-Za-z0-9]+)*)")
 _CUES = ("iban", "IBAN", "Iban", "account", "Account", "ACCOUNT", "acct", "Acct", "ACCT")
 
 
@@ -96,9 +99,6 @@ class Finder:
                     take("url", at, m.end(), True)
             elif at >= done["account"] and not (at and t[at - 1].isalnum()) and (m := _ACCOUNT.match(t, last + 1)):
                 value, start = m[1], m.start(1)
-                words = re.split("([ -])", value)  # words up to the first without a digit
-                n = next((k for k in range(0, len(words), 2) if k and not any(c.isdigit() for c in words[k])), len(words) + 1)
-                value = "".join(words[: n - 1])
                 only = value.replace(" ", "").replace("-", "")
                 if len(only) >= 8 and sum("0" <= c <= "9" for c in only) >= 6:
                     take("account", start, start + len(value), True)
@@ -124,8 +124,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in finder.spans(t)] if t else [])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, kind)], ["id", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    rows = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(released(run), SCHEMA)
 
 
 def span_columns(found: DataFrame, base: tuple[str, ...]) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depscope.llm.arrow import long_id, released
+
 SLOTS = 1 << 17
 #: Labelled rows the model is fitted on at most: those of smallest id hash.
 SAMPLE_ROWS = 12_000
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
         .orderBy(F.xxhash64("id"), "id")
         .limit(SAMPLE_ROWS)
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(graded), "id")
+    rows = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(graded), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -111,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, id_col
             x = [features(t.as_py(), known).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("grade"), pa.array(x, pa.binary())], ["id", "grade", "x"])
 
-    got = rows.mapInArrow(run, "id long, grade int, x binary").dropDuplicates(["id"]).collect()  # SAMPLE_ROWS at most
+    got = rows.mapInArrow(released(run), "id long, grade int, x binary").dropDuplicates(["id"]).collect()  # SAMPLE_ROWS at most
     got.sort(key=lambda r: r["id"])
     return fit_rows([np.frombuffer(bytes(r["x"]), np.int32) for r in got], np.array([r["grade"] for r in got], np.int64), n_grades)
 
@@ -135,9 +137,9 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 ["id", *[f"__c{k}" for k in range(len(keep))], "expected_grade", "tail"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate(keep)])
+    rows = docs.select(long_id(docs, id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate(keep)])
     kinds = [f"__c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)]
-    return rows.mapInArrow(run, ", ".join(["id long", *kinds, "expected_grade double", "tail double"]))
+    return rows.mapInArrow(released(run), ", ".join(["id long", *kinds, "expected_grade double", "tail double"]))
 
 
 def label_grade() -> Column:

@@ -6,6 +6,8 @@ minimised; the result is a list of transition rows over byte classes. A text
 is scanned in one pass over its bytes for all rules. Where a rule first
 accepts, the reversed rule's automaton gives the leftmost start and the rule's
 own automaton the longest end; candidates that fail a rule's test are dropped.
+Where that start would lie in the rule's match before, the rule's own search goes on
+behind that match, so that no byte is read more than a few times for a rule.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depscope.llm.arrow import long_id, released
 from depscope.llm.pii import SCHEMA
 
 
@@ -195,6 +198,7 @@ class Scanner:
         self.first_accept = next((s for s, a in enumerate(self.all.accepts) if a), len(self.all.rows))
         self.forth = [compile_rules((r,), search=False) for r in rules]
         self.back = [compile_rules((r,), search=False, back=True) for r in rules]
+        self.search = [compile_rules((r,), search=True) for r in rules]
 
     @staticmethod
     def _longest(dfa: Dfa, data: bytes, at: int, step: int, stop: int) -> int | None:
@@ -209,6 +213,19 @@ class Scanner:
                 best = at
         return best
 
+    @staticmethod
+    def _first(dfa: Dfa, data: bytes, at: int) -> int:
+        """The first byte from at on where a search that begins there accepts; the end if there is none."""
+        s, rows, accepts, size = dfa.start, dfa.rows, dfa.accepts, 64
+        while at < len(data):
+            for k, c in enumerate(data[at : at + size].translate(dfa.classes)):
+                s = rows[s][c]
+                if accepts[s]:
+                    return at + k
+            at += size
+            size = min(2 * size, 1 << 16)
+        return len(data)
+
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(byte start, rule number, byte end) by start, then rule."""
         rows, first = self.all.rows, self.first_accept
@@ -218,17 +235,18 @@ class Scanner:
             s = rows[s][c]
             if s >= first:
                 hits.append((s, at))
-        found, done = [], [0] * len(self.rules)
+        found, done, nxt = [], [0] * len(self.rules), [0] * len(self.rules)
         for s, at in hits:
             for k in self.all.accepts[s]:
-                if at < done[k]:
+                if at < nxt[k]:
                     continue
                 start = self._longest(self.back[k], data, at, -1, done[k] - 1)
-                if start is None:
-                    continue  # it would overlap the match before
+                if start is None:  # it would overlap the match before
+                    nxt[k] = self._first(self.search[k], data, done[k])
+                    continue
                 start += 1
                 end = self._longest(self.forth[k], data, start, 1, len(data))
-                done[k] = end
+                done[k] = nxt[k] = end
                 rule = self.rules[k]
                 if rule.check is None or rule.check(data[start:end]):
                     found.append((start, k, end))
@@ -262,5 +280,5 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
                 out.append(spans)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, kind)], ["id", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    rows = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(released(run), SCHEMA)
