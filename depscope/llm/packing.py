@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depscope.llm.arrow import keyed_texts, real_id
+from depscope.llm.arrow import gathered, keyed_texts, real_id, released
 from depscope.llm.store import settled
+from depscope.llm.tok import spread
 
 ROOM = 2048
+#: Bytes of text that are encoded together.
+STEP_BYTES = 8 << 20
 PIECES = "id long, tk long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -73,23 +76,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """(id, tk, piece, start, length, ids_crc32): ids of each text and end_id, cut every room ids. Null text: only end_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from depscope.llm.tok import CachedTokenizer
+        from depscope.llm.tok import cached_tokenizer
 
-        encoder = CachedTokenizer(tokenizer)
-        for b in batches:
-            out: list[tuple] = []
-            ids = b.column("id").to_pylist()
-            for i, tk, e in zip(ids, b.column("tk").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
-                e = np.append(e, np.uint32(end_id)).astype("<u4")
-                for p, s in enumerate(range(0, len(e), room)):
-                    cut = e[s : s + room]
-                    out.append((i, tk, p, s, len(cut), zlib.crc32(cut.tobytes())))
-            if out:
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "tk", "piece", "start", "length", "ids_crc32"])
+        encoder = cached_tokenizer(tokenizer)
+        for b in gathered(batches, STEP_BYTES):
+            ids, at = encoder.encode_column(b.column("text"), end_id)
+            size = np.diff(at)
+            many = -(-size // room)
+            row = np.repeat(np.arange(len(size)), many)
+            piece = spread(np.zeros(len(many), np.int64), many)
+            start = piece * room
+            length = np.minimum(room, size[row] - start)
+            first = at[:-1][row] + start
+            crc = [zlib.crc32(ids[s:t]) for s, t in zip(first.tolist(), (first + length).tolist(), strict=True)]
+            cols = [b.column("id").take(pa.array(row)), b.column("tk").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "tk", "piece", "start", "length", "ids_crc32"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return keyed_texts(docs, id_col, text_col).mapInArrow(released(run), PIECES)
 
 
 def pack(pieces: DataFrame, room: int = ROOM) -> DataFrame:
@@ -122,7 +125,7 @@ def pack(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_part.select("__part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
     by = Window.partitionBy("__part", "length").orderBy(*[c for c in ("id", "tk", "piece") if c in cols] or ["length"])
-    ranked = pieces.withColumn("__rank", F.row_number().over(by) - 1).join(base, ["__part", "length"])
+    ranked = pieces.withColumn("__rank", F.row_number().over(by) - 1).join(base.hint("merge"), ["__part", "length"])  # base grows with the tasks: never broadcast
     ranked = ranked.select(*cols, (F.col("__rank") + F.col("__base")).alias("__at"))
     schema = ranked.drop("__at").schema.add("sequence_id", "long").add("offset", "long")
 
@@ -141,7 +144,7 @@ def pack(pieces: DataFrame, room: int = ROOM) -> DataFrame:
             out = [b.column(c) for c in cols]
             yield pa.RecordBatch.from_arrays([*out, pa.array(seq), pa.array(off)], [*cols, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(released(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM) -> DataFrame:
