@@ -1,10 +1,17 @@
 """Token ids as compressed files: an adaptive context-mixing range coder.
 
 A block is up to BLOCK ids, coded from a fresh model and with a checksum of its
-own. For each id the order-2 context and the order-1 context offer the id that
-last followed them; adaptive probabilities, chosen by how often the context has
-been right, say whether the id is the one or the other. Any other id is coded by bytes
-with order-0 frequencies. numpy codes many blocks in step, one id of each at a time.
+own. Three predictions of the next id are mixed into the one distribution that the
+coder uses: order 2 and order 1 each give all their mass to the id that last
+followed their context; order 0 spreads it over all ids by how often ids of the
+same low byte came, the last of them before the others. The weights of the three
+are kept for each pair of confidences (how often a context was right in a row)
+and move, after each id, to the share that each prediction had in the id's
+probability. An id's interval lies where the mixed cumulative distribution puts
+it, so encoder and decoder take one arithmetic step for an id.
+
+numpy codes many blocks in step, one id of each at a time. Ids over 65,535 are
+coded as two symbols of 16 bits.
 
 A file is a Parquet table of frames (one row: whole documents, their ids in
 blocks), in ascending order of document ids over the files part-00000, part-00001, ...
@@ -21,193 +28,215 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depscope.llm.arrow import chunks, keyed_texts, partitions, real_id
+from depscope.llm.arrow import free, gathered, keyed_texts, real_id, released, text_bytes
 from depscope.llm.store import shared_dir
 
 BLOCK = 1024
-#: Bytes of text whose ids are coded in step.
-FRAME_BYTES = 6 << 20
-SLOTS = 1024
-STEP = 24
-FRESH = 16
-_M32 = np.uint64(0xFFFFFFFF)
-_TOP, _BOT = np.uint64(1 << 24), np.uint64(1 << 16)
+#: Bytes of text whose ids are coded in step, and of text in a file.
+FRAME_BYTES, FILE_BYTES = 6 << 20, 48 << 20
+#: Contexts of an order in a block's table; what an id adds to its group's count; ids between new sums of counts.
+SLOTS, STEP, FRESH = 1024, 16, 32
+#: Bits of the groups' shares, of a place in a group, of the weights; of the mixed distribution.
+SHARE, INSIDE, WEIGHT = 11, 9, 8
+ORDER0 = SHARE + INSIDE
+MIXED = ORDER0 + WEIGHT
+_NONE = (1 << INSIDE) - 1
+_M32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
+#: First weights of order 2 and order 1 by confidence.
+FIRST = ((0.03, 0.45, 0.65, 0.8), (0.03, 0.35, 0.5, 0.6))
 
 
 class _Model:
-    """What is known of each block so far; the encoder and the decoder drive it alike."""
-
-    def __init__(self, blocks: int, width: int):
-        self.lane = np.arange(blocks)
-        self.guess = [np.zeros((blocks, SLOTS), np.int64) for _ in range(2)]
-        self.right = [np.zeros((blocks, SLOTS), np.int8) for _ in range(2)]
-        self.chance = [np.full((blocks, 4), 1024, np.int64) for _ in range(2)]
-        self.freq = [np.ones((blocks, 256), np.int64) for _ in range(width)]
-        self.sum = [np.zeros((blocks, 257), np.int64) for _ in range(width)]
+    """What is known of each block so far; the encoder and the decoder drive it alike.
+
+    A symbol is group << 8 | place, the group its low byte: frequent ids differ in that.
+    In arrays with two rows the first is for order 1, the second for order 2.
+    """
+
+    def __init__(self, blocks: int):
+        lane = np.arange(blocks)
+        self.row = lane * 256
+        self.table = np.zeros(2 * blocks * SLOTS, np.int32)  # confidence << 16 | symbol
+        self.base = np.stack([lane, lane + blocks]) * SLOTS
+        two, one = (np.array(x) for x in FIRST)
+        first = np.stack([(1 - two[:, None]) * one[None, :], np.broadcast_to(two[:, None], (4, 4))]).reshape(2, 1, 16)
+        self.weights = np.broadcast_to((first * 65536).astype(np.int32), (2, blocks, 16)).copy().reshape(-1)
+        self.wbase = np.stack([lane, lane + blocks]) * 16
+        self.counts = np.ones(blocks * 256, np.int32)
+        self.groups = np.full(blocks * 256, _NONE, np.int32)  # share before it << 20 | own share << 9 | last place
         self.before = np.zeros((2, blocks), np.int64)
+        self.mixed = np.zeros((2, blocks), np.int64)
         self.steps = 0
 
-    def context(self) -> None:
-        if self.steps % FRESH == 0:
-            for f, s in zip(self.freq, self.sum, strict=True):
-                np.cumsum(f, axis=1, out=s[:, 1:])
+    def predict(self) -> None:
+        if self.steps % FRESH == 0 or self.steps in (4, 8, 16):
+            sums = np.cumsum(self.counts.reshape(-1, 256), axis=1)
+            ends = (sums * (((1 << SHARE) - 256) / sums[:, -1:])).astype(np.int32) + np.arange(1, 257, dtype=np.int32)
+            ends[:, -1] = 1 << SHARE
+            starts = np.zeros_like(ends)
+            starts[:, 1:] = ends[:, :-1]
+            self.groups = (starts << 20 | (ends - starts) << INSIDE).reshape(-1) | (self.groups & _NONE)
         self.steps += 1
-        a, b = self.before
-        self.slot = [((b * 0x9E3779B1 + a * 0x85EBCA6B) >> 7) % SLOTS, (b * 0x9E3779B1 >> 9) % SLOTS]
-        self.offer = [g[self.lane, s] for g, s in zip(self.guess, self.slot, strict=True)]
-        self.trust = [r[self.lane, s] for r, s in zip(self.right, self.slot, strict=True)]
-
-    def chances(self, order: int, on: np.ndarray) -> np.ndarray:
-        return np.clip(self.chance[order][on, self.trust[order][on]], 32, 4064)
-
-    def saw(self, order: int, on: np.ndarray, hit: np.ndarray) -> None:
-        t = self.trust[order][on]
-        c = self.chance[order][on, t]
-        self.chance[order][on, t] = c + ((np.where(hit, 4096, 0) - c) >> 4)
-
-    def learn(self, ids: np.ndarray, on: np.ndarray) -> None:
-        for o in range(2):
-            hit = self.offer[o][on] == ids
-            t = self.trust[o][on]
-            self.right[o][on, self.slot[o][on]] = np.where(hit, np.minimum(t + 1, 3), 0)
-            self.guess[o][on, self.slot[o][on]] = ids
-        self.before[0, on], self.before[1, on] = self.before[1, on], ids
-
-
-class _Encoder:
-    def __init__(self, blocks: int, room: int):
-        self.low, self.range = np.zeros(blocks, np.uint64), np.full(blocks, _M32)
-        self.out, self.size = np.zeros((blocks, room), np.uint8), np.zeros(blocks, np.int64)
-
-    def put(self, on: np.ndarray, start: np.ndarray, count: np.ndarray, total: np.ndarray | int) -> None:
-        low, r = self.low[on], self.range[on] // np.asarray(total, np.uint64)
-        low = (low + start.astype(np.uint64) * r) & _M32
-        r = r * count.astype(np.uint64)
-        self.low[on], self.range[on] = low, r
-        while len(on):
-            same = (low ^ ((low + r) & _M32)) < _TOP
-            small = ~same & (r < _BOT)
-            more = same | small
-            if not more.any():
-                return
-            on, low, r, small = on[more], low[more], r[more], small[more]
-            r = np.where(small, (np.uint64(0) - low) & (_BOT - np.uint64(1)), r)
-            self.out[on, self.size[on]] = low >> np.uint64(24)
-            self.size[on] += 1
-            low, r = (low << np.uint64(8)) & _M32, (r << np.uint64(8)) & _M32
-            self.low[on], self.range[on] = low, r
+        b1, b2 = self.before
+        np.multiply(b1, 0x9E3779B1, out=self.mixed[0])
+        np.add(self.mixed[0], b2 * 0x85EBCA6B, out=self.mixed[1])
+        self.at = (self.mixed >> 11 & SLOTS - 1) + self.base
+        self.entry = self.table.take(self.at)
+        self.guess = self.entry & 0xFFFF
+        trust = self.entry >> 16
+        self.wat = (trust[1] * 4 + trust[0]) + self.wbase
+        self.w = self.weights.take(self.wat)
+        own = (self.w >> 8).astype(np.int64)
+        self.rest = (1 << WEIGHT) - own[0] - own[1]
+        self.mass = own << ORDER0
+
+    def order0(self, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cumulative and own mass of symbols by order 0, of 1 << ORDER0; the entries of their groups and where they are."""
+        at = self.row + (symbol >> 8)
+        e = self.groups.take(at)
+        last, place = e & _NONE, symbol & 255
+        fresh = last >> 8
+        share = (e >> INSIDE & (1 << SHARE) - 1).astype(np.int64)
+        cum = ((e >> 20).astype(np.int64) << INSIDE) + share * (place + fresh * place + ((last < place) << 8))
+        return cum, share * (1 + fresh + ((last == place) << 8)), e, at
+
+    def interval(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each block's symbol in the mixed distribution."""
+        cum, own, self.e, self.eat = self.order0(symbol)
+        self.hit = self.guess == symbol
+        below = self.mass * (self.guess < symbol)
+        got = self.mass * self.hit
+        self.size = self.rest * own + got[0] + got[1]
+        self.got = got
+        return self.rest * cum + below[0] + below[1], self.size
+
+    def find(self, t: np.ndarray) -> np.ndarray:
+        """The symbol in whose interval t lies: the guesses' masses are taken out of t, order 0 says the rest."""
+        first = self.guess[0] <= self.guess[1]
+        low, high = np.where(first, self.guess[0], self.guess[1]), np.where(first, self.guess[1], self.guess[0])
+        for guess, mass in ((low, np.where(first, self.mass[0], self.mass[1])), (high, np.where(first, self.mass[1], self.mass[0]))):
+            t = t - np.minimum(np.maximum(t - self.rest * self.order0(guess)[0], 0), mass)
+        c = np.minimum((t / self.rest).astype(np.int64), (1 << ORDER0) - 1)
+        key = (c >> INSIDE << 20) + 0xFFFFF
+        at = self.row.copy()
+        for half in (128, 64, 32, 16, 8, 4, 2, 1):
+            at += half * (self.groups.take(at + half) <= key)
+        e = self.groups.take(at)
+        u = ((c - ((e >> 20).astype(np.int64) << INSIDE)) / (e >> INSIDE & (1 << SHARE) - 1)).astype(np.int64)
+        last = e & _NONE
+        place = np.where(last > 255, u >> 1, u - np.minimum(np.maximum(u - last, 0), 256))
+        return (at - self.row << 8) + place
+
+    def learn(self, symbol: np.ndarray) -> None:
+        self.table[self.at] = np.where(self.hit, np.minimum(self.entry + 65536, self.guess | 3 << 16), symbol)
+        share = (self.got * (65535.0 / self.size)).astype(np.int32)
+        self.weights[self.wat] = self.w + (share - self.w >> 5)
+        self.counts[self.eat] = self.counts.take(self.eat) + STEP
+        self.groups[self.eat] = self.e & ~_NONE | (symbol & 255).astype(np.int32)
+        self.before[1] = self.before[0]
+        self.before[0] = symbol
+
+
+class _Coder:
+    """Arithmetic coding of many blocks with 64 bits of state; words of 32 bits go out (or come in) once their bits are settled."""
+
+    def __init__(self, blocks: int):
+        self.low, self.range = np.zeros(blocks, np.uint64), np.full(blocks, 2**64 - 1, np.uint64)
+
+    def narrow(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the interval; the blocks that are left with under 32 bits of range, and the word that each of them settles."""
+        r = self.range >> np.uint64(MIXED)
+        self.low += r * start.astype(np.uint64)
+        self.range = r * size.astype(np.uint64)
+        on = np.flatnonzero(self.range <= _M32)
+        low, r = self.low[on], self.range[on]
+        top = low >> _32
+        left = (top + np.uint64(1) << _32) - low  # up to the next word; 0 stands for 2 ** 64
+        split = left - np.uint64(1) < r - np.uint64(1)
+        upper = split & (r - left > left)  # of a range over two words the larger part is taken
+        r = np.where(upper, r - left, np.where(split, left, r))
+        low = np.where(upper, np.uint64(0), low << _32)
+        self.low[on], self.range[on] = low, r << _32
+        return on, top + upper
+
+
+class _Encoder(_Coder):
+    def __init__(self, blocks: int, symbols: int):
+        super().__init__(blocks)
+        self.out, self.size = np.zeros((blocks, symbols + 4), "<u4"), np.zeros(blocks, np.int64)
+
+    def put(self, start: np.ndarray, size: np.ndarray) -> None:
+        on, word = self.narrow(start, size)
+        self.out[on, self.size[on]] = word
+        self.size[on] += 1
 
     def end(self) -> list[bytes]:
-        tail = self.low.astype(">u4").view(np.uint8).reshape(-1, 4)
-        return [self.out[k, : self.size[k]].tobytes() + tail[k].tobytes() for k in range(len(self.low))]
+        self.out[np.arange(len(self.low)), self.size] = (self.low + _M32) >> _32  # zeros follow it
+        return [self.out[k, : self.size[k] + 1].tobytes() for k in range(len(self.low))]
 
 
-class _Decoder:
-    def __init__(self, payloads: list[bytes]):
-        room = max(map(len, payloads)) + 8
-        self.data = np.zeros((len(payloads), room), np.uint64)
+class _Decoder(_Coder):
+    def __init__(self, payloads: list[bytes], symbols: int):
+        super().__init__(len(payloads))
+        self.words = np.zeros((len(payloads), max(symbols, max(len(p) // 4 for p in payloads)) + 4), "<u4")
         for k, p in enumerate(payloads):
-            self.data[k, : len(p)] = np.frombuffer(p, np.uint8)
-        self.low, self.range = np.zeros(len(payloads), np.uint64), np.full(len(payloads), _M32)
-        self.code = self.data[:, 0] << np.uint64(24) | self.data[:, 1] << np.uint64(16) | self.data[:, 2] << np.uint64(8) | self.data[:, 3]
-        self.at = np.full(len(payloads), 4)
-
-    def peek(self, on: np.ndarray, total: np.ndarray | int) -> np.ndarray:
-        t = np.asarray(total, np.uint64)
-        return np.minimum(((self.code[on] - self.low[on]) & _M32) // (self.range[on] // t), t - np.uint64(1)).astype(np.int64)
-
-    def take(self, on: np.ndarray, start: np.ndarray, count: np.ndarray, total: np.ndarray | int) -> None:
-        low, r, code = self.low[on], self.range[on] // np.asarray(total, np.uint64), self.code[on]
-        low = (low + start.astype(np.uint64) * r) & _M32
-        r = r * count.astype(np.uint64)
-        self.low[on], self.range[on] = low, r
-        while len(on):
-            same = (low ^ ((low + r) & _M32)) < _TOP
-            small = ~same & (r < _BOT)
-            more = same | small
-            if not more.any():
-                return
-            on, low, r, small, code = on[more], low[more], r[more], small[more], code[more]
-            r = np.where(small, (np.uint64(0) - low) & (_BOT - np.uint64(1)), r)
-            code = ((code << np.uint64(8)) & _M32) | self.data[on, self.at[on]]
-            self.at[on] += 1
-            low, r = (low << np.uint64(8)) & _M32, (r << np.uint64(8)) & _M32
-            self.low[on], self.range[on], self.code[on] = low, r, code
+            self.words[k, : len(p) // 4] = np.frombuffer(p, "<u4", len(p) // 4)
+        self.code = self.words[:, 0].astype(np.uint64) << _32 | self.words[:, 1].astype(np.uint64)
+        self.next = np.full(len(payloads), 2)
+
+    def peek(self) -> np.ndarray:
+        return np.minimum((self.code - self.low) // (self.range >> np.uint64(MIXED)), np.uint64((1 << MIXED) - 1)).astype(np.int64)
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        on, _ = self.narrow(start, size)
+        self.code[on] = self.code[on] << _32 | self.words[on, self.next[on]]
+        self.next[on] += 1
+
+
+def _swap(a: np.ndarray) -> np.ndarray:
+    return (a & 255) << 8 | a >> 8
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[int, list[bytes], list[int]]:
-    """Bytes an id takes at most, the payload of each block, its crc32."""
+    """Bytes an id takes (2 or 4), the payload of each block, its crc32. The last block is filled up with zeros."""
     n = len(ids)
-    width = max(1, (int(ids.max()).bit_length() + 7) // 8) if n else 1
-    blocks = -(-n // block)
-    if not blocks:
+    width = 4 if n and int(ids.max()) > 0xFFFF else 2
+    if not n:
         return width, [], []
-    grid = np.zeros((blocks, block), np.int64)
-    grid.reshape(-1)[:n] = ids
-    model, coder = _Model(blocks, width), _Encoder(blocks, block * (2 * width + 4) + 16)
-    for t in range(block):
-        live = model.lane if t < n - (blocks - 1) * block else model.lane[: blocks - 1]
-        if not len(live):
-            break
-        model.context()
-        x = grid[live, t]
-        on, v = live, x
-        for o in range(2):
-            hit = model.offer[o][on] == v
-            c = model.chances(o, on)
-            coder.put(on, np.where(hit, 0, c), np.where(hit, c, 4096 - c), 4096)
-            model.saw(o, on, hit)
-            on, v = on[~hit], v[~hit]
-        for w in range(width):
-            b = v >> 8 * w & 255
-            s = model.sum[w]
-            coder.put(on, s[on, b], s[on, b + 1] - s[on, b], s[on, 256])
-            model.freq[w][on, b] += STEP
-        model.learn(x, live)
     sums = [zlib.crc32(ids[a : a + block].astype("<u4").tobytes()) for a in range(0, n, block)]
+    blocks = len(sums)
+    symbols = min(block, n) * width // 2
+    grid = np.zeros(blocks * symbols, np.int64)
+    grid[: n * width // 2] = ids.astype(f"<u{width}").view("<u2")
+    grid = np.ascontiguousarray(_swap(grid).reshape(blocks, symbols).T)
+    model, coder = _Model(blocks), _Encoder(blocks, symbols)
+    for row in grid:
+        model.predict()
+        coder.put(*model.interval(row))
+        model.learn(row)
     return width, coder.end(), sums
 
 
 def decode_blocks(n: int, width: int, payloads: list[bytes], sums: list[int], block: int = BLOCK) -> np.ndarray:
     """The n ids; a block whose checksum differs is an error."""
-    blocks = len(payloads)
-    if not blocks:
+    if not payloads:
         return np.zeros(0, "<u4")
-    grid = np.zeros((blocks, block), np.int64)
-    model, coder = _Model(blocks, width), _Decoder(payloads)
-    for t in range(block):
-        live = model.lane if t < n - (blocks - 1) * block else model.lane[: blocks - 1]
-        if not len(live):
-            break
-        model.context()
-        on = live
-        for o in range(2):
-            c = model.chances(o, on)
-            hit = coder.peek(on, 4096) < c
-            coder.take(on, np.where(hit, 0, c), np.where(hit, c, 4096 - c), 4096)
-            model.saw(o, on, hit)
-            grid[on[hit], t] = model.offer[o][on[hit]]
-            on = on[~hit]
-        v = np.zeros(len(on), np.int64)
-        for w in range(width):
-            s = model.sum[w]
-            want = coder.peek(on, s[on, 256])
-            b = np.zeros(len(on), np.int64)
-            for half in (128, 64, 32, 16, 8, 4, 2, 1):
-                b += np.where(s[on, b + half] <= want, half, 0)
-            coder.take(on, s[on, b], s[on, b + 1] - s[on, b], s[on, 256])
-            model.freq[w][on, b] += STEP
-            v |= b << 8 * w
-        grid[on, t] = v
-        model.learn(grid[live, t], live)
-    ids = grid.reshape(-1)[:n].astype("<u4")
+    symbols = min(block, n) * width // 2
+    grid = np.zeros((symbols, len(payloads)), np.int64)
+    model, coder = _Model(len(payloads)), _Decoder(payloads, symbols)
+    for t in range(symbols):
+        model.predict()
+        row = grid[t] = model.find(coder.peek())
+        coder.take(*model.interval(row))
+        model.learn(row)
+    ids = _swap(grid).T.reshape(-1).astype("<u2").view(f"<u{width}")[:n].astype("<u4")
     for k, want in enumerate(sums):
         if zlib.crc32(ids[k * block : (k + 1) * block].tobytes()) != want:
             raise ValueError(f"block {k} does not match its checksum")
     return ids
 
 
-FRAME = "part int, frame int, n_ids long, width int, doc_ids array<bigint>, doc_sizes array<bigint>, sizes array<int>, sums array<bigint>, payload binary"
+FRAME = "part int, frame int, first long, n_ids long, width int, doc_ids array<bigint>, doc_sizes array<bigint>, sizes array<int>, sums array<bigint>, payload binary"
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
@@ -220,68 +249,56 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from depscope.llm.tok import CachedTokenizer
+        from depscope.llm.tok import cached_tokenizer
 
-        encoder, part, frame = CachedTokenizer(tokenizer), TaskContext.get().partitionId(), 0
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+        encoder, part, frame, first = cached_tokenizer(tokenizer), TaskContext.get().partitionId(), 0, 0
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
         names = [f.split(" ")[0] for f in FRAME.split(", ")]
-        for batch in batches:
-            for c in chunks(batch, limit=FRAME_BYTES):
-                ids = [np.append(e, np.uint32(end_id)) for e in encoder.encode(c.column("text").to_pylist())]
-                every = np.concatenate(ids).astype(np.int64)
-                width, payloads, sums = encode_blocks(every)
-                row = (part, frame, len(every), width, c.column("id").to_pylist(), [len(e) for e in ids], [len(p) for p in payloads], sums, b"".join(payloads))
-                frame += 1
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
-
-    spark = docs.sparkSession
-    rows = keyed_texts(docs, id_col, text_col).repartitionByRange(partitions(spark), "id", "tk").sortWithinPartitions("id", "tk")
-    rows.mapInArrow(run, FRAME).write.option("compression", "none").parquet(path)
-
-
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(id, start, n_tokens, ids) of each document in the files; start: ids of all documents before it."""
+        for c in gathered(batches, FRAME_BYTES):
+            ids, at = encoder.encode_column(c.column("text"), end_id)
+            width, payloads, sums = encode_blocks(ids)
+            row = (part, frame, first, len(ids), width, c.column("id"), np.diff(at), [len(p) for p in payloads], sums, b"".join(payloads))
+            frame, first = frame + 1, first + len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+
+    files = 1 + text_bytes(docs, text_col) // FILE_BYTES
+    rows = keyed_texts(docs, id_col, text_col).repartitionByRange(files, "id", "tk").sortWithinPartitions("id", "tk")
+    rows.mapInArrow(released(run), FRAME).write.option("compression", "none").parquet(path)
+
+
+def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(id, start, n_tokens, ids) of each document in the files; start: ids of all documents before it.
+
+    digest: ids_crc32 in place of ids, taken where the ids are decoded, so that they never leave the task.
+    """
     frames = spark.read.schema(FRAME).parquet(path)
-    heads = frames.select("part", "frame", "n_ids")
-    parts = heads.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    back = (Window.unboundedPreceding, -1)
-    # one row for each file, then one for each frame of a file
-    base = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*back)), F.lit(0)).alias("base"))
-    inner = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("frame").rowsBetween(*back)), F.lit(0))
-    starts = heads.withColumn("inner", inner).join(base, "part").select("part", "frame", (F.col("inner") + F.col("base")).alias("first"))
+    ends = frames.select("part", (F.col("first") + F.col("n_ids")).alias("n")).groupBy("part").agg(F.max("n").alias("n"))
+    # one row for each file
+    base = ends.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                r = {n: b.column(n)[k] for n in b.schema.names}
-                data, payloads, at = r["payload"].as_py(), [], 0
-                for s in r["sizes"].as_py():
-                    payloads.append(data[at : at + s])
-                    at += s
-                ids = decode_blocks(r["n_ids"].as_py(), r["width"].as_py(), payloads, r["sums"].as_py())
-                sizes = np.array(r["doc_sizes"].as_py(), np.int64)
+                r = {n: b.column(n)[k].as_py() for n in b.schema.names}
+                cuts = np.append(0, np.cumsum(r["sizes"])).tolist()
+                payloads = [r["payload"][s:t] for s, t in zip(cuts[:-1], cuts[1:], strict=True)]
+                ids = decode_blocks(r["n_ids"], r["width"], payloads, r["sums"])
+                sizes = np.array(r["doc_sizes"], np.int64)
                 ends = np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"].as_py(), pa.int64()), pa.array(ends - sizes), pa.array(sizes), lists, pa.array([r["part"].as_py()] * len(sizes), pa.int32()), pa.array([r["frame"].as_py()] * len(sizes), pa.int32())],
-                    ["id", "within", "n_tokens", "ids", "part", "frame"],
-                )
+                start = pa.array(r["base"] + r["first"] + ends - sizes)
+                if digest:
+                    last = pa.array([zlib.crc32(ids[s:t]) for s, t in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], pa.int64())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), start, pa.array(sizes), last], ["id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+            free()
 
-    docs = frames.mapInArrow(run, "id long, within long, n_tokens long, ids array<bigint>, part int, frame int")
-    return docs.join(starts, ["part", "frame"]).select("id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids")
+    placed = frames.join(base, "part").select("first", "base", "n_ids", "width", "doc_ids", "doc_sizes", "sizes", "sums", "payload")
+    return placed.mapInArrow(released(run), "id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<bigint>"))
 
 
 def id_columns(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read back from files written for docs."""
     path = f"{shared_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
     write_ids(docs, path, tokenizer, id_col, text_col)
-    back = read_ids(docs.sparkSession, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids")
-            crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
-
-    done = back.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
-    return done.select(real_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return read_ids(docs.sparkSession, path, digest=True).select(real_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
