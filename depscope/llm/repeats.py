@@ -2,196 +2,137 @@
 
 A run of n words that stands twice holds, in either place, a block of n // 2
 words that begins at a multiple of n // 2. So: (1) the blocks of all documents are the
-reference index, every rolling window of that length is a probe, both are dealt out by hash,
-and probes that meet a block elsewhere are anchors; (2) windows of n words around
-anchors are compared by their 64-bit hashes, which extends the anchors to maximal
-repeats; every window but the first of its kind is marked.
-
-Rows of the shuffles are packed: one row holds what a chunk of texts sends to a
-bucket. In (2), of equal windows in a chunk only the first is sent to the bucket of its
-hash, so a passage that many documents share reaches it once for each chunk; in (1) all are sent.
+reference index, every rolling window of that length is a probe, and probes that meet a
+block elsewhere are anchors; (2) windows of n words around anchors are compared by
+96 bits of hash, which extends the anchors to maximal repeats; every window but the
+first of its kind is marked.
+
+Both steps use the exchange of blobs.py: documents stay in chunks, of equal windows in a
+chunk one is sent, and the answer is a bit for each. So a passage that many documents share
+reaches a range once for each chunk. An anchor's fingerprint may meet another by chance;
+that makes a candidate more and nothing else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.arrow import NOT_SPACE, chunks, even_keys, hash_spans, keyed_texts, ngram_hash, partitions, planes, real_id, text_buffer, unplanes, word_spans
+from depscope.llm.arrow import NOT_SPACE, free, hash_spans, keyed_texts, mix64, ngram_hash, real_id, released, text_buffer, word_spans
+from depscope.llm.blobs import answered, asks, chunked, corpus, fingerprint_bits, from_blob, heads, in_order, pack, ranges, unpack
+from depscope.llm.store import settled
 
 N = 20
-SENT = "bucket long, ids binary, tks binary, doc binary, pos binary, hash binary, block binary"
-FOUND = "id long, tk long, at binary"
-#: Bytes of text whose windows are sent together.
-SEND_BYTES = 8 << 20
-
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class _Chunk:
+    """Words of a chunk's texts and their windows."""
+
+    def __init__(self, data: pa.Scalar, n: int):
+        self.batch, self.n, self.half = from_blob(data), n, n // 2
+        self.buf, self.off = text_buffer(self.batch.column("text"))
+        self.starts, self.ends, self.of = word_spans(self.buf, self.off, NOT_SPACE)
+        self.hash = hash_spans(self.buf, self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+        self.first = np.searchsorted(self.of, np.arange(self.batch.num_rows + 1))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of each run of size words that lies in one text."""
+        g = ngram_hash(self.hash, size)
+        at = np.flatnonzero(self.of[: len(g)] == self.of[size - 1 :][: len(g)]) if len(g) else np.zeros(0, np.int64)
+        return at, g[at]
+
+    def probes(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word of each half window, sorted by fingerprint; the fingerprints; where a distinct one begins."""
+        at, g = self.windows(self.half)
+        by = np.argsort(g, kind="stable")
+        key = g[by] >> np.uint64(64 - bits)
+        return at[by], key, heads(key)
+
+    def candidates(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word of each window that holds an anchor (a mask of words), sorted by hash and place; its 64 and 32 bits of hash."""
+        at, g = self.windows(self.n)
+        seen = np.concatenate([[0], np.cumsum(anchors)])
+        ok = seen[at + self.n - self.half + 1] > seen[at]
+        at, g = at[ok], g[ok]
+        other = ngram_hash(mix64(self.hash ^ _OTHER), self.n)[at] >> np.uint64(32) if len(at) else g
+        ids, tks, doc = *_ids(self.batch), self.of[at]
+        by = np.lexsort((at - self.first[doc], tks[doc], ids[doc], other, g))
+        return at[by], g[by], other[by]
 
-def _deltas(a: np.ndarray) -> bytes:
-    return planes(np.diff(a.astype(np.int32), prepend=np.int32(0)))
 
+def _ids(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return c.column("id").to_numpy(), c.column("tk").to_numpy()
 
-def _undelta(b: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(b, np.int32)).astype(np.int64)
 
+def _bits(a: np.ndarray) -> bytes:
+    return np.packbits(a).tobytes()
 
-def _read(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, their text numbers, the first word of each text, bytes."""
-    buf, off = text_buffer(c.column("text"))
-    starts, ends, of = word_spans(buf, off, NOT_SPACE)
-    h = hash_spans(buf, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    return h, of, np.searchsorted(of, np.arange(c.num_rows + 1)), buf
 
+def _mask(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
 
-def _windows(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each window that lies in one text."""
-    g = ngram_hash(h, n)
-    at = np.flatnonzero(of[: len(g)] == of[n - 1 :][: len(g)]) if len(g) else np.zeros(0, np.int64)
-    return at, g[at]
 
+def _anchors(keys: np.ndarray, row: np.ndarray, more: list[bytes]) -> list[bytes]:
+    """A bit for each key: whether a block has it, and another window too."""
+    many = np.bincount(row, minlength=len(more)).tolist()
+    flags = np.concatenate([_mask(m, 2 * k).reshape(2, k) for m, k in zip(more, many, strict=True)], axis=1)  # a block has it; it stands twice in the chunk
+    by = np.argsort(keys, kind="stable")
+    head = heads(keys[by])
+    size = np.diff(np.append(head, len(keys)))
+    twice = (size > 1) | np.logical_or.reduceat(flags[1][by], head)
+    hit = np.empty(len(keys), bool)
+    hit[by] = np.repeat(twice & np.logical_or.reduceat(flags[0][by], head), size)
+    cuts = np.searchsorted(row, np.arange(len(more) + 1)).tolist()
+    return [_bits(hit[s:t]) for s, t in zip(cuts[:-1], cuts[1:], strict=True)]
 
-def _positions(ids: np.ndarray, tks: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """One (id, tk, packed positions) for each document of doc."""
-    by = np.lexsort((pos, doc))
-    doc, pos = doc[by], pos[by]
-    cut = np.flatnonzero(np.diff(doc, prepend=-1))
-    for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True):
-        yield int(ids[doc[a]]), int(tks[doc[a]]), _deltas(pos[a:z])
 
+def _places(other: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, tks: np.ndarray) -> bytes:
+    """What goes along with windows: the rest of their hashes, and where each stands first."""
+    own, of = np.unique(doc, return_inverse=True)
+    parts = [pack(other), pack(of), pack(pos), ids[own].astype("<i8").tobytes(), tks[own].astype("<i8").tobytes()]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
-def _rows(found: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table(
-        {"id": pa.array([x[0] for x in found], pa.int64()), "tk": pa.array([x[1] for x in found], pa.int64()), "at": pa.array([x[2] for x in found], pa.binary())}
-    )
 
+def _placed(m: bytes) -> tuple[np.ndarray, ...]:
+    parts = []
+    while m:
+        n = int.from_bytes(m[:4], "little")
+        parts.append(m[4 : 4 + n])
+        m = m[4 + n :]
+    of = unpack(parts[1]).astype(np.int64)
+    return unpack(parts[0]), np.frombuffer(parts[3], "<i8")[of], np.frombuffer(parts[4], "<i8")[of], unpack(parts[2]).astype(np.int64)
 
-def _sender(select: Callable, keys: list[int]) -> Callable:
-    """mapInArrow function: select(chunk) gives ids, tks, doc, pos, hash, block of what a chunk sends."""
-    n = len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in chunks(b, limit=SEND_BYTES):
-                ids, tks, doc, pos, h, block = select(c)
-                to = (h >> np.uint64(33)).astype(np.int64) % n
-                by = np.argsort(to, kind="stable")
-                ends = np.searchsorted(to[by], np.arange(n + 1))
-                out: list[tuple] = []
-                for k in range(n):
-                    x = by[ends[k] : ends[k + 1]]
-                    if len(x):
-                        own, d = np.unique(doc[x], return_inverse=True)
-                        out.append((keys[k], planes(ids[own]), planes(tks[own]), _deltas(d), _deltas(pos[x]), planes(h[x]), np.packbits(block[x]).tobytes()))
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(x, pa.binary()) for x in cols[1:]]], ["bucket", "ids", "tks", "doc", "pos", "hash", "block"])
-
-    return run
-
-
-def _opened(t: pa.Table) -> Iterator[tuple]:
-    for r in t.to_batches():
-        for k in range(r.num_rows):
-            v = {c: r.column(c)[k].as_py() for c in ("ids", "tks", "doc", "pos", "hash", "block")}
-            h = unplanes(v["hash"], np.uint64)
-            block = np.unpackbits(np.frombuffer(v["block"], np.uint8))[: len(h)].astype(bool)
-            yield unplanes(v["ids"], np.int64), unplanes(v["tks"], np.int64), _undelta(v["doc"]), _undelta(v["pos"]), h, block
-
-
-def _gather(t: pa.Table) -> tuple:
-    """All rows of a bucket with documents numbered through."""
-    parts, at = list(_opened(t)), 0
-    docs = []
-    for p in parts:
-        docs.append(p[2] + at)
-        at += len(p[0])
-    cat = lambda k: np.concatenate([p[k] for p in parts])
-    return cat(0), cat(1), np.concatenate(docs), cat(3), cat(4), cat(5)
-
-
-def _anchors(t: pa.Table) -> pa.Table:
-    ids, tks, doc, pos, h, block = _gather(t)
-    by = np.argsort(h, kind="stable")
-    s = h[by]
-    head = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    size = np.diff(np.append(head, len(s)))
-    hit = (size > 1) & np.logical_or.reduceat(block[by], head)
-    x = by[np.repeat(hit, size)]
-    return _rows(list(_positions(ids, tks, doc[x], pos[x])))
-
-
-def _later(t: pa.Table) -> pa.Table:
-    """Windows that are not the first of their kind; rows with block set are known to be later ones."""
-    ids, tks, doc, pos, h, known = _gather(t)
-    x = np.flatnonzero(~known)
-    by = x[np.lexsort((pos[x], tks[doc[x]], ids[doc[x]], h[x]))]
-    first = np.append(True, h[by][1:] != h[by][:-1])
-    # a repeated row (same id and text) stands where its twin stands: it is first where the twin is
+def _later(keys: np.ndarray, row: np.ndarray, more: list[bytes]) -> list[bytes]:
+    """A bit for each window: whether one of its kind stands earlier. A repeated row (same id and text) is its twin."""
+    other, ids, tks, pos = (np.concatenate(x) for x in zip(*map(_placed, more), strict=True))
+    by = np.lexsort((pos, tks, ids, other, keys))
+    first = np.append(True, (keys[by][1:] != keys[by][:-1]) | (other[by][1:] != other[by][:-1]))
     head = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
-    same = (ids[doc[head]] == ids[doc[by]]) & (tks[doc[head]] == tks[doc[by]]) & (pos[head] == pos[by])
-    x = np.concatenate([by[~same], np.flatnonzero(known)])
-    return _rows(list(_positions(ids, tks, doc[x], pos[x])))
-
-
-def _by_doc(found: DataFrame) -> DataFrame:
-    return found.groupBy("id", "tk").agg(F.collect_list("at").alias("at"))
-
-
-def _marks(at: pa.Scalar, size: int) -> np.ndarray:
-    m = np.zeros(size, bool)
-    if at.is_valid:
-        for b in at.values:
-            m[_undelta(bytes(b.as_buffer()))] = True
-    return m
-
-
-def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """(id, tk, text, at): each row of docs and the packed first words of its windows that also start earlier."""
-    spark = docs.sparkSession
-    half = n // 2
-    rows = keyed_texts(docs, id_col, text_col)
-    keys = even_keys(spark, partitions(spark))
-    dealt = rows.repartition(partitions(spark), "id", "tk")
-
-    def probes(c: pa.RecordBatch) -> tuple:
-        h, of, first, _ = _read(c)
-        at, g = _windows(h, of, half)
-        doc, pos = of[at], at - first[of[at]]
-        block = pos % half == 0
-        return (*_ids(c), doc, pos, g, block)
-
-    def candidates(c: pa.RecordBatch) -> tuple:
-        h, of, first, _ = _read(c)
-        mark = np.zeros(len(h), bool)
-        for k in range(c.num_rows):
-            mark[first[k] : first[k + 1]] = _marks(c.column("at")[k], int(first[k + 1] - first[k]))
-        at, g = _windows(h, of, n)
-        seen = np.concatenate([[0], np.cumsum(mark)])
-        ok = seen[at + n - half + 1] > seen[at] if len(at) else np.zeros(0, bool)  # an anchor begins in the window and ends in it
-        at, g = at[ok], g[ok]
-        doc, pos = of[at], at - first[of[at]]
-        ids, tks = _ids(c)
-        by = np.lexsort((pos, tks[doc], ids[doc], g))
-        s = g[by]
-        head = by[np.maximum.accumulate(np.where(np.append(True, s[1:] != s[:-1]), np.arange(len(by)), 0))] if len(by) else by
-        twin = (ids[doc[head]] == ids[doc[by]]) & (tks[doc[head]] == tks[doc[by]]) & (pos[head] == pos[by])
-        known = np.zeros(len(at), bool)
-        known[by] = ~twin
-        # a window known to be a later one needs no company of its kind: it goes where its document goes
-        spread = (ids[doc] * 0x9E3779B1 + (pos >> 10)).astype(np.uint64) << np.uint64(33)
-        return ids, tks, doc, pos, np.where(known, spread, g), known
-
-    anchored = rows.mapInArrow(_sender(probes, keys), SENT).groupBy("bucket").applyInArrow(_anchors, FOUND)
-    again = dealt.join(_by_doc(anchored), ["id", "tk"])
-    found = again.mapInArrow(_sender(candidates, keys), SENT).groupBy("bucket").applyInArrow(_later, FOUND)
-    return dealt.join(_by_doc(found), ["id", "tk"], "left")
+    later = np.empty(len(keys), bool)
+    later[by] = (ids[head] != ids[by]) | (tks[head] != tks[by]) | (pos[head] != pos[by])
+    cuts = np.searchsorted(row, np.arange(len(more) + 1)).tolist()
+    return [_bits(later[s:t]) for s, t in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _ids(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return c.column("id").to_numpy(), c.column("tk").to_numpy()
+def _kinds(g: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (other[1:] != other[:-1]))) if len(g) else np.zeros(0, np.int64)
+
+
+def _answer_bits(answers: pa.Table, sizes: list[int]) -> np.ndarray:
+    got = in_order(answers)
+    return np.concatenate([_mask(b, n) for b, n in zip(got, sizes, strict=True)]) if got else np.zeros(0, bool)
+
+
+def _asked_sizes(keys: np.ndarray, bits: int, parts: int) -> list[int]:
+    """How many of the sorted keys go to each range that has some."""
+    p = (keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)
+    return np.diff(np.append(heads(p), len(p))).tolist()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -204,34 +145,79 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fewer than n words lose none. Repeated rows (same id and text) count as
     one document and get a row each. An empty table gives an empty result.
     """
+    _, size = corpus(docs, text_col)
+    bits, parts = fingerprint_bits(size), ranges(size)
+    stored = settled(chunked(keyed_texts(docs, id_col, text_col), lambda b: b.select(["id", "tk", "text"])), "chunks")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words_of, removed_of, kept_of, spans_of = [], [], [], []
-            for k in range(b.num_rows):
-                c = b.slice(k, 1)
-                buf, off = text_buffer(c.column("text"))
-                starts, ends, _ = word_spans(buf, off, NOT_SPACE)
-                mark = _marks(c.column("at")[0], len(starts)).astype(np.int64)
-                edge = np.zeros(len(mark) + n + 1, np.int64)
-                edge[: len(mark)] += mark
-                edge[n : n + len(mark)] -= mark
-                gone = np.cumsum(edge)[: len(mark)] > 0
-                words_of.append(len(starts))
-                removed_of.append(int(gone.sum()))
-                raw = buf.tobytes()
-                kept_of.append(b" ".join([raw[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)]).decode())
-                turn = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                spans_of.append([{"start": i, "end": j} for i, j in zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(words_of, pa.int64()), pa.array(removed_of, pa.int64()), pa.array(kept_of, pa.string()), pa.array(spans_of, span)],
-                ["id", "n_words", "n_removed", "kept", "spans"],
-            )
-
-    return later_windows(docs, id_col, text_col, n).select("id", "text", "at").mapInArrow(
-        cut, "id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
-    )
+            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data"), strict=True):
+                c = _Chunk(data, n)
+                at, key, head = c.probes(bits)
+                if len(head):
+                    block = np.logical_or.reduceat((at - c.first[c.of[at]]) % c.half == 0, head)
+                    twice = np.diff(np.append(head, len(key))) > 1
+                    yield asks(chunk, key[head], lambda s, t, block=block, twice=twice: _bits(np.concatenate([block[s:t], twice[s:t]])), bits, parts)
+            free()
+
+    def _found(texts: pa.Table, anchors: pa.Table) -> tuple:
+        """A chunk and its candidate windows."""
+        c = _Chunk(texts.column("data")[0], n)
+        at, key, head = c.probes(bits)
+        mark = np.zeros(len(c.hash), bool)
+        hit = _answer_bits(anchors, _asked_sizes(key[head], bits, parts))
+        mark[at] = np.repeat(hit, np.diff(np.append(head, len(key)))) if len(head) else False
+        return c, *c.candidates(mark)
+
+    def candidates(texts: pa.Table, anchors: pa.Table) -> pa.Table:
+        c, at, g, other = _found(texts, anchors)
+        free()
+        if not len(at):
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], ["p", "chunk", "keys", "more"])
+        head = _kinds(g, other)
+        first, (ids, tks) = at[head], _ids(c.batch)
+        doc = c.of[first]
+        pos = first - c.first[doc]
+        more = lambda s, t: _places(other[head][s:t], doc[s:t], pos[s:t], ids, tks)
+        return pa.Table.from_batches([asks(texts.column("chunk")[0].as_py(), g[head], more, 64, parts)])
+
+    def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        anchors, later = (answers.filter(pa.array([s == k for s in answers.column("step").to_pylist()], pa.bool_())) for k in (1, 2))
+        c, at, g, other = _found(texts, anchors)
+        mark = np.zeros(len(c.hash), np.int64)
+        if len(at):
+            head = _kinds(g, other)
+            doc, (ids, tks) = c.of[at], _ids(c.batch)
+            pos = at - c.first[doc]
+            lead = np.repeat(head, np.diff(np.append(head, len(at))))
+            # later than one of another chunk, or than the first of its kind here, unless it is that one's twin
+            twin = (ids[doc[lead]] == ids[doc]) & (tks[doc[lead]] == tks[doc]) & (pos[lead] == pos)
+            mark[at] = np.repeat(_answer_bits(later, _asked_sizes(g[head], 64, parts)), np.diff(np.append(head, len(at)))) | ~twin
+        edge = np.zeros(len(mark) + n + 1, np.int64)
+        edge[: len(mark)] += mark
+        edge[n : n + len(mark)] -= mark
+        gone = np.cumsum(edge)[: len(mark)] > 0
+        raw, starts, ends = c.buf.tobytes(), c.starts.tolist(), c.ends.tolist()
+        kept_of, spans_of, removed_of = [], [], []
+        for s, t in zip(c.first[:-1].tolist(), c.first[1:].tolist(), strict=True):
+            out = gone[s:t]
+            removed_of.append(int(out.sum()))
+            kept_of.append(b" ".join([raw[starts[k] : ends[k]] for k in (np.flatnonzero(~out) + s).tolist()]).decode())
+            turn = np.diff(np.concatenate([[0], out.astype(np.int8), [0]]))
+            spans_of.append([{"start": i, "end": j} for i, j in zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True)])
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        free()
+        return pa.table(
+            [c.batch.column("id"), pa.array(np.diff(c.first), pa.int64()), pa.array(removed_of, pa.int64()), pa.array(kept_of, pa.string()), pa.array(spans_of, span)],
+            ["id", "n_words", "n_removed", "kept", "spans"],
+        )
+
+    by_chunk = stored.groupBy("chunk")
+    anchors = settled(answered(stored.mapInArrow(released(probes), "p long, chunk long, keys binary, more binary"), _anchors), "anchors")
+    asked = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(candidates, "p long, chunk long, keys binary, more binary")
+    later = answered(asked, _later)
+    answers = anchors.withColumn("step", F.lit(1)).unionByName(later.withColumn("step", F.lit(2)))
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(cut, "id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
 
 
 def repeat_columns(found: DataFrame) -> DataFrame:
@@ -239,4 +225,4 @@ def repeat_columns(found: DataFrame) -> DataFrame:
     return found.select(real_id().alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-__all__ = ["later_windows", "remove_repeats", "repeat_columns"]
+__all__ = ["remove_repeats", "repeat_columns"]
