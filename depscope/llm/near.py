@@ -6,10 +6,15 @@ their weighted Jaccard similarity. BANDS groups of places are the band keys; all
 are compared with each other, a large band block by block. A candidate link stays if the weighted Jaccard
 similarity of the two whole texts is at least the threshold. Classes are
 the connected components of the links.
+
+Texts are held in chunks (blobs.py). Document frequencies of the shingles are counted over
+all documents by the exchange of sorted fingerprints there; the shingles of two texts
+are the same if their fingerprints are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,18 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.arrow import LOWER_AZ, NOT_SPACE, chunks, hash_spans, keyed_texts, mix64, ngram_hash, planes, real_id, text_buffer, unplanes, word_spans
-from depscope.llm.exact import normalise
+from depscope.llm.arrow import LOWER_AZ, NOT_SPACE, chunks, free, hash_spans, keyed_texts, mix64, ngram_hash, real_id, released, text_buffer, word_spans
+from depscope.llm.blobs import answered, asks, chunked, corpus, fingerprint_bits, from_blob, heads, in_order, pack, ranges, unpack
 from depscope.llm.store import settled
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, PLACES = 10, 2
 K = BANDS * PLACES
-#: Bytes of text whose shingles are counted and weighed together, and of all text for each range of shingles.
-CHUNK, BUCKET = 4 << 20, 8 << 20
-#: Candidates agree in so many of K places; at a similarity of 0.8 fewer has a chance under 1 in 10,000.
-MIN_AGREE = 9
+#: Candidates agree in so many of K places; at a similarity of 0.8 fewer has a chance of 0.00002, less than that of sharing no band (0.00004).
+MIN_AGREE = 8
 #: Bands of up to FEW members are compared many at a time, larger ones in blocks of about BLOCK members.
 FEW, BLOCK = 32, 256
 
@@ -46,127 +49,63 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     count = np.bincount(of, minlength=len(texts))
     few = np.flatnonzero((count > 0) & (count < size))
     first = np.searchsorted(of, few)
-    short = np.array([mix64(np.array([hash(tuple(h[a : a + c].tolist())) & (2**64 - 1)], np.uint64))[0] for a, c in zip(first, count[few], strict=True)], np.uint64)
+    short = np.array([ngram_hash(h[a : a + c], int(c))[0] for a, c in zip(first, count[few], strict=True)], np.uint64)
     return np.concatenate([g[at], short]), np.concatenate([of[at], few])
 
 
-def _distinct(g: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, shingle) by text: shingle, text, times."""
+def _distinct(g: np.ndarray, of: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, fingerprint of a shingle) by text: fingerprint, text, times."""
+    g = g >> np.uint64(64 - bits)
+    if bits + (int(of.max(initial=0)) + 1).bit_length() <= 64:
+        key = np.sort(of.astype(np.uint64) << np.uint64(bits) | g)
+        head = heads(key)
+        return key[head] & np.uint64((1 << bits) - 1), (key[head] >> np.uint64(bits)).astype(np.int64), np.diff(np.append(head, len(key)))
     by = np.lexsort((g, of))
     g, of = g[by], of[by]
     head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (of[1:] != of[:-1]))) if len(g) else np.zeros(0, np.int64)
     return g[head], of[head], np.diff(np.append(head, len(g)))
 
 
-def _slot(g: np.ndarray) -> np.ndarray:
-    """What counts as one shingle in document frequencies: the shingle itself."""
-    return g
-
-
 def _inverse(n: int, df: np.ndarray) -> np.ndarray:
     return 1 + np.log((1 + n) / (1 + df))
 
 
-class Frequencies:
-    """Document counts of shingles, those of one document left out; [g] gives inverse frequencies."""
-
-    def __init__(self, n: int, g: np.ndarray, df: np.ndarray):
-        self.n, self.g, self.df = n, g, df
-
-    def count(self, g: np.ndarray) -> np.ndarray:
-        if not len(self.g):
-            return np.ones(len(g), np.int64)
-        at = np.minimum(np.searchsorted(self.g, g), len(self.g) - 1)
-        return np.where(self.g[at] == g, self.df[at], 1)
-
-    def __getitem__(self, g: np.ndarray) -> np.ndarray:
-        return _inverse(self.n, self.count(g))
-
-
-def _pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All (shingle, count) of rows that keep them as bytes."""
-    return tuple(np.frombuffer(b"".join(t.column(x).to_pylist()), y) for x, y in (("g", "<u8"), ("n", "<i8")))
+def _named(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(id, tk, node, text): node names the words of a text; of texts with the same words only the first of a chunk stays."""
+    buf, off = text_buffer(batch.column("text"))
+    buf, off = LOWER_AZ[buf].tobytes(), off.tolist()
+    node = [hashlib.md5(b" ".join(buf[s:t].split())).digest() for s, t in zip(off[:-1], off[1:], strict=True)]
+    first = set(dict(zip(reversed(node), reversed(range(len(node))), strict=True)).values())
+    text = [x if k in first else None for k, x in enumerate(batch.column("text").to_pylist())]
+    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(node, pa.binary(16)), pa.array(text, pa.string())], ["id", "tk", "node", "text"])
 
 
-def chunked(rows: DataFrame) -> DataFrame:
-    """rows (id, tk, node, text) with the chunk, of about CHUNK bytes of text, that each belongs to; settled, so that it stays the same."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        chunk, room = TaskContext.get().partitionId() << 32, CHUNK
-        for batch in batches:
-            for c in chunks(batch, limit=CHUNK // 4):
-                size = c.column("text").nbytes
-                if size > room:
-                    chunk, room = chunk + 1, CHUNK
-                room -= size
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * c.num_rows, pa.int64()), pa.array([size // c.num_rows] * c.num_rows, pa.int64()), *c.columns], ["chunk", "size", *c.schema.names])
-
-    return settled(rows.select("id", "tk", "node", "text").mapInArrow(run, "chunk long, size long, id long, tk long, node string, text string"), "chunks")
-
-
-def chunk_frequencies(stored: DataFrame, total: int) -> DataFrame:
-    """(chunk, g, n) as bytes: the shingles of a chunk that more than one document has, and how many have them; over all documents.
-
-    Shingles are counted inside a chunk first. Ranges of shingles, as many as
-    the bytes of text ask for, are the groups: a shingle of all documents weighs a row a chunk.
-    """
-    buckets = np.uint64(1 + total // BUCKET)
+def chunk_frequencies(stored: DataFrame, bits: int, parts: int) -> DataFrame:
+    """(chunk, p, value): in how many documents the distinct shingles of a chunk are, over all chunks, less one."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of_chunk = batch.column("chunk").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(of_chunk)) + 1).tolist(), len(of_chunk)]
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if start == end:
-                    continue
-                node = batch.column("node").slice(start, end - start).to_numpy(zero_copy_only=False)
-                _, only, copies = np.unique(node, return_index=True, return_counts=True)
-                g, of, _ = _distinct(*shingles(batch.column("text").slice(start, end - start).take(pa.array(only))))
-                if not len(g):
-                    continue
-                by = np.argsort(g)
-                g, of = g[by], of[by]
-                head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                n, g = np.add.reduceat(copies[of], head).astype("<i8"), g[head]
-                p = ((g >> np.uint64(32)) * buckets >> np.uint64(32)).astype(np.int64)
-                at = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
-                spans = list(zip(at[:-1], at[1:], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p[a]) for a, _ in spans]), pa.array([int(of_chunk[start])] * len(spans)), pa.array([g[a:b].tobytes() for a, b in spans]), pa.array([n[a:b].tobytes() for a, b in spans])],
-                    ["p", "chunk", "g", "n"],
-                )
-
-    def summed(t: pa.Table) -> pa.Table:
-        g, n = _pairs(t)
-        by = np.argsort(g, kind="stable")
-        head = np.flatnonzero(np.append(True, g[by][1:] != g[by][:-1]))
-        df = np.empty(len(g), "<i8")
-        df[by] = np.repeat(np.add.reduceat(n[by], head), np.diff(np.append(head, len(g))))
-        ends = np.cumsum([len(x) // 8 for x in t.column("g").to_pylist()]).tolist()
-        out: list = [[], [], []]
-        for chunk, a, b in zip(t.column("chunk").to_pylist(), [0, *ends[:-1]], ends, strict=True):
-            on = df[a:b] > 1
-            if on.any():
-                for column, x in zip(out, (chunk, g[a:b][on].tobytes(), df[a:b][on].tobytes()), strict=True):
-                    column.append(x)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["chunk", "g", "n"])
-
-    return stored.select("chunk", "node", "text").mapInArrow(counted, "p long, chunk long, g binary, n binary").groupBy("p").applyInArrow(summed, "chunk long, g binary, n binary")
-
-
-def _of(n: int, t: pa.Table) -> Frequencies:
-    g, df = _pairs(t)
-    g, first = np.unique(g, return_index=True)
-    return Frequencies(n, g, df[first])
-
-
-def inverse_frequencies(rows: DataFrame) -> Frequencies:
-    """1 + log((1 + N) / (1 + n)) for each shingle, n of N documents having it; all on the driver, for small tables."""
-    stored = chunked(rows.withColumn("node", F.md5(F.col("text"))))
-    got = chunk_frequencies(stored, 0).toArrow()
-    return _of(stored.count(), got)
+        for b in batches:
+            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data"), strict=True):
+                c = from_blob(data)
+                _, of_node, copies = np.unique(np.array(c.column("node").to_pylist(), object), return_inverse=True, return_counts=True)
+                g, of, _ = _distinct(*shingles(c.column("text")), bits)
+                by = np.argsort(g, kind="stable")
+                head = heads(g[by])
+                if len(head):
+                    n = np.add.reduceat(copies[of_node[of[by]]], head)
+                    yield asks(chunk, g[by][head], lambda s, t, n=n: pack(n[s:t] - 1), bits, parts)
+            free()
+
+    def summed(keys: np.ndarray, row: np.ndarray, more: list[bytes]) -> list[bytes]:
+        n = np.concatenate([unpack(x) for x in more]).astype(np.int64) + 1
+        by = np.argsort(keys, kind="stable")
+        head = heads(keys[by])
+        df = np.empty(len(keys), np.int64)
+        df[by] = np.repeat(np.add.reduceat(n[by], head), np.diff(np.append(head, len(keys))))
+        cuts = np.searchsorted(row, np.arange(len(more) + 1)).tolist()
+        return [pack(df[s:t] - 1) for s, t in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    return answered(stored.mapInArrow(released(counted), "p long, chunk long, keys binary, more binary"), summed)
 
 
 def sketch(g: np.ndarray, of: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
@@ -219,7 +158,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _blocks(bands: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(cell, k, band, block, lo, hi, node, sketch): each pair of a band's members meets in one cell of it.
+    """(cell, k, band, block, lo, hi, rid, sketch): each pair of a band's members meets in one cell of it.
 
     Bands of up to FEW members share cells. A larger one is cut into blocks of about BLOCK members,
     and each pair of blocks (lo, hi) is a cell.
@@ -227,21 +166,21 @@ def _blocks(bands: DataFrame, nodes: DataFrame) -> DataFrame:
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     many = settled(bands.join(sizes, "band"), "bands")
     cells = 1 + many.filter(F.col("m") <= FEW).count() // (2 * BLOCK)
-    few = many.filter(F.col("m") <= FEW).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("band"), F.lit(cells))).alias("cell"), "k", "band", *[F.lit(0).cast("long").alias(x) for x in ("block", "lo", "hi")], "node")
+    few = many.filter(F.col("m") <= FEW).select(F.concat(F.lit("s"), F.pmod(F.xxhash64("band"), F.lit(cells))).alias("cell"), "k", "band", *[F.lit(0).cast("long").alias(x) for x in ("block", "lo", "hi")], "rid")
     cut = F.ceil(F.col("m") / BLOCK)
     large = (
         many.filter(F.col("m") > FEW)
-        .select("k", "band", F.pmod(F.xxhash64("node"), cut).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("other"), "node")
+        .select("k", "band", F.pmod(F.xxhash64("rid"), cut).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("other"), "rid")
         .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     )
-    large = large.select(F.concat_ws(":", "band", "lo", "hi").alias("cell"), "k", "band", "block", "lo", "hi", "node")
-    return few.unionByName(large).join(nodes.select("node", "sketch"), "node")
+    large = large.select(F.concat_ws(":", "band", "lo", "hi").alias("cell"), "k", "band", "block", "lo", "hi", "rid")
+    return few.unionByName(large).join(nodes.select("rid", "sketch"), "rid")
 
 
 def _candidates(cell: pa.Table) -> pa.Table:
     """The pairs of a cell whose sketches agree in MIN_AGREE places; a pair of several bands counts in the first of them."""
-    name = cell.column("node").to_numpy(zero_copy_only=False)
-    sk = np.stack(cell.column("sketch").to_numpy(zero_copy_only=False))
+    name = cell.column("rid").to_numpy()
+    sk = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), "<u4").reshape(-1, K)
     k, band, block, lo, hi = (cell.column(x).to_numpy() for x in ("k", "band", "block", "lo", "hi"))
     by = np.lexsort((block, band))
     cuts = np.flatnonzero(np.diff(band[by])) + 1
@@ -263,7 +202,7 @@ def _candidates(cell: pa.Table) -> pa.Table:
     rows = 1 if len(left) else 0
     return pa.table({
         "cell": pa.array([cell.column("cell")[0].as_py()] * rows, pa.string()),
-        "members": pa.array([list(used)] * rows, pa.list_(pa.string())),
+        "members": pa.array([list(used)] * rows, pa.list_(pa.int64())),
         "pairs": pa.array([at.astype("<i4").tobytes()] * rows, pa.binary()),
     })
 
@@ -303,43 +242,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row's distinct text. Texts with the same words in the same order (A-Z in
     lower case) are of one class, those without words too; null texts count as empty.
     Rows with null ids take part as the smallest id. Tables without rows give none.
+
+    A link is missed if its texts share no band, or agree in fewer than MIN_AGREE of K
+    places: together a chance of 0.00006 at a similarity of 0.8, and less above it.
     """
-    same = F.md5(F.trim(F.regexp_replace(normalise(F.col("text")), r"[\x20\x09-\x0D]+", " ")).cast("binary"))
-    rows = keyed_texts(docs, id_col, text_col).withColumn("node", same)
-    stored = chunked(rows)
-    sizes = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
-    n_docs = sizes["n"]
+    n_docs, size = corpus(docs, text_col)
+    bits, parts = fingerprint_bits(size), ranges(size)
+    stored = settled(chunked(keyed_texts(docs, id_col, text_col), _named), "chunks")
 
     def sketched(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        frequencies = _of(n_docs, counts)
-        done: set[str] = set()
-        out = []
-        for batch in texts.combine_chunks().to_batches():
-            for c in chunks(batch):
-                node = c.column("node").to_pylist()
-                # of rows with one text only the first of a chunk carries the sketch
-                only = []
-                for k, x in enumerate(node):
-                    if x not in done:
-                        done.add(x)
-                        only.append(k)
-                g, of, times = _distinct(*shingles(c.column("text").take(pa.array(only, pa.int64()))))
-                df = frequencies.count(g)
-                s = sketch(g, of, times * _inverse(n_docs, df), len(only)).view(np.int64)
-                ends = np.searchsorted(of, np.arange(len(only) + 1))
-                lists, counted = [None] * len(node), [None] * len(node)
-                for k, x in enumerate(only):
-                    lists[x], counted[x] = s[k].tolist(), planes(df[ends[k] : ends[k + 1]].astype("<i8"))
-                out.append(pa.RecordBatch.from_arrays([c.column("id"), c.column("tk"), c.column("node"), pa.array(lists, pa.list_(pa.int64())), pa.array(counted, pa.binary())], ["id", "tk", "node", "sketch", "df"]))
-        return pa.Table.from_batches(out)
-
-    def verified(found: pa.Table, texts: pa.Table) -> pa.Table:
+        chunk, batch = texts.column("chunk")[0].as_py(), from_blob(texts.column("data")[0])
+        g, of, times = _distinct(*shingles(batch.column("text")), bits)
+        df = np.zeros(len(g), np.int64)
+        if len(g):
+            by = np.argsort(g, kind="stable")
+            head = heads(g[by])
+            known = np.concatenate([unpack(x) for x in in_order(counts)]).astype(np.int64) + 1
+            df[by] = np.repeat(known, np.diff(np.append(head, len(g))))
+        only = np.flatnonzero(batch.column("text").is_valid().to_numpy(zero_copy_only=False))
+        lists, counted = [None] * batch.num_rows, [None] * batch.num_rows
+        ends = np.searchsorted(of, np.arange(batch.num_rows + 1))
+        for a in range(0, len(only), 512):
+            part = only[a : a + 512]
+            s, t = ends[part[0]], ends[part[-1] + 1]
+            sk = sketch(g[s:t], of[s:t] - part[0], times[s:t] * _inverse(n_docs, df[s:t]), int(part[-1] - part[0] + 1))
+            for k in part.tolist():
+                lists[k] = (sk[k - part[0]] >> np.uint64(32)).astype("<u4").tobytes()
+                counted[k] = pack(df[ends[k] : ends[k + 1]] - 1)
+        rid = pa.array((chunk << 22) + np.arange(batch.num_rows))
+        free()
+        return pa.table([batch.column("id"), batch.column("tk"), batch.column("node").cast(pa.binary()), rid, pa.array(lists, pa.binary()), pa.array(counted, pa.binary())], ["id", "tk", "node", "rid", "sketch", "df"])
+
+    def bags(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        """The shingles of the wanted texts of a chunk, for each cell that compares them."""
+        batch = from_blob(texts.column("data")[0])
+        out: list[tuple] = []
+        if wanted.num_rows:
+            for r in wanted.to_pylist():
+                g, _, times = _distinct(*shingles(batch.column("text").slice(r["rid"] & (1 << 22) - 1, 1)), bits)
+                keys, times = pack(np.diff(g, prepend=np.uint64(0))), pack(times)
+                out += [(c, r["rid"], keys, times, r["df"]) for c in r["cells"]]
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["cell", "rid", "keys", "times", "df"])
+
+    def verified(found: pa.Table, held: pa.Table) -> pa.Table:
         name = found.column("members")[0].as_py()
         place = {x: k for k, x in enumerate(name)}
-        bags: list = [None] * len(name)
-        for k in range(texts.num_rows):
-            g, _, times = _distinct(*shingles(texts.column("text").slice(k, 1).combine_chunks()))
-            bags[place[texts.column("node")[k].as_py()]] = g, times * _inverse(n_docs, unplanes(texts.column("df")[k].as_py(), np.int64))
+        bag: list = [None] * len(name)
+        for rid, keys, times, df in zip(*(held.column(c).to_pylist() for c in ("rid", "keys", "times", "df")), strict=True):
+            bag[place[rid]] = np.cumsum(unpack(keys)), unpack(times) * _inverse(n_docs, unpack(df).astype(np.int64) + 1)
         pairs = np.frombuffer(found.column("pairs")[0].as_py(), "<i4").reshape(2, -1)
         left, right = pairs.min(0), pairs.max(0)
         by = np.argsort(left, kind="stable")
@@ -349,37 +300,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for s, t in zip(cuts[:-1], cuts[1:], strict=True):
             for a in range(s, t, 64):
                 b = min(t, a + 64)
-                ok[a:b] = _against(bags[left[s]], [bags[x] for x in right[a:b]]) >= threshold
+                ok[a:b] = _against(bag[left[s]], [bag[x] for x in right[a:b]]) >= threshold
         left, right = left[ok], right[ok]
         degree = np.bincount(np.concatenate([left, right]), minlength=len(name))
         on = np.flatnonzero(degree).tolist()
         forest = _forest(len(name), left, right)
         return pa.table({
-            "a": pa.array([name[x] for x in on] + [name[x] for x, _ in forest], pa.string()),
-            "b": pa.array([None] * len(on) + [name[y] for _, y in forest], pa.string()),
+            "a": pa.array([name[x] for x in on] + [name[x] for x, _ in forest], pa.int64()),
+            "b": pa.array([None] * len(on) + [name[y] for _, y in forest], pa.int64()),
             "n": pa.array(degree[on].tolist() + [None] * len(forest), pa.int64()),
         })
 
-    shared = chunk_frequencies(stored, sizes["size"])
-    texts_of = stored.select("chunk", "id", "tk", "node", "text").groupBy("chunk")
-    members = settled(texts_of.cogroup(shared.groupBy("chunk")).applyInArrow(sketched, "id long, tk long, node string, sketch array<bigint>, df binary"), "sketches")
-    nodes = settled(members.filter("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("df").alias("df")), "nodes")
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.element_at("sketch", i * PLACES + j + 1) for j in range(PLACES)]) for i in range(BANDS)])
-    bands = nodes.filter(F.exists("sketch", lambda x: x != 0)).select("node", F.posexplode(keys).alias("k", "band"))
-    found = settled(_blocks(bands, nodes).groupBy("cell").applyInArrow(_candidates, "cell string, members array<string>, pairs binary"), "candidates")
-    wanted = settled(found.select("cell", F.explode("members").alias("node")), "wanted")
-    texts = stored.select("node", "text").join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    held = wanted.join(texts.join(nodes.select("node", "df"), "node"), "node")
+    shared = chunk_frequencies(stored, bits, parts)
+    members = settled(stored.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(sketched, "id long, tk long, node binary, rid long, sketch binary, df binary"), "sketches")
+    # rid, the place of a text's first copy, names the text from here on
+    nodes = settled(members.filter("sketch is not null").groupBy("node").agg(F.min(F.struct("rid", "sketch", "df")).alias("s")).select("node", "s.*"), "nodes")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 4 * PLACES * i + 1, 4 * PLACES)) for i in range(BANDS)])
+    bands = nodes.filter(F.col("sketch") != F.lit(bytes(4 * K))).select("rid", F.posexplode(keys).alias("k", "band"))
+    found = settled(_blocks(bands, nodes).groupBy("cell").applyInArrow(_candidates, "cell string, members array<long>, pairs binary"), "candidates")
+    wanted = found.select("cell", F.explode("members").alias("rid")).groupBy("rid").agg(F.collect_list("cell").alias("cells"))  # the cells of a text: blocks of its ten bands
+    wanted = wanted.join(nodes.select("rid", "df"), "rid").select(F.shiftright("rid", 22).alias("chunk"), "rid", "cells", "df")
+    held = stored.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(bags, "cell string, rid long, keys binary, times binary, df binary")
     # degrees of the members (b null) and links that join the same members as all links of a cell
-    judged = settled(found.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(verified, "a string, b string, n long"), "links")
+    judged = settled(found.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(verified, "a long, b long, n long"), "links")
     labels = components(judged.filter("b is not null").select("a", "b"))
-    degree = judged.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    of_node = (
-        members.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).join(labels, "node", "left").join(degree, "node", "left")
-    ).select("node", "low", "n", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    of_node = settled(of_node, "classes")
-    of_class = of_node.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
-    return members.select("id", "tk", "node").join(of_node.select("node", "label", "n_links").join(of_class, "label"), "node").select("id", "tk", "class_id", "class_size", "n_links")
+    degree = judged.filter("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n_links"))
+    of_node = nodes.select("node", "rid").join(labels.withColumnRenamed("node", "rid"), "rid", "left").join(degree, "rid", "left").select("node", F.coalesce("label", "rid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows = settled(members.select("id", "tk", "node").join(of_node, "node").select("id", "tk", "label", "n_links"), "classes")
+    of_class = rows.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return rows.join(of_class, "label").select("id", "tk", "class_id", "class_size", "n_links")
 
 
 def class_columns(found: DataFrame) -> DataFrame:
@@ -393,5 +342,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pick = found.groupBy("class_id").agg(F.min(F.struct("id", "tk")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.tk").alias("__tk"))
     from depscope.llm.decontam import keyed_id
 
-    tagged = docs.withColumns({"__id": keyed_id(id_col), "__tk": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    tagged = docs.withColumns({"__id": keyed_id(docs, id_col), "__tk": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     return tagged.join(pick, ["__id", "__tk"], "left_semi").dropDuplicates(["__id", "__tk"]).select(*docs.columns)
