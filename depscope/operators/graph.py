@@ -185,71 +185,18 @@ def call_file_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return by_exact.unionByName(by_method).filter("caller_file <> callee_file").distinct()
 
 
-def _labelled(edges: DataFrame) -> DataFrame:
-    """(repo, file, part) for files on cycles: part names the strongly connected component; files on no cycle are left out.
-
-    Files without an edge in, or without one out, are on no cycle and are peeled off first, again and again. Of the rest,
-    the least file reachable and the least file that reaches it are carried along the edges until nothing
-    changes; where both are the same, that is the component of that file. Done components leave.
-    """
-    left, done = edges.filter("src <> dst"), None
-    while True:
-        while True:  # peel
-            ends = left.select("repo", F.col("src").alias("f")).distinct().join(left.select("repo", F.col("dst").alias("f")).distinct(), ["repo", "f"], "left_semi")
-            inner = left.join(ends.withColumnRenamed("f", "src"), ["repo", "src"], "left_semi").join(ends.withColumnRenamed("f", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst")
-            inner = settled(inner, "cycles")
-            if inner.count() == left.count():
-                break
-            left = inner
-        if left.isEmpty():
-            return done
-        labels = left.select("repo", F.col("src").alias("f")).distinct().withColumns({"down": F.col("f"), "up": F.col("f")})
-        labels = settled(labels, "labels")
-        while True:
-            by = lambda end, label: left.join(labels.select("repo", F.col("f").alias(end), label), ["repo", end])
-            down = by("dst", "down").groupBy("repo", F.col("src").alias("f")).agg(F.min("down").alias("d"))
-            up = by("src", "up").groupBy("repo", F.col("dst").alias("f")).agg(F.min("up").alias("u"))
-            new = labels.join(down, ["repo", "f"]).join(up, ["repo", "f"]).select("repo", "f", F.least("down", "d").alias("down"), F.least("up", "u").alias("up"), ((F.col("d") < F.col("down")) | (F.col("u") < F.col("up"))).alias("moved"))
-            new = settled(new, "labels")
-            labels = new.drop("moved")
-            if new.filter("moved").isEmpty():
-                break
-        found = labels.filter("down = up").select("repo", F.col("f").alias("file"), F.col("down").alias("part"))
-        done = found if done is None else done.unionByName(found)
-        gone = found.select("repo", F.col("file").alias("f"))
-        left = left.join(gone.withColumnRenamed("f", "src"), ["repo", "src"], "left_anti").join(gone.withColumnRenamed("f", "dst"), ["repo", "dst"], "left_anti").select("repo", "src", "dst")
-        left = settled(left, "cycles")
-
-
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(repo, seed, node): everything reachable from each seed, itself too. Cycles are fine.
 
     seeds (repo, file): where to start; without it every node of the edges.
 
-    Files on one cycle reach the same files, so cycles are made one node each first; the rounds then walk a graph without
-    cycles, and each round joins only the pairs found in the round before. Tables between rounds lie in the shared folder.
+    Semi-naive: each round joins only the pairs found in the round before. Rounds are written to the shared folder.
     """
-    edges = settled(edges.select("repo", "src", "dst").distinct(), "edges")
-    nodes = edges.select("repo", F.col("src").alias("file")).union(edges.select("repo", F.col("dst").alias("file"))).distinct()
-    starts = nodes if seeds is None else seeds.select("repo", "file").distinct()
-    parts = _labelled(edges)
-    if parts is None:
-        return _walk(edges, starts).withColumnRenamed("file", "seed")
-    parts = settled(parts, "parts")
-    of = lambda df, col: df.join(parts.withColumnRenamed("file", col), ["repo", col], "left").withColumn(col, F.coalesce("part", col)).drop("part")
-    small = settled(of(of(edges, "src"), "dst").filter("src <> dst").select("repo", "src", "dst").distinct(), "edges")
-    named = settled(starts.join(parts, ["repo", "file"], "left").select("repo", "file", F.coalesce("part", "file").alias("part")), "starts")
-    reached = _walk(small, named.select("repo", F.col("part").alias("file")).distinct())
-    # each component stands for its files at both ends
-    wide = reached.join(parts.select("repo", F.col("part").alias("node"), F.col("file").alias("member")), ["repo", "node"], "left").select("repo", F.col("file").alias("part"), F.coalesce("member", "node").alias("node"))
-    return named.withColumnRenamed("file", "seed").join(wide, ["repo", "part"]).select("repo", "seed", "node")
-
-
-def _walk(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(repo, file, node): what each start reaches over edges without cycles, itself too."""
     spark = edges.sparkSession
     base = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
-    starts.select("repo", "file", F.col("file").alias("node")).write.parquet(f"{base}/round=0")
+    edges = settled(edges.select("repo", "src", "dst").filter("src <> dst").distinct(), "edges")
+    starts = edges.select("repo", "src").union(edges.select("repo", "dst")) if seeds is None else seeds.select("repo", F.col("file").alias("src"))
+    starts.distinct().select("repo", F.col("src").alias("seed"), F.col("src").alias("node")).write.parquet(f"{base}/round=0")
     schema = spark.read.parquet(f"{base}/round=0").schema
     k = 0
     while True:
@@ -257,9 +204,9 @@ def _walk(edges: DataFrame, starts: DataFrame) -> DataFrame:
         if fresh.isEmpty():
             return spark.read.schema(schema).parquet(*[f"{base}/round={j}" for j in range(k + 1)])
         known = spark.read.schema(schema).parquet(*[f"{base}/round={j}" for j in range(k + 1)])
-        step = fresh.join(edges.withColumnRenamed("src", "node"), ["repo", "node"]).select("repo", "file", F.col("dst").alias("node")).distinct()
+        step = fresh.join(edges.withColumnRenamed("src", "node"), ["repo", "node"]).select("repo", "seed", F.col("dst").alias("node")).distinct()
         k += 1
-        step.join(known, ["repo", "file", "node"], "left_anti").write.parquet(f"{base}/round={k}")
+        step.join(known, ["repo", "seed", "node"], "left_anti").write.parquet(f"{base}/round={k}")
 
 
 def dependency_edges(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
