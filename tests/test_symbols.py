@@ -86,3 +86,82 @@ def test_recovery_of_the_queue(spark, tmp_path):
     start()
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert {(r["agent_id"], r["delta_id"], r["delivered_by"]) for r in got} == {("a", 11, 90), ("a", 12, 90)}
+
+
+def test_calls_of_four_languages(spark):
+    from depscope.operators.graph import extract_calls
+
+    rows = [
+        ("a.ts", "// no(1)\n/* nor(2)\n neither(3) */ if (f(a)) { while(b) {} }\nclass K { area(x) { return g<number>(x) } }\nfunction h(a) { return new N(a).run() }\nconst s = 'q(1)' + \"r(2)\" + `t(3)`; foo (2); a.b.c(); interface I { m(x): void }"),
+        ("b.py", "# no(1)\ndef f(a):\n    '''nor(2)'''\n    return g(h.k (a), 'x(1)')\nclass K(f2(), object): pass\nprint(a) if (a) else None\n"),
+        ("c.go", "// no(1)\nfunc (t *T) M(a int) int { return p.F(a) }\nfunc G(a int) { for (a > 0) { h(`x(1)`) } }\ntype I interface { N(x int) }\n"),
+        ("d.rs", "// no(1)\nfn k(a: &'a str) { if (a) { T::f(a); b.g(); m!(1); h(\"x(1)\", 'c') } }\nstruct P(i32);"),
+        ("e.md", "f(1)"), ("g.ts", None), ("h.ts", ""),
+    ]
+    found = extract_calls(spark.createDataFrame([("r", *r) for r in rows], "repo string, path string, content string")).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["caller_file"], set()).add(r["called_name"])
+    assert got == {"a.ts": {"f", "g", "run", "foo", "c"}, "b.py": {"g", "k", "f2", "print"}, "c.go": {"F", "h"}, "d.rs": {"f", "g", "h"}}
+
+
+def test_a_large_literal_is_masked(spark):
+    from depscope.operators.graph import extract_calls
+
+    text = "x = '" + "a" * 300000 + "(1)'; // " + "b(2) " * 50000 + "\nreal(1)"
+    found = extract_calls(spark.createDataFrame([("r", "a.ts", text)], "repo string, path string, content string")).collect()
+    assert [r["called_name"] for r in found] == ["real"]
+
+
+def test_aliases(spark):
+    from depscope.operators.graph import path_aliases
+
+    configs = [("r", "", '{"compilerOptions":{"baseUrl":"src","paths":{"~/*":["./*"],"~/lib/*":["lib/*","no/*"]}}}'), ("r", "a", '{"compilerOptions":'), ("r", "a/b", '{"compilerOptions":{}}')]
+    df = spark.createDataFrame(configs, "repo string, dir string, json string")
+    roots = spark.createDataFrame([("r", "a"), ("r", "a/b/c"), ("q", "a")], "repo string, root string")
+    assert {tuple(r) for r in path_aliases(df, roots).collect()} == {("r", "a", "~", "src"), ("r", "a", "~/lib", "src/lib")}
+
+
+def test_scan_of_a_folder(spark, tmp_path):
+    from depscope.sources.trees import scan_source_files
+
+    for name, data in (("p/__init__.py", b"x = 1"), ("p/q/.hidden.ts", b"f()"), ("a.TS", b"\xff g()"), ("n.rs", b"a\0b"), ("e.go", b""), ("r.md", b"no")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"]: (r["lang"], r["content"], r["n_bytes"], r["parse_ok"]) for r in scan_source_files(spark, str(tmp_path)).collect()}
+    assert got == {
+        "p/__init__.py": ("python", "x = 1", 5, True), "p/q/.hidden.ts": ("typescript", "f()", 3, True), "a.TS": ("typescript", "\ufffd g()", 5, True),
+        "n.rs": ("rust", "a\0b", 3, False), "e.go": ("go", "", 0, True),
+    }
+
+
+def test_saving_one_repository_keeps_the_others(spark, tmp_path):
+    from depscope.operators.reports import load_tables, save_tables
+
+    table = lambda *r: {"t": spark.createDataFrame(r, "repo string, k long, v long")}
+    save_tables(table(("a", 1, 1), ("a", 1, 1), ("a", 1, 2)), str(tmp_path), {"t": ["repo", "k"]})
+    save_tables(table(("b", 1, 1), ("b", 2, 1)), str(tmp_path), {"t": ["repo", "k"]})
+    back = load_tables(spark, str(tmp_path), {"t": "k long, v long, repo string", "none": "k long"})
+    assert sorted((r["repo"], r["k"]) for r in back["t"].collect()) == [("a", 1), ("b", 1), ("b", 2)]
+    assert back["none"].count() == 0
+
+
+def test_diff_with_names_defined_twice(spark):
+    from depscope.operators.activity import same_fingerprints, symbol_diff, symbol_fingerprint
+
+    rows = [("r", "f", "n", "old", 1), ("r", "f", "n", "new", 9), ("q", "f", "n", "new", 1)]
+    df = spark.createDataFrame(rows, "repo string, file string, name string, body string, start long")
+    assert symbol_diff(df, df).count() == 0
+    other = spark.createDataFrame([("r", "f", "n", "new", 1), ("r", "g", "m", "x", 1)], df.schema)
+    assert {tuple(r) for r in symbol_diff(df, other).collect()} == {("q", "f", "n", "removed"), ("r", "g", "m", "added")}
+    runs = [symbol_fingerprint(df), symbol_fingerprint(df.repartition(3))]
+    assert all(r["passed"] for r in same_fingerprints(*runs).collect())
+
+
+def test_changed_files_come_first(spark):
+    from depscope.operators.activity import dedup_diagnostics
+
+    rows = [(1, 1, f, line, 1, code, "m") for f, line, code in (("a", 1, "X"), ("a", 2, "X"), ("b", 3, "X"), ("c", 9, "Y"), ("d", 4, "Z"))]
+    df = spark.createDataFrame(rows, "run_id long, attempt long, file string, line long, col long, code string, message string")
+    changed = spark.createDataFrame([(1, "c")], "run_id long, file string")
+    assert [r["file"] for r in dedup_diagnostics(df, changed).orderBy("rank").collect()] == ["c", "a", "b"]
