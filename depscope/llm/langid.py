@@ -22,8 +22,8 @@ SAMPLE_CHARS = (100, 20_000)
 #: Bytes of a dictionary, of a segment.
 DICT_BYTES = 48 << 10
 SEGMENT_BYTES = 2 << 10
-#: A learned language must be one of so many at most (dictionaries are sent to every task).
-MAX_LANGUAGES = 256
+#: Bytes of all dictionaries together (they are sent to every task); of many languages each gets a smaller one.
+MODEL_BYTES = 12 << 20
 #: Relative gap between the two smallest sizes under which a prediction is rejected.
 MIN_MARGIN = 0.01
 
@@ -55,8 +55,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     counts: dict[str, int] = {}
     for r in stats:
         counts[r["lang"]] = counts.get(r["lang"], 0) + r["n"]
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; at most {MAX_LANGUAGES} dictionaries are sent to the tasks")
+    room = max(256, min(DICT_BYTES, MODEL_BYTES // max(1, len(counts))))
     normal = {r["lang"] for r in stats if r["h"] is not None}
     want = [(r["lang"], r["h"] if r["h"] is not None else r["any_h"]) for r in stats if r["h"] is not None or r["lang"] not in normal]
     if not want:
@@ -71,9 +70,9 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     dicts: dict[str, bytes] = {}
     for lang in sorted(counts):
         texts = [r["text"].encode() for r in sorted((r for r in picked if r["lang"] == lang), key=lambda r: r["h"])]
-        share = max(256, DICT_BYTES // max(1, len(texts)))
-        left = b"\n".join(t[share:] for t in texts)[: max(0, DICT_BYTES - sum(len(t[:share]) for t in texts))]
-        dicts[lang] = (left + b"\n" + b"\n".join(t[:share] for t in texts))[-DICT_BYTES:]
+        share = max(256, room // max(1, len(texts)))
+        left = b"\n".join(t[share:] for t in texts)[: max(0, room - sum(len(t[:share]) for t in texts))]
+        dicts[lang] = (left + b"\n" + b"\n".join(t[:share] for t in texts))[-room:]
     return {"dicts": dicts, "counts": counts}
 
 
@@ -109,7 +108,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     Repeated rows get a row each. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # MAX_LANGUAGES x DICT_BYTES at most
+    shared = spark.sparkContext.broadcast(model)  # MODEL_BYTES at most, or 256 bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = Sizer(shared.value)
