@@ -63,41 +63,36 @@ class Nfa:
         self.free.append([])
         return len(self.moves) - 1
 
-    def add(self, items: list, at: int, fold: bool, back: bool) -> int:
-        """Appends parsed items after state at, last item first if back; returns the state behind them."""
-        for op, arg in reversed(items) if back else items:
-            name = str(op)
-            if name in ("LITERAL", "NOT_LITERAL", "IN", "ANY"):
+    def add(self, items: list[tuple], at: int, back: bool) -> int:
+        """Appends parsed items (see parse) after state at, last item first if back; returns the state behind them."""
+        for item in reversed(items) if back else items:
+            if item[0] == "set":
                 to = self.state()
-                self.moves[at].append((_mask(name, arg, fold), to))
+                self.moves[at].append((item[1], to))
                 at = to
-            elif name == "SUBPATTERN":
-                at = self.add(list(arg[3]), at, fold, back)
-            elif name == "BRANCH":
+            elif item[0] == "or":
                 end = self.state()
-                for way in arg[1]:
+                for way in item[1]:
                     begin = self.state()
                     self.free[at].append(begin)
-                    self.free[self.add(list(way), begin, fold, back)].append(end)
+                    self.free[self.add(way, begin, back)].append(end)
                 at = end
-            elif name == "MAX_REPEAT":
-                lo, hi, sub = arg
+            else:
+                _, lo, hi, sub = item
                 for _ in range(lo):
-                    at = self.add(list(sub), at, fold, back)
-                if str(hi) == "MAXREPEAT":
+                    at = self.add(sub, at, back)
+                if hi is None:
                     loop = self.state()
                     self.free[at].append(loop)
-                    self.free[self.add(list(sub), loop, fold, back)].append(loop)
+                    self.free[self.add(sub, loop, back)].append(loop)
                     at = loop
                 else:
                     end = self.state()
                     for _ in range(hi - lo):
                         self.free[at].append(end)
-                        at = self.add(list(sub), at, fold, back)
+                        at = self.add(sub, at, back)
                     self.free[at].append(end)
                     at = end
-            else:
-                raise ValueError(f"a rule uses {name}, which an automaton of this kind can't hold")
         return at
 
     def closure(self, states) -> frozenset[int]:
@@ -110,25 +105,89 @@ class Nfa:
         return frozenset(seen)
 
 
-def _mask(name: str, arg, fold: bool) -> int:
-    if name == "ANY":
-        return ((1 << 256) - 1) & ~(1 << 10)
-    mask = 0
-    negate = name == "NOT_LITERAL"
-    for op, a in [("LITERAL", arg)] if name != "IN" else arg:
-        if str(op) == "NEGATE":
-            negate = True
-        elif str(op) == "LITERAL":
-            mask |= 1 << a
-        elif str(op) == "RANGE":
-            mask |= ((1 << (a[1] + 1)) - 1) & ~((1 << a[0]) - 1)
-        else:
-            raise ValueError(f"a rule's class uses {op}")
-    if fold:
-        for c in range(65, 91):
+def parse(pattern: str, fold: bool) -> list[tuple]:
+    """Items of a rule's pattern: ("set", bytes as bit mask), ("or", ways), ("repeat", least, most or None, items).
+
+    Literals, escapes of signs and \\xHH, classes, groups, alternatives, and the repeats * + ? {m} {m,} {m,n}.
+    """
+    at = 0
+
+    def fail(what: str) -> ValueError:
+        return ValueError(f"a rule uses {what}, which an automaton of this kind can't hold: {pattern}")
+
+    def char() -> int:
+        nonlocal at
+        c = pattern[at]
+        at += 1
+        if c != "\\":
+            return ord(c)
+        c = pattern[at]
+        at += 1
+        if c == "x":
+            at += 2
+            return int(pattern[at - 2 : at], 16)
+        if c.isalnum():
+            raise fail(f"\\{c}")
+        return ord(c)
+
+    def folded(mask: int) -> int:
+        for c in range(65, 91) if fold else ():
             if mask >> c & 1 or mask >> (c + 32) & 1:
                 mask |= 1 << c | 1 << (c + 32)
-    return mask ^ ((1 << 256) - 1) if negate else mask
+        return mask
+
+    def group_of_bytes() -> int:
+        nonlocal at
+        negate, mask = pattern[at] == "^", 0
+        at += negate
+        while pattern[at] != "]":
+            low = high = char()
+            if pattern[at] == "-" and pattern[at + 1] != "]":
+                at += 1
+                high = char()
+            mask |= (1 << high + 1) - (1 << low)
+        at += 1
+        return folded(mask) ^ ((1 << 256) - 1) if negate else folded(mask)
+
+    def sequence() -> list[tuple]:
+        nonlocal at
+        items: list[tuple] = []
+        while at < len(pattern) and pattern[at] not in "|)":
+            c = pattern[at]
+            if c == "(":
+                at += 1
+                if pattern.startswith("?", at):
+                    if not pattern.startswith("?:", at):
+                        raise fail("(?")
+                    at += 2
+                one = ways()
+                at += 1
+            elif c == "[":
+                at += 1
+                one = [("set", group_of_bytes())]
+            elif c in "^$.*+?{":
+                raise fail(c)
+            else:
+                one = [("set", folded(1 << char()))]
+            if m := re.compile(r"\*|\+|\?|\{(\d+)(,?)(\d*)\}").match(pattern, at):
+                at = m.end()
+                least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(m[0]) or (int(m[1]), int(m[3]) if m[3] else None if m[2] else int(m[1]))
+                one = [("repeat", least, most, one)]
+            items += one
+        return items
+
+    def ways() -> list[tuple]:
+        nonlocal at
+        found = [sequence()]
+        while at < len(pattern) and pattern[at] == "|":
+            at += 1
+            found.append(sequence())
+        return found[0] if len(found) == 1 else [("or", found)]
+
+    items = ways()
+    if at < len(pattern):
+        raise fail(pattern[at])
+    return items
 
 
 @dataclass
@@ -149,7 +208,7 @@ def compile_rules(rules: tuple[Rule, ...], search: bool, back: bool = False) ->
     for k, r in enumerate(rules):
         begin = nfa.state()
         nfa.free[root].append(begin)
-        ends[nfa.add(list(re._parser.parse(r.pattern)), begin, r.ignore_case, back)] = k
+        ends[nfa.add(parse(r.pattern, r.ignore_case), begin, back)] = k
     # bytes that no rule tells apart form one class
     masks = sorted({m for moves in nfa.moves for m, _ in moves})
     sign = [tuple(m >> b & 1 for m in masks) for b in range(256)]
