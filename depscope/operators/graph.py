@@ -46,15 +46,15 @@ HEADS = {
     "rust": (rf"\b(?:fn|struct|enum|union)\s+{_ID}()",),
 }
 CALL = {
-    "typescript": rf"({_ID})\s*(?:<[A-Za-z0-9_$., \[\]|]*>)?\s*(?:\?\.)?\(",
-    "python": rf"({_ID})\s*\(",
-    "go": rf"({_ID})\s*(?:\[[A-Za-z0-9_$., *]*\])?\(",
-    "rust": rf"({_ID})\s*\(",
+    "typescript": rf"(\.?{_ID})\s*(?:<[A-Za-z0-9_$., \[\]|]*>)?\s*(?:\?\.)?\(",
+    "python": rf"(\.?{_ID})\s*\(",
+    "go": rf"(\.?{_ID})\s*(?:\[[A-Za-z0-9_$., *]*\])?\(",
+    "rust": rf"(\.?{_ID})\s*\(",
 }
-#: Words before a parenthesis that are no names.
+#: Words before a parenthesis that are no names, unless a dot stands before them.
 KEYWORDS = {
-    "typescript": "if for while switch catch return typeof await void delete in of instanceof case throw yield do else function import super with async constructor get set",
-    "python": "if elif while for in and or not is return lambda yield assert del await raise from import except with print_ else",
+    "typescript": "if for while switch catch return typeof await void delete in of instanceof case throw yield do else function import super with",
+    "python": "if elif while for in and or not is return lambda yield assert del await raise from import except with else",
     "go": "if for switch select return go defer range func map chan interface struct case var const type import",
     "rust": "if while for match return in let loop fn move else where impl pub unsafe as mut ref",
 }
@@ -82,7 +82,8 @@ def called_names(text: Column, lang: str) -> Column:
     text = masked(text, lang)
     for head in HEADS[lang]:
         text = F.regexp_replace(text, head, " $1")
-    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(CALL[lang]), F.lit(1)), lambda n: ~n.isin(*KEYWORDS[lang].split())))
+    names = F.filter(F.regexp_extract_all(text, F.lit(CALL[lang]), F.lit(1)), lambda n: ~n.isin(*KEYWORDS[lang].split()))
+    return F.array_distinct(F.transform(names, lambda n: F.ltrim(n, F.lit("."))))
 
 
 def extract_calls(files: DataFrame) -> DataFrame:

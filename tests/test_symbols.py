@@ -92,7 +92,7 @@ def test_calls_of_four_languages(spark):
     from depscope.operators.graph import extract_calls
 
     rows = [
-        ("a.ts", "// no(1)\n/* nor(2)\n neither(3) */ if (f(a)) { while(b) {} }\nclass K { area(x) { return g<number>(x) } }\nfunction h(a) { return new N(a).run() }\nconst s = 'q(1)' + \"r(2)\" + `t(3)`; foo (2); a.b.c(); interface I { m(x): void }"),
+        ("a.ts", "// no(1)\n/* nor(2)\n neither(3) */ if (f(a)) { while(b) {} }\nclass K { area(x) { return g<number>(x) } }\nfunction h(a) { return new N(a).run() }\nconst s = 'q(1)' + \"r(2)\" + `t(3)`; foo (2); a.b.c(); m.get(1); p.catch(e); super(1); interface I { m(x): void }"),
         ("b.py", "# no(1)\ndef f(a):\n    '''nor(2)'''\n    return g(h.k (a), 'x(1)')\nclass K(f2(), object): pass\nprint(a) if (a) else None\n"),
         ("c.go", "// no(1)\nfunc (t *T) M(a int) int { return p.F(a) }\nfunc G(a int) { for (a > 0) { h(`x(1)`) } }\ntype I interface { N(x int) }\n"),
         ("d.rs", "// no(1)\nfn k(a: &'a str) { if (a) { T::f(a); b.g(); m!(1); h(\"x(1)\", 'c') } }\nstruct P(i32);"),
@@ -102,7 +102,7 @@ def test_calls_of_four_languages(spark):
     got = {}
     for r in found:
         got.setdefault(r["caller_file"], set()).add(r["called_name"])
-    assert got == {"a.ts": {"f", "g", "run", "foo", "c"}, "b.py": {"g", "k", "f2", "print"}, "c.go": {"F", "h"}, "d.rs": {"f", "g", "h"}}
+    assert got == {"a.ts": {"f", "g", "run", "foo", "c", "get", "catch"}, "b.py": {"g", "k", "f2", "print"}, "c.go": {"F", "h"}, "d.rs": {"f", "g", "h"}}
 
 
 def test_a_large_literal_is_masked(spark):
