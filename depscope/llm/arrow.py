@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
@@ -58,26 +59,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def even_keys(spark: SparkSession, n: int) -> list[int]:
-    """n longs, the i-th of which Spark's hash partitioning sends to partition i of n.
-
-    With them a fixed number of buckets of equal weight is dealt out evenly.
-    """
-    found: dict[int, int] = {}
-    lo, step = 0, 16 * n + 64
-    while len(found) < n:
-        rows = (
-            spark.range(lo, lo + step, 1, 1)
-            .groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p"))
-            .agg(F.min("id").alias("k"))
-            .collect()
-        )
-        for r in rows:
-            found.setdefault(r["p"], r["k"])
-        lo += step
-    return [found[i] for i in range(n)]
-
-
 def chunks(batch: pa.RecordBatch, col: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with at most limit bytes of text, or one longer row."""
     if not batch.num_rows:
@@ -153,25 +134,6 @@ def word_spans(buf: np.ndarray, off: np.ndarray, in_word: np.ndarray) -> tuple[n
 
 
 _P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-#: Bytes that are hashed together (a longer span is hashed on its own).
-_STEP = 256 << 10
-_powers: list[np.ndarray] = []
-
-
-def _pow(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, n of each at least; those of up to _STEP bytes are kept."""
-    if _powers and n <= len(_powers[0]):
-        return _powers
-    out = []
-    for p in (_P, _PINV):
-        a = np.full(max(n, _STEP + 1), p, np.uint64)
-        a[0] = 1
-        np.cumprod(a, out=a)
-        out.append(a)
-    if n <= _STEP + 1:
-        _powers[:] = out
-    return out
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -184,24 +146,29 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def interned(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number of each byte span among the distinct ones, and those: equal numbers are equal bytes. Spans ascend and don't overlap."""
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1  # a span may begin where another ends
+    held = buf[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    places = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(held)])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each byte span, the same wherever the bytes stand. Spans ascend and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + _STEP, side="right")))
-        part, s, e = buf[base : ends[to - 1]], starts[at:to] - base, ends[at:to] - base
-        pw, ipw = _pow(len(part) + 1)
-        pre = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * pw[: len(part)], out=pre[1:])
-        out[at:to] = mix64((pre[e] - pre[s]) * ipw[s] + (e - s).astype(np.uint64))
-        at = to
-    return out
+    """128-bit hash (XXH3) of each byte span, as two rows of 64 bits; each distinct span is hashed once."""
+    if not len(starts):
+        return np.zeros((2, 0), np.uint64)
+    code, distinct = interned(buf, starts, ends)
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct.to_pylist())), "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(digests.T)[:, code]
 
 
 def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hash of each run of n consecutive word hashes (len - n + 1 of them)."""
+    """64-bit hash of each run of n consecutive 64-bit word hashes (len - n + 1 of them)."""
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
@@ -212,16 +179,6 @@ def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(g)
 
 
-def planes(a: np.ndarray) -> bytes:
-    """Little-endian bytes of a, one plane for each byte place: shuffle compression then finds the empty ones."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-
-
-def unplanes(b: bytes, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
-
-
 #: Bytes that are not white space \x20 \x09-\x0D.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False

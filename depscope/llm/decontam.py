@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.arrow import ITEM_WORD, LOWER_AZ, NULL_ID, chunks, gathered, hash_spans, keyed_texts, long_id, real_id, released, text_buffer, word_spans
+from depscope.llm.arrow import ITEM_WORD, LOWER_AZ, NULL_ID, chunks, gathered, interned, keyed_texts, long_id, real_id, released, text_buffer, word_spans
 
 WINDOW = 10
 SAMPLE = 8
@@ -118,20 +119,20 @@ class FmIndex:
         return self.positions[self.sampled.ones(rows)] + steps
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hash, byte start, byte end and text number of each word, and the number of texts."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Number of each word among the distinct ones, those, byte start, byte end and text number of each word, and the number of texts."""
     buf, off = text_buffer(texts)
     buf = LOWER_AZ[buf]
     starts, ends, of = word_spans(buf, off, ITEM_WORD)
-    h = hash_spans(buf, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    return h, starts - off[of], ends - off[of], of, len(texts)
+    code, distinct = interned(buf, starts, ends)
+    return code, distinct, starts - off[of], ends - off[of], of, len(texts)
 
 
 class Windows:
-    """Distinct windows of the items, as rows of word hashes, and the items that have them."""
+    """Distinct windows of the items, as rows of numbers of words, and the items that have them. Words are the same if their bytes are."""
 
     def __init__(self, items: list[str], texts: list[str], n: int):
-        h, _, _, of, _ = _words(pa.array(texts, pa.string()))
+        h, self.vocabulary, _, _, of, _ = _words(pa.array(texts, pa.string()))
         self.items, self.n = items, n
         count = np.bincount(of, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
         first = np.cumsum(count) - count
@@ -139,28 +140,26 @@ class Windows:
         item = np.repeat(np.arange(len(items)), many)
         at = first[item] + np.arange(len(item)) - (np.cumsum(many) - many)[item]
         size = np.minimum(count, n)[item]
-        words = np.zeros((len(item), n), np.uint64)
+        words = np.zeros((len(item), n), np.int64)
         for j in range(n):
             ok = size > j
             words[ok, j] = h[at[ok] + j]
-        key = np.concatenate([words, size[:, None].astype(np.uint64)], axis=1)
+        key = np.concatenate([words, size[:, None]], axis=1)
         distinct, self.window_of = np.unique(key, axis=0, return_inverse=True) if len(key) else (key, np.zeros(0, np.int64))
         self.window_of = self.window_of.reshape(-1)
         self.item_of = item
         self.words, self.sizes = distinct[:, :n], distinct[:, n].astype(np.int64)
-        self.vocabulary = np.unique(h)
         by = np.argsort(self.window_of, kind="stable")
         self.item_list = item[by]
         self.item_start = np.searchsorted(self.window_of[by], np.arange(len(self.sizes) + 1))
 
-    def find(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, window) of every occurrence in texts with word hashes h and text numbers of."""
+    def find(self, code: np.ndarray, distinct: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, window) of every occurrence in texts whose words are distinct[code], with text numbers of."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(h) or not len(self.sizes):
+        if not len(code) or not len(self.sizes):
             return none
-        code = np.searchsorted(self.vocabulary, h)
-        code[code == len(self.vocabulary)] = 0
-        known = self.vocabulary[code] == h
+        code = pc.fill_null(pc.index_in(distinct, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+        known = code >= 0
         run = np.cumsum(~known | np.append(True, of[1:] != of[:-1]))  # an unknown word begins a run of its own
         length = np.bincount(run[known], minlength=run[-1] + 1)
         at = np.flatnonzero(known & (length[run] >= self.sizes.min()))
@@ -175,11 +174,9 @@ class Windows:
         word_at = np.zeros(len(s), np.int64)
         word_at[place] = at
         # windows whose words are all present
-        want = np.searchsorted(self.vocabulary, self.words)
-        want[want == len(self.vocabulary)] = 0
         inside = np.arange(self.n) < self.sizes[:, None]
-        sym = np.minimum(np.searchsorted(present, want), len(present) - 1)
-        ok = ((present[sym] == want) | ~inside).all(axis=1)
+        sym = np.minimum(np.searchsorted(present, self.words), len(present) - 1)
+        ok = ((present[sym] == self.words) | ~inside).all(axis=1)
         which = np.flatnonzero(ok)
         if not len(which):
             return none
@@ -207,9 +204,9 @@ def _pass(rows: DataFrame, items: list[str], texts: list[str], n: int) -> DataFr
         windows = Windows(*shared.value, n)
         for b in gathered(batches, SHARD_BYTES):
             for c in chunks(b, limit=SHARD_BYTES):
-                h, start, end, of, docs = _words(c.column("text"))
-                first, window = windows.find(h, of)
-                mark = np.zeros(len(h) + 1, np.int64)
+                code, distinct, start, end, of, docs = _words(c.column("text"))
+                first, window = windows.find(code, distinct, of)
+                mark = np.zeros(len(code) + 1, np.int64)
                 np.add.at(mark, first, 1)
                 np.add.at(mark, first + windows.sizes[window], -1)
                 hit = np.cumsum(mark)[:-1] > 0

@@ -4,8 +4,9 @@ A run of n words that stands twice holds, in either place, a block of n // 2
 words that begins at a multiple of n // 2. So: (1) the blocks of all documents are the
 reference index, every rolling window of that length is a probe, and probes that meet a
 block elsewhere are anchors; (2) windows of n words around anchors are compared by
-96 bits of hash, which extends the anchors to maximal repeats; every window but the
-first of its kind is marked.
+128 bits of hash, which extends the anchors to maximal repeats; every window but the
+first of its kind is marked. The 128 bits are two hashes of 64, each over its own half of the words'
+128-bit hashes.
 
 Both steps use the exchange of blobs.py: documents stay in chunks, of equal windows in a
 chunk one is sent, and the answer is a bit for each. So a passage that many documents share
@@ -22,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depscope.llm.arrow import NOT_SPACE, free, hash_spans, keyed_texts, mix64, ngram_hash, real_id, released, text_buffer, word_spans
+from depscope.llm.arrow import NOT_SPACE, free, hash_spans, keyed_texts, ngram_hash, real_id, released, text_buffer, word_spans
 from depscope.llm.blobs import answered, asks, chunked, corpus, fingerprint_bits, from_blob, heads, in_order, pack, ranges, unpack
 from depscope.llm.store import settled
 
 N = 20
-_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Chunk:
@@ -37,7 +37,7 @@ class _Chunk:
         self.batch, self.n, self.half = from_blob(data), n, n // 2
         self.buf, self.off = text_buffer(self.batch.column("text"))
         self.starts, self.ends, self.of = word_spans(self.buf, self.off, NOT_SPACE)
-        self.hash = hash_spans(self.buf, self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+        self.hash, self.second = hash_spans(self.buf, self.starts, self.ends)
         self.first = np.searchsorted(self.of, np.arange(self.batch.num_rows + 1))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,12 +54,12 @@ class _Chunk:
         return at[by], key, heads(key)
 
     def candidates(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word of each window that holds an anchor (a mask of words), sorted by hash and place; its 64 and 32 bits of hash."""
+        """First word of each window that holds an anchor (a mask of words), sorted by hash and place; its two hashes of 64 bits."""
         at, g = self.windows(self.n)
         seen = np.concatenate([[0], np.cumsum(anchors)])
         ok = seen[at + self.n - self.half + 1] > seen[at]
         at, g = at[ok], g[ok]
-        other = ngram_hash(mix64(self.hash ^ _OTHER), self.n)[at] >> np.uint64(32) if len(at) else g
+        other = ngram_hash(self.second, self.n)[at] if len(at) else g
         ids, tks, doc = *_ids(self.batch), self.of[at]
         by = np.lexsort((at - self.first[doc], tks[doc], ids[doc], other, g))
         return at[by], g[by], other[by]

@@ -56,6 +56,26 @@ def test_repeats(docs, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def thue_morse(n):
+    """A word of n letters and its mirror image, which polynomial hashes modulo a power of two take for one."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_long_words_that_differ_are_not_taken_for_one(spark, n):
+    a, b = thue_morse(n)
+    lead = " ".join(f"w{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{lead} {a}"), (2, f"{lead} {b}"), (3, f"{lead} {a}")], "doc_id long, text string")
+    assert {r["id"]: r["n_removed"] for r in repeats.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 20}
+    bench = spark.createDataFrame([("x", f"w1 w2 w3 w4 w5 w6 w7 w8 w9 {a}"), ("y", b[:-1])], "item_id string, text string")
+    words = "w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    rows = spark.createDataFrame([(1, f"{words} {b}"), (2, f"z {words} {a}"), (3, a), (4, b[:-1].upper())], "doc_id long, text string")
+    assert {r["id"]: r["items"] for r in decontam.find_benchmark(rows, bench).collect()} == {1: [], 2: ["x"], 3: [], 4: ["y"]}
+    near_rows = spark.createDataFrame([(1, f"{a} u v w x"), (2, f"{b} u v w x"), (3, f"{a} u  v w x")], "doc_id long, text string")
+    assert {r["id"]: r["class_id"] for r in near.near_duplicates(near_rows).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_exact(docs, empty):
     got = exact.exact_groups(docs, keep="max").collect()
     assert len(got) == docs.count()
