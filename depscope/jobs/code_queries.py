@@ -34,7 +34,7 @@ def _extracted(s: SparkSession, d: str, lang: str) -> DataFrame:
 def _resolved(resolve, lang: str):
     def query(s: SparkSession, d: str) -> DataFrame:
         files = _modules(s, d, lang)
-        return resolve(symbols.extract_module_imports(files), files).select("importer_file", "import_path", "imported_file")
+        return resolve(graph.extract_imports(files), files).select("importer_file", "import_path", "imported_file")
 
     return query
 
@@ -55,8 +55,8 @@ def _call_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    """Files whose context is asked for: those of a fiftieth of the parts."""
-    return source(s, d, "fx_tree_symbols").filter("pos % 50 = 7").select("repo", "file").distinct()
+    """Files whose context is asked for: a query set of every part whose number is divisible by 50."""
+    return source(s, d, "fx_tree_symbols").filter("pos % 50 = 0").select("repo", "file").distinct()
 
 
 def _summary(s: SparkSession, d: str) -> DataFrame:
@@ -214,10 +214,11 @@ LEFT JOIN {_F['fx_modules']} f ON f.lang = 'rust' AND f.path = 'pkg' || p || '/'
     "type_lineage": f"""WITH RECURSIVE e AS (SELECT DISTINCT unnest(list_concat(extends, implements)) AS src, name AS dst FROM {_F['fx_classes']}),
 c(seed, node) AS (SELECT DISTINCT n, n FROM ({_ENDS}) UNION SELECT c.seed, e.dst FROM c JOIN e ON e.src = c.node) SELECT 'main' AS repo, seed AS type_name, node AS member FROM c""",
     "dependency_edges": base._TREE_EDGES,
-    "all_cones": f"{_pairs(_ENDS)} SELECT 'main' AS repo, seed AS seed_file, node AS file FROM c",
+    "all_cones": f"""{_pairs(_ENDS).replace("c(seed, node) AS (", "c(seed, node, depth) AS (").replace("SELECT DISTINCT n, n FROM", "SELECT DISTINCT n, n, 0 FROM").replace("SELECT c.seed, e.dst FROM c JOIN e ON e.src = c.node", "SELECT c.seed, e.dst, depth + 1 FROM c JOIN e ON e.src = c.node WHERE depth < 12")}
+SELECT 'main' AS repo, seed AS seed_file, node AS file, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY seed, node""",
     "symbol_cone": f"""{_pairs(_ORIGINS)} SELECT 'main' AS repo, name, node AS file FROM ({base._WINNERS}) u JOIN c ON seed = u.file WHERE name IN (SELECT called_name FROM {_F['fx_tree_calls']})""",
     "file_context": f"""{_pairs(_ORIGINS)} SELECT DISTINCT 'main' AS repo, s.file AS file, node AS cone_file FROM {_TREE} s JOIN ({base._WINNERS}) u ON u.name = s.name JOIN c ON seed = u.file""",
-    "cone_context": f"""{_pairs(f"SELECT file AS n FROM {_TREE} WHERE pos % 50 = 7")} SELECT 'main' AS repo, seed AS seed_file, row_number() OVER (PARTITION BY seed ORDER BY node) AS ord, '// ── FILE: ' || node || ' ──' || chr(10) || content AS piece FROM c JOIN {_F['fx_files']} ON path = node""",
+    "cone_context": f"""{_pairs(f"SELECT file AS n FROM {_TREE} WHERE pos % 50 = 0")} SELECT 'main' AS repo, seed AS seed_file, row_number() OVER (PARTITION BY seed ORDER BY node) AS ord, '// ── FILE: ' || node || ' ──' || chr(10) || content AS piece FROM c JOIN {_F['fx_files']} ON path = node""",
     "connected_symbols_sample": f"SELECT name, file FROM ({base._WINNERS}) WHERE file IN (SELECT src FROM ({base._TREE_EDGES})) ORDER BY name LIMIT 20",
     "cone_reduction": f"SELECT repo, name, 100 - cone_ratio AS reduction_pct FROM ({_O['measure_cones']})",
     "session_stats": f"""SELECT *, floor(CAST(tokens_saved * 100000 AS DOUBLE) / total_tokens) / 1000 AS reduction_pct, CAST(tokens_saved * 3 AS DOUBLE) / 1000000 AS cost_saved FROM (
@@ -240,8 +241,8 @@ CAST(octet_length(CAST(content AS BLOB)) AS BIGINT) AS n_bytes, content IS NOT N
     "suggest_symbols": f"SELECT name FROM ({base._UNIQUE}) WHERE contains(lower(name), 'n1') AND NOT EXISTS (SELECT 1 FROM {_F['fx_symbols']} WHERE name = 'N1') ORDER BY name LIMIT 10",
     "changed_source_files": f"SELECT commit, substr(path, 5) AS file FROM {_F['fx_changes']} WHERE starts_with(path, 'app/') AND (path LIKE '%.ts' OR path LIKE '%.tsx')",
     "strip_code_fences": "SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, '```')), chr(10))) AS text_md5 FROM documents",
-    "assemble_stream_replies": f"""SELECT conv_id, reply, coalesce(used, CAST(len(regexp_extract_all(reply, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\n]')) AS BIGINT)) AS completion_tokens FROM (
-SELECT conv_id, string_agg(coalesce(json_extract_string(j, '$.choices[0].delta.content'), ''), '' ORDER BY line_no) AS reply, max(CAST(json_extract_string(j, '$.usage.completion_tokens') AS BIGINT)) AS used
+    "assemble_stream_replies": f"""SELECT conv_id, reply, prompt_tokens, coalesce(used, CAST(len(regexp_extract_all(reply, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\n]')) AS BIGINT)) AS completion_tokens FROM (
+SELECT conv_id, string_agg(coalesce(json_extract_string(j, '$.choices[0].delta.content'), ''), '' ORDER BY line_no) AS reply, max(CAST(json_extract_string(j, '$.usage.completion_tokens') AS BIGINT)) AS used, max(CAST(json_extract_string(j, '$.usage.prompt_tokens') AS BIGINT)) AS prompt_tokens
 FROM (SELECT *, trim(substr(line, 6)) AS j FROM {_F['fx_replies']} WHERE line NOT IN ('data: [DONE]', 'data:', 'data: {{"broken')) GROUP BY conv_id)""",
     "file_add_remove_diff": f"""SELECT d.file AS file, CASE WHEN change = 'added' THEN 'new' ELSE 'deleted' END AS status, name, change FROM ({_O['symbol_diff']}) d
 WHERE (d.file NOT IN (SELECT file FROM {_F['fx_old']})) OR (d.file NOT IN (SELECT file FROM {_F['fx_new']}))""",

@@ -12,13 +12,21 @@ from depscope.sources.derived import duck, source
 WINDOW_S = 3600
 
 
+def _roots(s: SparkSession, d: str) -> DataFrame:
+    """Each package is a root of its own."""
+    return source(s, d, "fx_sources").select("repo", F.regexp_replace("path", "/[^/]*$", "").alias("root")).distinct()
+
+
+def _imports(s: SparkSession, d: str) -> DataFrame:
+    """Imports of all languages."""
+    files = source(s, d, "fx_sources").select("repo", "path", "content").unionByName(source(s, d, "fx_modules").select("repo", "path", "content"))
+    return graph.extract_imports(files)
+
+
 def _resolved(s: SparkSession, d: str, view: str) -> DataFrame:
     files = source(s, d, view)
-    aliases = None
-    if view == "fx_sources":
-        roots = s.sql("SELECT 'main' AS repo, 'app' AS root")
-        aliases = graph.path_aliases(source(s, d, "fx_configs"), roots)
-    return graph.resolve_imports(graph.extract_imports(files.filter(F.col("path").endswith(".ts"))), files, aliases)
+    aliases = graph.path_aliases(source(s, d, "fx_configs"), _roots(s, d)) if view == "fx_sources" else None
+    return graph.resolve_imports(graph.extract_imports(files).filter("lang = 'typescript'"), files, aliases)
 
 
 def _import_edges(s: SparkSession, d: str) -> DataFrame:
@@ -67,9 +75,9 @@ def changed_files(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "detect_language": lambda s, d: source(s, d, "fx_sources").select("path").unionByName(source(s, d, "fx_changes").select("path")).select("path", graph.detect_language(F.col("path")).alias("lang")),
     "count_tokens": lambda s, d: source(s, d, "documents").select("doc_id", graph.count_tokens(F.col("text")).alias("tokens")),
-    "extract_calls": lambda s, d: graph.extract_calls(source(s, d, "fx_sources").unionByName(source(s, d, "fx_files"), allowMissingColumns=True)),
-    "extract_imports": lambda s, d: graph.extract_imports(source(s, d, "fx_sources").filter(F.col("path").endswith(".ts"))).withColumn("pos", F.col("pos").cast("long")),
-    "load_path_aliases": lambda s, d: graph.path_aliases(source(s, d, "fx_configs"), source(s, d, "fx_sources").select("repo", F.regexp_replace("path", "/[^/]*$", "").alias("root")).distinct()),
+    "extract_calls": lambda s, d: graph.extract_calls(source(s, d, "fx_sources").select("repo", "path", "content").unionByName(source(s, d, "fx_files"))),
+    "extract_imports": lambda s, d: _imports(s, d).withColumn("pos", F.col("pos").cast("long")),
+    "load_path_aliases": lambda s, d: graph.path_aliases(source(s, d, "fx_configs"), _roots(s, d)),
     "resolve_imports_ts": lambda s, d: _resolved(s, d, "fx_sources").select("importer_file", F.col("pos").cast("long").alias("pos"), "import_path", "imported_file"),
     "unresolved_imports": lambda s, d: graph.unresolved_imports(_resolved(s, d, "fx_sources")),
     "unique_symbols": lambda s, d: graph.unique_symbols(source(s, d, "fx_symbols")),
@@ -97,7 +105,7 @@ QUERIES = {
     "dedup_diagnostics": lambda s, d: act.dedup_diagnostics(_new_diags(s, d), changed_files(s, d)),
 }
 
-_F = {k: f"({duck(k)})" for k in ("fx_files", "fx_symbols", "fx_calls", "fx_edges", "fx_reads", "fx_deltas", "fx_flushes", "fx_tokens", "fx_diag_log", "fx_old", "fx_new", "fx_tree_symbols", "fx_tree_calls", "fx_sources", "fx_changes")}
+_F = {k: f"({duck(k)})" for k in ("fx_files", "fx_symbols", "fx_calls", "fx_edges", "fx_reads", "fx_deltas", "fx_flushes", "fx_tokens", "fx_diag_log", "fx_old", "fx_new", "fx_tree_symbols", "fx_tree_calls", "fx_sources", "fx_changes", "fx_modules")}
 _IMPORTS = f"SELECT repo, path AS importer_file, unnest(regexp_extract_all(content, 'from ''([^''\\n]+)''', 1)) AS import_path, generate_subscripts(regexp_extract_all(content, 'from ''([^''\\n]+)''', 1), 1) - 1 AS pos FROM {_F['fx_files']}"
 _RESOLVED = f"""SELECT i.*, coalesce(a.path, b.path) AS imported_file FROM (SELECT *, regexp_replace(importer_file, '[^/]+$', '') || regexp_replace(import_path, '^\\./', '') AS p FROM ({_IMPORTS})) i
 LEFT JOIN {_F['fx_files']} a ON a.path = i.p LEFT JOIN {_F['fx_files']} b ON b.path = i.p || '.ts'"""
@@ -110,7 +118,8 @@ def _call_edges(calls: str, symbols: str) -> str:
     unique = f"SELECT name, arg_max(file, file) AS file FROM {symbols} GROUP BY name"
     return f"""SELECT DISTINCT c.repo, caller_file, callee_file FROM (
   SELECT c.repo, c.caller_file, coalesce(u.file, m.file) AS callee_file FROM {calls} c LEFT JOIN ({unique}) u ON u.name = c.called_name
-  LEFT JOIN (SELECT DISTINCT split_part(name, '.', 2) AS m, file FROM {symbols} WHERE kind IN ('method', 'interface_method')) m ON u.name IS NULL AND m.m = c.called_name) c
+  LEFT JOIN (SELECT DISTINCT split_part(name, '.', 2) AS m, file FROM (SELECT name, arg_max(file, file) AS file, arg_max(kind, file) AS kind FROM {symbols} GROUP BY name)
+    WHERE kind IN ('method', 'interface_method')) m ON u.name IS NULL AND m.m = c.called_name) c
 WHERE callee_file IS NOT NULL AND callee_file <> caller_file"""
 
 
@@ -144,7 +153,7 @@ _SOURCE_IMPORTS = " UNION ALL ".join(
     for pos, imp, to in (
         (0, "'../pkg' || (p + 1) || '/mod' || (k + 40)", "'app/pkg' || (p + 1) || '/mod' || (k + 40) || '.ts'"),
         (1, "'./style.css'", "'-'"),
-        (2, "'~/pkg' || p || '/mod' || (k + 4)", "'app/pkg' || p || '/mod' || (k + 4) || '.ts'"),
+        (2, "'~/pkg' || p || '/mod' || (k + 4)", "CASE WHEN p % 5 IN (1, 2) THEN '-' ELSE 'app/pkg' || p || '/mod' || (k + 4) || '.ts' END"),  # some packages have a configuration of their own
         (3, "'./mod' || (k + 8)", "'app/pkg' || p || '/mod' || (k + 8) || '.ts'"),
         (4, "'~lib/x'", "'-'"),
     )
@@ -163,14 +172,30 @@ _NEW = f"WITH g AS ({_DIAGS}) SELECT * FROM g WHERE attempt > 1 AND NOT EXISTS (
 _UNITS = f"SELECT *, prompt_tokens * {_RATE.format(h=25, s=300)} + completion_tokens * {_RATE.format(h=125, s=1500)} AS units FROM {_F['fx_tokens']}"
 _CHANGED = f"(SELECT DISTINCT run_id, file FROM ({_DIAGS}) WHERE attempt = 1 AND line <= 10)"
 
+#: Sources with literals and comments blanked, then without what stands before a parenthesis and is no call, by regular expressions on the text itself.
+_MASKED = rf"""SELECT repo, path, regexp_extract(path, '[.]([a-z]+)$', 1) AS ext,
+regexp_replace(content, '"[^"\n]*"|''[^''\n]*''|`[^`]*`|//[^\n]*|/\*(?s:.*?)\*/' || CASE WHEN path LIKE '%.py' THEN '|#[^\n]*' ELSE '' END, ' ', 'g') AS t
+FROM (SELECT repo, path, content FROM {_F['fx_sources']} UNION ALL SELECT repo, path, content FROM {_F['fx_files']})"""
+_HEADLESS = rf"""SELECT repo, path, regexp_replace(t, CASE ext WHEN 'ts' THEN 'interface [A-Za-z0-9]+ \{{[^{{}}]*\}}|(?:function|new) [A-Za-z0-9]+|[A-Za-z0-9]+\([^()]*\): [a-z]+ \{{'
+WHEN 'py' THEN '(?:def|class) [A-Za-z0-9]+' WHEN 'go' THEN 'func (?:\([^()]*\) )?[A-Za-z0-9]+' ELSE '(?:fn|struct) [A-Za-z0-9]+|[a-z]+!\([^()]*\)' END, ';', 'g') AS t FROM ({_MASKED})"""
+_CALLED = rf"SELECT repo, path, unnest(regexp_extract_all(t, '([A-Za-z_][A-Za-z0-9_]*)(?:<[a-z]+>)? *\(', 1)) AS called_name FROM ({_HEADLESS})"
+_IMPORTED = {
+    "typescript": r"""list_filter(regexp_extract_all(regexp_replace(content, '//[^\n]*|/\*(?s:.*?)\*/', ' ', 'g'), 'import (?:[A-Za-z{} ,]+ from )?["'']([^"'']+)["'']', 1), lambda x: starts_with(x, '.') OR contains(x, '/'))""",
+    "python": r"regexp_extract_all(content, '(?m)^(?:import|from) ([A-Za-z0-9_.]+)', 1)",
+    "go": r"""regexp_extract_all(content, '(?m)^"([^"]+)"$', 1)""",
+    "rust": r"list_filter(regexp_extract_all(content, '(?m)^(?:use|mod) ([a-z0-9]+)', 1), lambda x: x <> 'crate')",
+}
+_FOUND_IMPORTS = " UNION ALL ".join(
+    f"SELECT repo, path, '{lang}' AS lang, {found} AS found FROM (SELECT repo, path, content FROM {_F['fx_sources']} UNION ALL SELECT repo, path, content FROM {_F['fx_modules']}) WHERE path LIKE '%.{ext}'"
+    for (lang, found), ext in zip(_IMPORTED.items(), ("ts", "py", "go", "rs"), strict=True)
+)
+
 ORACLES = {
     "detect_language": f"""SELECT path, CASE regexp_extract(path, '[.]([^./]+)$', 1) WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' END AS lang
 FROM (SELECT path FROM {_F['fx_sources']} UNION ALL SELECT path FROM {_F['fx_changes']})""",
     "count_tokens": f"SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents",
-    "extract_calls": f"""SELECT repo, path AS caller_file, unnest(CASE k % 4 WHEN 0 THEN ['helper' || k % 50, 'size', 'fn' || (k + 4)] WHEN 1 THEN ['run', 'helper' || k % 50, 'print', 'fn' || (k + 4)]
-WHEN 2 THEN ['Do' || k % 50, 'Fn' || (k + 4), 'len'] ELSE ['new', 'run', 'fn' || (k + 4)] END) AS called_name FROM {_F['fx_sources']}
-UNION ALL SELECT DISTINCT repo, path, unnest(list_distinct(regexp_extract_all(content, '(return|[+]) (fn[0-9]+)\\(', 2))) FROM {_F['fx_files']}""",
-    "extract_imports": f"SELECT 'main' AS repo, importer_file, pos, import_path FROM ({_SOURCE_IMPORTS})",
+    "extract_calls": f"SELECT DISTINCT repo, path AS caller_file, called_name FROM ({_CALLED}) WHERE called_name NOT IN ('if', 'while', 'for', 'return', 'in')",
+    "extract_imports": f"SELECT repo, path AS importer_file, lang, unnest(range(len(found))) AS pos, unnest(found) AS import_path FROM ({_FOUND_IMPORTS})",
     "resolve_imports_ts": _SOURCE_RESOLVED,
     "unresolved_imports": f"SELECT 'main' AS repo, count(*) AS imports, count(*) FILTER (imported_file IS NULL) AS unresolved, count(*) FILTER (imported_file IS NULL) = 0 AS passed FROM ({_SOURCE_RESOLVED}) WHERE import_path NOT LIKE '%.css'",
     "unique_symbols": _UNIQUE,

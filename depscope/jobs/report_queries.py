@@ -148,7 +148,7 @@ QUERIES = {
     "save_load_subscription_state": _state,
     "read_trace_log": _trace,
     "stream_recovery": _recovered,
-    "export_ledger_json": lambda s, d: reports.ledger_json(base._records(s, d).select("run_id", "record_id", "agent_id", "prompt_tokens", "model")),
+    "export_ledger_json": lambda s, d: reports.ledger_json(base._records(s, d).drop("ts", "passed", "cost_usd")),
     "save_load_graph": _saved,
     "cone_diagnostics": lambda s, d: reports.cone_diagnostics(base._new_diags(s, d), base.changed_files(s, d)),
     "definition_first": lambda s, d: reports.definition_first(base._new_diags(s, d), base.changed_files(s, d)),
@@ -156,7 +156,7 @@ QUERIES = {
     "format_diagnostics": lambda s, d: reports.format_diagnostics(activity.dedup_diagnostics(base._new_diags(s, d), base.changed_files(s, d))),
     "attempt_summary": lambda s, d: reports.attempt_summary(_attempts(s, d)),
     "attempt_routing": lambda s, d: _attempts(s, d).select("record_id", "attempt", reports.attempt_routing(F.col("attempt")).alias("task")),
-    "validate_changes": lambda s, d: reports.validate_changes(source(s, d, "fx_files").select(F.col("path").alias("file")), source(s, d, "fx_diag_log")),
+    "validate_changes": lambda s, d: reports.validate_changes(source(s, d, "fx_changed_paths"), source(s, d, "fx_diag_log")),
     "suite_pass_rate": lambda s, d: reports.suite_pass_rate(source(s, d, "fx_results")),
     "validation_run_summary": lambda s, d: reports.validation_run_summary(source(s, d, "fx_results")),
     "bus_state": lambda s, d: reports.bus_state(source(s, d, "fx_reads"), activity.pending_after_flush(base._routed(s, d), source(s, d, "fx_flushes")).filter("delivered_by is null")),
@@ -169,7 +169,7 @@ QUERIES = {
     "stream_notify_callback": _stream_notify,
 }
 
-_F = {k: f"({duck(k)})" for k in ("fx_files", "fx_symbols", "fx_calls", "fx_reads", "fx_deltas", "fx_tokens", "fx_diag_log", "fx_results", "fx_flushes", "fx_old", "fx_new")}
+_F = {k: f"({duck(k)})" for k in ("fx_files", "fx_symbols", "fx_calls", "fx_reads", "fx_deltas", "fx_tokens", "fx_diag_log", "fx_results", "fx_flushes", "fx_old", "fx_new", "fx_changed_paths")}
 _O = base.ORACLES
 _CHANGED = base._CHANGED
 _NEW = f"({base._NEW})"
@@ -188,8 +188,9 @@ CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed, CA
 SELECT count(DISTINCT run_id) AS runs, count(*) AS calls, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, CAST(sum(units) AS BIGINT) AS u, count(*) FILTER (passed) AS p, count(passed) AS j FROM ({base._UNITS}))""",
     "format_cost_tokens": f"SELECT record_id, {_COST} AS cost, format('{{:,}}', prompt_tokens) AS tokens FROM ({base._COSTED})",
     "append_ledger": f"SELECT run_id, count(*) AS records FROM {_F['fx_tokens']} GROUP BY run_id",
-    "export_ledger_json": f"""SELECT run_id, record_id AS line, '{{"agent_id":"' || agent_id || '","model":"' || model || '","prompt_tokens":' || prompt_tokens || ',"record_id":' || record_id || '}}' AS json FROM {_F['fx_tokens']}
-UNION ALL SELECT run_id, -1, '{{"run_id":"' || run_id || '","calls":' || count(*) || ',"prompt_tokens":' || CAST(sum(prompt_tokens) AS BIGINT) || '}}' FROM {_F['fx_tokens']} GROUP BY run_id""",
+    "export_ledger_json": f"""SELECT run_id, record_id AS line, '{{"agent_id":"' || agent_id || '","completion_tokens":' || completion_tokens || ',"model":"' || model || '","prompt_tokens":' || prompt_tokens || ',"record_id":' || record_id || ',"task_id":"' || task_id || '"}}' AS json FROM {_F['fx_tokens']}
+UNION ALL SELECT run_id, -row_number() OVER (PARTITION BY run_id ORDER BY CASE level WHEN 'run' THEN 1 WHEN 'agent' THEN 2 WHEN 'task' THEN 3 ELSE 4 END, key), '{{"level":"' || level || '",' || CASE level WHEN 'run' THEN '' ELSE '"key":"' || key || '",' END
+|| '"prompt_tokens":' || prompt_tokens || ',"completion_tokens":' || completion_tokens || ',"cost_usd":"' || printf('%.8f', cost_usd) || '"' || ',"calls":' || calls || '}}' FROM ({_O['ledger_summary']})""",
     "save_load_graph": f"""SELECT repo, name, rows FROM (SELECT 'symbols' AS name, count(*) AS rows FROM (SELECT DISTINCT name, file FROM {_F['fx_symbols']}) UNION ALL SELECT 'calls', count(*) FROM {_F['fx_calls']}
 UNION ALL SELECT 'imports', count(*) FROM ({base._IMPORT_EDGES}) UNION ALL SELECT 'reads', count(*) FROM {_F['fx_reads']}), (SELECT 'main' AS repo UNION ALL SELECT 'other')""",
     "cone_diagnostics": f"SELECT n.* FROM {_NEW} n WHERE EXISTS (SELECT 1 FROM {_CHANGED} c WHERE c.run_id = n.run_id AND (ends_with(n.file, c.file) OR ends_with(c.file, n.file)))",
@@ -201,8 +202,8 @@ SELECT run_id, attempt, count(*) FILTER (own) AS definition_errors, count(*) FIL
 CAST(coalesce(sum(prompt_tokens + completion_tokens) FILTER (lower(model) LIKE '%haiku%'), 0) AS BIGINT) AS haiku_tokens, CAST(coalesce(sum(prompt_tokens + completion_tokens) FILTER (lower(model) LIKE '%sonnet%'), 0) AS BIGINT) AS sonnet_tokens
 FROM {_F['fx_tokens']} GROUP BY run_id""",
     "attempt_routing": f"SELECT record_id, record_id % 5 + 1 AS attempt, CASE WHEN record_id % 5 = 0 THEN 'write' WHEN record_id % 5 < 3 THEN 'retry_' || (record_id % 5 + 1) ELSE 'escalation' END AS task FROM {_F['fx_tokens']}",
-    "validate_changes": f"""SELECT path AS file, count(line_text) AS errors, count(line_text) = 0 AS valid FROM {_F['fx_files']}
-LEFT JOIN {_F['fx_diag_log']} ON contains(lower(line_text), 'error') AND contains(line_text, path) GROUP BY path""",
+    "validate_changes": f"""SELECT p.file, count(line_text) AS errors, count(line_text) = 0 AS valid FROM {_F['fx_changed_paths']} p
+LEFT JOIN {_F['fx_diag_log']} ON contains(lower(line_text), 'error') AND contains(line_text, p.file) GROUP BY p.file""",
     "suite_pass_rate": f"SELECT run_id, suite, count(*) AS total, count(*) FILTER (passed) AS passed, avg(CAST(coalesce(passed, false) AS INT)) AS pass_rate FROM {_F['fx_results']} GROUP BY run_id, suite",
     "validation_run_summary": f"""SELECT run_id, count(DISTINCT suite) AS suites, count(*) AS tests, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT coalesce(passed, false)) AS failed,
 coalesce(string_agg(suite || '/' || name, ',' ORDER BY suite || '/' || name) FILTER (NOT coalesce(passed, false)), '') AS failures, count(*) FILTER (NOT coalesce(passed, false)) = 0 AS ready

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depscope.operators.references import READERS
 from depscope.sources.shared import settled, shared_dir
 
 TOKEN = "[A-Za-z0-9_]+|[^A-Za-z0-9_ \\n]"
@@ -22,89 +25,47 @@ def count_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
-#: What hides text from the readers below, by language: literals and comments. Both engines of the tests read these patterns.
-_DOUBLE, _SINGLE, _BACK = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"', r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'", r"`[^`\\]*(?:\\.[^`\\]*)*`"
-_SLASHES = r"//[^\n]*|/\*(?s:.*?)\*/"
-LITERAL = {
-    "typescript": f"{_DOUBLE}|{_SINGLE}|{_BACK}",
-    "python": f'(?s:""".*?"""|\'\'\'.*?\'\'\')|{_DOUBLE}|{_SINGLE}',
-    "go": f"{_DOUBLE}|{_SINGLE}|`[^`]*`",
-    "rust": r'"[^"\\]*(?:\\(?s:.)[^"\\]*)*"' + r"|'(?:\\[^\n]{1,9}?|[^'\\\n])'",
-}
-COMMENT = {"typescript": _SLASHES, "python": r"#[^\n]*", "go": _SLASHES, "rust": _SLASHES}
-_ID = r"[A-Za-z_$][A-Za-z0-9_$]*"
-_PARENS = r"\([^()]*(?:\([^()]*\)[^()]*)*\)"
-#: Declarations and other heads before a parenthesis that are no calls; what a match keeps follows as its first group, if any.
-HEADS = {
-    "typescript": (
-        rf"\binterface\s+[^{{}}]*\{{[^{{}}]*(?:\{{[^{{}}]*\}}[^{{}}]*)*\}}()",
-        rf"\b(?:function\s*\*?\s*|new\s+(?:{_ID}\.)*|abstract\s+){_ID}()",
-        rf"{_ID}(\s*(?:<[^<>()]*>)?\s*{_PARENS}\s*(?::[^;{{}}()=]*)?\{{)",
-    ),
-    "python": (rf"\b(?:def|class)\s+{_ID}()",),
-    "go": (r"\binterface\s*\{[^{}]*\}()", rf"\bfunc\s*(?:\([^()]*\)\s*)?{_ID}\s*(?:\[[^\]]*\])?()"),
-    "rust": (rf"\b(?:fn|struct|enum|union)\s+{_ID}()",),
-}
-CALL = {
-    "typescript": rf"(\.?{_ID})\s*(?:<[A-Za-z0-9_$., \[\]|]*>)?\s*(?:\?\.)?\(",
-    "python": rf"(\.?{_ID})\s*\(",
-    "go": rf"(\.?{_ID})\s*(?:\[[A-Za-z0-9_$., *]*\])?\(",
-    "rust": rf"(\.?{_ID})\s*\(",
-}
-#: Words before a parenthesis that are no names, unless a dot stands before them.
-KEYWORDS = {
-    "typescript": "if for while switch catch return typeof await void delete in of instanceof case throw yield do else function import super with",
-    "python": "if elif while for in and or not is return lambda yield assert del await raise from import except with else",
-    "go": "if for switch select return go defer range func map chan interface struct case var const type import",
-    "rust": "if while for match return in let loop fn move else where impl pub unsafe as mut ref",
-}
-LANGUAGES = ("typescript", "python", "go", "rust")
-
-
-def _by_language(path: Column, of) -> Column:
-    lang, out = detect_language(path), F.lit(None)
-    for name in LANGUAGES:
-        out = F.when(lang == name, of(name)).otherwise(out)
-    return out
-
-
-def masked(text: Column, lang: str) -> Column:
-    """text with each comment and literal as one blank."""
-    return F.regexp_replace(text, f"{LITERAL[lang]}|{COMMENT[lang]}", " ")
-
-
-def uncommented(text: Column, lang: str) -> Column:
-    return F.regexp_replace(text, f"({LITERAL[lang]})|(?:{COMMENT[lang]})", "$1")
-
-
-def called_names(text: Column, lang: str) -> Column:
-    """Distinct names before a parenthesis: plain ones and the last member of a chain; no declaration, keyword, new X or macro."""
-    text = masked(text, lang)
-    for head in HEADS[lang]:
-        text = F.regexp_replace(text, head, " $1")
-    names = F.filter(F.regexp_extract_all(text, F.lit(CALL[lang]), F.lit(1)), lambda n: ~n.isin(*KEYWORDS[lang].split()))
-    return F.array_distinct(F.transform(names, lambda n: F.ltrim(n, F.lit("."))))
+REFERENCES = "repo string, path string, lang string, kind string, pos int, name string"
 
 
-def extract_calls(files: DataFrame) -> DataFrame:
-    """(repo, caller_file, called_name): distinct called names of each file, by the rules of its language.
+def extract_references(files: DataFrame) -> DataFrame:
+    """(repo, path, lang, kind, pos, name): calls and imports of each file in order, by the rules of its language (references.py).
 
-    Null content and files of other languages have none. Calls inside template literals are not seen.
+    One row in, many out, no shuffle, and one pass over each text. Null content and files of other languages have none.
     """
-    called = _by_language(F.col("path"), lambda g: called_names(F.col("content"), g))
-    return files.select("repo", F.col("path").alias("caller_file"), F.explode(called).alias("called_name"))
+    lang = detect_language(F.col("path"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for repo, path, content, language in f.itertuples(index=False):
+                seen: set[str] = set()
+                pos = 0
+                for kind, name in READERS[language](content.encode().decode("latin-1")):
+                    if kind == "call":
+                        if name in seen:
+                            continue
+                        seen.add(name)
+                    out.append((repo, path, language, kind, pos, name if name.isascii() else name.encode("latin-1").decode("utf-8", "replace")))
+                    pos += kind == "import"
+            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in REFERENCES.split(", ")])
+
+    known = files.select("repo", "path", "content", lang.alias("lang")).filter(F.col("lang").isNotNull() & F.col("content").isNotNull())
+    return known.mapInPandas(run, REFERENCES)
 
 
-#: Path of an import or export of another TypeScript module.
-IMPORTED = r"""\b(?:from|import)\s*["']([^"'\n]+)["']"""
+def extract_calls(files: DataFrame) -> DataFrame:
+    """(repo, caller_file, called_name): distinct called names of each file: plain ones and the last member of a chain."""
+    return extract_references(files).filter("kind = 'call'").select("repo", F.col("path").alias("caller_file"), F.col("name").alias("called_name"))
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
-    """(repo, importer_file, pos, import_path) of TypeScript files in order: either quote, with or without names; comments don't count, nor do packages without a slash."""
-    found = F.regexp_extract_all(uncommented(F.col("content"), "typescript"), F.lit(IMPORTED), F.lit(1))
-    return files.select("repo", F.col("path").alias("importer_file"), F.posexplode(found).alias("pos", "import_path")).filter(
-        F.col("import_path").startswith(".") | F.col("import_path").contains("/")
-    )
+    """(repo, importer_file, lang, pos, import_path): the imports of each file in order.
+
+    TypeScript: import statements whose path begins with a dot or has a slash (re-exports are none); Python: modules
+    of import and from, with their dots; Go: quoted paths; Rust: first segments of use, and mod x;.
+    """
+    return extract_references(files).filter("kind = 'import'").select("repo", F.col("path").alias("importer_file"), "lang", "pos", F.col("name").alias("import_path"))
 
 
 def fold_path(path: Column) -> Column:
@@ -137,22 +98,28 @@ SUFFIXES = ("", ".ts", ".tsx")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Import rows with the file they name, null where none does.
+    """Import rows of TypeScript files with the file they name, null where none does.
 
-    A relative path starts at the importer's folder; any other goes by the aliases (repo, prefix, target),
-    longest prefix first. The path as given, with .ts, with .tsx: the first that exists counts.
+    A relative path starts at the importer's folder; any other goes by the aliases (repo, root, prefix, target)
+    of the nearest root that the importer is under, longest prefix first. The path as given, with .ts, with .tsx: the first that exists counts.
     """
     keys = ["repo", "importer_file", "pos", "import_path"]
     named = F.concat(F.regexp_replace("importer_file", r"[^/]+$", ""), "import_path")
     tried = imports.filter(F.col("import_path").startswith(".")).select(*keys, F.lit(0).alias("by"), fold_path(named).alias("stem"))
     if aliases is not None:
-        a = aliases.select(F.col("repo").alias("r"), "prefix", "target", F.length("prefix").alias("n"))
+        others = imports.filter(~F.col("import_path").startswith(".")).select(*keys)
+        # the roots at or above an importer are beginnings of its path; of those that have aliases the longest counts
+        folders = F.split("importer_file", "/")
+        above = F.transform(F.sequence(F.lit(0), F.size(folders) - 1), lambda n: F.array_join(F.slice(folders, F.lit(1), n), "/"))
+        roots = others.select("repo", "importer_file").distinct().select("repo", "importer_file", F.explode(above).alias("root")).join(aliases.select("repo", "root").distinct(), ["repo", "root"])
+        near = roots.groupBy("repo", "importer_file").agg(F.max_by("root", F.length("root")).alias("root"))
         # an alias is joined by each beginning of the import that ends before a slash
         parts = F.split("import_path", "/")
         heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-        begun = imports.filter(~F.col("import_path").startswith(".")).select(*keys, F.explode(heads).alias("prefix"))
-        rest = F.ltrim(F.expr("substring(import_path, n + 1)"), F.lit("/"))
-        by_alias = begun.join(a.withColumnRenamed("r", "repo"), ["repo", "prefix"]).select(*keys, (-F.col("n")).alias("by"), fold_path(F.concat_ws("/", F.when(F.col("target") != "", F.col("target")), F.when(rest != "", rest))).alias("stem"))
+        begun = others.join(near, ["repo", "importer_file"]).select(*keys, "root", F.explode(heads).alias("prefix"))
+        rest = F.ltrim(F.expr("substring(import_path, length(prefix) + 1)"), F.lit("/"))
+        stem = fold_path(F.concat_ws("/", F.when(F.col("target") != "", F.col("target")), F.when(rest != "", rest)))
+        by_alias = begun.join(aliases.select("repo", "root", "prefix", "target"), ["repo", "root", "prefix"]).select(*keys, (-F.length("prefix")).alias("by"), stem.alias("stem"))
         tried = tried.unionByName(by_alias)
     tries = F.array(*[F.struct(F.col("by"), F.lit(k).alias("rank"), F.concat("stem", F.lit(s)).alias("path")) for k, s in enumerate(SUFFIXES)])
     tried = tried.select(*keys, F.explode(tries).alias("t")).select(*keys, "t.*")
@@ -178,36 +145,70 @@ def unique_symbols(symbols: DataFrame) -> DataFrame:
 
 
 def call_file_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(repo, caller_file, callee_file): the exact name first, only without one every definer of a method so named."""
-    exact = calls.join(unique_symbols(symbols).select("repo", F.col("name").alias("called_name"), F.col("file").alias("exact_file")), ["repo", "called_name"], "left")
-    methods = symbols.filter("kind in ('method', 'interface_method')").select("repo", F.element_at(F.split("name", r"\."), -1).alias("called_name"), F.col("file").alias("method_file")).distinct()
-    by_exact = exact.filter("exact_file is not null").select("repo", "caller_file", F.col("exact_file").alias("callee_file"))
-    by_method = exact.filter("exact_file is null").join(methods, ["repo", "called_name"]).select("repo", "caller_file", F.col("method_file").alias("callee_file"))
+    """(repo, caller_file, callee_file): the exact name first, only without one every type's method so named. Of each name its winning record counts."""
+    winners = unique_symbols(symbols)
+    exact = winners.select("repo", F.col("name").alias("called_name"), F.col("file").alias("exact_file"))
+    methods = winners.filter("kind in ('method', 'interface_method')").select("repo", F.element_at(F.split("name", r"\."), -1).alias("called_name"), F.col("file").alias("method_file")).distinct()
+    named = calls.select("repo", "caller_file", "called_name").distinct().join(exact, ["repo", "called_name"], "left")
+    by_exact = named.filter("exact_file is not null").select("repo", "caller_file", F.col("exact_file").alias("callee_file"))
+    by_method = named.filter("exact_file is null").join(methods, ["repo", "called_name"]).select("repo", "caller_file", F.col("method_file").alias("callee_file"))
     return by_exact.unionByName(by_method).filter("caller_file <> callee_file").distinct()
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(repo, seed, node): everything reachable from each seed, itself too. Cycles are fine.
+#: Seeds whose bits share a number.
+WORD = 64
+
 
-    seeds (repo, file): where to start; without it every node of the edges.
+class Closure:
+    """What is reached from each seed along edges (repo, src, dst), as bits: of WORD seeds in one number for each node and round.
 
-    Semi-naive: each round joins only the pairs found in the round before. Rounds are written to the shared folder.
+    seeds: (repo, seed, id). bits: (repo, node, word, bits, depth): bit i is the seed of id word * WORD + i, which reaches
+    the node in depth steps and not in fewer. Neighbours in path order share a word, so the files of a
+    folder, which reach much the same, cost one number a node. A round sends, along each edge, the bits that are new.
     """
-    spark = edges.sparkSession
-    base = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
-    edges = settled(edges.select("repo", "src", "dst").filter("src <> dst").distinct(), "edges")
-    starts = edges.select("repo", "src").union(edges.select("repo", "dst")) if seeds is None else seeds.select("repo", F.col("file").alias("src"))
-    starts.distinct().select("repo", F.col("src").alias("seed"), F.col("src").alias("node")).write.parquet(f"{base}/round=0")
-    schema = spark.read.parquet(f"{base}/round=0").schema
-    k = 0
-    while True:
-        fresh = spark.read.schema(schema).parquet(f"{base}/round={k}")
-        if fresh.isEmpty():
-            return spark.read.schema(schema).parquet(*[f"{base}/round={j}" for j in range(k + 1)])
-        known = spark.read.schema(schema).parquet(*[f"{base}/round={j}" for j in range(k + 1)])
-        step = fresh.join(edges.withColumnRenamed("src", "node"), ["repo", "node"]).select("repo", "seed", F.col("dst").alias("node")).distinct()
-        k += 1
-        step.join(known, ["repo", "seed", "node"], "left_anti").write.parquet(f"{base}/round={k}")
+
+    def __init__(self, edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None):
+        spark = edges.sparkSession
+        base = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
+        edges = settled(edges.select("repo", "src", "dst").filter("src <> dst").distinct(), "edges")
+        starts = edges.select("repo", "src").union(edges.select("repo", "dst")) if seeds is None else seeds.select("repo", F.col("file").alias("src"))
+        ordered = starts.select("repo", F.col("src").alias("seed")).distinct().repartitionByRange("repo", "seed").sortWithinPartitions("repo", "seed")
+        self.seeds = settled(ordered.withColumn("id", F.monotonically_increasing_id()), "seeds")
+        word = F.floor(F.col("id") / WORD).alias("word")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(WORD)).cast("int"))
+        state = self.seeds.select("repo", F.col("seed").alias("node"), word, one.alias("bits")).groupBy("repo", "node", "word").agg(F.bit_or("bits").alias("bits"))
+        state = settled(state.withColumn("fresh", F.col("bits")), "reached")
+        depth = 0
+        keys = ["repo", "node", "word"]
+        while True:
+            fresh = state.filter("fresh <> 0").select(*keys, F.col("fresh").alias("bits"))
+            fresh.write.parquet(f"{base}/depth={depth}")
+            found = spark.read.schema(fresh.schema).parquet(f"{base}/depth={depth}")
+            if depth == max_depth or found.isEmpty():
+                break
+            depth += 1
+            sent = found.join(edges.withColumnRenamed("src", "node"), ["repo", "node"]).groupBy("repo", F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("sent"))
+            both = state.select(*keys, "bits").join(sent, keys, "full_outer").select(*keys, F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce("sent", F.lit(0)).alias("sent"))
+            new = F.col("sent").bitwiseAND(F.bitwise_not("bits"))
+            state = settled(both.select(*keys, F.col("bits").bitwiseOR(F.col("sent")).alias("bits"), new.alias("fresh")), "reached")
+        self.bits = spark.read.schema("repo string, node string, word long, bits long, depth int").parquet(base)
+
+    def rows(self, *more: str) -> DataFrame:
+        """(repo, node, id, *more), a row for each bit."""
+        places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+        return self.bits.select("*", F.explode(places).alias("i")).select("repo", "node", (F.col("word") * WORD + F.col("i")).alias("id"), *more)
+
+    def pairs(self) -> DataFrame:
+        """(repo, seed, node, depth)"""
+        return self.rows("depth").join(self.seeds.select("id", "seed"), "id").select("repo", "seed", "node", "depth")
+
+
+def closure(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """(repo, seed, node, depth): everything reachable from each seed, itself too, and in how many steps. Cycles are fine.
+
+    seeds (repo, file): where to start; without it every node of the edges. max_depth: steps to go at most.
+    """
+    return Closure(edges, seeds, max_depth).pairs()
 
 
 def dependency_edges(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -219,12 +220,18 @@ def dependency_edges(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -
 
 
 def cone_sizes(files: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(repo, origin, cone_files, cone_tokens, origin_tokens, total_tokens) for each file of the edges, or each seed."""
+    """(repo, origin, cone_files, cone_tokens, origin_tokens, total_tokens) for each file of the edges, or each seed.
+
+    The bits of a closure are joined with the files' sizes and summed by seed before they are sent: no pair of files is moved.
+    """
     sizes = settled(files.select("repo", F.col("path").alias("node"), count_tokens(F.col("content")).alias("tokens")), "tokens")
     total = sizes.groupBy("repo").agg(F.sum("tokens").alias("total_tokens"))
-    own = F.sum(F.when(F.col("node") == F.col("seed"), F.col("tokens")))
-    cones = closure(edges, seeds).join(sizes, ["repo", "node"]).groupBy("repo", "seed").agg(F.count(F.lit(1)).alias("cone_files"), F.sum("tokens").alias("cone_tokens"), F.coalesce(own, F.lit(0)).alias("origin_tokens"))
-    return cones.join(total, "repo").withColumnRenamed("seed", "origin")
+    reached = Closure(edges, seeds)
+    reached.bits = reached.bits.join(sizes, ["repo", "node"])
+    cones = reached.rows("tokens").groupBy("id").agg(F.count(F.lit(1)).alias("cone_files"), F.sum("tokens").alias("cone_tokens"))
+    origins = reached.seeds.join(sizes.withColumnsRenamed({"node": "seed", "tokens": "origin_tokens"}), ["repo", "seed"], "left")
+    out = origins.join(cones, "id").join(total, "repo")
+    return out.select("repo", F.col("seed").alias("origin"), "cone_files", "cone_tokens", F.coalesce("origin_tokens", F.lit(0)).alias("origin_tokens"), "total_tokens")
 
 
 def ratio(cone: Column, total: Column) -> Column:

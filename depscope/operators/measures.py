@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depscope.operators.graph import closure, count_tokens, unique_symbols
+from depscope.operators.matching import containing
 
 #: Fixed value: dollars for a million prompt tokens saved.
 SAVED_RATE = 3
@@ -16,9 +17,9 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(part * 100000 / whole) / 1000)
 
 
-def all_cones(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(repo, seed_file, file) for every file of the edges, or for the seeds; a file outside the edges is its own cone."""
-    return closure(edges, seeds).select("repo", F.col("seed").alias("seed_file"), F.col("node").alias("file"))
+def all_cones(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """(repo, seed_file, file, depth) for every file of the edges, or for the seeds: what is reached in depth steps, max_depth at most. A file outside the edges is its own cone."""
+    return closure(edges, seeds, max_depth).select("repo", F.col("seed").alias("seed_file"), F.col("node").alias("file"), "depth")
 
 
 def symbol_cones(names: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,20 +163,22 @@ def strip_code_fences(text: Column) -> Column:
 
 
 def assemble_replies(lines: DataFrame) -> DataFrame:
-    """(conv_id, reply, completion_tokens): the text pieces of a streamed response in order, and how many tokens they took.
+    """(conv_id, reply, prompt_tokens, completion_tokens): the text pieces of a streamed response in order, and what it took.
 
-    Lines without data:, [DONE], blanks and broken JSON are skipped. The last usage a line reports counts,
-    else the tokens of the reply. A response without any piece has an empty reply.
+    Lines without data:, [DONE], blanks and broken JSON are skipped. The last usage a line reports counts;
+    without one prompt_tokens is null and completion_tokens are those of the reply. A response without any piece has an empty reply.
     """
     chunk = F.trim(F.substring("line", 6, 1 << 30))
     kept = lines.filter(F.col("line").startswith("data:")).select("conv_id", "line_no", chunk.alias("chunk")).filter(~F.col("chunk").isin("", "[DONE]") & F.get_json_object("chunk", "$").isNotNull())
     piece = F.coalesce(F.get_json_object("chunk", "$.choices[0].delta.content"), F.lit(""))
-    usage = F.get_json_object("chunk", "$.usage.completion_tokens").cast("long")
+    count = lambda name: F.get_json_object("chunk", f"$.usage.{name}").cast("long").alias(name)
+    told = F.get_json_object("chunk", "$.usage").isNotNull()
+    usage = F.when(told, F.struct(count("prompt_tokens"), count("completion_tokens")))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "piece")))  # the lines of one response
     out = kept.select("conv_id", "line_no", piece.alias("piece"), usage.alias("used")).groupBy("conv_id").agg(
         F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("reply"), F.max_by("used", F.when(F.col("used").isNotNull(), F.col("line_no"))).alias("used")
     )
-    return out.select("conv_id", "reply", F.coalesce("used", count_tokens(F.col("reply"))).alias("completion_tokens"))
+    return out.select("conv_id", "reply", F.col("used.prompt_tokens").alias("prompt_tokens"), F.coalesce("used.completion_tokens", count_tokens(F.col("reply"))).alias("completion_tokens"))
 
 
 def find_callers(changed: DataFrame, calls: DataFrame) -> DataFrame:
@@ -190,25 +193,12 @@ def top_caller(callers: DataFrame) -> DataFrame:
     return callers.groupBy("repo", "change_id").agg(best).select("repo", "change_id", "b.file", (-F.col("b.h")).alias("n_hits"))
 
 
-#: Letters of a path's end by which import_callers meets targets.
-GRAM = 8
-
-
 def import_callers(changed: DataFrame, callers: DataFrame, imports: DataFrame) -> DataFrame:
     """(repo, change_id, file): for changes (repo, change_id, file) that no call leads to, the importers of the changed file.
 
-    An import counts if its target contains the changed path without .ts, anywhere. The last GRAM letters of
-    that path are looked for among all runs of as many letters of the targets, which makes it an equi-join.
+    An import counts if its target contains the changed path without .ts, anywhere.
     """
-    bare = changed.join(callers.select("repo", "change_id").distinct(), ["repo", "change_id"], "left_anti").select("repo", "change_id", F.replace("file", F.lit(".ts"), F.lit("")).alias("stem")).distinct()
-    size = F.least(F.length("stem"), F.lit(GRAM))
-    bare = bare.withColumn("gram", F.expr(f"right(stem, {GRAM})"))
-    sizes = [r["n"] for r in bare.select(size.alias("n")).distinct().collect()] or [GRAM]  # GRAM numbers at most
-    t = imports.filter("imported_file is not null").select("repo", F.col("importer_file").alias("importer"), F.col("imported_file").alias("target")).distinct()
-
-    def runs_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("target") - n + 1, F.lit(1))), lambda k: F.col("target").substr(k, F.lit(n)))
-
-    runs = F.flatten(F.array(*map(runs_of, sizes)))
-    hit = t.select("*", F.explode(F.array_distinct(runs)).alias("gram")).join(bare, ["repo", "gram"]).filter(F.contains("target", F.col("stem")))
-    return hit.select("repo", "change_id", F.col("importer").alias("file")).distinct()
+    bare = changed.join(callers.select("repo", "change_id").distinct(), ["repo", "change_id"], "left_anti").select("repo", "change_id", F.replace("file", F.lit(".ts"), F.lit("")).alias("pattern")).distinct()
+    t = imports.filter("imported_file is not null").select("repo", F.col("importer_file").alias("file"), F.col("imported_file").alias("text")).distinct()
+    met = containing(t, "text", bare, "pattern", ("repo",))
+    return met.join(bare, ["repo", "pattern"]).join(t, ["repo", "text"]).select("repo", "change_id", "file").distinct()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depscope.operators.activity import DEFAULT_RATE, RATES, cost_units, dollars, list_runs
+from depscope.operators.activity import DEFAULT_RATE, RATES, cost_units, dollars, ledger_summary, list_runs
+from depscope.operators.matching import containing
 
 
 def with_rates(records: DataFrame) -> DataFrame:
@@ -57,11 +58,17 @@ def append_ledger(new: DataFrame, saved: DataFrame, path: str) -> None:
 
 
 def ledger_json(records: DataFrame) -> DataFrame:
-    """(run_id, line, json): a document of a run as JSON lines, line 0 its totals, then a line a record; no run is gathered in one row."""
+    """(run_id, line, json): a document of a run as JSON lines; no run is gathered in one row.
+
+    Line -1 holds its totals (prompt and completion tokens, cost, calls); below it, from -2 on, a line for each agent, task and
+    model with the same of its own, in that order and by name; from 0 on a line a record. Costs are text with eight places.
+    """
     cols = [F.col(c) for c in sorted(records.columns) if c not in ("run_id", "ts")]
     lines = records.select("run_id", F.col("record_id").alias("line"), F.to_json(F.struct(*cols)).alias("json"))
-    totals = F.struct(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"))
-    heads = records.groupBy("run_id").agg(totals.alias("s")).select("run_id", F.lit(-1).cast("long").alias("line"), F.to_json(F.struct("run_id", F.col("s.calls").alias("calls"), F.col("s.prompt_tokens").alias("prompt_tokens"))).alias("json"))
+    levels = F.array(*map(F.lit, ("run", "agent", "task", "model")))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.array_position(levels, F.col("level")), "key"))  # the groups of one run
+    shape = F.struct("level", F.when(F.col("level") != "run", F.col("key")).alias("key"), "prompt_tokens", "completion_tokens", F.format_string("%.8f", "cost_usd").alias("cost_usd"), "calls")
+    heads = ledger_summary(records).select("run_id", (-place).cast("long").alias("line"), F.to_json(shape).alias("json"))
     return lines.unionByName(heads)
 
 
@@ -166,16 +173,9 @@ def attempt_routing(attempt: Column, max_retries: int = 3) -> Column:
 
 
 def validate_changes(changes: DataFrame, lines: DataFrame) -> DataFrame:
-    """(file, errors, valid): log lines that hold the file's path anywhere and say error, in any case.
-
-    A line is met by its runs of path characters and by each ending of those after a slash and each beginning
-    before a parenthesis, colon or blank, so a path is compared with what a line names, not with every line.
-    """
-    runs = F.regexp_extract_all("line_text", F.lit(r"([A-Za-z0-9_.$@~+/-]+)"), F.lit(1))
-    parts = lambda p: F.split(p, "/")
-    tails = F.flatten(F.transform(runs, lambda p: F.transform(F.sequence(F.lit(1), F.size(parts(p))), lambda k: F.array_join(F.slice(parts(p), k, F.size(parts(p))), "/"))))
-    found = lines.filter(F.contains(F.lower("line_text"), F.lit("error"))).select(F.explode(F.array_distinct(tails)).alias("file"))
-    found = found.join(changes.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.count(F.lit(1)).alias("errors"))
+    """(file, errors, valid): log lines that hold the file's path anywhere and say error, in any case. Paths may have any characters."""
+    wrong = lines.filter(F.contains(F.lower("line_text"), F.lit("error"))).select("line_text").groupBy("line_text").agg(F.count(F.lit(1)).alias("n"))
+    found = containing(wrong, "line_text", changes, "file").join(wrong, F.col("text") == F.col("line_text")).groupBy(F.col("pattern").alias("file")).agg(F.sum("n").alias("errors"))
     errors = F.coalesce("errors", F.lit(0))
     return changes.select("file").distinct().join(found, "file", "left").select("file", errors.cast("long").alias("errors"), (errors == 0).alias("valid"))
 

@@ -19,12 +19,18 @@ def _path(k: str) -> str:
     return f"concat('pkg', {PKG.format(k=k)}, '/mod', {k}, '.ts')"
 
 
+def _odd(k: str) -> str:
+    """A path with brackets, blanks and other letters."""
+    return f"concat('app/[id]/(shop) x/é', {k}, '.tsx')"
+
+
 #: name: (tables and views it reads, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
+    # every row of lineitem is one call: inside a package (returned items), or across packages by name or by method (the others, below)
     "fx_edges": (
         ("lineitem",),
-        f"""SELECT DISTINCT l_partkey AS src, {PKG.format(k="l_partkey")} * 40 + l_suppkey % 40 AS dst
-        FROM {{lineitem}} WHERE l_linenumber = 1 AND l_returnflag = 'R' AND l_quantity >= 15""",
+        f"""SELECT DISTINCT l_partkey AS src, {PKG.format(k="l_partkey")} * 40 + l_suppkey % (l_partkey % 40 + 1) + CASE WHEN l_partkey % 10 = 3 THEN 1 ELSE 0 END AS dst
+        FROM {{lineitem}} WHERE l_returnflag = 'R'""",
     ),
     "fx_files": (
         ("part", "fx_edges"),
@@ -39,14 +45,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_symbols": (
         ("part",),
         f"""SELECT 'main' AS repo, concat('fn', p_partkey) AS name, {_path("p_partkey")} AS file, 'function' AS kind, p_partkey AS pos FROM {{part}}
-        UNION ALL SELECT 'main', concat('T', p_size, '.m', p_partkey % 7), {_path("p_partkey")}, 'method', p_partkey FROM {{part}}""",
+        UNION ALL SELECT 'main', concat('T', p_size % 5, '.m', p_partkey % 70), {_path("p_partkey")}, 'method', p_partkey FROM {{part}}""",
     ),
     "fx_calls": (
         ("lineitem", "fx_edges"),
         f"""SELECT DISTINCT 'main' AS repo, {_path("src")} AS caller_file, concat('fn', dst) AS called_name FROM {{fx_edges}}
-        UNION SELECT DISTINCT 'main', {_path("l_partkey")}, concat('m', l_suppkey % 9) FROM {{lineitem}} WHERE l_linenumber = 2 AND l_quantity >= 49""",
+        UNION SELECT DISTINCT 'main', {_path("l_partkey")}, concat('m', l_suppkey % 90) FROM {{lineitem}} WHERE l_returnflag <> 'R'""",
     ),
-    # a tree with hubs: files beyond the first 100 call into the first ones across packages, some by the names of interface methods
+    # a tree with hubs: files call into the first ones across packages, some by the names of interface methods
     "fx_tree_symbols": (
         ("part",),
         f"""SELECT 'main' AS repo, concat('fn', p_partkey) AS name, {_path("p_partkey")} AS file, 'function' AS kind, p_partkey AS pos FROM {{part}}
@@ -55,8 +61,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_tree_calls": (
         ("lineitem", "fx_edges"),
         f"""SELECT DISTINCT 'main' AS repo, {_path("src")} AS caller_file, concat('fn', dst) AS called_name FROM {{fx_edges}}
-        UNION SELECT DISTINCT 'main', {_path("l_partkey")}, concat('fn', l_suppkey % 50 + 1) FROM {{lineitem}} WHERE l_linenumber = 2 AND l_returnflag = 'A' AND l_partkey > 100
-        UNION SELECT DISTINCT 'main', {_path("l_partkey")}, concat('q', l_suppkey % 70) FROM {{lineitem}} WHERE l_linenumber = 3 AND l_returnflag = 'N' AND l_partkey > 100""",
+        UNION SELECT DISTINCT 'main', {_path("l_partkey")}, concat('fn', l_suppkey % 50 + 1) FROM {{lineitem}} WHERE l_returnflag = 'A'
+        UNION SELECT DISTINCT 'main', {_path("l_partkey")}, concat('q', l_suppkey % 70) FROM {{lineitem}} WHERE l_returnflag NOT IN ('A', 'R')""",
     ),
     # sources with comments, literals, keywords, declarations and member calls; nested folders, aliases, assets and bare packages
     "fx_sources": (
@@ -101,7 +107,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_diag_log": (
         ("lineitem", "orders"),
         f"""SELECT CAST(l_orderkey % 50 AS BIGINT) AS run_id, CAST(l_linenumber AS BIGINT) AS attempt,
-        concat({_path("l_partkey")}, CASE WHEN l_suppkey % 10 = 3 THEN ': note ' ELSE concat('(', CAST(l_quantity AS BIGINT), ',', CAST(round(l_discount * 100) AS BIGINT), '): error TS') END,
+        concat(CASE WHEN l_suppkey % 10 = 4 THEN {_odd("l_partkey")} ELSE {_path("l_partkey")} END, CASE WHEN l_suppkey % 10 = 3 THEN ': note ' ELSE concat('(', CAST(l_quantity AS BIGINT), ',', CAST(round(l_discount * 100) AS BIGINT), '): error TS') END,
                2300 + l_suppkey % 12, ': bad ', l_returnflag, o_orderstatus) AS line_text
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
     ),
@@ -146,7 +152,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT DISTINCT conv_id, CAST(1000000 AS BIGINT), 'data: [DONE]' FROM {conversations}
         UNION ALL SELECT DISTINCT conv_id, CAST(1000001 AS BIGINT), 'data:' FROM {conversations}
         UNION ALL SELECT DISTINCT conv_id, CAST(1000002 AS BIGINT), 'data: {{"broken' FROM {conversations}
-        UNION ALL SELECT DISTINCT conv_id, CAST(1000003 AS BIGINT), concat('data:{{"usage":{{"completion_tokens":', conv_id % 7, '}}}}') FROM {conversations} WHERE turn = 1""",
+        UNION ALL SELECT DISTINCT conv_id, CAST(1000003 AS BIGINT), concat('data:{{"usage":{{"completion_tokens":', conv_id % 7, ',"prompt_tokens":', conv_id % 11, '}}}}') FROM {conversations} WHERE turn = 1""",
     ),
     "fx_changes": (("part",), f"""SELECT CAST(p_size AS BIGINT) AS commit, concat(CASE WHEN p_partkey % 4 = 0 THEN 'docs/' ELSE 'app/' END, {_path("p_partkey")}, CASE WHEN p_partkey % 5 = 0 THEN 'x' WHEN p_partkey % 7 = 0 THEN '.md' ELSE '' END) AS path FROM {{part}}"""),
     # files of a tree, some without content, some not of a known language
@@ -155,6 +161,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT repo, path, CASE WHEN k % 23 = 0 THEN NULL ELSE content END AS content FROM {fx_sources}
         UNION ALL SELECT concat('docs', p_partkey % 3), concat('docs/', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '.md' ELSE '.TSX' END), p_name FROM {part}""",
     ),
+    "fx_changed_paths": (("part", "fx_files"), f"""SELECT path AS file FROM {{fx_files}} UNION ALL SELECT {_odd("p_partkey")} FROM {{part}}"""),
     "fx_results": (
         ("events",),
         """SELECT concat('run_', date_part('day', ts)) AS run_id, concat('suite_', user_id % 5) AS suite, concat('test_', event_id) AS name, value > 5 AS passed FROM {events}""",

@@ -165,3 +165,41 @@ def test_changed_files_come_first(spark):
     df = spark.createDataFrame(rows, "run_id long, attempt long, file string, line long, col long, code string, message string")
     changed = spark.createDataFrame([(1, "c")], "run_id long, file string")
     assert [r["file"] for r in dedup_diagnostics(df, changed).orderBy("rank").collect()] == ["c", "a", "b"]
+
+
+def test_names_beyond_latin_letters(spark):
+    files = spark.createDataFrame([("r", "a.py", "class Größe:\n    def 長(self): pass\n"), ("r", "b.ts", "function été(x) { }\n")], "repo string, path string, content string")
+    assert sorted(r["name"] for r in sym.extract_symbols(files).collect()) == ["Größe", "Größe.長", "été"]
+
+
+def test_declarations_by_scope():
+    """Overloads, object types, regular expressions and templates with brackets in them, members of classes and interfaces."""
+    src = """abstract class A<T extends { a: B }> extends C implements I, J<K>, L {
+  x = a => { return /}/.test(`${b}}`) }
+  over(x: string): void;
+  over(x): { y: number } { return f(x) }
+  static async *gen<U>() { }
+  get v() { return 1 }
+  private w = function inner() { }
+}
+interface I extends X, Y<Z> { m(x: number): void; readonly p?: string
+  q: { r(): void }
+}
+type U = | 'a' // {
+  | { b: string };
+const f = (x: number): { y: 1 } => ({ y: 1 }), g = 2, h = async <T>(z) => { const k = y => y }
+let n: (a) => void = null, o = p => p
+declare function sig(x): void;
+export default function () { }
+function last(a = { b: '}' }) { }
+"""
+    found = {(s[0], s[1]): src[s[2] : s[3]] for s in sym.scan_typescript(src)}
+    assert set(found) == {
+        ("A", "class"), ("A.over", "method"), ("A.gen", "method"), ("A.v", "method"), ("inner", "function"), ("I", "interface"), ("I.m", "interface_method"), ("I.p", "interface_method"),
+        ("I.q", "interface_method"), ("U", "type"), ("f", "arrow"), ("h", "arrow"), ("k", "arrow"), ("o", "arrow"), ("last", "function"),
+    }
+    assert found["A.over", "method"] == "over(x): { y: number } { return f(x) }" and found["A.gen", "method"] == "static async *gen<U>() { }"
+    assert found["U", "type"].endswith("| { b: string };") and found["I.p", "interface_method"] == "readonly p?: string" and found["I.q", "interface_method"] == "q: { r(): void }"
+    assert found["f", "arrow"] == found["h", "arrow"] and found["h", "arrow"].endswith("const k = y => y }") and found["o", "arrow"] == "let n: (a) => void = null, o = p => p"
+    heads = {s[0]: (s[5], s[6]) for s in sym.scan_typescript(src) if s[1] in ("class", "interface")}
+    assert heads == {"A": (["C"], ["I", "L"]), "I": (["X"], [])}
