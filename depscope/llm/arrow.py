@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,8 @@ def word_spans(buf: np.ndarray, off: np.ndarray, in_word: np.ndarray) -> tuple[n
 
 
 _P = 0x9E3779B97F4A7C15 | 1
+#: Bytes whose spans are hashed together.
+_STEP = 256 << 10
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -158,13 +161,50 @@ def interned(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """128-bit hash (XXH3) of each byte span, as two rows of 64 bits; each distinct span is hashed once."""
-    if not len(starts):
-        return np.zeros((2, 0), np.uint64)
-    code, distinct = interned(buf, starts, ends)
-    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct.to_pylist())), "<u8").reshape(-1, 2)
-    return np.ascontiguousarray(digests.T)[:, code]
+#: Spans of more bytes are hashed one by one.
+SHORT = 64
+_BASES = (_P, 0xD1342543DE82EF95)
+#: A random value for each byte, of each of the two hashes.
+_BYTES = mix64(np.arange(512, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0xA0761D6478BD642F)).reshape(2, 256)
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of base and of its inverse modulo 2 ** 64, as many as a step needs."""
+    out = []
+    for p in (base, pow(base, -1, 1 << 64)):
+        a = np.full(_STEP + SHORT + 1, p, np.uint64)
+        a[0] = 1
+        out.append(np.cumprod(a))
+    return tuple(out)
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: int = 2) -> np.ndarray:
+    """Hash of each byte span, the same wherever the bytes stand: rows (1 or 2) of 64 bits. Spans ascend and don't overlap.
+
+    A span of up to SHORT bytes is the sum of its bytes' random values, each times the power of a base that its place has,
+    modulo 2 ** 64; such sums know too little of long spans, whose halves may cancel out, so those are hashed by XXH3.
+    """
+    out = np.empty((rows, len(starts)), np.uint64)
+    size = ends - starts
+    long = np.flatnonzero(size > SHORT)
+    for k in range(rows):
+        power, inverse = _powers(_BASES[k])
+        at = 0
+        while at < len(starts):
+            base = starts[at]
+            to = max(at + 1, int(np.searchsorted(starts, base + _STEP, side="left")))
+            part = buf[base : min(int(ends[to - 1]), int(starts[to - 1]) + SHORT)]
+            s = starts[at:to] - base
+            e = s + np.minimum(size[at:to], SHORT)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTES[k][part] * power[: len(part)], out=sums[1:])
+            out[k, at:to] = mix64((sums[e] - sums[s]) * inverse[s] + size[at:to].astype(np.uint64))
+            at = to
+    if len(long):
+        raw = b"".join(xxhash.xxh3_128_digest(buf[s:e].tobytes()) for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        out[:, long] = np.frombuffer(raw, "<u8").reshape(-1, 2).T[:rows]
+    return out
 
 
 def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:

@@ -43,7 +43,7 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     starts, ends, of = word_spans(buf, off, NOT_SPACE)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = hash_spans(buf, starts, ends)[0]
+    h = hash_spans(buf, starts, ends, 1)[0]
     g = ngram_hash(h, size)
     at = np.flatnonzero(of[: len(g)] == of[size - 1 :][: len(g)]) if len(g) else np.zeros(0, np.int64)
     count = np.bincount(of, minlength=len(texts))

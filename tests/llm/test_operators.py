@@ -76,6 +76,20 @@ def test_long_words_that_differ_are_not_taken_for_one(spark, n):
     assert {r["id"]: r["class_id"] for r in near.near_duplicates(near_rows).collect()} == {1: 1, 2: 2, 3: 1}
 
 
+@given(st.lists(st.binary(min_size=1, max_size=200), min_size=1, max_size=40), st.integers(0, 5))
+@settings(max_examples=60, deadline=None)
+def test_hashes_of_spans_tell_bytes_apart(spans, gap):
+    """Equal spans have equal hashes wherever they stand, others differ in both halves."""
+    from depscope.llm.arrow import hash_spans
+
+    spans = spans + spans[:3] + [s + b"x" for s in spans[:3]]
+    size = np.array([len(s) for s in spans])
+    ends = np.cumsum(size + gap)
+    got = hash_spans(np.frombuffer((b" " * gap).join(spans), np.uint8), ends - size - gap, ends - gap)
+    for row in got.tolist():
+        assert len({(s, h) for s, h in zip(spans, row, strict=True)}) == len(set(spans)) == len(set(row))
+
+
 def test_exact(docs, empty):
     got = exact.exact_groups(docs, keep="max").collect()
     assert len(got) == docs.count()
