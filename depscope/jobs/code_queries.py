@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depscope.jobs import registry as base
-from depscope.operators import activity, graph, measures, symbols
+from depscope.operators import activity, graph, incremental, measures, symbols
 from depscope.sources import trees
 from depscope.sources.derived import duck, source
 
@@ -80,31 +80,36 @@ def _file_status(s: SparkSession, d: str) -> DataFrame:
 
 
 def _versions(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Symbols and calls of two versions of the tree; the later one lacks some files, and others call and define other names."""
+    """Files, symbols, calls and imports of two versions of the tree; the later one lacks some files, and others call, define and import other names."""
     symbols, calls = source(s, d, "fx_tree_symbols"), source(s, d, "fx_tree_calls")
-    old = {"symbols": symbols, "calls": calls}
+    files = source(s, d, "fx_files").select("repo", "path")
+    imports = graph.extract_imports(source(s, d, "fx_files")).select("repo", "importer_file", "pos", "import_path")
+    old = {"files": files, "symbols": symbols, "calls": calls, "imports": imports}
     moved = F.when(F.col("pos") % 9 == 2, F.concat(F.col("name"), F.lit("x"))).otherwise(F.col("name"))
     gone = symbols.filter("pos % 11 = 5").select("repo", "file").distinct()
     new = {
+        "files": files.join(gone.withColumnRenamed("file", "path"), ["repo", "path"], "left_anti"),
         "symbols": symbols.withColumn("name", moved).join(gone, ["repo", "file"], "left_anti"),
         "calls": calls.join(gone.withColumnRenamed("file", "caller_file"), ["repo", "caller_file"], "left_anti").filter("not (called_name like 'fn%7')"),
+        "imports": imports.join(gone.withColumnRenamed("file", "importer_file"), ["repo", "importer_file"], "left_anti").filter("not (import_path like '%9')"),
     }
     return old, new
 
 
 def _incremental(s: SparkSession, d: str) -> DataFrame:
-    """Call edges after an update of the files that differ: their symbols and calls replaced, edges resolved anew."""
+    """Call and import edges after an update of the files that differ."""
     old, new = _versions(s, d)
-    keys = {"symbols": ["repo", "file", "name", "kind", "pos"], "calls": ["repo", "caller_file", "called_name"]}
-    touched = None
-    for name, cols in keys.items():
-        a, b = old[name].select(*cols), new[name].select(*cols)
-        for df in (a.exceptAll(b), b.exceptAll(a)):
-            files = df.select("repo", F.col(cols[1]).alias("file"))
-            touched = files if touched is None else touched.unionByName(files)
-    symbols = activity.replace_files(old["symbols"], new["symbols"], touched)
-    calls = activity.replace_files(old["calls"], new["calls"], touched, "caller_file")
-    return graph.call_file_edges(calls, symbols)
+    touched = (
+        old["symbols"].filter("pos % 9 = 2 or pos % 11 = 5").select("repo", "file")
+        .unionByName(old["calls"].filter("called_name like 'fn%7'").select("repo", F.col("caller_file").alias("file")))
+        .unionByName(old["imports"].filter("import_path like '%9'").select("repo", F.col("importer_file").alias("file")))
+        .distinct()
+    )
+    before = old | {"edges": incremental.edge_counts(old["calls"], old["symbols"]), "resolved": graph.resolve_imports(old["imports"], old["files"])}
+    after = incremental.update_graph(before, new, touched)
+    calls = after["edges"].select("repo", F.lit("call").alias("kind"), F.col("caller_file").alias("src"), F.col("callee_file").alias("dst"))
+    imports = after["resolved"].filter("imported_file is not null").select("repo", F.lit("import").alias("kind"), F.col("importer_file").alias("src"), F.col("imported_file").alias("dst")).distinct()
+    return calls.unionByName(imports)
 
 
 def _scanned(s: SparkSession, d: str) -> DataFrame:
@@ -246,8 +251,10 @@ SELECT conv_id, string_agg(coalesce(json_extract_string(j, '$.choices[0].delta.c
 FROM (SELECT *, trim(substr(line, 6)) AS j FROM {_F['fx_replies']} WHERE line NOT IN ('data: [DONE]', 'data:', 'data: {{"broken')) GROUP BY conv_id)""",
     "file_add_remove_diff": f"""SELECT d.file AS file, CASE WHEN change = 'added' THEN 'new' ELSE 'deleted' END AS status, name, change FROM ({_O['symbol_diff']}) d
 WHERE (d.file NOT IN (SELECT file FROM {_F['fx_old']})) OR (d.file NOT IN (SELECT file FROM {_F['fx_new']}))""",
-    "incremental_update": base._call_edges(
-        f"(SELECT c.* FROM {_F['fx_tree_calls']} c WHERE caller_file NOT IN (SELECT file FROM {_TREE} WHERE pos % 11 = 5) AND called_name NOT LIKE 'fn%7')",
+    "incremental_update": f"""WITH gone AS (SELECT file FROM {_TREE} WHERE pos % 11 = 5)
+SELECT repo, 'call' AS kind, caller_file AS src, callee_file AS dst FROM ({base._call_edges(
+        f"(SELECT c.* FROM {_F['fx_tree_calls']} c WHERE caller_file NOT IN (SELECT file FROM gone) AND called_name NOT LIKE 'fn%7')",
         f"(SELECT repo, CASE WHEN pos % 9 = 2 THEN name || 'x' ELSE name END AS name, file, kind, pos FROM {_TREE} WHERE pos % 11 <> 5)",
-    ),
+    )})
+UNION ALL SELECT DISTINCT repo, 'import', importer_file, imported_file FROM ({base._RESOLVED}) WHERE imported_file IS NOT NULL AND import_path NOT LIKE '%9' AND importer_file NOT IN (SELECT file FROM gone) AND imported_file NOT IN (SELECT file FROM gone)""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depscope.jobs import registry as base
-from depscope.operators import activity, reports
+from depscope.operators import activity, graph, reports
 from depscope.sources.derived import duck, source
 from depscope.sources.shared import shared_dir
 from depscope.streaming import routing
@@ -18,17 +18,34 @@ def _attempts(s: SparkSession, d: str) -> DataFrame:
     return source(s, d, "fx_tokens").withColumn("attempt", F.col("record_id") % 5 + 1)
 
 
-def _commit_deltas(s: SparkSession, d: str) -> DataFrame:
-    """Counts of each changed file; a read of symbol sym_n tells of a change to the files whose number ends in n."""
+def _commits(s: SparkSession, d: str) -> DataFrame:
+    """The changed names of each file as deltas: a file is changed by the agent of its number, at the time of the delta of its number; the i-th symbol that is read stands for names that end in i."""
     diff = activity.symbol_diff(source(s, d, "fx_old"), source(s, d, "fx_new"))
-    readers = source(s, d, "fx_reads").select("repo", "agent_id", F.regexp_extract("symbol", "([0-9]+)", 1).alias("n")).distinct()
-    changed = diff.select("repo", "file").distinct().withColumn("n", F.expr("right(file, 1)"))
-    return activity.commit_deltas(diff, changed.join(readers, ["repo", "n"]).select("repo", "file", "agent_id").distinct())
+    number = F.expr("cast(substring(file, 2) as bigint)")
+    times = source(s, d, "fx_deltas").groupBy((F.col("delta_id") % 50).alias("n")).agg(F.max("ts").alias("ts"))
+    named = diff.select("repo", "file", F.concat(F.lit("sym_"), F.expr("right(name, 1)")).alias("symbol"), number.alias("n")).distinct()
+    return named.join(times, "n").select("repo", F.col("n").alias("delta_id"), "file", F.concat(F.lit("agent_"), "n").alias("emitting_agent"), "symbol", "ts")
+
+
+def _commit_deltas(s: SparkSession, d: str) -> DataFrame:
+    """Counts of each changed file, and the notifications that its delta was routed to."""
+    commits = _commits(s, d)
+    routed = activity.route_deltas(commits.drop("file"), source(s, d, "fx_reads"), base.WINDOW_S)
+    sent = routed.join(commits.select("delta_id", "file").distinct(), "delta_id")
+    return activity.commit_deltas(activity.symbol_diff(source(s, d, "fx_old"), source(s, d, "fx_new")), sent)
+
+
+def _dependents(s: SparkSession, d: str) -> DataFrame:
+    """(delta_id, agent_id): who should hear of a changed file: the agents of the files that call into it or import it, each the agent of its package's number."""
+    origins = source(s, d, "fx_deltas").select("delta_id", "emitting_agent", F.concat(F.lit("fn"), F.regexp_extract("symbol", "([0-9]+)", 1).cast("long") + 1).alias("name")).distinct()
+    files = graph.unique_symbols(source(s, d, "fx_tree_symbols")).select("name", "file")
+    deps = base.QUERIES["reverse_dependents"](s, d).select("file", F.concat(F.lit("agent_"), F.regexp_extract("dependent", "^pkg([0-9]+)", 1)).alias("agent_id")).distinct()
+    return origins.join(files, "name").join(deps, "file").filter("agent_id <> emitting_agent").select("delta_id", "agent_id").distinct()
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
     table = s.read.parquet(f"{d}/events.parquet")
-    return s.readStream.schema(table.schema).parquet(f"{d}/events*.parquet")
+    return s.readStream.schema(table.schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/events*.parquet")
 
 
 def _stream_route(s: SparkSession, d: str) -> DataFrame:
@@ -41,7 +58,7 @@ def _stream_route(s: SparkSession, d: str) -> DataFrame:
     reads = _events(s, d).filter("event_type in ('view', 'click')").select(F.lit("main").alias("repo"), agent.alias("agent_id"), symbol(0).alias("symbol"), ts.alias("read_ts"))
     routing.run_to_table(routing.route_stream(deltas, reads, base.WINDOW_S), f"{path}/hits", f"{path}/checkpoint")
     hits = s.read.schema("repo string, delta_id long, agent_id string, symbol string, ts timestamp").parquet(f"{path}/hits")
-    return hits.groupBy("delta_id", "agent_id").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("changed_symbols"))
+    return hits.groupBy("delta_id", "agent_id").agg(F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("changed_symbols"))
 
 
 def _queue_events(s: SparkSession, d: str) -> DataFrame:
@@ -50,8 +67,12 @@ def _queue_events(s: SparkSession, d: str) -> DataFrame:
     return n.unionByName(f)
 
 
+#: A flush of no agent, long after all events: the watermark passes them.
+_END = "SELECT '' AS agent_id, timestamp'2200-01-01' AS ts, 1 AS turn, -1L AS id"
+
+
 def _queue_stream(s: SparkSession, d: str, path: str) -> DataFrame:
-    _queue_events(s, d).write.parquet(f"{path}/events")
+    _queue_events(s, d).unionByName(s.sql(_END)).write.parquet(f"{path}/events")
     return routing.pending_queue(s.readStream.schema("agent_id string, ts timestamp, turn int, id long").parquet(f"{path}/events"))
 
 
@@ -72,17 +93,18 @@ def _stream_notify(s: SparkSession, d: str) -> DataFrame:
 
 
 def _saved(s: SparkSession, d: str) -> DataFrame:
-    """Rows of each table and repository after two repositories were saved, one of them twice, and loaded again."""
+    """Sums over each table and repository after two repositories were saved, one of them twice, the other at last without reads, and loaded again."""
     path = f"{shared_dir(s)}/graph-{uuid.uuid4().hex}"
     tables = {"symbols": source(s, d, "fx_symbols"), "calls": source(s, d, "fx_calls"), "imports": base._import_edges(s, d), "reads": source(s, d, "fx_reads").withColumn("ts", F.col("ts").cast("string"))}
     other = {name: df.withColumn("repo", F.lit("other")) for name, df in tables.items()}
     keys = {"symbols": ["repo", "name", "file"], "calls": ["repo", "caller_file", "called_name"], "imports": ["repo", "src", "dst"]}
-    for saved in (tables, other, tables):
+    for saved in (tables, other, tables, other | {"reads": other["reads"].limit(0)}):
         reports.save_tables(saved, path, keys)
     back = reports.load_tables(s, path, {"symbols": "name string, repo string", "calls": "called_name string, repo string", "imports": "src string, repo string", "reads": "read_id long, repo string"})
     out = None
     for name, df in back.items():
-        one = df.groupBy("repo").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+        first = F.col(df.columns[0]).cast("string")
+        one = df.groupBy("repo").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(F.length(first)).alias("letters"), F.min(first).alias("least"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -122,8 +144,8 @@ def _recovered(s: SparkSession, d: str) -> DataFrame:
     events = _queue_events(s, d)
     cut = events.agg(F.expr("timestamp_micros(cast((min(unix_micros(ts)) + max(unix_micros(ts))) / 2 as bigint))").alias("cut"))
     halves = events.crossJoin(F.broadcast(cut))  # one row
-    for half in (F.col("ts") < F.col("cut"), F.col("ts") >= F.col("cut")):
-        halves.filter(half).drop("cut").write.mode("append").parquet(f"{path}/events")
+    for rows in (halves.filter("ts < cut").drop("cut"), halves.filter("ts >= cut").drop("cut").unionByName(s.sql(_END))):
+        rows.write.mode("append").parquet(f"{path}/events")
         stream = routing.pending_queue(s.readStream.schema("agent_id string, ts timestamp, turn int, id long").parquet(f"{path}/events"))
         routing.run_to_table(stream, f"{path}/delivered", f"{path}/checkpoint")
     return s.read.schema("agent_id string, delta_id long, delivered_by long").parquet(f"{path}/delivered")
@@ -160,9 +182,9 @@ QUERIES = {
     "suite_pass_rate": lambda s, d: reports.suite_pass_rate(source(s, d, "fx_results")),
     "validation_run_summary": lambda s, d: reports.validation_run_summary(source(s, d, "fx_results")),
     "bus_state": lambda s, d: reports.bus_state(source(s, d, "fx_reads"), activity.pending_after_flush(base._routed(s, d), source(s, d, "fx_flushes")).filter("delivered_by is null")),
-    "delta_coverage": lambda s, d: reports.delta_coverage(
-        source(s, d, "fx_deltas").join(source(s, d, "fx_reads").select("repo", "symbol", "agent_id").distinct(), ["repo", "symbol"]).filter("agent_id <> emitting_agent"), base._routed(s, d)
-    ),
+    "delta_coverage": lambda s, d: reports.delta_coverage(_dependents(s, d), base._routed(s, d)),
+    "delta_missed": lambda s, d: reports.delta_missed(_dependents(s, d), base._routed(s, d)),
+    "validation_failures": lambda s, d: reports.validation_failures(source(s, d, "fx_results")),
     "commit_deltas": _commit_deltas,
     "stream_route_deltas": _stream_route,
     "stream_pending_queue": _stream_queue,
@@ -178,6 +200,11 @@ _TEXT = "printf('$%.{0}f', floor(cost_usd * 1{1} + 0.5) / 1{1})"
 _COST = f"CASE WHEN cost_usd < 0.01 THEN {_TEXT.format(6, '000000')} WHEN cost_usd < 1 THEN {_TEXT.format(4, '0000')} ELSE {_TEXT.format(2, '00')} END"
 _DONE = f"SELECT * FROM ({base._DELIVERED}) WHERE delivered_by IS NOT NULL"
 
+#: Agents that should hear of a delta, and whether they did.
+_SHOULD = f"""SELECT x.delta_id, x.agent_id, hit FROM (SELECT DISTINCT d.delta_id, 'agent_' || regexp_extract(e.src, '^pkg([0-9]+)', 1) AS agent_id, emitting_agent FROM {_F['fx_deltas']} d
+JOIN ({base._WINNERS}) w ON w.name = 'fn' || (CAST(regexp_extract(d.symbol, '([0-9]+)', 1) AS BIGINT) + 1) JOIN ({base._TREE_EDGES}) e ON e.dst = w.file) x
+LEFT JOIN (SELECT delta_id AS i, agent_id AS a, 1 AS hit FROM ({base._ROUTED})) ON i = delta_id AND a = agent_id WHERE x.agent_id <> emitting_agent"""
+
 ORACLES = {
     "cost_rate_lookup": f"SELECT record_id, model, CASE WHEN lower(model) LIKE '%haiku%' THEN 25 ELSE 300 END::BIGINT AS rate_in, CASE WHEN lower(model) LIKE '%haiku%' THEN 125 ELSE 1500 END::BIGINT AS rate_out FROM {_F['fx_tokens']}",
     "token_records": f"SELECT * EXCLUDE (ts) FROM ({base._COSTED})",
@@ -191,8 +218,9 @@ SELECT count(DISTINCT run_id) AS runs, count(*) AS calls, CAST(sum(prompt_tokens
     "export_ledger_json": f"""SELECT run_id, record_id AS line, '{{"agent_id":"' || agent_id || '","completion_tokens":' || completion_tokens || ',"model":"' || model || '","prompt_tokens":' || prompt_tokens || ',"record_id":' || record_id || ',"task_id":"' || task_id || '"}}' AS json FROM {_F['fx_tokens']}
 UNION ALL SELECT run_id, -row_number() OVER (PARTITION BY run_id ORDER BY CASE level WHEN 'run' THEN 1 WHEN 'agent' THEN 2 WHEN 'task' THEN 3 ELSE 4 END, key), '{{"level":"' || level || '",' || CASE level WHEN 'run' THEN '' ELSE '"key":"' || key || '",' END
 || '"prompt_tokens":' || prompt_tokens || ',"completion_tokens":' || completion_tokens || ',"cost_usd":"' || printf('%.8f', cost_usd) || '"' || ',"calls":' || calls || '}}' FROM ({_O['ledger_summary']})""",
-    "save_load_graph": f"""SELECT repo, name, rows FROM (SELECT 'symbols' AS name, count(*) AS rows FROM (SELECT DISTINCT name, file FROM {_F['fx_symbols']}) UNION ALL SELECT 'calls', count(*) FROM {_F['fx_calls']}
-UNION ALL SELECT 'imports', count(*) FROM ({base._IMPORT_EDGES}) UNION ALL SELECT 'reads', count(*) FROM {_F['fx_reads']}), (SELECT 'main' AS repo UNION ALL SELECT 'other')""",
+    "save_load_graph": f"""SELECT r.repo, t.name, count(*) AS rows, CAST(sum(length(v)) AS BIGINT) AS letters, min(v) AS least FROM (SELECT 'symbols' AS name, name AS v FROM (SELECT DISTINCT name, file FROM {_F['fx_symbols']})
+UNION ALL SELECT 'calls', called_name FROM {_F['fx_calls']} UNION ALL SELECT 'imports', src FROM ({base._IMPORT_EDGES}) UNION ALL SELECT 'reads', CAST(read_id AS VARCHAR) FROM {_F['fx_reads']}) t,
+(SELECT 'main' AS repo UNION ALL SELECT 'other') r WHERE NOT (r.repo = 'other' AND t.name = 'reads') GROUP BY r.repo, t.name""",
     "cone_diagnostics": f"SELECT n.* FROM {_NEW} n WHERE EXISTS (SELECT 1 FROM {_CHANGED} c WHERE c.run_id = n.run_id AND (ends_with(n.file, c.file) OR ends_with(c.file, n.file)))",
     "definition_first": f"SELECT * EXCLUDE (own, has_own) FROM (SELECT *, bool_or(own) OVER (PARTITION BY run_id, attempt) AS has_own FROM ({_OWN})) WHERE own OR NOT has_own",
     "split_definition_caller": f"""SELECT *, CASE WHEN NOT definition_clean THEN 'fail' WHEN caller_errors > 0 THEN 'pass with a note' ELSE 'pass' END AS verdict FROM (
@@ -206,16 +234,18 @@ FROM {_F['fx_tokens']} GROUP BY run_id""",
 LEFT JOIN {_F['fx_diag_log']} ON contains(lower(line_text), 'error') AND contains(line_text, p.file) GROUP BY p.file""",
     "suite_pass_rate": f"SELECT run_id, suite, count(*) AS total, count(*) FILTER (passed) AS passed, avg(CAST(coalesce(passed, false) AS INT)) AS pass_rate FROM {_F['fx_results']} GROUP BY run_id, suite",
     "validation_run_summary": f"""SELECT run_id, count(DISTINCT suite) AS suites, count(*) AS tests, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT coalesce(passed, false)) AS failed,
-coalesce(string_agg(suite || '/' || name, ',' ORDER BY suite || '/' || name) FILTER (NOT coalesce(passed, false)), '') AS failures, count(*) FILTER (NOT coalesce(passed, false)) = 0 AS ready
-FROM {_F['fx_results']} GROUP BY run_id""",
+count(*) FILTER (NOT coalesce(passed, false)) = 0 AS ready FROM {_F['fx_results']} GROUP BY run_id""",
     "bus_state": f"""SELECT coalesce(r.agent_id, p.agent_id) AS agent_id, reads, pending FROM (SELECT agent_id, count(*) AS reads FROM {_F['fx_reads']} GROUP BY agent_id) r
 FULL JOIN ({_O['pending_counts']}) p ON p.agent_id = r.agent_id""",
-    "delta_coverage": f"""SELECT delta_id, count(*) AS callers, count(hit) AS notified, count(*) - count(hit) AS missed,
-CAST(count(hit) * 100 AS DOUBLE) / count(*) AS coverage_pct, coalesce(string_agg(agent_id, ',' ORDER BY agent_id) FILTER (hit IS NULL), '') AS missed_agents FROM (
-SELECT DISTINCT d.delta_id, r.agent_id FROM {_F['fx_deltas']} d JOIN {_F['fx_reads']} r ON r.symbol = d.symbol AND agent_id <> emitting_agent) x
-LEFT JOIN (SELECT delta_id AS i, agent_id AS a, 1 AS hit FROM ({base._ROUTED})) ON i = delta_id AND a = agent_id GROUP BY delta_id""",
+    "delta_coverage": f"""SELECT delta_id, count(*) AS callers, count(hit) AS notified, count(*) - count(hit) AS missed, CAST(count(hit) * 100 AS DOUBLE) / count(*) AS coverage_pct
+FROM ({_SHOULD}) GROUP BY delta_id""",
+    "delta_missed": f"SELECT delta_id, agent_id FROM ({_SHOULD}) WHERE hit IS NULL",
+    "validation_failures": f"SELECT run_id, suite, name FROM {_F['fx_results']} WHERE NOT coalesce(passed, false)",
     "commit_deltas": f"""SELECT d.*, coalesce(n, 0) AS notifications FROM (SELECT repo, file, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'removed') AS removed, count(*) AS all_changed
-FROM ({_O['symbol_diff']}) GROUP BY repo, file) d LEFT JOIN (SELECT right(symbol, 1) AS x, count(DISTINCT agent_id) AS n FROM {_F['fx_reads']} GROUP BY 1) ON x = right(file, 1)""",
+FROM ({_O['symbol_diff']}) GROUP BY repo, file) d LEFT JOIN (SELECT c.file, count(DISTINCT agent_id) AS n FROM (
+  SELECT DISTINCT file, 'sym_' || right(name, 1) AS symbol, 'agent_' || substr(file, 2) AS emitter, ts FROM ({_O['symbol_diff']})
+  JOIN (SELECT delta_id % 50 AS m, max(ts) AS ts FROM {_F['fx_deltas']} GROUP BY 1) ON m = CAST(substr(file, 2) AS BIGINT)) c
+  JOIN {_F['fx_reads']} r ON r.symbol = c.symbol AND r.ts <= c.ts AND r.ts >= c.ts - INTERVAL {base.WINDOW_S} SECOND AND agent_id <> emitter GROUP BY c.file) x ON x.file = d.file""",
     "stream_route_deltas": _O["route_deltas"],
     "stream_pending_queue": f"SELECT agent_id, delta_id, delivered_by FROM ({_DONE})",
     "stream_notify_callback": f"SELECT agent_id, count(*) AS delivered FROM ({_DONE}) GROUP BY agent_id",

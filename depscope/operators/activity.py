@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depscope.sources.shared import settled
+
 #: US cents for a million tokens (input, output), by model.
 RATES = {"claude-haiku-4.5": (25, 125), "claude-sonnet-4": (300, 1500), "claude-sonnet-4.6": (300, 1500)}
 DEFAULT_RATE = (300, 1500)
@@ -73,13 +75,21 @@ def route_deltas(deltas: DataFrame, reads: DataFrame, window_s: int = 300) -> Da
 def pending_after_flush(notifications: DataFrame, flushes: DataFrame) -> DataFrame:
     """Each notification with the first flush of its agent at or after it; null: still queued.
 
-    One sort for each agent instead of a range join: the flush times are carried backward over the notifications.
+    A scan of two levels: rows are dealt out by ranges of (agent, time), so that an agent may lie in many parts; in a part the
+    flushes are carried backward over the rows before them, and rows behind an agent's last flush in a part get the first
+    one of the agent's later parts, of which there is one row a part.
     """
-    n = notifications.select("repo", "agent_id", "ts", "delta_id", F.lit(None).cast("long").alias("flush_id"), F.lit(0).alias("turn"))
-    f = flushes.select("repo", "agent_id", "ts", F.lit(None).cast("long").alias("delta_id"), "flush_id", F.lit(1).alias("turn"))
-    ahead = Window.partitionBy("repo", "agent_id").orderBy("ts", "turn", "flush_id").rowsBetween(0, Window.unboundedFollowing)
-    both = n.unionByName(f).withColumn("delivered_by", F.first("flush_id", ignorenulls=True).over(ahead))
-    return both.filter("turn = 0").select("repo", "delta_id", "agent_id", "delivered_by")
+    n = notifications.select("repo", "agent_id", "ts", F.lit(0).alias("turn"), F.col("delta_id").alias("id"), F.lit(None).cast("long").alias("flush_id"))
+    f = flushes.select("repo", "agent_id", "ts", F.lit(1).alias("turn"), F.col("flush_id").alias("id"), "flush_id")
+    order, agent = ["ts", "turn", "id"], ["repo", "agent_id"]
+    parts = int(n.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settled(n.unionByName(f).repartitionByRange(parts, *agent, *order).withColumn("part", F.spark_partition_id()), "queue")
+    first = rows.groupBy(*agent, "part").agg(F.min_by("flush_id", F.when(F.col("turn") == 1, F.struct(*order))).alias("first"))
+    later = Window.partitionBy(*agent).orderBy("part").rowsBetween(1, Window.unboundedFollowing)  # the parts of an agent
+    carried = first.select(*agent, "part", F.first("first", ignorenulls=True).over(later).alias("carried"))
+    ahead = Window.partitionBy(*agent, "part").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    own = rows.withColumn("own", F.first("flush_id", ignorenulls=True).over(ahead)).filter("turn = 0")
+    return own.join(carried, [*agent, "part"]).select("repo", F.col("id").alias("delta_id"), "agent_id", F.coalesce("own", "carried").alias("delivered_by"))
 
 
 def cost_units(model: Column, prompt: Column, completion: Column) -> Column:

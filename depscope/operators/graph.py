@@ -97,13 +97,12 @@ def path_aliases(configs: DataFrame, roots: DataFrame) -> DataFrame:
 SUFFIXES = ("", ".ts", ".tsx")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Import rows of TypeScript files with the file they name, null where none does.
+IMPORT = ["repo", "importer_file", "pos", "import_path"]
 
-    A relative path starts at the importer's folder; any other goes by the aliases (repo, root, prefix, target)
-    of the nearest root that the importer is under, longest prefix first. The path as given, with .ts, with .tsx: the first that exists counts.
-    """
-    keys = ["repo", "importer_file", "pos", "import_path"]
+
+def import_tries(imports: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(repo, importer_file, pos, import_path, by, rank, path): the paths that each import of a TypeScript file may name, by preference."""
+    keys = IMPORT
     named = F.concat(F.regexp_replace("importer_file", r"[^/]+$", ""), "import_path")
     tried = imports.filter(F.col("import_path").startswith(".")).select(*keys, F.lit(0).alias("by"), fold_path(named).alias("stem"))
     if aliases is not None:
@@ -122,9 +121,22 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
         by_alias = begun.join(aliases.select("repo", "root", "prefix", "target"), ["repo", "root", "prefix"]).select(*keys, (-F.length("prefix")).alias("by"), stem.alias("stem"))
         tried = tried.unionByName(by_alias)
     tries = F.array(*[F.struct(F.col("by"), F.lit(k).alias("rank"), F.concat("stem", F.lit(s)).alias("path")) for k, s in enumerate(SUFFIXES)])
-    tried = tried.select(*keys, F.explode(tries).alias("t")).select(*keys, "t.*")
-    hit = tried.join(files.select("repo", "path").distinct(), ["repo", "path"]).groupBy(*keys).agg(F.min_by("path", F.struct("by", "rank")).alias("imported_file"))
-    return imports.join(hit, keys, "left")
+    return tried.select(*keys, F.explode(tries).alias("t")).select(*keys, "t.*")
+
+
+def resolve_tries(imports: DataFrame, tries: DataFrame, files: DataFrame) -> DataFrame:
+    """imports with imported_file: the most preferred of their tries that files (repo, path) has, else null."""
+    hit = tries.join(files.select("repo", "path").distinct(), ["repo", "path"]).groupBy(*IMPORT).agg(F.min_by("path", F.struct("by", "rank")).alias("imported_file"))
+    return imports.join(hit, IMPORT, "left")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Import rows of TypeScript files with the file they name, null where none does.
+
+    A relative path starts at the importer's folder; any other goes by the aliases (repo, root, prefix, target)
+    of the nearest root that the importer is under, longest prefix first. The path as given, with .ts, with .tsx: the first that exists counts.
+    """
+    return resolve_tries(imports, import_tries(imports, aliases), files)
 
 
 #: Endings of imports that are no source files.
@@ -144,15 +156,20 @@ def unique_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("repo", "name").agg(F.max_by(F.struct("file", "kind"), F.struct(rank, F.col("file"), F.col("pos"))).alias("s")).select("repo", "name", "s.file", "s.kind")
 
 
-def call_file_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(repo, caller_file, callee_file): the exact name first, only without one every type's method so named. Of each name its winning record counts."""
-    winners = unique_symbols(symbols)
+def derivations(calls: DataFrame, winners: DataFrame) -> DataFrame:
+    """(repo, caller_file, called_name, callee_file), distinct: where each call leads. The exact name first, only without one every type's method so named; winners: unique_symbols."""
     exact = winners.select("repo", F.col("name").alias("called_name"), F.col("file").alias("exact_file"))
     methods = winners.filter("kind in ('method', 'interface_method')").select("repo", F.element_at(F.split("name", r"\."), -1).alias("called_name"), F.col("file").alias("method_file")).distinct()
     named = calls.select("repo", "caller_file", "called_name").distinct().join(exact, ["repo", "called_name"], "left")
-    by_exact = named.filter("exact_file is not null").select("repo", "caller_file", F.col("exact_file").alias("callee_file"))
-    by_method = named.filter("exact_file is null").join(methods, ["repo", "called_name"]).select("repo", "caller_file", F.col("method_file").alias("callee_file"))
-    return by_exact.unionByName(by_method).filter("caller_file <> callee_file").distinct()
+    by_exact = named.filter("exact_file is not null").withColumnRenamed("exact_file", "callee_file")
+    by_method = named.filter("exact_file is null").join(methods, ["repo", "called_name"]).withColumnRenamed("method_file", "callee_file")
+    columns = ["repo", "caller_file", "called_name", "callee_file"]
+    return by_exact.select(*columns).unionByName(by_method.select(*columns)).filter("caller_file <> callee_file")
+
+
+def call_file_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo, caller_file, callee_file): the files that a file's calls lead to. Of each name its winning record counts."""
+    return derivations(calls, unique_symbols(symbols)).select("repo", "caller_file", "callee_file").distinct()
 
 
 #: Seeds whose bits share a number.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,23 +74,60 @@ def ledger_json(records: DataFrame) -> DataFrame:
     return lines.unionByName(heads)
 
 
-def save_tables(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] | None = None) -> None:
-    """Each table under path, by repository where it has one: the repositories of a table are replaced, others stay.
+#: Name of the repository of rows that have none.
+NO_REPO = "-"
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the snapshots under path that were written to their end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    found = [f.getPath() for f in store.listStatus(folder)]
+    return sorted(int(p.getName()) for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _live(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, version): which version of each repository counts."""
+    known, shape = _manifests(spark, path), "repo string, version string"
+    return spark.read.schema(shape).parquet(f"{path}/manifest/{known[-1]:08d}") if known else spark.createDataFrame([], shape)
+
+
+def save_tables(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] | None = None, repos: DataFrame | None = None) -> None:
+    """Saves the tables as one snapshot: all that is known of their repositories is replaced at once, other repositories stay.
+
+    Of rows that share the keys of their table one stays; without keys, of equal rows. repos (repo): repositories that are
+    replaced even if no table has rows of them. Rows without a repository, or tables without the column, are those of NO_REPO.
 
-    Of rows that share the keys of their table one stays; without keys, of equal rows.
+    Each table is written to a folder of this save's version; then a manifest, which says which version of a repository
+    counts, is written whole. Until it is there readers find the old snapshot, also if the save fails between tables; of two
+    saves at one time one fails. The old files stay, so tables that were loaded from path may be saved to it.
     """
+    version, saved = uuid.uuid4().hex, None if repos is None else repos.select("repo")
     for name, df in tables.items():
-        writer = df.dropDuplicates((keys or {}).get(name)).write.mode("overwrite")
-        (writer.option("partitionOverwriteMode", "dynamic").partitionBy("repo") if "repo" in df.columns else writer).parquet(f"{path}/{name}")
+        repo = F.coalesce("repo", F.lit(NO_REPO)) if "repo" in df.columns else F.lit(NO_REPO)
+        df.dropDuplicates((keys or {}).get(name)).withColumn("repo", repo).write.partitionBy("repo").parquet(f"{path}/{name}/version={version}")
+        own = df.sparkSession.read.schema("repo string").parquet(f"{path}/{name}/version={version}").select("repo")
+        saved = own if saved is None else saved.unionByName(own)
+    spark = saved.sparkSession
+    saved = saved.distinct().withColumn("version", F.lit(version))
+    known = _manifests(spark, path)
+    new = _live(spark, path).join(saved, "repo", "left_anti").unionByName(saved)
+    new.write.mode("errorifexists").parquet(f"{path}/manifest/{(known[-1] if known else 0) + 1:08d}")
 
 
 def load_tables(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
-    """The tables saved under path; one that was never saved is empty."""
-    out = {}
+    """The tables of the last snapshot under path; one that was never saved is empty."""
+    out, live = {}, _live(spark, path)
     for name, schema in schemas.items():
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-        out[name] = spark.read.schema(schema).parquet(f"{path}/{name}") if there else spark.createDataFrame([], schema)
+        wanted = spark.createDataFrame([], schema)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            more = "" if "repo" in wanted.columns else ", repo string"
+            rows = spark.read.schema(f"{schema}{more}, version string").parquet(f"{path}/{name}")
+            wanted = rows.join(live, ["repo", "version"], "left_semi").select(*wanted.columns)
+        out[name] = wanted
     return out
 
 
@@ -96,10 +135,11 @@ NOTIFICATION = "agent_id string, changed_file string, changed_symbols array<stri
 
 
 def save_state(reads: DataFrame, pending: DataFrame, path: str) -> None:
-    """Replaces the saved reads (agent_id, symbol, ts) and pending notifications (fields of NOTIFICATION), the latter as JSON text by agent."""
+    """Replaces the saved reads (agent_id, symbol, ts) and pending notifications (fields of NOTIFICATION), the latter as JSON text by agent, both at once."""
     names = [f.split(" ")[0] for f in NOTIFICATION.split(", ")]
-    reads.select("agent_id", "symbol", "ts").write.mode("overwrite").parquet(f"{path}/reads")
-    pending.select("agent_id", F.to_json(F.struct(*names)).alias("notification_json")).write.mode("overwrite").parquet(f"{path}/pending")
+    number = F.monotonically_increasing_id()  # equal rows stay apart
+    tables = {"reads": reads.select("agent_id", "symbol", "ts", number.alias("n")), "pending": pending.select("agent_id", F.to_json(F.struct(*names)).alias("notification_json"), number.alias("n"))}
+    save_tables(tables, path, {"reads": ["n"], "pending": ["n"]}, reads.sparkSession.createDataFrame([(NO_REPO,)], "repo string"))
 
 
 def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -184,10 +224,15 @@ def suite_pass_rate(results: DataFrame) -> DataFrame:
     return results.groupBy("run_id", "suite").agg(F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"), F.avg(F.coalesce("passed", F.lit(False)).cast("int")).alias("pass_rate"))
 
 
+def validation_failures(results: DataFrame) -> DataFrame:
+    """(run_id, suite, name) of each test that did not pass; a test without a result counts as failed."""
+    return results.filter(~F.coalesce("passed", F.lit(False))).select("run_id", "suite", "name")
+
+
 def validation_run_summary(results: DataFrame) -> DataFrame:
-    """(run_id, suites, tests, passed, failed, failures, ready): failures as sorted suite/test names, one run's."""
+    """(run_id, suites, tests, passed, failed, ready); validation_failures lists the failures, a row each."""
     ok = F.coalesce("passed", F.lit(False))
-    out = results.groupBy("run_id").agg(F.countDistinct("suite").alias("suites"), F.count(F.lit(1)).alias("tests"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), F.array_join(F.array_sort(F.collect_list(F.when(~ok, F.concat_ws("/", "suite", "name")))), ",").alias("failures"))
+    out = results.groupBy("run_id").agg(F.countDistinct("suite").alias("suites"), F.count(F.lit(1)).alias("tests"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"))
     return out.withColumn("ready", F.col("failed") == 0)
 
 
@@ -197,8 +242,17 @@ def bus_state(reads: DataFrame, pending: DataFrame) -> DataFrame:
     return r.join(pending.groupBy("agent_id").agg(F.count(F.lit(1)).alias("pending")), "agent_id", "full_outer")
 
 
-def delta_coverage(dependents: DataFrame, notified: DataFrame) -> DataFrame:
-    """(delta_id, callers, notified, missed, coverage_pct, missed_agents): of the agents that should hear of a delta, who did not."""
+def _told(dependents: DataFrame, notified: DataFrame) -> DataFrame:
     hit = notified.select("delta_id", "agent_id", F.lit(1).alias("hit")).distinct()
-    out = dependents.select("delta_id", "agent_id").distinct().join(hit, ["delta_id", "agent_id"], "left").groupBy("delta_id").agg(F.count(F.lit(1)).alias("callers"), F.count("hit").alias("notified"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit").isNull(), F.col("agent_id")))), ",").alias("missed_agents"))
+    return dependents.select("delta_id", "agent_id").distinct().join(hit, ["delta_id", "agent_id"], "left")
+
+
+def delta_coverage(dependents: DataFrame, notified: DataFrame) -> DataFrame:
+    """(delta_id, callers, notified, missed, coverage_pct): of the agents (delta_id, agent_id) that should hear of a delta, how many did; delta_missed lists the others."""
+    out = _told(dependents, notified).groupBy("delta_id").agg(F.count(F.lit(1)).alias("callers"), F.count("hit").alias("notified"))
     return out.withColumns({"missed": F.col("callers") - F.col("notified"), "coverage_pct": F.col("notified") * 100 / F.greatest(F.col("callers"), F.lit(1))})
+
+
+def delta_missed(dependents: DataFrame, notified: DataFrame) -> DataFrame:
+    """(delta_id, agent_id): who should have heard of a delta and did not, a row each."""
+    return _told(dependents, notified).filter("hit is null").select("delta_id", "agent_id")
