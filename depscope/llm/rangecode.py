@@ -1,17 +1,18 @@
 """Token ids as compressed files: an adaptive context-mixing range coder.
 
 A block is up to BLOCK ids, coded from a fresh model and with a checksum of its
-own. Three predictions of the next id are mixed into the one distribution that the
-coder uses: order 2 and order 1 each give all their mass to the id that last
-followed their context; order 0 spreads it over all ids by how often ids of the
-same low byte came, the last of them before the others. The weights of the three
-are kept for each pair of confidences (how often a context was right in a row)
+own. In a block an id goes by its place among the ids that came before, in the order of their first
+coming. Three predictions of the next id are mixed into the one distribution that the coder uses: order 2 and
+order 1 each give all their mass to the id that last followed their context; order 0 gives each id that
+the block has seen its count, and the ids that it has not seen, together, one more than the number of those seen. The
+weights of the three are kept for each pair of confidences (how often a context was right in a row)
 and move, after each id, to the share that each prediction had in the id's
-probability. An id's interval lies where the mixed cumulative distribution puts
-it, so encoder and decoder take one arithmetic step for an id.
+probability. An id that is new to the block takes its escape in that distribution, and then one of
+equal intervals over all ids of the frame. So encoder and decoder take one arithmetic step for an
+id, and a second for a new one.
 
-numpy codes many blocks in step, one id of each at a time. Ids over 65,535 are
-coded as two symbols of 16 bits.
+numpy codes many blocks in step, one id of each at a time. Counts are held as cumulative
+sums of two levels, SIDE groups of SIDE places.
 
 A file is a Parquet table of frames (one row: whole documents, their ids in
 blocks), in ascending order of document ids over the files part-00000, part-00001, ...
@@ -34,107 +35,106 @@ from depscope.llm.store import shared_dir
 BLOCK = 1024
 #: Bytes of text whose ids are coded in step, and of text in a file.
 FRAME_BYTES, FILE_BYTES = 6 << 20, 48 << 20
-#: Contexts of an order in a block's table; what an id adds to its group's count; ids between new sums of counts.
-SLOTS, STEP, FRESH = 1024, 16, 32
-#: Bits of the groups' shares, of a place in a group, of the weights; of the mixed distribution.
-SHARE, INSIDE, WEIGHT = 11, 9, 8
-ORDER0 = SHARE + INSIDE
+#: Places of a group and groups of a block; contexts of order 2 in a block's table.
+SIDE, SLOTS = 32, 1024
+#: Bits of order 0, of the weights, of the mixed distribution.
+ORDER0, WEIGHT = 20, 8
 MIXED = ORDER0 + WEIGHT
-_NONE = (1 << INSIDE) - 1
 _M32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
-#: First weights of order 2 and order 1 by confidence.
-FIRST = ((0.03, 0.45, 0.65, 0.8), (0.03, 0.35, 0.5, 0.6))
+#: First weights of order 2 and order 1 by confidence; without a prediction there is none.
+FIRST = ((0.0, 0.45, 0.65, 0.8), (0.0, 0.35, 0.5, 0.6))
+
+
+def _count(rows: np.ndarray) -> np.ndarray:
+    """How many of the SIDE flags of each row are set."""
+    return np.bitwise_count(np.packbits(rows, axis=1).view(np.uint32)).reshape(-1).astype(np.int64)
 
 
 class _Model:
     """What is known of each block so far; the encoder and the decoder drive it alike.
 
-    A symbol is group << 8 | place, the group its low byte: frequent ids differ in that.
-    In arrays with two rows the first is for order 1, the second for order 2.
+    Arrays with two rows hold order 1 first, order 2 second.
     """
 
     def __init__(self, blocks: int):
         lane = np.arange(blocks)
-        self.row = lane * 256
-        self.table = np.zeros(2 * blocks * SLOTS, np.int32)  # confidence << 16 | symbol
-        self.base = np.stack([lane, lane + blocks]) * SLOTS
+        self.table = np.zeros(blocks * (BLOCK + SLOTS), np.int16)  # confidence << 10 | place; 0: nothing followed yet
+        self.base = np.stack([lane * BLOCK, blocks * BLOCK + lane * SLOTS])
         two, one = (np.array(x) for x in FIRST)
         first = np.stack([(1 - two[:, None]) * one[None, :], np.broadcast_to(two[:, None], (4, 4))]).reshape(2, 1, 16)
         self.weights = np.broadcast_to((first * 65536).astype(np.int32), (2, blocks, 16)).copy().reshape(-1)
         self.wbase = np.stack([lane, lane + blocks]) * 16
-        self.counts = np.ones(blocks * 256, np.int32)
-        self.groups = np.full(blocks * 256, _NONE, np.int32)  # share before it << 20 | own share << 9 | last place
+        self.groups = np.zeros((blocks, SIDE + 1), np.int16)  # ids in the groups before each
+        self.inside = np.zeros((blocks * SIDE, SIDE + 1), np.int16)  # ids in the places before each, of a group
+        self.flat_groups, self.flat_inside = self.groups.reshape(-1), self.inside.reshape(-1)
+        self.grow, self.irow = lane * (SIDE + 1), lane * SIDE
+        self.one_more = (np.arange(SIDE + 1) > np.arange(SIDE)[:, None]).astype(np.int16)  # what an id at each place adds
+        self.seen = np.zeros(blocks, np.int64)  # distinct ids
         self.before = np.zeros((2, blocks), np.int64)
-        self.mixed = np.zeros((2, blocks), np.int64)
+        self.at = np.zeros((2, blocks), np.int64)
         self.steps = 0
 
     def predict(self) -> None:
-        if self.steps % FRESH == 0 or self.steps in (4, 8, 16):
-            sums = np.cumsum(self.counts.reshape(-1, 256), axis=1)
-            ends = (sums * (((1 << SHARE) - 256) / sums[:, -1:])).astype(np.int32) + np.arange(1, 257, dtype=np.int32)
-            ends[:, -1] = 1 << SHARE
-            starts = np.zeros_like(ends)
-            starts[:, 1:] = ends[:, :-1]
-            self.groups = (starts << 20 | (ends - starts) << INSIDE).reshape(-1) | (self.groups & _NONE)
-        self.steps += 1
         b1, b2 = self.before
-        np.multiply(b1, 0x9E3779B1, out=self.mixed[0])
-        np.add(self.mixed[0], b2 * 0x85EBCA6B, out=self.mixed[1])
-        self.at = (self.mixed >> 11 & SLOTS - 1) + self.base
+        np.add(self.base[0], b1, out=self.at[0])
+        np.add(self.base[1], (b1 * 0x9E3779B1 + b2 * 0x85EBCA6B >> 11) & SLOTS - 1, out=self.at[1])
         self.entry = self.table.take(self.at)
-        self.guess = self.entry & 0xFFFF
-        trust = self.entry >> 16
+        self.guess = self.entry & BLOCK - 1
+        trust = self.entry >> 10
         self.wat = (trust[1] * 4 + trust[0]) + self.wbase
         self.w = self.weights.take(self.wat)
-        own = (self.w >> 8).astype(np.int64)
+        own = (self.w >> 8).astype(np.int64) * (trust > 0)
         self.rest = (1 << WEIGHT) - own[0] - own[1]
         self.mass = own << ORDER0
-
-    def order0(self, symbol: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Cumulative and own mass of symbols by order 0, of 1 << ORDER0; the entries of their groups and where they are."""
-        at = self.row + (symbol >> 8)
-        e = self.groups.take(at)
-        last, place = e & _NONE, symbol & 255
-        fresh = last >> 8
-        share = (e >> INSIDE & (1 << SHARE) - 1).astype(np.int64)
-        cum = ((e >> 20).astype(np.int64) << INSIDE) + share * (place + fresh * place + ((last < place) << 8))
-        return cum, share * (1 + fresh + ((last == place) << 8)), e, at
-
-    def interval(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each block's symbol in the mixed distribution."""
-        cum, own, self.e, self.eat = self.order0(symbol)
-        self.hit = self.guess == symbol
-        below = self.mass * (self.guess < symbol)
+        self.unit = (1 << ORDER0) // (self.steps + self.seen + 1)  # of one id of the count
+
+    def count_before(self, place: np.ndarray) -> np.ndarray:
+        """Ids of the block at places before each."""
+        group = place >> 5
+        return self.flat_groups.take(self.grow + group).astype(np.int64) + self.flat_inside.take((self.irow + group) * (SIDE + 1) + (place & 31))
+
+    def interval(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each block's place in the mixed distribution; the place after the last seen one is the escape."""
+        new = place == self.seen
+        group = np.minimum(place >> 5, SIDE - 1)
+        row = (self.irow + group) * (SIDE + 1) + (place & 31)
+        low = self.flat_inside.take(row)
+        cum = self.flat_groups.take(self.grow + group).astype(np.int64) + low
+        many = self.flat_inside.take(row + 1) - low
+        self.hit = (self.guess == place) & (self.entry > 0)
         got = self.mass * self.hit
-        self.size = self.rest * own + got[0] + got[1]
-        self.got = got
-        return self.rest * cum + below[0] + below[1], self.size
+        below = self.mass * (self.guess < place)
+        size = np.where(new, (1 << ORDER0) - self.unit * self.steps, self.unit * many)
+        self.size = self.rest * size + got[0] + got[1]
+        self.got, self.new = got, new
+        return self.rest * self.unit * np.where(new, self.steps, cum) + below[0] + below[1], self.size
 
     def find(self, t: np.ndarray) -> np.ndarray:
-        """The symbol in whose interval t lies: the guesses' masses are taken out of t, order 0 says the rest."""
+        """The place in whose interval t lies: the guesses' masses are taken out of t, order 0 says the rest."""
         first = self.guess[0] <= self.guess[1]
         low, high = np.where(first, self.guess[0], self.guess[1]), np.where(first, self.guess[1], self.guess[0])
+        scale = self.rest * self.unit
         for guess, mass in ((low, np.where(first, self.mass[0], self.mass[1])), (high, np.where(first, self.mass[1], self.mass[0]))):
-            t = t - np.minimum(np.maximum(t - self.rest * self.order0(guess)[0], 0), mass)
-        c = np.minimum((t / self.rest).astype(np.int64), (1 << ORDER0) - 1)
-        key = (c >> INSIDE << 20) + 0xFFFFF
-        at = self.row.copy()
-        for half in (128, 64, 32, 16, 8, 4, 2, 1):
-            at += half * (self.groups.take(at + half) <= key)
-        e = self.groups.take(at)
-        u = ((c - ((e >> 20).astype(np.int64) << INSIDE)) / (e >> INSIDE & (1 << SHARE) - 1)).astype(np.int64)
-        last = e & _NONE
-        place = np.where(last > 255, u >> 1, u - np.minimum(np.maximum(u - last, 0), 256))
-        return (at - self.row << 8) + place
-
-    def learn(self, symbol: np.ndarray) -> None:
-        self.table[self.at] = np.where(self.hit, np.minimum(self.entry + 65536, self.guess | 3 << 16), symbol)
+            t = t - np.minimum(np.maximum(t - scale * self.count_before(guess), 0), mass)
+        x = np.minimum(t // scale, self.steps)
+        least = x.astype(np.int16)
+        group = np.minimum(_count(self.groups[:, 1:] <= least[:, None]), SIDE - 1)
+        left = (x - self.flat_groups.take(self.grow + group)).astype(np.int16)
+        inner = np.minimum(_count(self.inside.take(self.irow + group, axis=0)[:, 1:] <= left[:, None]), SIDE - 1)
+        return np.where(x >= self.steps, self.seen, group * SIDE + inner)
+
+    def learn(self, place: np.ndarray) -> None:
+        self.table[self.at] = np.where(self.hit, np.minimum(self.entry + BLOCK, self.guess | 3 * BLOCK), place | BLOCK)
         share = (self.got * (65535.0 / self.size)).astype(np.int32)
         self.weights[self.wat] = self.w + (share - self.w >> 5)
-        self.counts[self.eat] = self.counts.take(self.eat) + STEP
-        self.groups[self.eat] = self.e & ~_NONE | (symbol & 255).astype(np.int32)
+        group = place >> 5
+        self.groups += self.one_more.take(group, axis=0)
+        row = self.irow + group
+        self.inside[row] = self.inside.take(row, axis=0) + self.one_more.take(place & 31, axis=0)
+        self.seen += self.new
+        self.steps += 1
         self.before[1] = self.before[0]
-        self.before[0] = symbol
+        self.before[0] = place
 
 
 class _Coder:
@@ -143,11 +143,10 @@ class _Coder:
     def __init__(self, blocks: int):
         self.low, self.range = np.zeros(blocks, np.uint64), np.full(blocks, 2**64 - 1, np.uint64)
 
-    def narrow(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Takes the interval; the blocks that are left with under 32 bits of range, and the word that each of them settles."""
-        r = self.range >> np.uint64(MIXED)
-        self.low += r * start.astype(np.uint64)
-        self.range = r * size.astype(np.uint64)
+    def narrow(self, lanes: np.ndarray | slice, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the interval in units of r; the blocks that are left with under 32 bits of range, and the word that each of them settles."""
+        self.low[lanes] += r * start.astype(np.uint64)
+        self.range[lanes] = r * size.astype(np.uint64)
         on = np.flatnonzero(self.range <= _M32)
         low, r = self.low[on], self.range[on]
         top = low >> _32
@@ -160,83 +159,130 @@ class _Coder:
         return on, top + upper
 
 
+ALL = slice(None)
+
+
 class _Encoder(_Coder):
     def __init__(self, blocks: int, symbols: int):
         super().__init__(blocks)
-        self.out, self.size = np.zeros((blocks, symbols + 4), "<u4"), np.zeros(blocks, np.int64)
+        self.out, self.size = np.zeros((blocks, 3 * symbols + 4), "<u4"), np.zeros(blocks, np.int64)
 
-    def put(self, start: np.ndarray, size: np.ndarray) -> None:
-        on, word = self.narrow(start, size)
+    def _put(self, on: np.ndarray, word: np.ndarray) -> None:
         self.out[on, self.size[on]] = word
         self.size[on] += 1
 
+    def put(self, start: np.ndarray, size: np.ndarray) -> None:
+        self._put(*self.narrow(ALL, self.range >> np.uint64(MIXED), start, size))
+
+    def put_even(self, lanes: np.ndarray, value: np.ndarray, top: int) -> None:
+        """value of each of the lanes, all below top alike."""
+        self._put(*self.narrow(lanes, self.range[lanes] // np.uint64(top), value, np.ones(len(value), np.uint64)))
+
     def end(self) -> list[bytes]:
         self.out[np.arange(len(self.low)), self.size] = (self.low + _M32) >> _32  # zeros follow it
         return [self.out[k, : self.size[k] + 1].tobytes() for k in range(len(self.low))]
 
 
 class _Decoder(_Coder):
-    def __init__(self, payloads: list[bytes], symbols: int):
+    def __init__(self, payloads: list[bytes]):
         super().__init__(len(payloads))
-        self.words = np.zeros((len(payloads), max(symbols, max(len(p) // 4 for p in payloads)) + 4), "<u4")
+        self.words = np.zeros((len(payloads), max(len(p) // 4 for p in payloads) + 8), "<u4")
         for k, p in enumerate(payloads):
             self.words[k, : len(p) // 4] = np.frombuffer(p, "<u4", len(p) // 4)
         self.code = self.words[:, 0].astype(np.uint64) << _32 | self.words[:, 1].astype(np.uint64)
         self.next = np.full(len(payloads), 2)
 
+    def _take(self, on: np.ndarray, _: np.ndarray) -> None:
+        self.code[on] = self.code[on] << _32 | self.words[on, np.minimum(self.next[on], self.words.shape[1] - 1)]
+        self.next[on] += 1
+
     def peek(self) -> np.ndarray:
         return np.minimum((self.code - self.low) // (self.range >> np.uint64(MIXED)), np.uint64((1 << MIXED) - 1)).astype(np.int64)
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
-        on, _ = self.narrow(start, size)
-        self.code[on] = self.code[on] << _32 | self.words[on, self.next[on]]
-        self.next[on] += 1
+        self._take(*self.narrow(ALL, self.range >> np.uint64(MIXED), start, size))
+
+    def take_even(self, lanes: np.ndarray, top: int) -> np.ndarray:
+        r = self.range[lanes] // np.uint64(top)
+        value = np.minimum((self.code[lanes] - self.low[lanes]) // r, np.uint64(top - 1)).astype(np.int64)
+        self._take(*self.narrow(lanes, r, value, np.ones(len(value), np.uint64)))
+        return value
+
+
+def _digits(top: int) -> list[tuple[int, int]]:
+    """(shift, values) of the parts in which a new id below top is coded: 16 bits at most."""
+    return [(0, top)] if top <= 1 << 16 else [(16, (top - 1 >> 16) + 1), (0, 1 << 16)]
 
 
-def _swap(a: np.ndarray) -> np.ndarray:
-    return (a & 255) << 8 | a >> 8
+def _places(grid: np.ndarray) -> np.ndarray:
+    """For blocks of ids (a row each): the place of each id among the distinct ones of its block, by first coming."""
+    blocks, n = grid.shape
+    key = (np.arange(blocks, dtype=np.int64)[:, None] << 32 | grid).reshape(-1)
+    by = np.argsort(key, kind="stable")
+    head = np.append(True, key[by][1:] != key[by][:-1])
+    firsts = by[head]
+    new = np.zeros(blocks * n, np.int64)
+    new[firsts] = 1
+    number = np.cumsum(new.reshape(blocks, n), axis=1).reshape(-1) - 1
+    out = np.empty(blocks * n, np.int64)
+    out[by] = number[firsts][np.cumsum(head) - 1]
+    return out.reshape(blocks, n)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[int, list[bytes], list[int]]:
-    """Bytes an id takes (2 or 4), the payload of each block, its crc32. The last block is filled up with zeros."""
+    """Number below which the ids are, the payload of each block, its crc32. The last block is filled up with zeros; a block holds BLOCK ids at most."""
     n = len(ids)
-    width = 4 if n and int(ids.max()) > 0xFFFF else 2
+    top = int(ids.max()) + 1 if n else 1
     if not n:
-        return width, [], []
+        return top, [], []
     sums = [zlib.crc32(ids[a : a + block].astype("<u4").tobytes()) for a in range(0, n, block)]
-    blocks = len(sums)
-    symbols = min(block, n) * width // 2
+    blocks, symbols = len(sums), min(block, n)
     grid = np.zeros(blocks * symbols, np.int64)
-    grid[: n * width // 2] = ids.astype(f"<u{width}").view("<u2")
-    grid = np.ascontiguousarray(_swap(grid).reshape(blocks, symbols).T)
+    grid[:n] = ids
+    grid = grid.reshape(blocks, symbols)
+    places = np.ascontiguousarray(_places(grid).T)
+    grid = np.ascontiguousarray(grid.T)
     model, coder = _Model(blocks), _Encoder(blocks, symbols)
-    for row in grid:
+    for row, place in zip(grid, places, strict=True):
         model.predict()
-        coder.put(*model.interval(row))
-        model.learn(row)
-    return width, coder.end(), sums
+        coder.put(*model.interval(place))
+        lanes = np.flatnonzero(model.new)
+        for shift, many in _digits(top):
+            if len(lanes):
+                coder.put_even(lanes, row[lanes] >> shift & 0xFFFF if top > 1 << 16 else row[lanes], many)
+        model.learn(place)
+    return top, coder.end(), sums
 
 
-def decode_blocks(n: int, width: int, payloads: list[bytes], sums: list[int], block: int = BLOCK) -> np.ndarray:
+def decode_blocks(n: int, top: int, payloads: list[bytes], sums: list[int], block: int = BLOCK) -> np.ndarray:
     """The n ids; a block whose checksum differs is an error."""
     if not payloads:
         return np.zeros(0, "<u4")
-    symbols = min(block, n) * width // 2
-    grid = np.zeros((symbols, len(payloads)), np.int64)
-    model, coder = _Model(len(payloads)), _Decoder(payloads, symbols)
+    blocks, symbols = len(payloads), min(block, n)
+    grid = np.zeros((symbols, blocks), "<u4")
+    known = np.zeros((blocks, symbols + 1), "<u4")  # ids by place
+    lane = np.arange(blocks)
+    model, coder = _Model(blocks), _Decoder(payloads)
     for t in range(symbols):
         model.predict()
-        row = grid[t] = model.find(coder.peek())
-        coder.take(*model.interval(row))
-        model.learn(row)
-    ids = _swap(grid).T.reshape(-1).astype("<u2").view(f"<u{width}")[:n].astype("<u4")
+        place = np.minimum(model.find(coder.peek()), t)
+        coder.take(*model.interval(place))
+        lanes = np.flatnonzero(model.new)
+        if len(lanes):
+            value = np.zeros(len(lanes), np.int64)
+            for shift, many in _digits(top):
+                value |= coder.take_even(lanes, many) << shift
+            known[lanes, place[lanes]] = value
+        grid[t] = known[lane, place]
+        model.learn(place)
+    ids = grid.T.reshape(-1)[:n]
     for k, want in enumerate(sums):
         if zlib.crc32(ids[k * block : (k + 1) * block].tobytes()) != want:
             raise ValueError(f"block {k} does not match its checksum")
     return ids
 
 
-FRAME = "part int, frame int, first long, n_ids long, width int, doc_ids array<bigint>, doc_sizes array<bigint>, sizes array<int>, sums array<bigint>, payload binary"
+FRAME = "part int, frame int, first long, n_ids long, top long, doc_ids array<bigint>, doc_sizes array<bigint>, sizes array<int>, sums array<bigint>, payload binary"
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
@@ -252,12 +298,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
         from depscope.llm.tok import cached_tokenizer
 
         encoder, part, frame, first = cached_tokenizer(tokenizer), TaskContext.get().partitionId(), 0, 0
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
         names = [f.split(" ")[0] for f in FRAME.split(", ")]
         for c in gathered(batches, FRAME_BYTES):
             ids, at = encoder.encode_column(c.column("text"), end_id)
-            width, payloads, sums = encode_blocks(ids)
-            row = (part, frame, first, len(ids), width, c.column("id"), np.diff(at), [len(p) for p in payloads], sums, b"".join(payloads))
+            top, payloads, sums = encode_blocks(ids)
+            row = (part, frame, first, len(ids), top, c.column("id"), np.diff(at), [len(p) for p in payloads], sums, b"".join(payloads))
             frame, first = frame + 1, first + len(ids)
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
@@ -282,7 +328,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 r = {n: b.column(n)[k].as_py() for n in b.schema.names}
                 cuts = np.append(0, np.cumsum(r["sizes"])).tolist()
                 payloads = [r["payload"][s:t] for s, t in zip(cuts[:-1], cuts[1:], strict=True)]
-                ids = decode_blocks(r["n_ids"], r["width"], payloads, r["sums"])
+                ids = decode_blocks(r["n_ids"], r["top"], payloads, r["sums"])
                 sizes = np.array(r["doc_sizes"], np.int64)
                 ends = np.cumsum(sizes)
                 start = pa.array(r["base"] + r["first"] + ends - sizes)
@@ -293,7 +339,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), start, pa.array(sizes), last], ["id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
             free()
 
-    placed = frames.join(base, "part").select("first", "base", "n_ids", "width", "doc_ids", "doc_sizes", "sizes", "sums", "payload")
+    placed = frames.join(base, "part").select("first", "base", "n_ids", "top", "doc_ids", "doc_sizes", "sizes", "sums", "payload")
     return placed.mapInArrow(released(run), "id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<bigint>"))
 
 

@@ -11,7 +11,7 @@
 
 Every pair found is compared exactly, so no link is false. A link is missed if each of its vectors
 has its home more than MARGIN behind the other's: on random directions (the hardest case: no clusters)
-0.2 to 1 % of the links at a cosine of 0.9, fewer than 1 in 10,000 above 0.93; tests/llm/test_vectors.py measures it.
+up to 1 % of the links at a cosine of 0.9, under 1 in 2,000 at 0.95; tests/llm/test_vectors.py measures it.
 With margin=2 every vector visits every cell and nothing is missed.
 """
 

@@ -90,6 +90,24 @@ def test_hashes_of_spans_tell_bytes_apart(spans, gap):
         assert len({(s, h) for s, h in zip(spans, row, strict=True)}) == len(set(spans)) == len(set(row))
 
 
+def test_three_orders_beat_order_0_alone(spark):
+    """Files are smaller than plain adaptive counts of the ids of each block, with an escape to all ids, can be."""
+    from depscope.llm.tok import CachedTokenizer
+
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    ids = np.concatenate(CachedTokenizer(tokenizer_file("byte_bpe_50k.json")).encode(texts))
+    top, payloads, sums = rangecode.encode_blocks(ids)
+    assert rangecode.decode_blocks(len(ids), top, payloads, sums).tolist() == ids.tolist()
+    bits = 0.0
+    for a in range(0, len(ids), rangecode.BLOCK):
+        seen = Counter()
+        for t, i in enumerate(ids[a : a + rangecode.BLOCK].tolist()):
+            total = t + len(seen) + 1
+            bits -= np.log2(seen[i] / total if i in seen else (len(seen) + 1) / total / top)
+            seen[i] += 1
+    assert sum(map(len, payloads)) < 0.99 * bits / 8
+
+
 def test_exact(docs, empty):
     got = exact.exact_groups(docs, keep="max").collect()
     assert len(got) == docs.count()
@@ -216,16 +234,16 @@ def test_near_frequencies(spark):
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=300), st.integers(1, 64))
 def test_blocks_round_trip(ids, block):
     a = np.array(ids, np.uint32)
-    width, payloads, sums = rangecode.encode_blocks(a.astype(np.int64), block)
-    assert rangecode.decode_blocks(len(a), width, payloads, sums, block).tolist() == ids
+    top, payloads, sums = rangecode.encode_blocks(a.astype(np.int64), block)
+    assert rangecode.decode_blocks(len(a), top, payloads, sums, block).tolist() == ids
 
 
 def test_long_blocks_and_damage():
     a = np.random.default_rng(1).zipf(1.3, 5000).astype(np.int64) % 50000
-    width, payloads, sums = rangecode.encode_blocks(a)
-    assert rangecode.decode_blocks(len(a), width, payloads, sums).tolist() == a.tolist()
+    top, payloads, sums = rangecode.encode_blocks(a)
+    assert rangecode.decode_blocks(len(a), top, payloads, sums).tolist() == a.tolist()
     with pytest.raises(ValueError):
-        rangecode.decode_blocks(len(a), width, [payloads[0][:40] + b"\0" * 60 + payloads[0][100:], *payloads[1:]], sums)
+        rangecode.decode_blocks(len(a), top, [payloads[0][:40] + b"\0" * 60 + payloads[0][100:], *payloads[1:]], sums)
 
 
 def test_ids(docs, empty):
