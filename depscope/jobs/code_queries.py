@@ -9,6 +9,7 @@ from depscope.jobs import registry as base
 from depscope.operators import activity, graph, incremental, measures, symbols
 from depscope.sources import trees
 from depscope.sources.derived import duck, source
+from depscope.sources.shared import settled
 
 
 def _measured(s: SparkSession, d: str) -> DataFrame:
@@ -98,14 +99,14 @@ def _versions(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str,
 
 def _incremental(s: SparkSession, d: str) -> DataFrame:
     """Call and import edges after an update of the files that differ."""
-    old, new = _versions(s, d)
+    old, new = ({name: settled(df, name) for name, df in version.items()} for version in _versions(s, d))
     touched = (
         old["symbols"].filter("pos % 9 = 2 or pos % 11 = 5").select("repo", "file")
         .unionByName(old["calls"].filter("called_name like 'fn%7'").select("repo", F.col("caller_file").alias("file")))
         .unionByName(old["imports"].filter("import_path like '%9'").select("repo", F.col("importer_file").alias("file")))
         .distinct()
     )
-    before = old | {"edges": incremental.edge_counts(old["calls"], old["symbols"]), "resolved": graph.resolve_imports(old["imports"], old["files"])}
+    before = old | {"edges": settled(incremental.edge_counts(old["calls"], old["symbols"]), "edges"), "resolved": settled(graph.resolve_imports(old["imports"], old["files"]), "resolved")}
     after = incremental.update_graph(before, new, touched)
     calls = after["edges"].select("repo", F.lit("call").alias("kind"), F.col("caller_file").alias("src"), F.col("callee_file").alias("dst"))
     imports = after["resolved"].filter("imported_file is not null").select("repo", F.lit("import").alias("kind"), F.col("importer_file").alias("src"), F.col("imported_file").alias("dst")).distinct()
@@ -219,8 +220,9 @@ LEFT JOIN {_F['fx_modules']} f ON f.lang = 'rust' AND f.path = 'pkg' || p || '/'
     "type_lineage": f"""WITH RECURSIVE e AS (SELECT DISTINCT unnest(list_concat(extends, implements)) AS src, name AS dst FROM {_F['fx_classes']}),
 c(seed, node) AS (SELECT DISTINCT n, n FROM ({_ENDS}) UNION SELECT c.seed, e.dst FROM c JOIN e ON e.src = c.node) SELECT 'main' AS repo, seed AS type_name, node AS member FROM c""",
     "dependency_edges": base._TREE_EDGES,
-    "all_cones": f"""{_pairs(_ENDS).replace("c(seed, node) AS (", "c(seed, node, depth) AS (").replace("SELECT DISTINCT n, n FROM", "SELECT DISTINCT n, n, 0 FROM").replace("SELECT c.seed, e.dst FROM c JOIN e ON e.src = c.node", "SELECT c.seed, e.dst, depth + 1 FROM c JOIN e ON e.src = c.node WHERE depth < 12")}
-SELECT 'main' AS repo, seed AS seed_file, node AS file, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY seed, node""",
+    "all_cones": f"""WITH RECURSIVE e AS ({base._TREE_EDGES}), c(seed, node, depth) USING KEY (seed, node) AS (SELECT DISTINCT n, n, 0 FROM ({_ENDS})
+UNION SELECT c.seed, e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.node LEFT JOIN recurring.c k ON k.seed = c.seed AND k.node = e.dst WHERE k.seed IS NULL)
+SELECT 'main' AS repo, seed AS seed_file, node AS file, depth FROM c""",
     "symbol_cone": f"""{_pairs(_ORIGINS)} SELECT 'main' AS repo, name, node AS file FROM ({base._WINNERS}) u JOIN c ON seed = u.file WHERE name IN (SELECT called_name FROM {_F['fx_tree_calls']})""",
     "file_context": f"""{_pairs(_ORIGINS)} SELECT DISTINCT 'main' AS repo, s.file AS file, node AS cone_file FROM {_TREE} s JOIN ({base._WINNERS}) u ON u.name = s.name JOIN c ON seed = u.file""",
     "cone_context": f"""{_pairs(f"SELECT file AS n FROM {_TREE} WHERE pos % 50 = 0")} SELECT 'main' AS repo, seed AS seed_file, row_number() OVER (PARTITION BY seed ORDER BY node) AS ord, '// ── FILE: ' || node || ' ──' || chr(10) || content AS piece FROM c JOIN {_F['fx_files']} ON path = node""",

@@ -113,3 +113,21 @@ def test_an_update_equals_a_graph_built_anew(spark):
     assert 0 < after["changed_edges"].count() < after["edges"].count()
     same = incremental.update_graph(before, {n: df.limit(0) for n, df in fresh.items()}, spark.createDataFrame([], "repo string, file string"))
     assert same["changed_edges"].count() == same["changed_imports"].count() == 0 and rows(same["edges"].select(*before["edges"].columns)) == rows(before["edges"])
+
+
+def test_a_tree_is_listed_in_tasks(spark, tmp_path):
+    from depscope.sources.trees import scan_source_files
+
+    root = tmp_path / "tree"
+    for name, content in {"a.ts": b"x", "deep/er/still/__init__.py": b"y = 1", "deep/B.TSX": b"\xff", "deep/.hidden.go": b"", "z.rs": b"a\0b", "deep/no.md": b"m"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    (root / "gone.png").symlink_to("/nowhere/at/all")  # would fail if it were opened
+    (root / "deep/up").symlink_to(root)
+    (root / "empty").mkdir()
+    got = {r["path"]: (r["lang"], r["content"], r["n_bytes"], r["parse_ok"]) for r in scan_source_files(spark, str(root)).collect()}
+    assert got == {
+        "a.ts": ("typescript", "x", 1, True), "deep/er/still/__init__.py": ("python", "y = 1", 5, True), "deep/B.TSX": ("typescript", "�", 1, True),
+        "deep/.hidden.go": ("go", "", 0, True), "z.rs": ("rust", "a\0b", 3, False),
+    }
+    assert scan_source_files(spark, str(root / "empty")).count() == 0

@@ -82,7 +82,7 @@ def test_recovery_of_the_queue(spark, tmp_path):
     start = lambda: run_to_table(pending_queue(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     write([("a", 1, 0, 11), ("a", 2, 0, 12), ("b", 1, 0, 13)])
     start()
-    write([("a", 3, 1, 90), ("a", 4, 0, 14)])
+    write([("a", 3, 1, 90), ("a", 4, 0, 14), ("", 9999, 1, 91)])  # the last lets the watermark pass
     start()
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert {(r["agent_id"], r["delta_id"], r["delivered_by"]) for r in got} == {("a", 11, 90), ("a", 12, 90)}
