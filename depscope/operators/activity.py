@@ -40,7 +40,8 @@ def same_fingerprints(*runs: DataFrame) -> DataFrame:
     for k, r in enumerate(runs):
         r = r.select("repo", "file", "fingerprint", F.lit(k).alias("run"))
         every = r if every is None else every.unionByName(r)
-    return every.groupBy("repo", "file").agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("fingerprint").alias("unique_results")).withColumn("passed", (F.col("unique_results") == 1) & (F.col("runs") == len(runs)))
+    found = every.groupBy("repo", "file").agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("fingerprint").alias("unique_results"))
+    return found.withColumn("passed", (F.col("unique_results") == 1) & (F.col("runs") == len(runs)))
 
 
 def replace_files(old: DataFrame, new: DataFrame, touched: DataFrame, file_col: str = "file") -> DataFrame:
@@ -69,7 +70,8 @@ def route_deltas(deltas: DataFrame, reads: DataFrame, window_s: int = 300) -> Da
     r = reads.select("repo", "symbol", "agent_id", F.col("ts").alias("read_ts"), bucket(F.col("ts"), window_s).alias("b")).distinct()
     d = deltas.withColumn("b", F.explode(F.array(bucket(F.col("ts"), window_s), bucket(F.col("ts"), window_s) - 1)))
     near = (F.col("read_ts") <= F.col("ts")) & (F.col("read_ts") >= F.col("ts") - F.expr(f"INTERVAL {window_s} SECOND")) & (F.col("agent_id") != F.col("emitting_agent"))
-    return d.join(r, ["repo", "symbol", "b"]).filter(near).groupBy("repo", "delta_id", "agent_id", "ts").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("changed_symbols"))
+    names = F.array_join(F.array_sort(F.collect_set("symbol")), ",")
+    return d.join(r, ["repo", "symbol", "b"]).filter(near).groupBy("repo", "delta_id", "agent_id", "ts").agg(names.alias("changed_symbols"))
 
 
 def pending_after_flush(notifications: DataFrame, flushes: DataFrame) -> DataFrame:
@@ -129,7 +131,8 @@ def ledger_summary(records: DataFrame) -> DataFrame:
         F.grouping_id().alias("g"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("u").alias("u"), F.count(F.lit(1)).alias("calls")
     )
     level = F.when(F.col("g") == 7, "run").when(F.col("g") == 3, "agent").when(F.col("g") == 5, "task").otherwise("model")
-    return out.select("run_id", level.alias("level"), F.coalesce("agent_id", "task_id", "model", F.lit("")).alias("key"), "prompt_tokens", "completion_tokens", dollars(F.col("u")).alias("cost_usd"), "calls")
+    key, cost = F.coalesce("agent_id", "task_id", "model", F.lit("")), dollars(F.col("u"))
+    return out.select("run_id", level.alias("level"), key.alias("key"), "prompt_tokens", "completion_tokens", cost.alias("cost_usd"), "calls")
 
 
 def list_runs(records: DataFrame, top: int = 20) -> DataFrame:

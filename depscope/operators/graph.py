@@ -110,7 +110,8 @@ def import_tries(imports: DataFrame, aliases: DataFrame | None = None) -> DataFr
         # the roots at or above an importer are beginnings of its path; of those that have aliases the longest counts
         folders = F.split("importer_file", "/")
         above = F.transform(F.sequence(F.lit(0), F.size(folders) - 1), lambda n: F.array_join(F.slice(folders, F.lit(1), n), "/"))
-        roots = others.select("repo", "importer_file").distinct().select("repo", "importer_file", F.explode(above).alias("root")).join(aliases.select("repo", "root").distinct(), ["repo", "root"])
+        importers = others.select("repo", "importer_file").distinct().select("repo", "importer_file", F.explode(above).alias("root"))
+        roots = importers.join(aliases.select("repo", "root").distinct(), ["repo", "root"])
         near = roots.groupBy("repo", "importer_file").agg(F.max_by("root", F.length("root")).alias("root"))
         # an alias is joined by each beginning of the import that ends before a slash
         parts = F.split("import_path", "/")
@@ -159,7 +160,8 @@ def unique_symbols(symbols: DataFrame) -> DataFrame:
 def derivations(calls: DataFrame, winners: DataFrame) -> DataFrame:
     """(repo, caller_file, called_name, callee_file), distinct: where each call leads. The exact name first, only without one every type's method so named; winners: unique_symbols."""
     exact = winners.select("repo", F.col("name").alias("called_name"), F.col("file").alias("exact_file"))
-    methods = winners.filter("kind in ('method', 'interface_method')").select("repo", F.element_at(F.split("name", r"\."), -1).alias("called_name"), F.col("file").alias("method_file")).distinct()
+    last = F.element_at(F.split("name", r"\."), -1)
+    methods = winners.filter("kind in ('method', 'interface_method')").select("repo", last.alias("called_name"), F.col("file").alias("method_file")).distinct()
     named = calls.select("repo", "caller_file", "called_name").distinct().join(exact, ["repo", "called_name"], "left")
     by_exact = named.filter("exact_file is not null").withColumnRenamed("exact_file", "callee_file")
     by_method = named.filter("exact_file is null").join(methods, ["repo", "called_name"]).withColumnRenamed("method_file", "callee_file")
@@ -263,4 +265,5 @@ def measure_cones(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> Dat
     """
     winners = unique_symbols(symbols).withColumnRenamed("file", "origin")
     sizes = cone_sizes(files, edges, winners.select("repo", F.col("origin").alias("file")))
-    return winners.join(sizes, ["repo", "origin"]).select("repo", "name", "kind", "origin", "cone_files", "cone_tokens", "origin_tokens", ratio(F.col("cone_tokens"), F.col("total_tokens")).alias("cone_ratio"))
+    share = ratio(F.col("cone_tokens"), F.col("total_tokens"))
+    return winners.join(sizes, ["repo", "origin"]).select("repo", "name", "kind", "origin", "cone_files", "cone_tokens", "origin_tokens", share.alias("cone_ratio"))

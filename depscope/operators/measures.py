@@ -31,7 +31,8 @@ def symbol_cones(names: DataFrame, symbols: DataFrame, edges: DataFrame) -> Data
 
 def file_context(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, file, cone_file): the union of the cones of a file's symbols, each by its name's winning record."""
-    origin = symbols.select("repo", "file", "name").join(unique_symbols(symbols).select("repo", "name", F.col("file").alias("seed_file")), ["repo", "name"]).select("repo", "file", "seed_file").distinct()
+    winners = unique_symbols(symbols).select("repo", "name", F.col("file").alias("seed_file"))
+    origin = symbols.select("repo", "file", "name").join(winners, ["repo", "name"]).select("repo", "file", "seed_file").distinct()
     cones = all_cones(edges, origin.select("repo", F.col("seed_file").alias("file"))).withColumnRenamed("file", "cone_file")
     return origin.join(cones, ["repo", "seed_file"]).select("repo", "file", "cone_file").distinct()
 
@@ -41,7 +42,8 @@ def cone_context(cones: DataFrame, files: DataFrame) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("repo", "seed_file").orderBy("file")).cast("long")
     ordered = cones.select("repo", "seed_file", "file", order.alias("ord"))
     text = files.select("repo", F.col("path").alias("file"), "content")
-    return ordered.join(text, ["repo", "file"]).select("repo", "seed_file", "ord", F.concat(F.lit("// ── FILE: "), "file", F.lit(" ──\n"), F.coalesce("content", F.lit(""))).alias("piece"))
+    piece = F.concat(F.lit("// ── FILE: "), "file", F.lit(" ──\n"), F.coalesce("content", F.lit("")))
+    return ordered.join(text, ["repo", "file"]).select("repo", "seed_file", "ord", piece.alias("piece"))
 
 
 def connected_symbols(symbols: DataFrame, edges: DataFrame, n: int = 20) -> DataFrame:
@@ -169,7 +171,8 @@ def assemble_replies(lines: DataFrame) -> DataFrame:
     without one prompt_tokens is null and completion_tokens are those of the reply. A response without any piece has an empty reply.
     """
     chunk = F.trim(F.substring("line", 6, 1 << 30))
-    kept = lines.filter(F.col("line").startswith("data:")).select("conv_id", "line_no", chunk.alias("chunk")).filter(~F.col("chunk").isin("", "[DONE]") & F.get_json_object("chunk", "$").isNotNull())
+    kept = lines.filter(F.col("line").startswith("data:")).select("conv_id", "line_no", chunk.alias("chunk"))
+    kept = kept.filter(~F.col("chunk").isin("", "[DONE]") & F.get_json_object("chunk", "$").isNotNull())
     piece = F.coalesce(F.get_json_object("chunk", "$.choices[0].delta.content"), F.lit(""))
     count = lambda name: F.get_json_object("chunk", f"$.usage.{name}").cast("long").alias(name)
     told = F.get_json_object("chunk", "$.usage").isNotNull()
@@ -198,7 +201,9 @@ def import_callers(changed: DataFrame, callers: DataFrame, imports: DataFrame) -
 
     An import counts if its target contains the changed path without .ts, anywhere.
     """
-    bare = changed.join(callers.select("repo", "change_id").distinct(), ["repo", "change_id"], "left_anti").select("repo", "change_id", F.replace("file", F.lit(".ts"), F.lit("")).alias("pattern")).distinct()
+    stem = F.replace("file", F.lit(".ts"), F.lit(""))
+    alone = changed.join(callers.select("repo", "change_id").distinct(), ["repo", "change_id"], "left_anti")
+    bare = alone.select("repo", "change_id", stem.alias("pattern")).distinct()
     t = imports.filter("imported_file is not null").select("repo", F.col("importer_file").alias("file"), F.col("imported_file").alias("text")).distinct()
     met = containing(t, "text", bare, "pattern", ("repo",))
     return met.join(bare, ["repo", "pattern"]).join(t, ["repo", "text"]).select("repo", "change_id", "file").distinct()

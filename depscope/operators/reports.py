@@ -45,7 +45,8 @@ def aggregate_summary(records: DataFrame, top: int = 100) -> DataFrame:
         F.count_if(F.col("passed").isNotNull()).alias("judged"),
     )
     rate = F.when(F.col("judged") > 0, F.floor(F.col("passed") * 100000 / F.col("judged")) / 1000)
-    return out.select("runs", "calls", "tokens", dollars(F.col("units")).alias("cost"), rate.alias("pass_rate"), F.when(F.col("tokens") > 0, F.floor(F.col("units") * 10 / F.col("tokens")) / 1000000).alias("cost_per_1k"))
+    per_1k = F.when(F.col("tokens") > 0, F.floor(F.col("units") * 10 / F.col("tokens")) / 1000000)
+    return out.select("runs", "calls", "tokens", dollars(F.col("units")).alias("cost"), rate.alias("pass_rate"), per_1k.alias("cost_per_1k"))
 
 
 def format_cost(cost: Column) -> Column:
@@ -138,7 +139,8 @@ def save_state(reads: DataFrame, pending: DataFrame, path: str) -> None:
     """Replaces the saved reads (agent_id, symbol, ts) and pending notifications (fields of NOTIFICATION), the latter as JSON text by agent, both at once."""
     names = [f.split(" ")[0] for f in NOTIFICATION.split(", ")]
     number = F.monotonically_increasing_id()  # equal rows stay apart
-    tables = {"reads": reads.select("agent_id", "symbol", "ts", number.alias("n")), "pending": pending.select("agent_id", F.to_json(F.struct(*names)).alias("notification_json"), number.alias("n"))}
+    queued = pending.select("agent_id", F.to_json(F.struct(*names)).alias("notification_json"), number.alias("n"))
+    tables = {"reads": reads.select("agent_id", "symbol", "ts", number.alias("n")), "pending": queued}
     save_tables(tables, path, {"reads": ["n"], "pending": ["n"]}, reads.sparkSession.createDataFrame([(NO_REPO,)], "repo string"))
 
 

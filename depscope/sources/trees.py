@@ -30,7 +30,8 @@ def scan_source_files(spark: SparkSession, root_or_df: str | DataFrame, suffixes
     kept = df.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
     raw = F.col("content").cast("binary")
     text = F.make_valid_utf8(raw.cast("string"))
-    return kept.select("repo", "path", detect_language(F.col("path")).alias("lang"), text.alias("content"), F.octet_length(raw).cast("long").alias("n_bytes"), parse_ok(raw).alias("parse_ok"))
+    size, lang = F.octet_length(raw).cast("long"), detect_language(F.col("path"))
+    return kept.select("repo", "path", lang.alias("lang"), text.alias("content"), size.alias("n_bytes"), parse_ok(raw).alias("parse_ok"))
 
 
 def parse_ok(content: Column) -> Column:

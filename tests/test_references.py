@@ -68,7 +68,14 @@ LARGE = [
     ("rust", '"\\"' * 300_000),
     ("rust", "a|b(" * 100_000),
     ("rust", "impl A { fn f() { " * 30_000),
+    ("typescript", "class A { " + "static " * 60_000),
+    ("typescript", "class A { " + "static<" * 60_000),
+    ("typescript", "interface A { " + "m(): void; " * 30_000),
+    ("typescript", "const a = (x): " * 30_000),
+    ("typescript", "const a = <" * 30_000),
     ("go", "func f() interface{} " * 30_000),
+    ("go", "const (\n" * 30_000),
+    ("rust", "const " * 60_000),
     ("python", "def f(:\n" * 60_000),
 ]
 
