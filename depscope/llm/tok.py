@@ -5,7 +5,9 @@ space) and then merge inside each piece only. No piece holds a blank but as its
 first character, so the ids of a text are the ids of its words (what lies between
 blanks, for the byte-level vocabulary with the blank before), one after the
 other. Words are told apart by Arrow; the ids of a distinct word come from the
-tokenizer once and are kept for up to CACHE words, those seen last.
+tokenizer once and are kept for up to CACHE words, those seen last. New words are
+encoded many together, as one text: an id stands for a fixed number of bytes, so
+that the ids of each word are told by their lengths.
 
 A text goes to the tokenizer whole if that rule could fail for it: if a word has
 a character outside SAFE or the string of an added token (<|endoftext|>), or, for
@@ -27,10 +29,12 @@ import pyarrow.compute as pc
 
 #: Words whose ids are kept (some 40 bytes each).
 CACHE = 1_000_000
-#: Words that the tokenizer gets in one call.
-CALL = 512
+#: Words that the tokenizer gets in one text.
+CALL = 128
 #: Characters on which Python's \s and lower() agree with the Unicode classes that the vocabularies use.
 SAFE = re.compile("[\t\n\r\x20-\x7E\xA1-\xB1\xB4-\xB8\xBA\xBB\xBF-įı-ɏ]*")
+#: Bytes that are no white space of SAFE.
+INK = ~np.isin(np.arange(256), (9, 10, 13, 32))
 _EDGES = re.compile(r"\s\s|^\s|\s$")
 
 
@@ -80,6 +84,10 @@ class CachedTokenizer:
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         self.lower = self.tokenizer.normalizer is not None
         self.known = _Words()
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, k in vocabulary.items():  # both vocabularies spell a byte as one character
+            self.bytes[k] = len(token.removesuffix(suffix))
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -92,19 +100,32 @@ class CachedTokenizer:
         fits = lambda w: SAFE.fullmatch(w) and not self.added.search(w) and (self.lower or w and not w[0].isspace() and not w[-1].isspace())
         return np.array([bool(fits(w)) for w in words], bool)
 
-    def _encode_words(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, text: str, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the plain words between the blanks of a text, and how many each has; word by word if one does not end where an id does."""
+        ids = np.array(self.tokenizer.encode_batch_fast([lead + text], add_special_tokens=False)[0].ids, "<u4")
+        raw = np.frombuffer((text.lower() if self.lower else text).encode() + b" ", np.uint8)
+        after = np.flatnonzero(raw == 32)
+        ends = np.cumsum(INK[raw])[after] if self.lower else after + len(lead)
+        reach = np.cumsum(self.bytes[ids])
+        upto = np.searchsorted(reach, ends, side="right")
+        if (np.append(0, reach)[upto] == ends).all() and upto[-1] == len(ids):
+            return ids, np.diff(upto, prepend=0)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([lead + w for w in text.split(" ")], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.array([len(x) for x in found], np.int64)
+
+    def _encode_words(self, words: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has (-1 if it is not plain)."""
-        ok = np.concatenate([self._plain(words[a : a + CALL]) for a in range(0, len(words), CALL)])
-        plain = words if ok.all() else [w for w, k in zip(words, ok.tolist(), strict=True) if k]
-        ids, many = [], []
-        for a in range(0, len(plain), CALL):
-            part = plain[a : a + CALL]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([lead + w for w in part] if lead else part, add_special_tokens=False)]
-            many += map(len, found)
-            ids.append(np.fromiter(chain.from_iterable(found), "<u4"))
-        size = np.full(len(words), -1, np.int64)
-        size[ok] = many
-        return np.concatenate(ids) if ids else np.zeros(0, "<u4"), size
+        cuts = pa.array(np.append(np.arange(0, len(words), CALL), len(words)), pa.int32())
+        ids, size = [], []
+        for text in pc.binary_join(pa.ListArray.from_arrays(cuts, words), " ").to_pylist():
+            part = text.split(" ")
+            ok = self._plain(part)
+            many = np.full(len(part), -1, np.int64)
+            if ok.any():
+                found, many[ok] = self._together(text if ok.all() else " ".join(w for w, k in zip(part, ok.tolist(), strict=True) if k), lead)
+                ids.append(found)
+            size.append(many)
+        return np.concatenate(ids) if ids else np.zeros(0, "<u4"), np.concatenate(size)
 
     def _look_up(self, words: pa.Array, lead: str) -> np.ndarray:
         """Number of each word in known; those that are new are learnt."""
@@ -116,7 +137,7 @@ class CachedTokenizer:
         if len(new):
             at[new] = len(known.size) + np.arange(len(new))
             fresh = words.take(pa.array(new))
-            known.add(fresh, *self._encode_words(fresh.to_pylist(), lead))
+            known.add(fresh, *self._encode_words(fresh, lead))
         known.seen[at] = known.step
         return at
 

@@ -1,5 +1,6 @@
 """Small tables with every awkward row, each operator against brute force."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -275,6 +276,27 @@ def test_added_tokens(name):
     assert [x.tolist() for x in CachedTokenizer(file).encode(texts)] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_encoded_together(name, monkeypatch):
+    """Words share texts of any number of words, and are encoded one by one if lengths do not tell them apart."""
+    from tokenizers import Tokenizer
+
+    from depscope.llm import tok
+
+    file = tokenizer_file(name)
+    some = random.Random(7)
+    signs = [*"abcAB  \t\n\r'.,$#</w>019éßȺİſ", "\u0301", "\u00a0", "\u2003", "日本", "'s", "</w>", "<|endoftext|>", "  ", "hello"]
+    texts = ["".join(some.choices(signs, k=some.randint(0, 40))) for _ in range(600)]
+    plain = Tokenizer.from_file(file)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for call in (1, 3, 128):
+        monkeypatch.setattr(tok, "CALL", call)
+        assert [x.tolist() for x in tok.CachedTokenizer(file).encode(texts)] == want
+    wrong = tok.CachedTokenizer(file)
+    wrong.bytes[:] = 7
+    assert [x.tolist() for x in wrong.encode(texts)] == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=60))
 def test_bins(lengths):
