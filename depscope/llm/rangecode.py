@@ -35,202 +35,229 @@ from depscope.llm.store import shared_dir
 BLOCK = 1024
 #: Bytes of text whose ids are coded in step, and of text in a file.
 FRAME_BYTES, FILE_BYTES = 6 << 20, 48 << 20
-#: Places of a group and groups of a block; contexts of order 2 in a block's table.
-SIDE, SLOTS = 32, 1024
-#: Bits of order 0, of the weights, of the mixed distribution.
-ORDER0, WEIGHT = 20, 8
-MIXED = ORDER0 + WEIGHT
-_M32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
-#: First weights of order 2 and order 1 by confidence; without a prediction there is none.
-FIRST = ((0.0, 0.45, 0.65, 0.8), (0.0, 0.35, 0.5, 0.6))
-
-
-def _count(rows: np.ndarray) -> np.ndarray:
-    """How many of the SIDE flags of each row are set."""
-    return np.bitwise_count(np.packbits(rows, axis=1).view(np.uint32)).reshape(-1).astype(np.int64)
+#: Bits of the mixed distribution, of the table of order-2 contexts, of the trust in a guess (0: there is none).
+MIXED, PAIRS, TRUST = 28, 17, 3
+LEVELS = 1 << TRUST
+#: Ids of a frame that get numbers, the first ones; others are spelt each time.
+NUMBERED = 1 << 18
+#: The model is learnt anew when the ids coded have grown by this share, or by 1 / LEARN of a row for each of them.
+LEARN = 2048
+#: Elements that numpy handles at once where rows need not go one by one.
+CHUNK = 1 << 14
+_M32, _32, _MIXED = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(MIXED)
+
+
+def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Place of the context (two, one) in the table of order 2."""
+    return (one.astype(np.uint32) * np.uint32(0x9E3779B1) + two.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIRS)
+
+
+def _guesses(context: np.ndarray, number: np.ndarray, contexts: int, numbers: int) -> np.ndarray:
+    """For each context the number that followed most often (of several, the largest) << TRUST | how far it is to be trusted."""
+    kind = np.int32 if contexts * numbers < 1 << 31 else np.int64
+    key = context.astype(kind) * kind(numbers) + number.astype(kind, copy=False)
+    key.sort()
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    many = np.diff(np.append(head, len(key)))
+    of, symbol = np.divmod(key[head].astype(np.int64), numbers)
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    best = np.maximum.reduceat(np.where(symbol > 0, many, 0) << 20 | symbol, first)
+    total, many = np.add.reduceat(many, first), best >> 20
+    trust = np.where(many > 0, 1 + (LEVELS - 1) * (2 * many - 1) // (2 * total + 2), 0)
+    table = np.zeros(contexts, np.int64)
+    table[of[first]] = np.where(many > 0, (best & (1 << 20) - 1) << TRUST, 0) | trust
+    return table
 
 
 class _Model:
-    """What is known of each block so far; the encoder and the decoder drive it alike.
+    """What is known of a frame so far; the encoder and the decoder drive it alike.
 
-    Arrays with two rows hold order 1 first, order 2 second.
+    rows[t + 2] has the numbers of the ids at step t, a block a column; 0 stands for an id
+    without a number and for what is before a block.
     """
 
-    def __init__(self, blocks: int):
-        lane = np.arange(blocks)
-        self.table = np.zeros(blocks * (BLOCK + SLOTS), np.int16)  # confidence << 10 | place; 0: nothing followed yet
-        self.base = np.stack([lane * BLOCK, blocks * BLOCK + lane * SLOTS])
-        two, one = (np.array(x) for x in FIRST)
-        first = np.stack([(1 - two[:, None]) * one[None, :], np.broadcast_to(two[:, None], (4, 4))]).reshape(2, 1, 16)
-        self.weights = np.broadcast_to((first * 65536).astype(np.int32), (2, blocks, 16)).copy().reshape(-1)
-        self.wbase = np.stack([lane, lane + blocks]) * 16
-        self.groups = np.zeros((blocks, SIDE + 1), np.int16)  # ids in the groups before each
-        self.inside = np.zeros((blocks * SIDE, SIDE + 1), np.int16)  # ids in the places before each, of a group
-        self.flat_groups, self.flat_inside = self.groups.reshape(-1), self.inside.reshape(-1)
-        self.grow, self.irow = lane * (SIDE + 1), lane * SIDE
-        self.one_more = (np.arange(SIDE + 1) > np.arange(SIDE)[:, None]).astype(np.int16)  # what an id at each place adds
-        self.seen = np.zeros(blocks, np.int64)  # distinct ids
-        self.before = np.zeros((2, blocks), np.int64)
-        self.at = np.zeros((2, blocks), np.int64)
-        self.steps = 0
-
-    def predict(self) -> None:
-        b1, b2 = self.before
-        np.add(self.base[0], b1, out=self.at[0])
-        np.add(self.base[1], (b1 * 0x9E3779B1 + b2 * 0x85EBCA6B >> 11) & SLOTS - 1, out=self.at[1])
-        self.entry = self.table.take(self.at)
-        self.guess = self.entry & BLOCK - 1
-        trust = self.entry >> 10
-        self.wat = (trust[1] * 4 + trust[0]) + self.wbase
-        self.w = self.weights.take(self.wat)
-        own = (self.w >> 8).astype(np.int64) * (trust > 0)
-        self.rest = (1 << WEIGHT) - own[0] - own[1]
-        self.mass = own << ORDER0
-        self.unit = (1 << ORDER0) // (self.steps + self.seen + 1)  # of one id of the count
-
-    def count_before(self, place: np.ndarray) -> np.ndarray:
-        """Ids of the block at places before each."""
-        group = place >> 5
-        return self.flat_groups.take(self.grow + group).astype(np.int64) + self.flat_inside.take((self.irow + group) * (SIDE + 1) + (place & 31))
-
-    def interval(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each block's place in the mixed distribution; the place after the last seen one is the escape."""
-        new = place == self.seen
-        group = np.minimum(place >> 5, SIDE - 1)
-        row = (self.irow + group) * (SIDE + 1) + (place & 31)
-        low = self.flat_inside.take(row)
-        cum = self.flat_groups.take(self.grow + group).astype(np.int64) + low
-        many = self.flat_inside.take(row + 1) - low
-        self.hit = (self.guess == place) & (self.entry > 0)
-        got = self.mass * self.hit
-        below = self.mass * (self.guess < place)
-        size = np.where(new, (1 << ORDER0) - self.unit * self.steps, self.unit * many)
-        self.size = self.rest * size + got[0] + got[1]
-        self.got, self.new = got, new
-        return self.rest * self.unit * np.where(new, self.steps, cum) + below[0] + below[1], self.size
+    def __init__(self, blocks: int, symbols: int):
+        self.rows = np.zeros((symbols + 2, blocks), np.int32)
+        self.names = np.zeros(1, np.int64)  # ids by number
+        self.count = np.zeros(1, np.int64)
+        two, one = np.divmod(np.arange(LEVELS * LEVELS), LEVELS)
+        p2, p1 = (np.maximum(x - 0.5, 0) / (LEVELS - 1) for x in (two, one))
+        self.shares = 8 * np.stack([(1 - 0.9 * p2) * (1 - 0.8 * p1), (1 - 0.9 * p2) * 0.8 * p1, 0.9 * p2])
+        self.one, self.two = np.zeros(1, np.int64), np.zeros(1 << PAIRS, np.int64)
+        self._order_0(1, 1)
+        self._weigh()
+
+    def until(self, step: int) -> int:
+        """The step before which the model stays as it is."""
+        blocks = self.rows.shape[1]
+        return min(step + max(1, min(step, step * blocks // LEARN)), len(self.rows) - 2)
+
+    def _order_0(self, new: int, coded: int) -> None:
+        """Counts as a cumulative line of 2 ** bits places; the first of them are the escape's, by the share of new ids in those coded last."""
+        known = len(self.names) - 1
+        self.bits = min(max(16, known.bit_length() + 5), 20)
+        line = 1 << self.bits
+        escape = min(max(line * (new + 1) // (2 * coded + 2), 1), line // 2) if known else line
+        ends = np.cumsum(self.count[1:])
+        ends = escape + np.arange(1, known + 1) + ends * (line - escape - known) // max(int(self.count[1:].sum()), 1)
+        self.start = np.concatenate([[0, escape], ends])
+        self.size = np.diff(self.start)
+        self.at: np.ndarray | None = None
+
+    def _weigh(self) -> None:
+        """Whole weights of the orders for each pair of trusts; order 0 keeps at least two."""
+        top = 1 << MIXED - self.bits
+        part = ((top - 2) * self.shares[1:] / self.shares.sum(axis=0)).astype(np.int64)
+        self.rest = top - part[0] - part[1]
+        self.mass1, self.mass2 = part << self.bits
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> None:
+        """The distribution after the numbers one and, before them, two."""
+        e1, e2 = self.one.take(one), self.two.take(_pair(one, two))
+        self.pair = (e2 & LEVELS - 1) << TRUST | e1 & LEVELS - 1
+        self.g1, self.g2 = e1 >> TRUST, e2 >> TRUST
+        self.w0, self.m1, self.m2 = self.rest.take(self.pair), self.mass1.take(self.pair), self.mass2.take(self.pair)
+
+    def interval(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each number in the mixed distribution."""
+        start = self.w0 * self.start.take(number) + self.m1 * (self.g1 < number) + self.m2 * (self.g2 < number)
+        return start, self.w0 * self.size.take(number) + self.m1 * (self.g1 == number) + self.m2 * (self.g2 == number)
 
     def find(self, t: np.ndarray) -> np.ndarray:
-        """The place in whose interval t lies: the guesses' masses are taken out of t, order 0 says the rest."""
-        first = self.guess[0] <= self.guess[1]
-        low, high = np.where(first, self.guess[0], self.guess[1]), np.where(first, self.guess[1], self.guess[0])
-        scale = self.rest * self.unit
-        for guess, mass in ((low, np.where(first, self.mass[0], self.mass[1])), (high, np.where(first, self.mass[1], self.mass[0]))):
-            t = t - np.minimum(np.maximum(t - scale * self.count_before(guess), 0), mass)
-        x = np.minimum(t // scale, self.steps)
-        least = x.astype(np.int16)
-        group = np.minimum(_count(self.groups[:, 1:] <= least[:, None]), SIDE - 1)
-        left = (x - self.flat_groups.take(self.grow + group)).astype(np.int16)
-        inner = np.minimum(_count(self.inside.take(self.irow + group, axis=0)[:, 1:] <= left[:, None]), SIDE - 1)
-        return np.where(x >= self.steps, self.seen, group * SIDE + inner)
-
-    def learn(self, place: np.ndarray) -> None:
-        self.table[self.at] = np.where(self.hit, np.minimum(self.entry + BLOCK, self.guess | 3 * BLOCK), place | BLOCK)
-        share = (self.got * (65535.0 / self.size)).astype(np.int32)
-        self.weights[self.wat] = self.w + (share - self.w >> 5)
-        group = place >> 5
-        self.groups += self.one_more.take(group, axis=0)
-        row = self.irow + group
-        self.inside[row] = self.inside.take(row, axis=0) + self.one_more.take(place & 31, axis=0)
-        self.seen += self.new
-        self.steps += 1
-        self.before[1] = self.before[0]
-        self.before[0] = place
-
-
-class _Coder:
-    """Arithmetic coding of many blocks with 64 bits of state; words of 32 bits go out (or come in) once their bits are settled."""
-
-    def __init__(self, blocks: int):
-        self.low, self.range = np.zeros(blocks, np.uint64), np.full(blocks, 2**64 - 1, np.uint64)
-
-    def narrow(self, lanes: np.ndarray | slice, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Takes the interval in units of r; the blocks that are left with under 32 bits of range, and the word that each of them settles."""
-        self.low[lanes] += r * start.astype(np.uint64)
-        self.range[lanes] = r * size.astype(np.uint64)
-        on = np.flatnonzero(self.range <= _M32)
-        low, r = self.low[on], self.range[on]
-        top = low >> _32
-        left = (top + np.uint64(1) << _32) - low  # up to the next word; 0 stands for 2 ** 64
-        split = left - np.uint64(1) < r - np.uint64(1)
-        upper = split & (r - left > left)  # of a range over two words the larger part is taken
-        r = np.where(upper, r - left, np.where(split, left, r))
-        low = np.where(upper, np.uint64(0), low << _32)
-        self.low[on], self.range[on] = low, r << _32
-        return on, top + upper
-
-
-ALL = slice(None)
+        """The number in whose interval t lies: the guesses' masses are taken out of t, order 0 says the rest."""
+        if self.at is None:
+            self.at = np.repeat(np.arange(len(self.size)), self.size)
+        first = self.g2 <= self.g1
+        inside2 = t - self.w0 * self.start.take(self.g2) - self.m1 * ~first
+        inside1 = t - self.w0 * self.start.take(self.g1) - self.m2 * first
+        left = t - np.minimum(np.maximum(inside2, 0), self.m2) - np.minimum(np.maximum(inside1, 0), self.m1)
+        return self.at.take((left / self.w0).astype(np.int64))  # whole numbers under 2 ** 53
+
+    def learn(self, a: int, b: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Steps a to b are coded; at: their places (of all in these rows) without a number, values: the ids there. Returns the ids that get numbers."""
+        self.shares *= 0.5
+        for t in range(a, b, 4):  # row by row, so that sums are the same everywhere
+            number = self.rows[t + 2]
+            self.predict(self.rows[t + 1], self.rows[t])
+            size = self.interval(number)[1]
+            for k, got in enumerate((self.w0 * self.size.take(number), self.m1 * (self.g1 == number), self.m2 * (self.g2 == number))):
+                self.shares[k] += np.bincount(self.pair, got / size, LEVELS * LEVELS)
+        fresh, of = np.unique(values, return_inverse=True)
+        fresh = fresh[: NUMBERED - len(self.names)]
+        coded = self.rows[a + 2 : b + 2].reshape(-1)
+        coded[at] = np.where(of < len(fresh), len(self.names) + of, 0)
+        self.names = np.concatenate([self.names, fresh])
+        numbers = len(self.names)
+        self.count = np.append(self.count, np.zeros(len(fresh), np.int64)) + np.bincount(coded, minlength=numbers)
+        if b < len(self.rows) - 2:
+            self._order_0(len(at), len(coded))
+            self._weigh()
+            two, one, number = (self.rows[k : b + k].reshape(-1) for k in range(3))
+            self.one = _guesses(one, number, numbers, numbers)
+            self.one[0] = 0
+            self.two = _guesses(_pair(one, two), number, 1 << PAIRS, numbers)
+        return fresh
+
+
+class _Encoder:
+    """Arithmetic coding of many blocks with 64 bits of state; words of 32 bits go out, a later carry is added to them."""
 
-
-class _Encoder(_Coder):
     def __init__(self, blocks: int, symbols: int):
-        super().__init__(blocks)
-        self.out, self.size = np.zeros((blocks, 3 * symbols + 4), "<u4"), np.zeros(blocks, np.int64)
-
-    def _put(self, on: np.ndarray, word: np.ndarray) -> None:
-        self.out[on, self.size[on]] = word
-        self.size[on] += 1
+        self.low, self.range = np.zeros(blocks, np.uint64), np.full(blocks, 2**64 - 1, np.uint64)
+        room, self.used = blocks * (3 * symbols + 4), 0
+        self.words, self.lanes, self.link = np.empty(room, "<u4"), np.empty(room, np.int32), np.empty(room, np.int64)
+        self.last = np.full(blocks, -1)  # where each block's last word is; link: the one before
+
+    def _put(self, lanes: np.ndarray, word: np.ndarray) -> None:
+        here = slice(self.used, self.used + len(lanes))
+        self.words[here], self.lanes[here], self.link[here] = word, lanes, self.last[lanes]
+        self.last[lanes] = np.arange(here.start, here.stop)
+        self.used = here.stop
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        at = self.last[lanes]
+        while len(at):
+            self.words[at] += np.uint32(1)
+            at = self.link[at[self.words[at] == 0]]
+
+    def _settle(self, low: np.ndarray, lanes: np.ndarray | None = None) -> None:
+        """low: the new lower ends (of lanes); blocks with under 32 bits of range give a word."""
+        before = self.low if lanes is None else self.low[lanes]
+        over = np.flatnonzero(low < before)
+        if len(over):
+            self._carry(over if lanes is None else lanes[over])
+        if lanes is None:
+            self.low = low
+        else:
+            self.low[lanes] = low
+        on = np.flatnonzero(self.range <= _M32)
+        low = self.low[on]
+        self._put(on, low >> _32)
+        self.low[on] = low << _32
+        self.range[on] <<= _32
 
     def put(self, start: np.ndarray, size: np.ndarray) -> None:
-        self._put(*self.narrow(ALL, self.range >> np.uint64(MIXED), start, size))
+        r = self.range >> _MIXED
+        self.range = r * size.view(np.uint64)
+        self._settle(self.low + r * start.view(np.uint64))
 
     def put_even(self, lanes: np.ndarray, value: np.ndarray, top: int) -> None:
         """value of each of the lanes, all below top alike."""
-        self._put(*self.narrow(lanes, self.range[lanes] // np.uint64(top), value, np.ones(len(value), np.uint64)))
+        r = self.range[lanes] // np.uint64(top)
+        self.range[lanes] = r
+        self._settle(self.low[lanes] + r * value.astype(np.uint64), lanes)
 
     def end(self) -> list[bytes]:
-        self.out[np.arange(len(self.low)), self.size] = (self.low + _M32) >> _32  # zeros follow it
-        return [self.out[k, : self.size[k] + 1].tobytes() for k in range(len(self.low))]
+        low = self.low + _M32  # zeros follow the last word
+        self._carry(np.flatnonzero(low < self.low))
+        self._put(np.arange(len(low)), low >> _32)
+        by = np.argsort(self.lanes[: self.used], kind="stable")
+        words = self.words[: self.used][by].tobytes()
+        cuts = (4 * np.cumsum(np.bincount(self.lanes[: self.used], minlength=len(low)))).tolist()
+        return [words[s:t] for s, t in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
-class _Decoder(_Coder):
+class _Decoder:
     def __init__(self, payloads: list[bytes]):
-        super().__init__(len(payloads))
-        self.words = np.zeros((len(payloads), max(len(p) // 4 for p in payloads) + 8), "<u4")
-        for k, p in enumerate(payloads):
-            self.words[k, : len(p) // 4] = np.frombuffer(p, "<u4", len(p) // 4)
-        self.code = self.words[:, 0].astype(np.uint64) << _32 | self.words[:, 1].astype(np.uint64)
-        self.next = np.full(len(payloads), 2)
-
-    def _take(self, on: np.ndarray, _: np.ndarray) -> None:
-        self.code[on] = self.code[on] << _32 | self.words[on, np.minimum(self.next[on], self.words.shape[1] - 1)]
-        self.next[on] += 1
+        self.words = np.frombuffer(b"".join(p[: len(p) // 4 * 4] + bytes(16) for p in payloads), "<u4")
+        size = np.array([len(p) // 4 + 4 for p in payloads])
+        self.next = np.cumsum(size) - size
+        self.range = np.full(len(payloads), 2**64 - 1, np.uint64)
+        self.ahead = self.words[self.next].astype(np.uint64) << _32 | self.words[self.next + 1]  # above the lower end
+        self.next += 2
+
+    def _settle(self) -> None:
+        on = np.flatnonzero(self.range <= _M32)
+        self.range[on] <<= _32
+        at = self.next[on]
+        self.ahead[on] = self.ahead[on] << _32 | self.words.take(at, mode="clip")
+        self.next[on] = at + 1
 
     def peek(self) -> np.ndarray:
-        return np.minimum((self.code - self.low) // (self.range >> np.uint64(MIXED)), np.uint64((1 << MIXED) - 1)).astype(np.int64)
+        self.unit = self.range >> _MIXED
+        return np.minimum(self.ahead // self.unit, np.uint64((1 << MIXED) - 1)).view(np.int64)
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
-        self._take(*self.narrow(ALL, self.range >> np.uint64(MIXED), start, size))
+        self.ahead -= self.unit * start.view(np.uint64)
+        self.range = self.unit * size.view(np.uint64)
+        self._settle()
 
     def take_even(self, lanes: np.ndarray, top: int) -> np.ndarray:
         r = self.range[lanes] // np.uint64(top)
-        value = np.minimum((self.code[lanes] - self.low[lanes]) // r, np.uint64(top - 1)).astype(np.int64)
-        self._take(*self.narrow(lanes, r, value, np.ones(len(value), np.uint64)))
-        return value
+        ahead = self.ahead[lanes]
+        value = np.minimum(ahead // r, np.uint64(top - 1))
+        self.ahead[lanes], self.range[lanes] = ahead - r * value, r
+        self._settle()
+        return value.view(np.int64)
 
 
 def _digits(top: int) -> list[tuple[int, int]]:
-    """(shift, values) of the parts in which a new id below top is coded: 16 bits at most."""
+    """(shift, values) of the parts in which an id below top is spelt: 16 bits at most."""
     return [(0, top)] if top <= 1 << 16 else [(16, (top - 1 >> 16) + 1), (0, 1 << 16)]
 
 
-def _places(grid: np.ndarray) -> np.ndarray:
-    """For blocks of ids (a row each): the place of each id among the distinct ones of its block, by first coming."""
-    blocks, n = grid.shape
-    key = (np.arange(blocks, dtype=np.int64)[:, None] << 32 | grid).reshape(-1)
-    by = np.argsort(key, kind="stable")
-    head = np.append(True, key[by][1:] != key[by][:-1])
-    firsts = by[head]
-    new = np.zeros(blocks * n, np.int64)
-    new[firsts] = 1
-    number = np.cumsum(new.reshape(blocks, n), axis=1).reshape(-1) - 1
-    out = np.empty(blocks * n, np.int64)
-    out[by] = number[firsts][np.cumsum(head) - 1]
-    return out.reshape(blocks, n)
-
-
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[int, list[bytes], list[int]]:
-    """Number below which the ids are, the payload of each block, its crc32. The last block is filled up with zeros; a block holds BLOCK ids at most."""
+    """Number below which the ids are, the payload of each block, its crc32. The last block is filled up with zeros; a block holds block ids at most."""
     n = len(ids)
     top = int(ids.max()) + 1 if n else 1
     if not n:
@@ -239,18 +266,31 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[int, list[bytes]
     blocks, symbols = len(sums), min(block, n)
     grid = np.zeros(blocks * symbols, np.int64)
     grid[:n] = ids
-    grid = grid.reshape(blocks, symbols)
-    places = np.ascontiguousarray(_places(grid).T)
-    grid = np.ascontiguousarray(grid.T)
-    model, coder = _Model(blocks), _Encoder(blocks, symbols)
-    for row, place in zip(grid, places, strict=True):
-        model.predict()
-        coder.put(*model.interval(place))
-        lanes = np.flatnonzero(model.new)
-        for shift, many in _digits(top):
-            if len(lanes):
-                coder.put_even(lanes, row[lanes] >> shift & 0xFFFF if top > 1 << 16 else row[lanes], many)
-        model.learn(place)
+    grid = np.ascontiguousarray(grid.reshape(blocks, symbols).T)
+    distinct, code = None, grid
+    if top > 1 << 20:
+        distinct, code = np.unique(grid, return_inverse=True)
+        code = code.reshape(grid.shape)
+    number = np.zeros(top if distinct is None else len(distinct), np.int32)  # by code
+    model, coder = _Model(blocks, symbols), _Encoder(blocks, symbols)
+    a, many = 0, max(1, CHUNK // blocks)
+    while a < symbols:
+        b = model.until(a)
+        rows = model.rows[a + 2 : b + 2]
+        np.take(number, code[a:b], out=rows)
+        for c in range(a, b, many):
+            d = min(c + many, b)
+            model.predict(model.rows[c + 1 : d + 1].reshape(-1), model.rows[c:d].reshape(-1))
+            start, size = (x.reshape(-1, blocks) for x in model.interval(model.rows[c + 2 : d + 2].reshape(-1)))
+            for t in range(c, d):
+                coder.put(start[t - c], size[t - c])
+                lanes = np.flatnonzero(model.rows[t + 2] == 0)
+                for shift, values in _digits(top) if len(lanes) else ():
+                    coder.put_even(lanes, grid[t, lanes] >> shift & 0xFFFF if top > 1 << 16 else grid[t, lanes], values)
+        at = np.flatnonzero(rows.reshape(-1) == 0)
+        fresh = model.learn(a, b, at, grid[a:b].reshape(-1)[at])
+        number[fresh if distinct is None else np.searchsorted(distinct, fresh)] = np.arange(len(model.names) - len(fresh), len(model.names))
+        a = b
     return top, coder.end(), sums
 
 
@@ -260,21 +300,28 @@ def decode_blocks(n: int, top: int, payloads: list[bytes], sums: list[int], bloc
         return np.zeros(0, "<u4")
     blocks, symbols = len(payloads), min(block, n)
     grid = np.zeros((symbols, blocks), "<u4")
-    known = np.zeros((blocks, symbols + 1), "<u4")  # ids by place
-    lane = np.arange(blocks)
-    model, coder = _Model(blocks), _Decoder(payloads)
-    for t in range(symbols):
-        model.predict()
-        place = np.minimum(model.find(coder.peek()), t)
-        coder.take(*model.interval(place))
-        lanes = np.flatnonzero(model.new)
-        if len(lanes):
-            value = np.zeros(len(lanes), np.int64)
-            for shift, many in _digits(top):
-                value |= coder.take_even(lanes, many) << shift
-            known[lanes, place[lanes]] = value
-        grid[t] = known[lane, place]
-        model.learn(place)
+    model, coder = _Model(blocks, symbols), _Decoder(payloads)
+    a = 0
+    while a < symbols:
+        b = model.until(a)
+        spelt = [np.zeros((2, 0), np.int64)]
+        for t in range(a, b):
+            model.predict(model.rows[t + 1], model.rows[t])
+            number = model.find(coder.peek())
+            coder.take(*model.interval(number))
+            model.rows[t + 2] = number
+            lanes = np.flatnonzero(number == 0)
+            if len(lanes):
+                value = np.zeros(len(lanes), np.int64)
+                for shift, values in _digits(top):
+                    value |= coder.take_even(lanes, values) << shift
+                spelt.append(np.stack([lanes + (t - a) * blocks, value]))
+        at, values = np.concatenate(spelt, axis=1)
+        part = grid[a:b].reshape(-1)
+        part[:] = model.names.take(model.rows[a + 2 : b + 2].reshape(-1))
+        part[at] = values
+        model.learn(a, b, at, values)
+        a = b
     ids = grid.T.reshape(-1)[:n]
     for k, want in enumerate(sums):
         if zlib.crc32(ids[k * block : (k + 1) * block].tobytes()) != want:
