@@ -1,18 +1,21 @@
 """Token ids as compressed files: an adaptive context-mixing range coder.
 
-A block is up to BLOCK ids, coded from a fresh model and with a checksum of its
-own. In a block an id goes by its place among the ids that came before, in the order of their first
-coming. Three predictions of the next id are mixed into the one distribution that the coder uses: order 2 and
-order 1 each give all their mass to the id that last followed their context; order 0 gives each id that
-the block has seen its count, and the ids that it has not seen, together, one more than the number of those seen. The
-weights of the three are kept for each pair of confidences (how often a context was right in a row)
-and move, after each id, to the share that each prediction had in the id's
-probability. An id that is new to the block takes its escape in that distribution, and then one of
-equal intervals over all ids of the frame. So encoder and decoder take one arithmetic step for an
-id, and a second for a new one.
-
-numpy codes many blocks in step, one id of each at a time. Counts are held as cumulative
-sums of two levels, SIDE groups of SIDE places.
+The ids of a frame lie in blocks of up to BLOCK ids, each with a payload and a checksum of
+its own; all blocks of a frame share one model, fresh for each frame, and are decoded together.
+numpy codes them in step, one id of each at a time. An id goes by a number, given when it
+has come in the frame. Three predictions of the next id are mixed into the one distribution that the coder uses:
+order 2 and order 1 each give all their mass to the id that followed their context most
+often so far; order 0 gives each id its count, and a share to those without a number. The weights
+of the three are kept for each pair of trusts (how often the guess of a context was right)
+and move to the shares that the predictions had in the probabilities of the ids coded last.
+An id without a number takes its escape in that distribution, and then one of equal
+intervals over all ids of the frame. So encoder and decoder take one arithmetic step for an id, and
+a second for a new one.
+
+Counts, guesses and weights are learnt anew from all ids of the frame that are coded after
+1, 4, 16, 64 and 256 steps (more often with few blocks), and stay as they are between: the
+encoder predicts many steps at once, the decoder by looking up three tables. Sums are of whole
+numbers or taken in one order, so that both learn the same.
 
 A file is a Parquet table of frames (one row: whole documents, their ids in
 blocks), in ascending order of document ids over the files part-00000, part-00001, ...
@@ -34,14 +37,16 @@ from depscope.llm.store import shared_dir
 
 BLOCK = 1024
 #: Bytes of text whose ids are coded in step, and of text in a file.
-FRAME_BYTES, FILE_BYTES = 6 << 20, 48 << 20
+FRAME_BYTES, FILE_BYTES = 12 << 20, 48 << 20
 #: Bits of the mixed distribution, of the table of order-2 contexts, of the trust in a guess (0: there is none).
 MIXED, PAIRS, TRUST = 28, 17, 3
 LEVELS = 1 << TRUST
 #: Ids of a frame that get numbers, the first ones; others are spelt each time.
 NUMBERED = 1 << 18
-#: The model is learnt anew when the ids coded have grown by this share, or by 1 / LEARN of a row for each of them.
-LEARN = 2048
+#: The model is learnt anew when the steps have grown fourfold; with fewer than 3 * LEARN blocks, when by one in LEARN of the ids coded.
+LEARN = 512
+#: Steps of a stretch from which weights are learnt.
+WEIGHED = 16
 #: Elements that numpy handles at once where rows need not go one by one.
 CHUNK = 1 << 14
 _M32, _32, _MIXED = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(MIXED)
@@ -90,7 +95,7 @@ class _Model:
     def until(self, step: int) -> int:
         """The step before which the model stays as it is."""
         blocks = self.rows.shape[1]
-        return min(step + max(1, min(step, step * blocks // LEARN)), len(self.rows) - 2)
+        return min(step + max(1, min(3 * step, step * blocks // LEARN)), len(self.rows) - 2)
 
     def _order_0(self, new: int, coded: int) -> None:
         """Counts as a cumulative line of 2 ** bits places; the first of them are the escape's, by the share of new ids in those coded last."""
@@ -136,7 +141,7 @@ class _Model:
     def learn(self, a: int, b: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Steps a to b are coded; at: their places (of all in these rows) without a number, values: the ids there. Returns the ids that get numbers."""
         self.shares *= 0.5
-        for t in range(a, b, 4):  # row by row, so that sums are the same everywhere
+        for t in range(a, b, max(1, (b - a) // WEIGHED)):  # row by row, so that sums are the same everywhere
             number = self.rows[t + 2]
             self.predict(self.rows[t + 1], self.rows[t])
             size = self.interval(number)[1]

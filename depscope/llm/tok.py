@@ -66,9 +66,13 @@ class _Words:
 
 def spread(start: np.ndarray, many: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (many[0] of them), start[1], start[1] + 1, ..."""
-    place = np.repeat(start - (np.cumsum(many) - many), many)
-    place += np.arange(len(place))
-    return place
+    on = np.flatnonzero(many)
+    start, many = start[on], many[on]
+    step = np.ones(int(many.sum()), np.int64)
+    if len(on):
+        step[0] = start[0]
+        step[np.cumsum(many[:-1])] = start[1:] - start[:-1] - many[:-1] + 1
+    return np.cumsum(step, out=step)
 
 
 class CachedTokenizer:

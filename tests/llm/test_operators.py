@@ -247,6 +247,33 @@ def test_long_blocks_and_damage():
         rangecode.decode_blocks(len(a), top, [payloads[0][:40] + b"\0" * 60 + payloads[0][100:], *payloads[1:]], sums)
 
 
+def test_blocks_learn_from_each_other():
+    """Blocks of a frame share what they know: together they take far less than one by one."""
+    r = np.random.default_rng(2)
+    words = r.integers(0, 50000, (600, 3))
+    ids = words[r.zipf(1.2, 20000) % 600].reshape(-1)
+    alone = sum(len(rangecode.encode_blocks(ids[a : a + rangecode.BLOCK])[1][0]) for a in range(0, len(ids), rangecode.BLOCK))
+    top, payloads, sums = rangecode.encode_blocks(ids)
+    assert rangecode.decode_blocks(len(ids), top, payloads, sums).tolist() == ids.tolist()
+    assert sum(map(len, payloads)) < 0.7 * alone
+
+
+def test_more_ids_than_numbers(monkeypatch):
+    monkeypatch.setattr(rangecode, "NUMBERED", 9)
+    for top in (40, 1 << 32):
+        ids = np.random.default_rng(3).zipf(1.1, 3000) % 40 * (top // 40)
+        found = rangecode.encode_blocks(ids, 100)
+        assert rangecode.decode_blocks(len(ids), *found, 100).tolist() == ids.tolist()
+
+
+def test_a_carry_runs_through_full_words():
+    coder = rangecode._Encoder(2, 4)
+    for words in ((5, 7), (2**32 - 1, 2**32 - 1), (2**32 - 1, 8)):
+        coder._put(np.arange(2), np.array(words, np.uint64))
+    coder._carry(np.arange(2))
+    assert [np.frombuffer(p, "<u4")[:3].tolist() for p in coder.end()] == [[6, 0, 0], [7, 2**32 - 1, 9]]
+
+
 def test_ids(docs, empty):
     from tokenizers import Tokenizer
 
