@@ -170,7 +170,7 @@ class _Encoder:
     def __init__(self, blocks: int, symbols: int):
         self.low, self.range = np.zeros(blocks, np.uint64), np.full(blocks, 2**64 - 1, np.uint64)
         room, self.used = blocks * (3 * symbols + 4), 0
-        self.words, self.lanes, self.link = np.empty(room, "<u4"), np.empty(room, np.int32), np.empty(room, np.int64)
+        self.words, self.lanes, self.link = np.empty(room, "<u4"), np.empty(room, np.uint16 if blocks <= 1 << 16 else np.int32), np.empty(room, np.int64)
         self.last = np.full(blocks, -1)  # where each block's last word is; link: the one before
 
     def _put(self, lanes: np.ndarray, word: np.ndarray) -> None:
@@ -269,7 +269,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[int, list[bytes]
         return top, [], []
     sums = [zlib.crc32(ids[a : a + block].astype("<u4").tobytes()) for a in range(0, n, block)]
     blocks, symbols = len(sums), min(block, n)
-    grid = np.zeros(blocks * symbols, np.int64)
+    grid = np.zeros(blocks * symbols, np.uint32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(blocks, symbols).T)
     distinct, code = None, grid
@@ -293,7 +293,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[int, list[bytes]
                 for shift, values in _digits(top) if len(lanes) else ():
                     coder.put_even(lanes, grid[t, lanes] >> shift & 0xFFFF if top > 1 << 16 else grid[t, lanes], values)
         at = np.flatnonzero(rows.reshape(-1) == 0)
-        fresh = model.learn(a, b, at, grid[a:b].reshape(-1)[at])
+        fresh = model.learn(a, b, at, grid[a:b].reshape(-1)[at].astype(np.int64))
         number[fresh if distinct is None else np.searchsorted(distinct, fresh)] = np.arange(len(model.names) - len(fresh), len(model.names))
         a = b
     return top, coder.end(), sums

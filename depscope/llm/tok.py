@@ -86,6 +86,7 @@ class CachedTokenizer:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_words = not any(" " in a for a in added)
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        self.firsts = {a[0] for a in added}
         self.lower = self.tokenizer.normalizer is not None
         self.known = _Words()
         vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
@@ -96,12 +97,16 @@ class CachedTokenizer:
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _adds(self, text: str) -> bool:
+        """Whether a text has the string of an added token, in any case."""
+        return any(c.isalpha() or c in text for c in self.firsts) and bool(self.added.search(text))
+
     def _plain(self, words: list[str]) -> np.ndarray:
         """Whether the ids of a word stand in those of any text that has it."""
         every = " ".join(words)
-        if SAFE.fullmatch(every) and not self.added.search(every) and (self.lower or not _EDGES.search(every)):
+        if SAFE.fullmatch(every) and not self._adds(every) and (self.lower or not _EDGES.search(every)):
             return np.ones(len(words), bool)
-        fits = lambda w: SAFE.fullmatch(w) and not self.added.search(w) and (self.lower or w and not w[0].isspace() and not w[-1].isspace())
+        fits = lambda w: SAFE.fullmatch(w) and not self._adds(w) and (self.lower or w and not w[0].isspace() and not w[-1].isspace())
         return np.array([bool(fits(w)) for w in words], bool)
 
     def _together(self, text: str, lead: str) -> tuple[np.ndarray, np.ndarray]:
