@@ -14,7 +14,9 @@ SAVED_RATE = 3
 
 def percent(part: Column, whole: Column) -> Column:
     """part of whole in percent, cut to three places; null where there is no whole."""
-    return F.when(whole > 0, F.floor(part * 100000 / whole) / 1000)
+    a, b = (c.cast("decimal(38,0)") for c in (part, whole))
+    large = F.abs(part) > 90000000000  # part * 100000 is no whole double any more, or beyond a long
+    return F.when(whole > 0, F.when(large, F.call_function("div", a * 100000, b)).otherwise(F.floor(part * 100000 / whole)) / 1000)
 
 
 def all_cones(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:

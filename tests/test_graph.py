@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from depscope.operators import graph, measures, reports
 from depscope.operators.matching import containing
 
@@ -70,3 +72,13 @@ def test_importers_of_changes_without_callers(spark):
     callers = spark.createDataFrame([("r", "3")], "repo string, change_id string")
     imports = spark.createDataFrame([("r", "a.ts", "src/index.ts"), ("r", "b.ts", "old/src/index.tsx"), ("r", "c.ts", None), ("r", "d.ts", "x.ts")], "repo string, importer_file string, imported_file string")
     assert sorted(tuple(r) for r in measures.import_callers(changed, callers, imports).collect()) == [("r", "1", "a.ts"), ("r", "1", "b.ts")]
+
+
+def test_savings_of_a_large_session(spark):
+    """A million queries on a repository of hundreds of millions of tokens: their product, in thousandths of a percent, is beyond a long."""
+    measured = spark.range(1000000).selectExpr("'r' as repo", "id % 1000 as cone_tokens")
+    total = spark.createDataFrame([("r", 400000000)], "repo string, total_tokens long")
+    got = measures.session_stats(measured, total).first()
+    assert (got["queries"], got["total_tokens"], got["tokens_saved"], got["reduction_pct"]) == (1000000, 4 * 10**14, 4 * 10**14 - 499500000, 99.999)
+    cuts = spark.createDataFrame([(1, 3), (0, 5), (2, 3), (5, 0)], "a long, b long").select(measures.percent(F.col("a"), F.col("b"))).collect()
+    assert [c[0] for c in cuts] == [33.333, 0.0, 66.666, None]
