@@ -82,3 +82,14 @@ def test_savings_of_a_large_session(spark):
     assert (got["queries"], got["total_tokens"], got["tokens_saved"], got["reduction_pct"]) == (1000000, 4 * 10**14, 4 * 10**14 - 499500000, 99.999)
     cuts = spark.createDataFrame([(1, 3), (0, 5), (2, 3), (5, 0)], "a long, b long").select(measures.percent(F.col("a"), F.col("b"))).collect()
     assert [c[0] for c in cuts] == [33.333, 0.0, 66.666, None]
+
+
+def test_a_round_writes_new_bits_only(spark, tmp_path, monkeypatch):
+    """What a closure of n steps leaves on disk is its bits and its input, not the state of each round."""
+    from depscope.operators import graph as g
+
+    written = []
+    monkeypatch.setattr(g, "settled", lambda df, name: written.append(name) or df.localCheckpoint())
+    edges = spark.createDataFrame([("r", f"n{k}", f"n{k + 1}") for k in range(4)], "repo string, src string, dst string")
+    assert graph.closure(edges).count() == 15
+    assert "reached" not in written and len(written) == 3
